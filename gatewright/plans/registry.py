@@ -1,8 +1,10 @@
 """All registered queries and their SQL."""
 
-from gatewright.plans import metric_queries, source_queries
+from gatewright.plans import (
+    detect_queries, issue_queries, metric_queries, report_queries, source_queries,
+)
 
-_FAMILIES = [source_queries, metric_queries]
+_FAMILIES = [source_queries, metric_queries, detect_queries, report_queries, issue_queries]
 QUERIES, ORACLES = {}, {}
 for _family in _FAMILIES:
     QUERIES.update(_family.QUERIES)
