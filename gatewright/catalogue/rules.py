@@ -89,42 +89,61 @@ RULES = [
 ]
 
 # Line tests of the `scan` rules. Patterns use no lookaround, no back-reference and no \b,
-# so they mean the same in Java and RE2. `unless` lets a line off.
+# so they mean the same in Java and RE2. `unless` lets a line off. `needs` lists plain
+# texts a match cannot do without (any of the tuples, whole): a cheap test before the pattern.
 #   fixed value: the secret pattern of SEC002 and the API and type names
 SCAN_RULES = [
-    {"rule_id": "SAF004", "pattern": r"\w\[\s*-", "note": "negative index"},
-    {"rule_id": "SAF004", "pattern": r"for\s*\([^;]*;[^;]*<=\s*[\w.()]+\.(Length|Count)\s*;", "note": "off by one"},
-    {"rule_id": "SAF007", "pattern": r"throw\s+new\s+Exception\s*\(", "note": "exact type name"},
-    {"rule_id": "SAF010", "pattern": r"[fdFD]\s*[!=]=[^=]|[!=]=\s*[\w.]*[fdFD]\s*([;)&|,?]|$)",
+    {"rule_id": "SAF004", "needs": [("[", "-")],
+     "pattern": r"\w\[\s*-", "note": "negative index"},
+    {"rule_id": "SAF004", "needs": [("<=", ".Length"), ("<=", ".Count")],
+     "pattern": r"for\s*\([^;]*;[^;]*<=\s*[\w.()]+\.(Length|Count)\s*;", "note": "off by one"},
+    {"rule_id": "SAF007", "needs": [("Exception",)],
+     "pattern": r"throw\s+new\s+Exception\s*\(", "note": "exact type name"},
+    {"rule_id": "SAF010", "needs": [("==",), ("!=",)],
+     "pattern": r"[fdFD]\s*[!=]=[^=]|[!=]=\s*[\w.]*[fdFD]\s*([;)&|,?]|$)",
      "note": "an operand text ends with f, d, F or D, also a name"},
-    {"rule_id": "SAF015", "pattern": r"\([A-Z]\w*(<[^()]*>)?\)\s*[A-Za-z_]\w*\s*[;,)]",
+    {"rule_id": "SAF015", "needs": [("(", ")")],
+     "pattern": r"\([A-Z]\w*(<[^()]*>)?\)\s*[A-Za-z_]\w*\s*[;,)]",
      "unless": r"(^|\W)(if|while|foreach|for|switch|using|lock|catch|is)\W|\((Guid|DateTime|TimeSpan)\)",
      "note": "cast of a plain name on a line without a test"},
-    {"rule_id": "CON002", "pattern": r"(^|\W)async\s+void\s+\w", "note": ""},
-    {"rule_id": "CON003", "pattern": r"\.(Result|Wait|GetResult)(\W|$)", "note": "any member of these names"},
-    {"rule_id": "CON004", "pattern": r"(^|\W)lock\s*\(\s*(this\s*\)|\"|typeof)", "note": ""},
-    {"rule_id": "CON005", "pattern": r"^\s*[\w.]+Async\s*\(", "unless": r"Task\.(Run|Factory|Delay)",
+    {"rule_id": "CON002", "needs": [("async", "void")],
+     "pattern": r"(^|\W)async\s+void\s+\w", "note": ""},
+    {"rule_id": "CON003", "needs": [(".Result",), (".Wait",), (".GetResult",)],
+     "pattern": r"\.(Result|Wait|GetResult)(\W|$)", "note": "any member of these names"},
+    {"rule_id": "CON004", "needs": [("lock", "(")],
+     "pattern": r"(^|\W)lock\s*\(\s*(this\s*\)|\"|typeof)", "note": ""},
+    {"rule_id": "CON005", "needs": [("Async",)],
+     "pattern": r"^\s*[\w.]+Async\s*\(", "unless": r"Task\.(Run|Factory|Delay)",
      "note": "the call starts its line"},
-    {"rule_id": "CON008", "pattern": r"(^|\W)await\s+[^;]*(Async\(\)\s*[;)]|Task\.)", "unless": r"ConfigureAwait",
+    {"rule_id": "CON008", "needs": [("await",)],
+     "pattern": r"(^|\W)await\s+[^;]*(Async\(\)\s*[;)]|Task\.)", "unless": r"ConfigureAwait",
      "note": ""},
-    {"rule_id": "SEC002",
+    {"rule_id": "SEC002", "needs": [("=", "\"")],
      "pattern": r'(?i)(password|passwd|api_key|apikey|secret|token|private_key|connstr|connectionstring)\s*=\s*"[^"]{6,}"',
      "note": "any text line, not only code"},
-    {"rule_id": "SEC007", "pattern": r"new\s+[\w.]*(BinaryFormatter|NetDataContractSerializer|LosFormatter|SoapFormatter)",
+    {"rule_id": "SEC007", "needs": [("new", "Formatter"), ("new", "NetDataContractSerializer")],
+     "pattern": r"new\s+[\w.]*(BinaryFormatter|NetDataContractSerializer|LosFormatter|SoapFormatter)",
      "note": ""},
-    {"rule_id": "SEC008", "pattern": r"Process\.Start\s*\([^,()]+,\s*(\$\"|[^,()]*[+])", "note": "second argument is built"},
-    {"rule_id": "PERF002", "pattern": r"new\s+([\w.]+\.)?(ArrayList|Hashtable)\s*[({]", "note": ""},
-    {"rule_id": "PERF003",
+    {"rule_id": "SEC008", "needs": [("Process.Start",)],
+     "pattern": r"Process\.Start\s*\([^,()]+,\s*(\$\"|[^,()]*[+])", "note": "second argument is built"},
+    {"rule_id": "PERF002", "needs": [("new", "ArrayList"), ("new", "Hashtable")],
+     "pattern": r"new\s+([\w.]+\.)?(ArrayList|Hashtable)\s*[({]", "note": ""},
+    {"rule_id": "PERF003", "needs": [(".Count()",)],
      "pattern": r"\.Count\(\)\s*(==|!=|>=|<=|>|<)\s*[01](\D|$)|(^|[^\w.])[01]\s*(==|!=|>=|<=|>|<)\s*[\w.]+\.Count\(\)", "note": ""},
-    {"rule_id": "PERF005", "pattern": r"\.To(Lower|Upper)\(\)\s*[!=]=|[!=]=\s*[\w.()]+\.To(Lower|Upper)\(\)", "note": ""},
-    {"rule_id": "PERF009", "pattern": r"(^|\s)~\w+\s*\(\s*\)", "note": ""},
-    {"rule_id": "PERF010", "pattern": r"[(,]\s*\w*(Matrix|Vector|Buffer|Payload)\w*(<[^>]*>)?\s+\w+\s*[,)=]",
+    {"rule_id": "PERF005", "needs": [(".ToLower()",), (".ToUpper()",)],
+     "pattern": r"\.To(Lower|Upper)\(\)\s*[!=]=|[!=]=\s*[\w.()]+\.To(Lower|Upper)\(\)", "note": ""},
+    {"rule_id": "PERF009", "needs": [("~", "(")],
+     "pattern": r"(^|\s)~\w+\s*\(\s*\)", "note": ""},
+    {"rule_id": "PERF010", "needs": [("Matrix",), ("Vector",), ("Buffer",), ("Payload",)],
+     "pattern": r"[(,]\s*\w*(Matrix|Vector|Buffer|Payload)\w*(<[^>]*>)?\s+\w+\s*[,)=]",
      "note": "no modifier before the type"},
-    {"rule_id": "ARCH006",
+    {"rule_id": "ARCH006", "needs": [("BinaryFormatter",), ("Thread.Abort",), ("WebRequest.Create",), ("AppDomain.Unload",)],
      "pattern": r"new\s+[\w.]*BinaryFormatter|(Thread\.Abort|WebRequest\.Create|AppDomain\.Unload)\w*\s*\(", "note": ""},
-    {"rule_id": "ARCH009", "pattern": r"Console\.Write(Line)?\s*\(",
+    {"rule_id": "ARCH009", "needs": [("Console.Write",)],
+     "pattern": r"Console\.Write(Line)?\s*\(",
      "note": "the exempt type names are applied by plans.code_rules"},
-    {"rule_id": "ARCH010", "pattern": r"^\s*public\s+(static\s+|readonly\s+|volatile\s+)*[\w<>\[\],.?]+\s+\w+\s*(=[^>]|;)",
+    {"rule_id": "ARCH010", "needs": [("public", ";"), ("public", "=")],
+     "pattern": r"^\s*public\s+(static\s+|readonly\s+|volatile\s+)*[\w<>\[\],.?]+\s+\w+\s*(=[^>]|;)",
      "unless": r"(^|\W)const\W|static\s+readonly|readonly\s+static", "note": ""},
 ]
 

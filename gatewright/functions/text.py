@@ -6,6 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_str(text: str) -> str:
+    """A text as a Spark SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    return f"'{escaped}'"
+
+
+def sql_lookup(col: str, values: dict[str, str]) -> Column:
+    """The value of a small fixed dictionary for a key column, null for other keys."""
+    pairs = ", ".join(f"{sql_str(k)}, {sql_str(v)}" for k, v in values.items())
+    return F.expr(f"try_element_at(map({pairs}), {col})")
+
+
 def _replace(col: Column, pairs: list[tuple[str, str]]) -> Column:
     for old, new in pairs:
         col = F.replace(col, F.lit(old), F.lit(new))

@@ -40,23 +40,27 @@ def policy(spark, rows=None) -> DataFrame:
     return spark.createDataFrame(POLICY_ROWS if rows is None else rows, POLICY_SCHEMA)
 
 
-def grade(df: DataFrame, policy_df: DataFrame) -> DataFrame:
+def grade(df: DataFrame, policy_df: DataFrame, otherwise: Column | None = None) -> DataFrame:
     """Keep measures above their rule's limit and give each its severity.
 
     `df` has (rule_id, actual). The policy holds one row per rule, so it is as
-    small as the rule catalogue; Spark broadcasts it when its size allows.
+    small as the rule catalogue; Spark broadcasts it when its size allows. With
+    `otherwise`, rows of rules without a policy are kept and get that severity.
     """
     worse = (
         F.when(F.col("policy") == "ratio", F.col("threshold") * F.col("policy_value"))
         .when(F.col("policy") == "offset", F.col("threshold") + F.col("policy_value"))
         .when(F.col("policy") == "second", F.col("policy_value"))
     )
-    return (
-        df.join(policy_df, "rule_id")
-        .filter(F.col("actual") > F.col("threshold"))
-        .withColumn("severity", F.when(F.col("actual") > worse, ERROR).otherwise(WARNING))
-        .drop("policy", "policy_value")
-    )
+    graded = F.when(F.col("actual") > worse, ERROR).otherwise(WARNING)
+    if otherwise is None:
+        kept = df.join(policy_df, "rule_id").filter(F.col("actual") > F.col("threshold"))
+    else:
+        kept = df.join(policy_df, "rule_id", "left").filter(
+            F.col("policy").isNull() | (F.col("actual") > F.col("threshold"))
+        )
+        graded = F.when(F.col("policy").isNull(), otherwise).otherwise(graded)
+    return kept.withColumn("severity", graded).drop("policy", "policy_value")
 
 
 def span_length(spans: DataFrame, limit: int = 50, start: str = "start_line", end: str = "end_line",

@@ -4,25 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.functions.text import sql_str
 from gatewright.sources.texts import to_lines
 
 
+def _test(rule: dict, col: str, mode: str = "") -> str:
+    """SQL test of one rule: the plain texts a match needs, then its pattern."""
+    pattern = f"rlike({col}, {sql_str(mode + rule['pattern'])})"
+    if not rule.get("needs"):
+        return pattern
+    needs = " OR ".join(
+        "(" + " AND ".join(f"contains({col}, {sql_str(t)})" for t in together) + ")" for together in rule["needs"]
+    )
+    return f"(({needs}) AND {pattern})"
+
+
 def scan(lines: DataFrame, rules: Sequence[dict], col: str = "line") -> DataFrame:
     """One row per (rule, line) hit; all rules are tested in one pass over the lines.
 
     A rule is a dict with `rule_id`, `pattern` and optionally `unless`, a pattern
-    that lets a line off.
+    that lets a line off, and `needs`, plain texts a match cannot do without. Two
+    entries of one rule are two tests, and a line may hit both.
     """
     hits = []
     for rule in rules:
-        test = F.col(col).rlike(rule["pattern"])
+        test = _test(rule, col)
         if rule.get("unless"):
-            test = test & ~F.col(col).rlike(rule["unless"])
-        hits.append(F.when(test, F.lit(rule["rule_id"])))
-    return lines.withColumn("rule_id", F.explode(F.array_compact(F.array(*hits))))
+            test += f" AND NOT rlike({col}, {sql_str(rule['unless'])})"
+        hits.append(f"CASE WHEN {test} THEN {sql_str(rule['rule_id'])} END")
+    return lines.withColumn("rule_id", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))")))
 
 
 def scan_texts(df: DataFrame, id_cols: Sequence[str], text: str, rules: Sequence[dict]) -> DataFrame:
@@ -32,16 +45,33 @@ def scan_texts(df: DataFrame, id_cols: Sequence[str], text: str, rules: Sequence
     mode, and none looks outside its match), so texts without any hit are dropped
     before they are cut into lines.
     """
-    anywhere: Column = F.lit(False)
-    for rule in rules:
-        anywhere = anywhere | F.col(text).rlike("(?m)" + rule["pattern"])
-    suspects = df.filter(anywhere)
+    suspects = df.filter(F.expr(" OR ".join(_test(rule, text, "(?m)") for rule in rules)))
     if len(id_cols) == 1:
         return scan(to_lines(suspects, id_cols[0], text), rules)
     packed = suspects.withColumn("__id", F.struct(*id_cols))
     return scan(to_lines(packed, "__id", text), rules).select("__id.*", "line_no", "line", "rule_id")
 
 
+def line_hits(text: str, rules: Sequence[dict]) -> str:
+    """SQL array of (rule_id, line_no, line) hits of a text column, built inside its row.
+
+    For plans that draw several kinds of facts from one reading of the texts.
+    """
+    anywhere = " OR ".join(_test(rule, text, "(?m)") for rule in rules)
+    hits = []
+    for rule in rules:
+        test = _test(rule, "l")
+        if rule.get("unless"):
+            test += f" AND NOT rlike(l, {sql_str(rule['unless'])})"
+        hits.append(
+            f"CASE WHEN {test} THEN named_struct('rule_id', {sql_str(rule['rule_id'])}, 'line_no', i + 1, 'line', l) END"
+        )
+    lines = f"split({text}, '\\r\\n|\\r|\\n')"
+    return (
+        f"CASE WHEN {anywhere} THEN flatten(transform({lines}, (l, i) -> array_compact(array({', '.join(hits)})))) END"
+    )
+
+
 def contains_any(df: DataFrame, col: str, terms: Sequence[str], also: str | None = None,
                  out: str = "n_terms") -> DataFrame:
     """Rows whose text holds any of the terms and, when given, matches `also`."""

@@ -6,63 +6,60 @@ from pyspark.sql import functions as F
 
 from gatewright.catalogue.advice import ADVICE
 from gatewright.catalogue.rules import RULE_NAME, RULE_SEVERITY, SCAN_RULES
+from gatewright.functions.text import sql_lookup
 from gatewright.operators.groups import empty_groups
 from gatewright.operators.metrics import POLICY_ROWS, grade, policy
-from gatewright.operators.scan import scan_texts
+from gatewright.operators.scan import line_hits
 from gatewright.plans.detect_queries import scan_sql
 from gatewright.plans.fixtures import quoted
 from gatewright.reporting.findings import union_findings
-from gatewright.schema import ERROR, WARNING, as_findings
+from gatewright.schema import WARNING, as_findings
 from gatewright.session import table
-from gatewright.sources.texts import line_count
 
 SEP_TOKENS = "[,;]"
 SECRET = next(r["pattern"] for r in SCAN_RULES if r["rule_id"] == "SEC002")
 UNLABELLED = "DOC001"
 
 
-def _place(ordinal: int, line=0):
-    """Order inside a run: by document, then rule, then line."""
-    return F.col("doc_id") * F.lit(8_000_000) + F.lit(ordinal * 1_000_000) + line
-
-
-def _lookup(col: str, values: dict[str, str]):
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(col)]
-
-
 def doc_findings(spark, d):
-    """Findings over `documents`; a run is one source and language."""
+    """Findings over `documents`; a run is one source and language.
+
+    All facts that need the text (line hits, length, separators) are drawn from one
+    reading of it. The label check reads keys only.
+    """
     docs = table(spark, d, "documents").select(
         "doc_id", "text", F.concat_ws("/", "source", "lang").alias("run_id")
     )
     target = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
-    hits = scan_texts(docs, ["doc_id", "run_id"], "text", SCAN_RULES)
-    scanned = as_findings(
-        hits, target=target, rule_name=_lookup("rule_id", RULE_NAME), severity=_lookup("rule_id", RULE_SEVERITY),
-        member=F.lower(F.regexp_extract("line", SECRET, 1)), end_line_no=F.col("line_no"),
-        description=F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(" matches "), F.col("rule_id")),
-        seq=_place(1, F.col("line_no")),
-        vars=F.create_map(F.lit("line"), F.col("line")),
-    )
-    # Both measures of a text come from one pass over its row.
-    rows = F.array(
-        F.struct(F.lit("CQ001").alias("rule_id"), F.lit(2).alias("no"), line_count(F.col("text")).alias("actual")),
-        F.struct(F.lit("CQ002").alias("rule_id"), F.lit(3).alias("no"),
-                 (F.regexp_count("text", F.lit(SEP_TOKENS)) + 1).alias("actual")),
+    facts = docs.select(
+        "doc_id", "run_id",
+        F.expr(f"""inline(concat(
+            array(named_struct('rule_id', 'CQ001', 'place', 2000000, 'line_no', 1, 'line', '', 'actual', size(split(text, '\\\\r\\\\n|\\\\r|\\\\n'))),
+                  named_struct('rule_id', 'CQ002', 'place', 3000000, 'line_no', 1, 'line', '', 'actual', regexp_count(text, '{SEP_TOKENS}') + 1)),
+            coalesce(transform({line_hits("text", SCAN_RULES)},
+                h -> named_struct('rule_id', h.rule_id, 'place', 1000000 + h.line_no, 'line_no', h.line_no, 'line', h.line, 'actual', 0)), array())))"""),
     )
-    measured = docs.select("doc_id", "run_id", F.inline(rows))
-    graded = as_findings(
-        grade(measured, policy(spark)), target=target, member=target, line_no=1, rule_name=_lookup("rule_id", RULE_NAME),
-        description=F.format_string("Measured %d, allowed %d", "actual", "threshold"),
-        seq=F.col("doc_id") * F.lit(8_000_000) + F.col("no") * F.lit(1_000_000),
+    graded = grade(facts, policy(spark), sql_lookup("rule_id", RULE_SEVERITY))
+    hit = F.col("place") < 2_000_000
+    found = as_findings(
+        graded,
+        target=target,
+        rule_name=sql_lookup("rule_id", RULE_NAME),
+        member=F.when(hit, F.lower(F.regexp_extract("line", SECRET, 1))).otherwise(target),
+        end_line_no=F.when(hit, F.col("line_no")),
+        description=F.when(hit, F.format_string("Line %d matches %s", "line_no", "rule_id"))
+        .otherwise(F.format_string("Measured %d, allowed %d", "actual", "threshold")),
+        seq=F.col("doc_id") * F.lit(8_000_000) + F.col("place"),
+        vars=F.when(hit, F.create_map(F.lit("line"), F.col("line"))),
     )
     bare = as_findings(
         empty_groups(docs.drop("text"), table(spark, d, "labels"), ["doc_id"]),
         rule_id=UNLABELLED, rule_name="Document Without Label", target=target, member=target, severity=WARNING,
-        description="No label: 100%, nobody, looked", fix="Label it", seq=_place(4),
+        description="No label: 100%, nobody, looked", fix="Label it",
+        seq=F.col("doc_id") * F.lit(8_000_000) + 4_000_000,
     )
-    return union_findings([scanned, graded, bare])
+    return union_findings([found, bare])
 
 
 _LIMIT = {r[0]: r[1] for r in POLICY_ROWS}

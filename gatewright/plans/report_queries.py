@@ -15,7 +15,7 @@ from gatewright.reporting.report import (
     annotations, blueprints, file_groups, metric_cell, report_text, topk_overflow,
 )
 from gatewright.schema import ERROR, WARNING
-from gatewright.session import table
+from gatewright.session import stage, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,6 +34,11 @@ def enriched(spark, d):
     return enrich(doc_findings(spark, d), advice_table(spark))
 
 
+def stored_findings(spark, d):
+    """The findings written once, for reports that read them several times."""
+    return stage(doc_findings(spark, d), "findings")
+
+
 def all_runs(spark, d):
     """Every source with every language it has, and one run per region that finds nothing."""
     docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("run_id"))
@@ -95,7 +100,7 @@ SELECT run_id, target, seq, rule_id, min(seq) OVER w AS group_seq, count(*) OVER
 FROM shown WINDOW w AS (PARTITION BY run_id, target)
 """)
 def report_file_groups(spark, d):
-    return file_groups(doc_findings(spark, d), only_errors=True).select(
+    return file_groups(stored_findings(spark, d), only_errors=True).select(
         "run_id", "target", "seq", "rule_id", "group_seq", "group_rows"
     )
 
@@ -115,7 +120,7 @@ top AS (
 WITH {FINDINGS_SQL}, {TOP_SQL.format(e=50, w=10, source='findings')} SELECT run_id, severity, row_kind, row_no, more, seq, rule_id FROM top
 """)
 def report_topk_overflow(spark, d):
-    return topk_overflow(doc_findings(spark, d), {ERROR: 50, WARNING: 10}).select(
+    return topk_overflow(stored_findings(spark, d), {ERROR: 50, WARNING: 10}).select(
         "run_id", "severity", "row_kind", "row_no", "more", "seq", "rule_id"
     )
 
@@ -193,7 +198,7 @@ SELECT g.run_id,
 FROM gates g LEFT JOIN tabs t ON t.run_id = g.run_id LEFT JOIN blues b ON b.run_id = g.run_id
 """)
 def report_text_query(spark, d):
-    found = enriched(spark, d)
+    found = stage(enriched(spark, d), "findings")
     return report_text(gate(gate_counts(all_runs(spark, d), found)), found)
 
 

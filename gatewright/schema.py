@@ -34,20 +34,14 @@ FINDING = T.StructType(
 # Absent text is empty and absent numbers are 0, never null: `threshold > 0`
 # is how a report tells a measured finding from a plain one.
 _BLANKS = {
-    T.StringType(): lambda: F.lit(""),
-    T.IntegerType(): lambda: F.lit(0),
-    T.LongType(): lambda: F.lit(0).cast("bigint"),
+    "string": "''",
+    "int": "0",
+    "bigint": "0L",
+    "array<string>": "cast(array() as array<string>)",
+    "map<string,string>": "cast(map() as map<string,string>)",
 }
 
 
-def _blank(dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.ArrayType):
-        return F.array().cast(dtype)
-    if isinstance(dtype, T.MapType):
-        return F.create_map().cast(dtype)
-    return _BLANKS[dtype]()
-
-
 def as_findings(df: DataFrame, **given: Column | str | int) -> DataFrame:
     """Project any detector output onto the findings schema.
 
@@ -56,12 +50,17 @@ def as_findings(df: DataFrame, **given: Column | str | int) -> DataFrame:
     """
     out = []
     for field in FINDING.fields:
-        value = given.get(field.name)
-        if value is None:
-            value = F.col(field.name) if field.name in df.columns else _blank(field.dataType)
-        elif not isinstance(value, Column):
-            value = F.lit(value)
-        out.append(F.coalesce(value.cast(field.dataType), _blank(field.dataType)).alias(field.name))
+        dtype = field.dataType.simpleString()
+        blank, value = _BLANKS[dtype], given.get(field.name)
+        if isinstance(value, Column):
+            column = F.coalesce(value.cast(field.dataType), F.expr(blank)).alias(field.name)
+        elif value is not None:
+            column = F.lit(value).cast(field.dataType).alias(field.name)
+        elif field.name in df.columns:
+            column = F.expr(f"coalesce(cast({field.name} as {dtype}), {blank}) as {field.name}")
+        else:
+            column = F.expr(f"{blank} as {field.name}")
+        out.append(column)
     return df.select(*out)
 
 

@@ -59,3 +59,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint, which outlives executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a table other steps read more than once, and read it back.
+
+    Unlike a cache it outlives executors, and later steps read only their columns.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
