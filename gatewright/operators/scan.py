@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions.text import sql_str
-from gatewright.sources.texts import to_lines
+from gatewright.sources.texts import lines_of, to_lines
 
 
 def _test(rule: dict, col: str, mode: str = "") -> str:
@@ -66,7 +66,7 @@ def line_hits(text: str, rules: Sequence[dict]) -> str:
         hits.append(
             f"CASE WHEN {test} THEN named_struct('rule_id', {sql_str(rule['rule_id'])}, 'line_no', i + 1, 'line', l) END"
         )
-    lines = f"split({text}, '\\r\\n|\\r|\\n')"
+    lines = lines_of(text)
     return (
         f"CASE WHEN {anywhere} THEN flatten(transform({lines}, (l, i) -> array_compact(array({', '.join(hits)})))) END"
     )

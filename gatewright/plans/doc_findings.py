@@ -15,6 +15,7 @@ from gatewright.plans.fixtures import quoted
 from gatewright.reporting.findings import union_findings
 from gatewright.schema import WARNING, as_findings
 from gatewright.session import table
+from gatewright.sources.texts import lines_of
 
 SEP_TOKENS = "[,;]"
 SECRET = next(r["pattern"] for r in SCAN_RULES if r["rule_id"] == "SEC002")
@@ -35,13 +36,13 @@ def doc_findings(spark, d):
     facts = docs.select(
         "doc_id", "run_id",
         F.expr(f"""inline(concat(
-            array(named_struct('rule_id', 'CQ001', 'place', 2000000, 'line_no', 1, 'line', '', 'actual', size(split(text, '\\\\r\\\\n|\\\\r|\\\\n'))),
+            array(named_struct('rule_id', 'CQ001', 'place', 2000000, 'line_no', 1, 'line', '', 'actual', size({lines_of("text")})),
                   named_struct('rule_id', 'CQ002', 'place', 3000000, 'line_no', 1, 'line', '', 'actual', regexp_count(text, '{SEP_TOKENS}') + 1)),
             coalesce(transform({line_hits("text", SCAN_RULES)},
                 h -> named_struct('rule_id', h.rule_id, 'place', 1000000 + h.line_no, 'line_no', h.line_no, 'line', h.line, 'actual', 0)), array())))"""),
     )
     graded = grade(facts, policy(spark), sql_lookup("rule_id", RULE_SEVERITY))
-    hit = F.col("place") < 2_000_000
+    hit = F.col("actual") == 0
     found = as_findings(
         graded,
         target=target,

@@ -42,7 +42,7 @@ FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS actual FRO
 """)
 def metric_span_length(spark, d):
     spans = table(spark, d, "documents").select(
-        "doc_id", F.lit(1).alias("start_line"), line_count(F.col("text")).alias("end_line")
+        "doc_id", F.lit(1).alias("start_line"), line_count("text").alias("end_line")
     )
     return span_length(spans, 50).select("doc_id", "actual", "severity", "threshold")
 
@@ -129,7 +129,7 @@ def severity_grade(spark, d):
     items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     count = F.count("*").cast("int").alias("actual")
     found = measures([
-        docs.select(F.lit("CQ001").alias("rule_id"), named("doc-", "doc_id"), line_count(F.col("text")).alias("actual")),
+        docs.select(F.lit("CQ001").alias("rule_id"), named("doc-", "doc_id"), line_count("text").alias("actual")),
         pages.select(F.lit("CQ002").alias("rule_id"), named("page-", "page_id"),
                      (F.regexp_count("html", F.lit(BRANCH_TOKENS)) + 1).alias("actual")),
         items.groupBy("l_orderkey").agg(count).select(F.lit("CQ003").alias("rule_id"), named("order-", "l_orderkey"), "actual"),

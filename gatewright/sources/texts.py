@@ -41,12 +41,24 @@ def select_sources(
     return df.filter(keep)
 
 
+def lines_of(text: str) -> str:
+    """SQL array of the lines of a text column, for any line ending.
+
+    Texts without a carriage return, nearly all, take the single-character split,
+    which needs no pattern matching.
+    """
+    return (
+        f"CASE WHEN contains({text}, '\\r') THEN split({text}, '\\r\\n|\\r|\\n') "
+        f"ELSE split({text}, '\\n') END"
+    )
+
+
 def to_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line, numbered from 1. No shuffle: a text never leaves its row."""
-    return df.select(id_col, F.posexplode(F.split(F.col(text_col), "\r\n|\r|\n"))).select(
+    return df.select(id_col, F.posexplode(F.expr(lines_of(text_col)))).select(
         id_col, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line")
     )
 
 
-def line_count(text: Column) -> Column:
-    return F.size(F.split(text, "\r\n|\r|\n"))
+def line_count(text: str) -> Column:
+    return F.expr(f"size({lines_of(text)})")
