@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gatewright.catalogue.rules import RULES
+from gatewright.session import inline_table
 
 # rule_id: (rationale, fix, steps, example)
 _TEXTS = {
@@ -99,4 +100,4 @@ ADVICE_SCHEMA = "rule_id string, rationale string, fix string, steps array<strin
 
 def advice_table(spark):
     """One row per rule of the catalogue."""
-    return spark.createDataFrame(ADVICE, ADVICE_SCHEMA)
+    return inline_table(spark, ADVICE, ADVICE_SCHEMA)

@@ -8,6 +8,7 @@ tests are text forms: no syntax tree is built, so a rule sees tokens, not meanin
 from __future__ import annotations
 
 from gatewright.schema import ERROR, WARNING
+from gatewright.session import inline_table
 
 # Rule id, name, severity and limit of every rule. "graded" severity is
 # decided by the policy of `operators.metrics`.
@@ -153,6 +154,6 @@ RULE_SEVERITY = {r[0]: r[2] for r in RULES}
 
 def rule_table(spark):
     """The catalogue as a table of 72 rows."""
-    return spark.createDataFrame(
-        RULES, "rule_id string, rule_name string, severity string, limit int, carrier string"
+    return inline_table(
+        spark, RULES, "rule_id string, rule_name string, severity string, limit int, carrier string"
     )

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatewright.schema import ERROR, WARNING
+from gatewright.session import inline_table
 
 # Limits and grading policy of the measured rules.
 #   ratio:  Error when the measure exceeds factor x limit
@@ -26,18 +26,13 @@ POLICY_ROWS = [
     ("CQ008", 3, "constant", 0.0),
     ("CQ009", 20, "constant", 0.0),
 ]
-POLICY_SCHEMA = T.StructType(
-    [
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("threshold", T.IntegerType()),
-        T.StructField("policy", T.StringType()),
-        T.StructField("policy_value", T.DoubleType()),
-    ]
-)
 
 
 def policy(spark, rows=None) -> DataFrame:
-    return spark.createDataFrame(POLICY_ROWS if rows is None else rows, POLICY_SCHEMA)
+    return inline_table(
+        spark, POLICY_ROWS if rows is None else rows,
+        "rule_id string, threshold int, policy string, policy_value double",
+    )
 
 
 def grade(df: DataFrame, policy_df: DataFrame, otherwise: Column | None = None) -> DataFrame:

@@ -31,6 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small fixed table written into the plan, so that its size is known to Spark.
+
+    Rows hold texts, numbers, None and lists of texts; `schema` is a DDL string.
+    """
+    from gatewright.functions.text import sql_str
+
+    def literal(value) -> str:
+        if value is None:
+            return "null"
+        if isinstance(value, list):
+            return "array(" + ", ".join(literal(v) for v in value) + ")"
+        return sql_str(value) if isinstance(value, str) else repr(value)
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"cast(c{i} as {dtype}) as {name}" for i, (name, dtype) in enumerate(fields))
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
