@@ -43,6 +43,8 @@ def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:
             return "null"
         if isinstance(value, list):
             return "array(" + ", ".join(literal(v) for v in value) + ")"
+        if isinstance(value, bool):
+            return str(value).lower()
         return sql_str(value) if isinstance(value, str) else repr(value)
 
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]
