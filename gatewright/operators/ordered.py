@@ -45,9 +45,18 @@ def _grouped(keys: Sequence[str], value: Column) -> Column:
     return F.when(has_key, value)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None,
                 value: Column, out: str, inclusive: bool = False) -> DataFrame:
-    """Add the latest non-null `value` of an earlier row of the same key."""
+    """Add the latest non-null `value` of an earlier row of the same key.
+
+    Without `block` one plain window does the work: for keys that cannot grow, such
+    as a part of one text.
+    """
+    if block is None:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+        return df.withColumn("__v", value).withColumn(
+            out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))
+        ).drop("__v")
     state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], value.alias("v"))
     marked = df.withColumn("__v", value)
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions.text import sql_str
@@ -72,14 +72,33 @@ def line_hits(text: str, rules: Sequence[dict]) -> str:
     )
 
 
+def has_any(col: str, terms: Sequence[str], also: str | None = None) -> Column:
+    """The text holds any of the terms and, when given, matches `also`."""
+    test = " OR ".join(f"contains({col}, {sql_str(t)})" for t in terms)
+    return F.expr(f"({test})" + (f" AND rlike({col}, {sql_str(also)})" if also else ""))
+
+
 def contains_any(df: DataFrame, col: str, terms: Sequence[str], also: str | None = None,
                  out: str = "n_terms") -> DataFrame:
-    """Rows whose text holds any of the terms and, when given, matches `also`."""
+    """Rows whose text holds any of the terms, with how many and which first."""
     found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col(col), t))
-    first = F.lit(False)
-    for term in terms:
-        first = first | F.col(col).contains(term)
-    kept = df.filter(first)
-    if also:
-        kept = kept.filter(F.col(col).rlike(also))
-    return kept.withColumn(out, F.size(found)).withColumn("first_term", F.element_at(found, 1))
+    return df.filter(has_any(col, terms, also)).withColumn(out, F.size(found)).withColumn(
+        "first_term", F.element_at(found, 1)
+    )
+
+
+def one_pass(df: DataFrame, keep: Sequence[str], tests: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """Several row rules in one reading: (keep, rule_id, member) for every test a row meets.
+
+    A test is (rule_id, condition, member).
+    """
+    rows = [
+        F.when(condition, F.struct(F.lit(rule_id).alias("rule_id"), member.cast("string").alias("member")))
+        for rule_id, condition, member in tests
+    ]
+    return df.select(*keep, F.inline(F.array_compact(F.array(*rows))))
+
+
+def per_match(col: Column, pattern: str) -> Column:
+    """An array with one element per match, to be exploded."""
+    return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))

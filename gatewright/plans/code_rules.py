@@ -12,12 +12,11 @@ from gatewright.operators.groups import (
     after_terminal, empty_groups, extras, inverted_pairs, layer_boundary, missing_member, presence_xor, repeat_use,
     token_not_passed, unguarded,
 )
-from gatewright.operators.lookups import classify, latest_before
+from gatewright.operators.lookups import classify, latest_before, resolve_chain
 from gatewright.operators.metrics import child_count, grade, policy
-from gatewright.operators.ordered import seq_block
-from gatewright.operators.scan import contains_any, scan_texts
+from gatewright.operators.scan import has_any, one_pass, per_match, scan_texts
 from gatewright.plans.code_facts import BRANCH_KINDS, LOOP_KINDS, CodeFacts
-from gatewright.reporting.findings import categorise, union_findings
+from gatewright.reporting.findings import categorise
 from gatewright.schema import as_findings
 
 C = F.col
@@ -46,22 +45,42 @@ INNER_LAYER = r"/(?:Domain|Entities|Core)/"
 BRANCH = r"(?:^|\W)(?:if|while|for|foreach|do|case|catch)(?:\W|$)|\?\?=?|&&|\|\||\s\?\s"
 COGNITIVE = r"(?:^|\W)(?:if|while|for|foreach|catch)(?:\W|$)|\s\?\s"
 LOGICAL = r"&&|\|\|"
+PARALLEL = r"Parallel\.For(?:Each)?\s*\("
 CHAIN = r"[A-Za-z_]\w*(?:\([^()]*\))?(?:\??\.[A-Za-z_]\w*(?:\([^()]*\))?)+"
 DECLARATION = r"^(?:(?:const|static|readonly|public|private|protected|internal|volatile|using)\s+)*([A-Za-z_][\w<>\[\],.?]*)\s+([A-Za-z_]\w*)\s*(?:=[^=>].*)?$"
 NOT_TYPES = ["return", "throw", "new", "await", "else", "goto", "using", "namespace", "case", "break", "continue", "in", "yield"]
 
 
-def hit(df: DataFrame, rule_id: str, member: Column, **more) -> DataFrame:
-    """Findings of one rule; `df` has file_id, path and line_no."""
-    more.setdefault("severity", RULE_SEVERITY[rule_id])
-    line = more.setdefault("line_no", C("line_no"))
-    return as_findings(
-        df, rule_id=rule_id, rule_name=RULE_NAME[rule_id], target=C("path"), member=member,
-        seq=C("file_id") * F.lit(80_000_000) + F.lit(_ORDER[rule_id] * 1_000_000) + line,
-        description=F.concat(F.lit(RULE_NAME[rule_id] + ": "), member), **more,
+SLIM = ["file_id", "path", "line_no", "rule_id", "member", "end_line_no", "actual", "threshold", "severity", "vars"]
+PLACE = ["file_id", "path", "line_no"]
+
+
+def hit(df: DataFrame, rule_id: str | None, member: Column | None = None, actual: Column | None = None,
+        vars: Column | None = None) -> DataFrame:
+    """Hits of one rule, still without the texts every finding gets at the end.
+
+    `df` has file_id, path and line_no, and for `rule_id` None also rule_id and member.
+    """
+    none = "cast(null as {}) as {}"
+    return df.select(
+        *PLACE,
+        C("rule_id") if rule_id is None else F.lit(rule_id).alias("rule_id"),
+        C("member") if member is None else member.cast("string").alias("member"),
+        F.expr(none.format("int", "end_line_no")),
+        F.expr(none.format("int", "actual")) if actual is None else actual.cast("int").alias("actual"),
+        F.expr(none.format("int", "threshold")), F.expr(none.format("string", "severity")),
+        F.expr(none.format("map<string,string>", "vars")) if vars is None else vars.alias("vars"),
     )
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by halves, so that a long list stays a shallow plan."""
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return union_all(frames[:half]).union(union_all(frames[half:]))
+
+
 def _is(pattern: str, col: str = "text") -> Column:
     return C(col).rlike(pattern)
 
@@ -95,54 +114,51 @@ def _locals(facts: CodeFacts) -> DataFrame:
 
 
 def structure_rules(facts: CodeFacts) -> list[DataFrame]:
-    spark = facts.files.sparkSession
     methods, types = _methods(facts), _types(facts)
     in_method = _within(facts, "method")
-    key = ["scope_id"]
-    ident = ["scope_id", "file_id", "path", "line_no", "close_line", "name"]
-
-    length = methods.select(*ident, F.lit("CQ001").alias("rule_id"), (C("close_line") - C("open_line") + 1).alias("actual"))
-    branches = in_method.groupBy(*key).agg((F.sum(F.regexp_count("text", F.lit(BRANCH))) + 1).cast("int").alias("actual"))
-    paths = methods.join(branches, key).select(*ident, F.lit("CQ002").alias("rule_id"), "actual")
-    counted = facts.params.groupBy(*key).agg(F.count("*").cast("int").alias("actual"))
     is_ctor = C("name") == C("p_name")
-    takes = methods.filter(~is_ctor).join(counted, key).select(*ident, F.lit("CQ003").alias("rule_id"), "actual")
-    clump = methods.filter(is_ctor).join(counted, key).select(*ident, F.lit("CQ006").alias("rule_id"), "actual")
+    is_class = C("header").rlike(r"(?:^|\s)class\s")
+
+    # Branches, depth and reading effort of a method come from one aggregate over its statements.
+    around = _within(facts, *BRANCH_KINDS).groupBy("file_id", "seq").agg(F.count("*").alias("around"))
     inner = facts.scopes.select("file_id", C("open_no").alias("seq"), C("depth").alias("inner_depth"))
-    deepest = (
-        in_method.filter(C("delim") == "{").join(inner, ["file_id", "seq"])
-        .groupBy(*key).agg(F.max(C("inner_depth") - C("depth")).cast("int").alias("actual"))
+    weight = F.coalesce("around", F.lit(0)) + 1
+    body = (
+        in_method.join(around, ["file_id", "seq"], "left").join(inner, ["file_id", "seq"], "left")
+        .groupBy("scope_id")
+        .agg(
+            (F.sum(F.regexp_count("text", F.lit(BRANCH))) + 1).cast("int").alias("paths"),
+            F.max(C("inner_depth") - C("depth")).cast("int").alias("nested"),
+            F.sum(F.regexp_count("text", F.lit(COGNITIVE)) * weight + F.regexp_count("text", F.lit(LOGICAL)))
+            .cast("int").alias("effort"),
+        )
     )
-    nested = methods.join(deepest, key).select(*ident, F.lit("CQ004").alias("rule_id"), "actual")
-    god = types.filter(C("header").rlike(r"(?:^|\s)class\s")).select(
-        *ident, F.lit("CQ005").alias("rule_id"), (C("close_line") - C("open_line") + 1).alias("actual"))
-    around = _within(facts, *BRANCH_KINDS).groupBy("file_id", "seq").agg(F.count("*").alias("around"))
-    effort = (
-        in_method.join(around, ["file_id", "seq"], "left")
-        .groupBy(*key)
-        .agg(F.sum(
-            F.regexp_count("text", F.lit(COGNITIVE)) * (F.coalesce("around", F.lit(0)) + 1)
-            + F.regexp_count("text", F.lit(LOGICAL))
-        ).cast("int").alias("actual"))
+    takes = facts.params.groupBy("scope_id").agg(F.count("*").cast("int").alias("takes"))
+    lines = C("close_line") - C("open_line") + 1
+
+    def row(rule_id: str, actual: Column) -> Column:
+        return F.struct(F.lit(rule_id).alias("rule_id"), actual.cast("int").alias("actual"))
+
+    keep = [*PLACE, "close_line", "name"]
+    of_methods = methods.join(body, "scope_id", "left").join(takes, "scope_id", "left").select(
+        *keep, F.inline(F.array(
+            row("CQ001", lines), row("CQ002", C("paths")), row("CQ004", C("nested")), row("CQ007", C("effort")),
+            F.when(is_ctor, row("CQ006", C("takes"))).otherwise(row("CQ003", C("takes"))),
+        )),
     )
-    reading = methods.join(effort, key).select(*ident, F.lit("CQ007").alias("rule_id"), "actual")
     bases = F.regexp_replace(F.regexp_extract("header", r":\s*(.*?)(?:\s+where\s.*)?$", 1), r"<[^<>]*>", "")
-    heirs = types.filter(C("header").contains(":") & C("header").rlike(r"(?:^|\s)class\s")).select(
-        *ident, F.lit("CQ008").alias("rule_id"), F.size(F.split(bases, ",")).alias("actual"))
-    bloated = child_count(
-        types.filter(C("header").rlike(r"(?:^|\s)class\s")),
-        methods.filter((C("p_kind") == "type") & ~is_ctor & ~C("name").startswith("~")), "scope_id", "p_scope", 20, None,
-    ).select(*ident, F.lit("CQ009").alias("rule_id"), "actual")
-
-    measured = length
-    for frame in (paths, takes, clump, nested, god, reading, heirs, bloated):
-        measured = measured.unionByName(frame)
-    graded = grade(measured, policy(spark))
-    number = F.substring("rule_id", 3, 3).cast("int") - 1
-    structure = as_findings(
-        graded, rule_name=_named(), target=C("path"), member=C("name"), line_no=C("line_no"), end_line_no=C("close_line"),
-        description=F.format_string("'%s' measures %d, allowed %d", "name", "actual", "threshold"),
-        seq=C("file_id") * F.lit(80_000_000) + number * 1_000_000 + C("line_no"),
+    of_types = types.filter(is_class).select(
+        *keep, F.inline(F.array(
+            row("CQ005", lines), row("CQ008", F.when(bases != "", F.size(F.split(bases, ",")))),
+        )),
+    )
+    plain = methods.filter((C("p_kind") == "type") & ~is_ctor & ~C("name").startswith("~"))
+    bloated = child_count(types.filter(is_class), plain, "scope_id", "p_scope", 20, None).select(
+        *keep, F.lit("CQ009").alias("rule_id"), "actual")
+    graded = grade(of_methods.unionByName(of_types).unionByName(bloated), policy(facts.files.sparkSession))
+    structure = graded.select(
+        *PLACE, "rule_id", C("name").alias("member"), C("close_line").alias("end_line_no"), "actual", "threshold", "severity",
+        F.expr("cast(null as map<string,string>) as vars"),
     )
     labels = _within(facts, "switch").filter("labelled")
     no_default = missing_member(labels, ["scope_id"], C("default_label"))
@@ -150,10 +166,6 @@ def structure_rules(facts: CodeFacts) -> list[DataFrame]:
     return [structure, hit(switches.join(no_default, "scope_id", "left_semi"), "CQ010", F.lit("switch"))]
 
 
-def _named() -> Column:
-    return sql_lookup("rule_id", RULE_NAME)
-
-
 def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     stmts = facts.stmts
     in_method = _within(facts, "method")
@@ -199,23 +211,12 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     exits = _within(facts, "while").filter(_is(r"(?:^|\W)(?:break|return|throw)(?:\W|$)"))
     out.append(hit(unguarded(endless, exits, ["scope_id"]), "SAF009", F.lit("while(true)")))
 
-    sides = stmts.withColumns({
+    sides = stmts.filter(C("text").contains("??")).withColumns({
         "left_side": F.regexp_extract("text", r"([\w.]+)\s*\?\?\s*[\w.]+", 1),
         "right_side": F.regexp_extract("text", r"[\w.]+\s*\?\?\s*([\w.]+)", 1),
     }).filter(C("left_side") != "")
     out.append(hit(identical(sides, "left_side", "right_side"), "SAF011", C("left_side")))
 
-    looped = _within(facts, "foreach").withColumns({
-        "source": F.regexp_extract("header", r"\sin\s+(.+?)\s*\)$", 1),
-        "changed": F.regexp_extract("text", r"([\w.]+)\.(?:Add|Remove|Clear|Insert)\s*\(", 1),
-    })
-    out.append(hit(looped.filter((C("changed") != "") & (C("source") == C("changed"))), "SAF012", C("text")))
-    rethrown = _within(facts, "catch").withColumns({
-        "caught": F.regexp_extract("header", r"catch\s*\(\s*[\w.<>]+\s+(\w+)\s*\)", 1),
-        "thrown": F.regexp_extract("text", r"^throw\s+(\w+)$", 1),
-    })
-    out.append(hit(rethrown.filter((C("thrown") != "") & (C("caught") == C("thrown"))), "SAF013", C("text")))
-
     members = _methods(facts).filter((C("p_kind") == "type") & C("header").rlike(r"(?:^|\s)override\s"))
     lopsided = presence_xor(
         members, ["p_scope"], C("name") == "Equals", C("name") == "GetHashCode", "Equals(object)", "GetHashCode()"
@@ -230,39 +231,41 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     return out
 
 
-def _zero_division(facts: CodeFacts, hops: int = 3) -> DataFrame:
-    """Divisors that are 0, or name a variable whose latest earlier value is 0.
+def _zero_division(facts: CodeFacts) -> DataFrame:
+    """Divisors that are 0, or name a variable whose value leads to 0.
 
-    A value that is itself a name is looked up again, `hops` times at most; a name not
-    assigned in the method takes its field's initial value.
+    An assignment of a name refers to the latest earlier assignment of that name in its
+    method, so assignments form chains; a name without one takes its field's initial
+    value. A divisor takes the end of the chain of its latest earlier assignment.
     """
     assign = r"(?:^|[\s(])(\w+)\s*=\s*([^=].*)$"
-    in_method = _within(facts, "method").select("scope_id", "file_id", "path", "seq", "line_no", "text")
+    is_name = r"^[A-Za-z_]\w*$"
+    in_method = _within(facts, "method").select("scope_id", *PLACE, "seq", "text")
     assigns = in_method.filter(_is(assign)).select(
-        "scope_id", F.regexp_extract("text", assign, 1).alias("var"), "seq",
-        F.trim(F.regexp_replace(F.regexp_extract("text", assign, 2), r"[()\-+\s]", "")).alias("assigned_text"),
-    )
-    uses = in_method.withColumn(
-        "var", F.explode(F.regexp_extract_all("text", F.lit(r"[/%]=?\s*[(\-]*(\w+(?:\.\d+)?)"), F.lit(1)))
-    )
+        "scope_id", "file_id", F.regexp_extract("text", assign, 1).alias("var"), "seq",
+        F.regexp_replace(F.regexp_extract("text", assign, 2), r"[()\-+\s]", "").alias("assigned"),
+    ).withColumn("node", F.concat_ws("#", "scope_id", "seq", "var"))
     initial = _fields(facts).filter(_is("=")).groupBy("file_id", C("name").alias("var")).agg(
         F.min_by(F.trim(F.regexp_extract("text", r"=\s*(.*)$", 1)), "seq").alias("initial")
     )
-    pending = uses.withColumns({"divisor": C("var"), "at_seq": C("seq")})
-    zero = pending.filter(C("var").isin(ZEROS))
-    pending = pending.filter(~_is(r"^\d", "var"))
-    for _ in range(hops):
-        keyed = pending.select("scope_id", "var", C("at_seq").alias("seq"), F.struct("file_id", "path", "line_no", "divisor", "seq").alias("origin"))
-        source = assigns.withColumn("found", F.struct("assigned_text", C("seq").alias("at")))
-        seen = latest_before(keyed, source, ["scope_id", "var"], "seq", "found", seq_block("seq"), "found")
-        flat = seen.select("scope_id", "var", "origin.*", C("found.assigned_text").alias("value"), C("found.at").alias("found_at"))
-        flat = flat.join(initial, ["file_id", "var"], "left").withColumn("value", F.coalesce("value", "initial"))
-        cols = ["scope_id", "file_id", "path", "line_no", "divisor", "seq"]
-        zero = zero.select("file_id", "path", "line_no", "divisor").unionByName(
-            flat.filter(C("value").isin(ZEROS)).select("file_id", "path", "line_no", "divisor"))
-        pending = flat.filter(C("value").rlike(r"^[A-Za-z_]\w*$")).select(
-            *cols, C("value").alias("var"), F.coalesce("found_at", "seq").alias("at_seq"))
-    return hit(zero, "SAF002", C("divisor"))
+    nodes = assigns.select("scope_id", "var", "seq", "node")
+    by_name = assigns.filter(_is(is_name, "assigned")).select(
+        "scope_id", "file_id", C("assigned").alias("var"), "seq", C("node").alias("origin"))
+    linked = latest_before(by_name, nodes, ["scope_id", "var"], "seq", "node", None, "ref").join(
+        initial, ["file_id", "var"], "left").select("origin", "ref", "initial")
+    chain = assigns.join(linked, C("node") == C("origin"), "left").select(
+        "node", "ref", F.coalesce("initial", "assigned").alias("literal"))
+    values = resolve_chain(chain, "node", "ref", "literal").select(C("key").alias("node"), "value")
+
+    uses = in_method.filter(_is(r"[/%]")).withColumn(
+        "var", F.explode(F.regexp_extract_all("text", F.lit(r"[/%]=?\s*[(\-]*(\w+(?:\.\d+)?)"), F.lit(1)))
+    ).drop("text")
+    found = (
+        latest_before(uses, nodes, ["scope_id", "var"], "seq", "node", None, "node")
+        .join(values, "node", "left").join(initial, ["file_id", "var"], "left")
+    )
+    divisor = F.when(C("var").rlike(r"^\d"), C("var")).otherwise(F.coalesce("value", "initial"))
+    return hit(found.filter(divisor.isin(ZEROS)), "SAF002", C("var"))
 
 
 def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
@@ -280,9 +283,6 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
         crossed.join(where, ["file_id", "a", "b"]).join(facts.files.select("file_id", "path"), "file_id"), "CON001",
         F.concat("a", F.lit("/"), "b"), actual=C("n_ab") * C("n_ba"),
     ))
-    is_async = C("header").rlike(r"(?:^|\s)async\s")
-    out.append(hit(in_method.filter(is_async & _is(r"Thread\.Sleep\s*\(")), "CON006", C("name")))
-
     shared = _fields(facts).filter(_is(r"(?:^|\s)static\s") & ~_is(r"(?:^|\s)(?:readonly|const)\s")).select(
         "file_id", C("name").alias("changed"), C("p_scope").alias("type_scope")).distinct()
     owner = facts.scopes.select("scope_id", C("p_scope").alias("type_scope"))
@@ -291,15 +291,6 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
     ).filter(C("changed") != "").join(owner, "scope_id").join(shared, ["file_id", "changed", "type_scope"], "left_semi")
     out.append(hit(unguarded(writes, _within(facts, "lock"), ["file_id", "seq"]), "CON007", C("changed")))
 
-    loops = _within(facts, "for", "foreach").withColumns({
-        "loop_var": F.coalesce(
-            F.expr(r"nullif(regexp_extract(header, '^for\\s*[(]\\s*[\\w<>\\[\\],.?]+\\s+(\\w+)\\s*=', 1), '')"),
-            F.expr(r"nullif(regexp_extract(header, 'foreach\\s*[(]\\s*[\\w<>\\[\\],.?]+\\s+(\\w+)\\s+in\\s', 1), '')"),
-        ),
-        "started": F.regexp_extract("text", r"(?:Task\.Run|ThreadPool\.QueueUserWorkItem)\s*\((.*)$", 1),
-    })
-    out.append(hit(loops.filter((C("started") != "") & F.contains("started", "loop_var")), "CON009", C("loop_var")))
-
     owners = facts.params.filter(C("type") == "CancellationToken").groupBy("scope_id").agg(
         F.min_by("param", "idx").alias("token"))
     call = r"([\w.]*Async)\s*\(([^()]*)\)"
@@ -309,43 +300,75 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
     })
     out.append(hit(token_not_passed(owners, calls, ["scope_id"]), "CON010", C("called")))
 
-    parallel = r"Parallel\.For(?:Each)?\s*\("
-    inline = facts.stmts.filter(_is(parallel + r".*\.(?:Add|Remove|Clear)\s*\(")).select("file_id", "path", "line_no", "text")
-    block = facts.inside.filter(C("header").rlike(parallel) & _is(r"\.(?:Add|Remove|Clear)\s*\(")).select(
-        "file_id", "path", "line_no", "text")
-    out.append(hit(inline.unionByName(block), "CON011", C("text")))
     return out
 
 
-def security_rules(facts: CodeFacts) -> list[DataFrame]:
-    stmts = facts.stmts
-    in_method = _within(facts, "method")
+def enclosed_rules(facts: CodeFacts) -> list[DataFrame]:
+    """All rules that only ask which scope a statement is in, in one reading of `inside`.
+
+    A statement in k matching scopes is k hits, since each scope reports what it holds.
+    """
+    kind, header = C("kind"), C("header")
+    in_loop = kind.isin(LOOP_KINDS)
+    source = F.regexp_extract("header", r"\sin\s+(.+?)\s*\)$", 1)
+    changed = F.regexp_extract("text", r"([\w.]+)\.(?:Add|Remove|Clear|Insert)\s*\(", 1)
+    caught = F.regexp_extract("header", r"catch\s*\(\s*[\w.<>]+\s+(\w+)\s*\)", 1)
+    thrown = F.regexp_extract("text", r"^throw\s+(\w+)$", 1)
+    for_var = F.regexp_extract("header", r"^for\s*\(\s*[\w<>\[\],.?]+\s+(\w+)\s*=", 1)
+    each_var = F.regexp_extract("header", r"foreach\s*\(\s*[\w<>\[\],.?]+\s+(\w+)\s+in\s", 1)
+    loop_var = F.when(kind == "for", for_var).otherwise(each_var)
+    started = F.regexp_extract("text", r"(?:Task\.Run|ThreadPool\.QueueUserWorkItem)\s*\((.*)$", 1)
+    tests = [
+        ("SAF012", (kind == "foreach") & (changed != "") & (changed == source), C("text")),
+        ("SAF013", (kind == "catch") & (thrown != "") & (thrown == caught), C("text")),
+        ("CON006", (kind == "method") & header.rlike(r"(?:^|\s)async\s") & _is(r"Thread\.Sleep\s*\("), C("name")),
+        ("CON009", kind.isin("for", "foreach") & (started != "") & (loop_var != "") & F.contains(started, loop_var), loop_var),
+        ("CON011", header.rlike(PARALLEL) & _is(r"\.(?:Add|Remove|Clear)\s*\("), C("text")),
+        ("SEC005", (kind == "method") & _is(r"new\s+(?:System\.)?Random\s*\(") & F.lower("name").rlike(SENSITIVE), C("name")),
+        ("PERF006", in_loop & _is(r"\.Substring\s*\("), C("text")),
+        ("PERF008", (kind == "method") & _is(r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\("), F.lit("new Regex()")),
+    ]
+    # Every arrow inside a loop is a hit, so this rule may hit a statement more than once.
+    arrows = facts.inside.filter(in_loop & C("text").contains("=>")).withColumn("arrow", F.explode(per_match(C("text"), "=>")))
+    return [hit(one_pass(facts.inside, PLACE, tests), None), hit(arrows, "PERF007", F.lit("lambda in loop"))]
+
+
+def statement_rules(facts: CodeFacts) -> list[DataFrame]:
+    """All rules that only look at a statement, in one reading of them."""
     built = r'\$""|""\s*\+|\+\s*""|\w\s*\+\s*\w'
-    out = [
-        hit(contains_any(stmts, "text", SQL_CALLS, rf"\w\s*\(.*(?:{built})"), "SEC001", C("text")),
-        hit(contains_any(stmts, "text", WEAK_CRYPTO, rf"(?:{'|'.join(WEAK_CRYPTO)})[\w.]*\s*\("), "SEC003", C("text")),
-        hit(contains_any(stmts, "text", HTML_SINKS,
-                         r'(?:Response\.Write(?:Async)?|HtmlString|Html\.Raw)\s*\(\s*(?:\$"|[^,]*\+|[^,]*Request\.)'), "SEC004", C("text")),
-        hit(in_method.filter(F.lower("name").rlike(SENSITIVE) & _is(r"new\s+(?:System\.)?Random\s*\(")), "SEC005", C("name")),
+    tests = [
+        ("SEC001", has_any("text", SQL_CALLS, rf"\w\s*\(.*(?:{built})"), C("text")),
+        ("SEC003", has_any("text", WEAK_CRYPTO, rf"(?:{'|'.join(WEAK_CRYPTO)})[\w.]*\s*\("), C("text")),
+        ("SEC004", has_any("text", HTML_SINKS,
+                           r'(?:Response\.Write(?:Async)?|HtmlString|Html\.Raw)\s*\(\s*(?:\$"|[^,]*\+|[^,]*Request\.)'), C("text")),
+        ("CON011", _is(PARALLEL + r".*\.(?:Add|Remove|Clear)\s*\("), C("text")),
     ]
+    return [hit(one_pass(facts.stmts, PLACE, tests), None)]
 
-    def guarded(rule_id: str, action: str, guard: str, member: Column) -> DataFrame:
-        return hit(unguarded(in_method.filter(_is(action)), in_method.filter(_is(guard)), ["scope_id"]), rule_id, member)
 
-    out += [
-        guarded("SEC006", FILE_CALLS + r'\s*\(\s*(?:[A-Za-z_]\w*\s*[,)]|\$")', r"Path\.Get(?:FileName|FullPath)",
-                F.regexp_extract("text", FILE_CALLS, 0)),
-        guarded("SEC009", r"new\s+(?:XmlDocument|XmlReaderSettings)(?:\W|$)", r"DtdProcessing\.Prohibit|XmlResolver = null",
-                F.regexp_extract("text", r"new\s+(\w+)", 1)),
-        guarded("SEC010", r"(?:^|[^\w.])(?:Response\.)?Redirect\s*\(\s*[A-Za-z_]\w*\s*[,)]", "IsLocalUrl", F.lit("Redirect")),
-        guarded("SEC011", r"new\s+[\w.]*(?:HttpCookie|CookieOptions)", "HttpOnly = true", F.regexp_extract("text", r"new\s+([\w.]+)", 1)),
+def security_rules(facts: CodeFacts) -> list[DataFrame]:
+    """Rules about an action without its guard in the same method, all in one anti join."""
+    new_type = F.regexp_extract("text", r"new\s+([\w.]+)", 1)
+    actions = [
+        ("SEC006", _is(FILE_CALLS + r'\s*\(\s*(?:[A-Za-z_]\w*\s*[,)]|\$")'), F.regexp_extract("text", FILE_CALLS, 0)),
+        ("SEC009", _is(r"new\s+(?:XmlDocument|XmlReaderSettings)(?:\W|$)"), new_type),
+        ("SEC010", _is(r"(?:^|[^\w.])(?:Response\.)?Redirect\s*\(\s*[A-Za-z_]\w*\s*[,)]"), F.lit("Redirect")),
+        ("SEC011", _is(r"new\s+[\w.]*(?:HttpCookie|CookieOptions)"), new_type),
     ]
-    return out
+    guards = [
+        ("SEC006", _is(r"Path\.Get(?:FileName|FullPath)"), F.lit("")),
+        ("SEC009", _is(r"DtdProcessing\.Prohibit|XmlResolver = null"), F.lit("")),
+        ("SEC010", _is("IsLocalUrl"), F.lit("")),
+        ("SEC011", _is("HttpOnly = true"), F.lit("")),
+    ]
+    in_method = _within(facts, "method")
+    return [hit(unguarded(
+        one_pass(in_method, ["scope_id", *PLACE], actions), one_pass(in_method, ["scope_id"], guards), ["scope_id", "rule_id"]
+    ), None)]
 
 
 def performance_rules(facts: CodeFacts) -> list[DataFrame]:
     in_method = _within(facts, "method")
-    in_loop = _within(facts, *LOOP_KINDS)
     out = [_string_growth(facts)]
 
     lazy = facts.params.filter(C("type").startswith("IEnumerable")).select("scope_id", "param", "method", "path", "file_id", C("open_line").alias("line_no"))
@@ -356,11 +379,6 @@ def performance_rules(facts: CodeFacts) -> list[DataFrame]:
     )
     repeated = repeat_use(calls, ["scope_id", "param"], 2)
     out.append(hit(lazy.join(repeated, ["scope_id", "param"]), "PERF004", F.concat("method", F.lit("("), "param", F.lit(")")), actual=C("uses")))
-    out.append(hit(in_loop.filter(_is(r"\.Substring\s*\(")), "PERF006", C("text")))
-    # The head of a loop is not in its scope; every arrow inside counts once per enclosing loop.
-    arrows = in_loop.withColumn("arrow", F.explode(F.regexp_extract_all("text", F.lit("=>"), F.lit(0))))
-    out.append(hit(arrows, "PERF007", F.lit("lambda in loop")))
-    out.append(hit(in_method.filter(_is(r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\(")), "PERF008", F.lit("new Regex()")))
     return out
 
 
@@ -461,22 +479,23 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
     return out
 
 
-def line_rules(facts: CodeFacts) -> DataFrame:
+def line_rules(facts: CodeFacts) -> list[DataFrame]:
     rules = [r for r in SCAN_RULES if r["rule_id"] not in _BY_FACTS]
     found = scan_texts(facts.files.select("file_id", "path", "text"), ["file_id", "path"], "text", rules)
-    order = sql_lookup("rule_id", {r: str(i) for r, i in _ORDER.items()}).cast("bigint")
-    return as_findings(
-        found, rule_name=_named(), severity=sql_lookup("rule_id", RULE_SEVERITY), target=C("path"),
-        member=F.trim("line"), end_line_no=C("line_no"),
-        description=F.concat(_named(), F.lit(": "), F.trim("line")),
-        seq=C("file_id") * F.lit(80_000_000) + order * 1_000_000 + C("line_no"),
-    )
+    return [hit(found.withColumn("member", F.trim("line")), None)]
+
+
+FAMILIES = [structure_rules, safety_rules, concurrency_rules, enclosed_rules, statement_rules, security_rules,
+            performance_rules, architecture_rules, line_rules]
 
 
 def code_findings(facts: CodeFacts) -> DataFrame:
     """Findings of all 72 rules; `run_id` is left blank for the caller."""
-    frames = [
-        *structure_rules(facts), *safety_rules(facts), *concurrency_rules(facts), *security_rules(facts),
-        *performance_rules(facts), *architecture_rules(facts), line_rules(facts),
-    ]
-    return categorise(union_findings(frames))
+    hits = union_all([frame for family in FAMILIES for frame in family(facts)])
+    order = sql_lookup("rule_id", {r: str(i) for r, i in _ORDER.items()}).cast("bigint")
+    named = hits.withColumn("rule_name", sql_lookup("rule_id", RULE_NAME))
+    return categorise(as_findings(
+        named, target=C("path"), severity=F.coalesce("severity", sql_lookup("rule_id", RULE_SEVERITY)),
+        description=F.concat("rule_name", F.lit(": "), "member"),
+        seq=C("file_id") * F.lit(80_000_000) + order * 1_000_000 + C("line_no"),
+    ))
