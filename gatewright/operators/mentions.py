@@ -9,6 +9,10 @@ GRAM_WORDS = 3
 ANCHOR_CHARS = 16
 
 
+def _gram(words: str, at: str) -> str:
+    return "xxhash64(" + ", ".join(f"{words}[{at} + {k}]" for k in range(GRAM_WORDS)) + ")"
+
+
 def mention_pairs(texts: DataFrame, id_col: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Distinct (id, needle) where the text contains the needle, as exact substrings.
 
@@ -19,18 +23,12 @@ def mention_pairs(texts: DataFrame, id_col: str, text: str, needles: DataFrame,
     text). Shorter needles are anchored by their first 16 characters.
     """
     wanted = needles.select(F.col(needle).alias("needle")).filter(F.col("needle") != "").distinct()
-    words = F.split("needle", r"\s+")
-    worded = wanted.withColumn("__w", words)
+    worded = wanted.withColumn("__w", F.split("needle", r"\s+"))
     long_needle = F.size("__w") >= GRAM_WORDS + 2
 
-    def grams(arr):
-        # Inner runs only: starts 2 .. size - GRAM_WORDS.
-        return F.transform(
-            F.sequence(F.lit(2), F.size(arr) - GRAM_WORDS),
-            lambda i: F.xxhash64(F.concat_ws(" ", F.slice(arr, i, GRAM_WORDS))),
-        )
-
-    listed = worded.filter(long_needle).select("needle", F.posexplode(grams(F.col("__w"))).alias("at", "anchor"))
+    # Inner runs only: they start at the second word and end before the last.
+    inner = F.expr(f"transform(sequence(1, size(__w) - {GRAM_WORDS + 1}), i -> {_gram('__w', 'i')})")
+    listed = worded.filter(long_needle).select("needle", F.posexplode(inner).alias("at", "anchor"))
     frequency = listed.groupBy("anchor").agg(F.count("*").alias("uses"))
     word_anchor = (
         listed.join(frequency, "anchor").groupBy("needle")
@@ -42,17 +40,13 @@ def mention_pairs(texts: DataFrame, id_col: str, text: str, needles: DataFrame,
         F.xxhash64(F.substring("needle", 1, ANCHOR_CHARS)).alias("anchor"),
     )
 
-    tw = F.split(F.col(text), r"\s+")
-    any_run = F.when(
-        F.size("__tw") >= GRAM_WORDS,
-        F.transform(
-            F.sequence(F.lit(1), F.size("__tw") - GRAM_WORDS + 1),
-            lambda i: F.xxhash64(F.concat_ws(" ", F.slice(F.col("__tw"), i, GRAM_WORDS))),
-        ),
+    runs = F.expr(
+        f"array_distinct(transform(sequence(0, size(__w) - {GRAM_WORDS}), i -> {_gram('__w', 'i')}))"
     )
     word_hits = (
-        texts.select(id_col, tw.alias("__tw"))
-        .select(id_col, F.explode(F.array_distinct(any_run)).alias("anchor"))
+        texts.select(id_col, F.split(F.col(text), r"\s+").alias("__w"))
+        .filter(F.size("__w") >= GRAM_WORDS)
+        .select(id_col, F.explode(runs).alias("anchor"))
         .join(word_anchor, "anchor").select(id_col, "needle")
     )
     # Only the lengths that occur are cut out of the texts: at most 16 of them.

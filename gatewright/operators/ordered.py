@@ -57,12 +57,12 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
         return df.withColumn("__v", value).withColumn(
             out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))
         ).drop("__v")
-    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], value.alias("v"))
+    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     marked = df.withColumn("__v", value)
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     joined = _blocked(
         marked, keys, block,
-        [F.max(F.when(value.isNotNull(), state)).alias("__state")],
+        [F.max(F.when(F.col("__v").isNotNull(), state)).alias("__state")],
         [F.last("__state", ignorenulls=True).over(earlier)["v"].alias("__carry")],
     )
     upto = 0 if inclusive else -1
@@ -74,12 +74,12 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
 def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
-    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], value.alias("v"))
+    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     marked = df.withColumn("__v", value)
     later = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(1, W.unboundedFollowing)
     joined = _blocked(
         marked, keys, block,
-        [F.min(F.when(value.isNotNull(), state)).alias("__state")],
+        [F.min(F.when(F.col("__v").isNotNull(), state)).alias("__state")],
         [F.first("__state", ignorenulls=True).over(later)["v"].alias("__carry")],
     )
     inside = W.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
@@ -94,7 +94,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     joined = _blocked(
         marked, keys, block,
-        [F.sum(amount.cast("bigint")).alias("__sum")],
+        [F.sum("__v").alias("__sum")],
         [F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carry")],
     )
     upto = 0 if inclusive else -1

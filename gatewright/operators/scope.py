@@ -5,36 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.operators.enclosing import span_buckets, point_bucket
+WORD = 64  # lines per bit mask, the bits of a bigint
 
 
 def scope_spans(spans: DataFrame, changed: DataFrame | None, key: str = "path_key",
-                start: str = "start_line", end: str = "end_line", line: str = "line_no",
-                width: int = 64) -> DataFrame:
+                start: str = "start_line", end: str = "end_line", line: str = "line_no") -> DataFrame:
     """Spans holding at least one changed line.
 
     No change table at all, or no changed line for a span's key, keeps the span.
-    Bounds are inclusive. Duplicates of a span are kept or dropped together.
+    Bounds are inclusive, lines count from 0 or 1. Duplicates of a span are kept or
+    dropped together.
+
+    The changed lines of a key are packed into one bit mask per 64 lines, an
+    aggregate with map-side combine. A span is tested against the masks it reaches,
+    so the join is an equi join on (key, word) and meets at most one mask per word.
     """
     if changed is None:
         return spans
-    lines = changed.select(F.col(key), F.col(line)).distinct()
-    # Verdicts are worked out on distinct bounds: (key, bucket) meets (key, bucket).
-    bounds = spans.select(key, start, end).distinct()
+    bit = F.expr(f"shiftleft(1L, cast({line} % {WORD} as int))")
+    masks = (
+        changed.groupBy(F.col(key), F.expr(f"cast({line} div {WORD} as bigint)").alias("__w"))
+        .agg(F.bit_or(bit).alias("__mask"))
+    )
+    # Verdicts are worked out once per distinct bounds.
+    bounds = spans.filter(F.col(end) >= F.col(start)).select(key, start, end).distinct()
+    reach = bounds.withColumn(
+        "__w", F.explode(F.expr(f"sequence(cast({start} div {WORD} as bigint), cast({end} div {WORD} as bigint))"))
+    )
+    first = f"greatest({start} - __w * {WORD}, 0)"
+    last = f"least({end} - __w * {WORD}, {WORD - 1})"
+    wanted = f"shiftleft(shiftrightunsigned(-1L, cast({WORD - 1} - ({last} - {first}) as int)), cast({first} as int))"
     touched = (
-        bounds.withColumn("__b", span_buckets(start, end, width))
-        .withColumn("__b", F.explode("__b"))
-        .join(
-            lines.select(F.col(key).alias("__k"), F.col(line).alias("__l"), point_bucket(line, width).alias("__lb")),
-            (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__lb"))
-            & (F.col("__l") >= F.col(start)) & (F.col("__l") <= F.col(end)),
-            "left_semi",
-        )
-        .select(key, start, end)
-        .distinct()
+        reach.join(masks, [key, "__w"]).filter(F.expr(f"(__mask & {wanted}) != 0"))
+        .select(key, start, end).distinct()
     )
-    unscoped = bounds.join(lines.select(key).distinct(), key, "left_anti").select(key, start, end)
-    return spans.join(touched.union(unscoped), [key, start, end], "left_semi").select(spans.columns)
+    known = masks.select(F.col(key).alias("__key")).distinct()
+    kept = spans.join(touched, [key, start, end], "left_semi").select(spans.columns)
+    unscoped = spans.join(known, F.col(key) == F.col("__key"), "left_anti").select(spans.columns)
+    return kept.unionByName(unscoped)
 
 
 def scope_lines(findings: DataFrame, changed: DataFrame | None = None, path: str = "target",

@@ -14,7 +14,7 @@ from gatewright.operators.groups import (
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
 from gatewright.operators.ordered import last_before, time_block
 from gatewright.operators.scan import contains_any, scan_texts
-from gatewright.plans.fixtures import EVENTS_SQL, events, quoted
+from gatewright.plans.fixtures import EVENTS_SQL, documents, events, quoted
 from gatewright.plans.metric_queries import SPAN_SQL, page_spans
 from gatewright.session import table
 
@@ -47,7 +47,7 @@ scan_hits AS ({tests})"""
 
 @query("rule_scan_lines", f"WITH {scan_sql('documents', 'doc_id')} SELECT doc_id, line_no, line, rule_id FROM scan_hits")
 def rule_scan_lines(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d, "doc_id", "text")
     return scan_texts(docs, ["doc_id"], "text", SCAN_RULES)
 
 
@@ -61,7 +61,7 @@ FROM (SELECT doc_id, list_filter({_TERMS}, lambda t: contains(text, t)) AS found
 WHERE len(found) > 0
 """)
 def detect_contains_any(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d, "doc_id", "text")
     return contains_any(docs, "text", _TERMS, also=r'"[^"]+"').select(
         "doc_id", F.col("n_terms").cast("bigint").alias("n_terms"), "first_term"
     )

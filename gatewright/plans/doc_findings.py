@@ -14,7 +14,7 @@ from gatewright.plans.detect_queries import scan_sql
 from gatewright.plans.fixtures import quoted
 from gatewright.reporting.findings import union_findings
 from gatewright.schema import WARNING, as_findings
-from gatewright.session import table
+from gatewright.session import spread, table
 from gatewright.sources.texts import lines_of
 
 SEP_TOKENS = "[,;]"
@@ -31,9 +31,10 @@ def doc_findings(spark, d):
     docs = table(spark, d, "documents").select(
         "doc_id", "text", F.concat_ws("/", "source", "lang").alias("run_id")
     )
+    texts = spread(docs, "doc_id")
     target = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
-    facts = docs.select(
+    facts = texts.select(
         "doc_id", "run_id",
         F.expr(f"""inline(concat(
             array(named_struct('rule_id', 'CQ001', 'place', 2000000, 'line_no', 1, 'line', '', 'actual', size({lines_of("text")})),

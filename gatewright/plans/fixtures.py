@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.session import table
+from gatewright.session import spread, table
 
 BALANCED_TAGS = "ul|li|a|nav|article|div|h1"
 TAG_TOKENS = rf"</?(?:{BALANCED_TAGS})(?:>|\s[^>]*>)"
@@ -16,6 +16,15 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(table(spark, d, "documents").select(*cols), "doc_id")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages"), "page_id")
+
+
 def diff_lines(spark: SparkSession, d: str) -> DataFrame:
     """(diff_id, seq, line): a diff of 50 orders each, one file per order."""
     key = F.col("o_orderkey")

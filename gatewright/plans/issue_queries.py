@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gatewright.lifecycle import close_scope, lifecycle, match_issue, upsert
 from gatewright.operators.mentions import mentions
 from gatewright.operators.ordered import time_block
-from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, events, issues, runs
+from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, documents, events, issues, runs
 from gatewright.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -37,7 +37,7 @@ def issue_match(spark, d):
 SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))
 """)
 def issue_file_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, d, "doc_id", "source", "text")
     return mentions(docs, "doc_id", "text", table(spark, d, "benchmark"), "text").select("doc_id", "source")
 
 

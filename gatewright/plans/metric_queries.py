@@ -8,7 +8,7 @@ from gatewright.operators.metrics import (
     branch_score, child_count, deep_nesting, grade, measures, nesting_depth, policy, span_length, weighted_depth,
 )
 from gatewright.operators.spans import pair_spans, positioned_tokens
-from gatewright.plans.fixtures import BALANCED_TAGS, CLOSING, TAG_TOKENS, quoted
+from gatewright.plans.fixtures import BALANCED_TAGS, CLOSING, TAG_TOKENS, documents, pages, quoted
 from gatewright.session import table
 from gatewright.sources.texts import line_count
 
@@ -41,7 +41,7 @@ SELECT doc_id, actual, {_severity(50, '75')}
 FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS actual FROM documents) WHERE actual > 50
 """)
 def metric_span_length(spark, d):
-    spans = table(spark, d, "documents").select(
+    spans = documents(spark, d, "doc_id", "text").select(
         "doc_id", F.lit(1).alias("start_line"), line_count("text").alias("end_line")
     )
     return span_length(spans, 50).select("doc_id", "actual", "severity", "threshold")
@@ -52,7 +52,7 @@ SELECT page_id, actual, {_severity(10, '15')}
 FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '{BRANCH_TOKENS}')) + 1 AS INT) AS actual FROM pages) WHERE actual > 10
 """)
 def metric_branch_tokens(spark, d):
-    return branch_score(table(spark, d, "pages"), "html", BRANCH_TOKENS, 10).select(
+    return branch_score(pages(spark, d), "html", BRANCH_TOKENS, 10).select(
         "page_id", "actual", "severity", "threshold"
     )
 
@@ -81,8 +81,8 @@ SELECT p.page_id, CAST(greatest(coalesce(max(now), 0), 0) AS INT) AS depth
 FROM pages p LEFT JOIN r ON r.page_id = p.page_id GROUP BY p.page_id
 """)
 def metric_nesting_depth(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "html")
-    return nesting_depth(pages, "html", RAW_TOKENS, CLOSING).select("page_id", "depth")
+    html = pages(spark, d).select("page_id", "html")
+    return nesting_depth(html, "html", RAW_TOKENS, CLOSING).select("page_id", "depth")
 
 
 _WEIGHTED_SQL = f"""
@@ -101,9 +101,9 @@ WITH {_WEIGHTED_SQL}
 SELECT page_id, score, CASE WHEN score > 25 THEN 'Error' WHEN score > 15 THEN 'Warning' ELSE '' END AS severity FROM weighted
 """)
 def metric_weighted_depth(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "html")
+    html = pages(spark, d).select("page_id", "html")
     score = F.col("score")
-    return weighted_depth(pages, "html", OPEN_TAG, CLOSE_TAG, FLAT_TOKEN).select(
+    return weighted_depth(html, "html", OPEN_TAG, CLOSE_TAG, FLAT_TOKEN).select(
         "page_id", "score", F.when(score > 25, "Error").when(score > 15, "Warning").otherwise("").alias("severity")
     )
 
@@ -125,15 +125,15 @@ def severity_grade(spark, d):
     def named(prefix, key):
         return F.concat(F.lit(prefix), F.col(key).cast("string")).alias("target")
 
-    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    docs, html = documents(spark, d, "doc_id", "text"), pages(spark, d)
     items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     count = F.count("*").cast("int").alias("actual")
     found = measures([
         docs.select(F.lit("CQ001").alias("rule_id"), named("doc-", "doc_id"), line_count("text").alias("actual")),
-        pages.select(F.lit("CQ002").alias("rule_id"), named("page-", "page_id"),
+        html.select(F.lit("CQ002").alias("rule_id"), named("page-", "page_id"),
                      (F.regexp_count("html", F.lit(BRANCH_TOKENS)) + 1).alias("actual")),
         items.groupBy("l_orderkey").agg(count).select(F.lit("CQ003").alias("rule_id"), named("order-", "l_orderkey"), "actual"),
-        weighted_depth(pages, "html", OPEN_TAG, CLOSE_TAG, FLAT_TOKEN, "actual").select(
+        weighted_depth(html, "html", OPEN_TAG, CLOSE_TAG, FLAT_TOKEN, "actual").select(
             F.lit("CQ007").alias("rule_id"), named("page-", "page_id"), "actual"),
         orders.groupBy("o_custkey").agg(count).select(F.lit("CQ009").alias("rule_id"), named("cust-", "o_custkey"), "actual"),
     ])
@@ -142,7 +142,7 @@ def severity_grade(spark, d):
 
 def page_spans(spark, d):
     """Spans of the balanced tags of each page, with character positions."""
-    toks = positioned_tokens(table(spark, d, "pages"), ["page_id"], "html", TAG_TOKENS)
+    toks = positioned_tokens(pages(spark, d), ["page_id"], "html", TAG_TOKENS)
     delta = F.when(F.col("token").rlike(CLOSING), -1).otherwise(1)
     return toks, pair_spans(toks, ["page_id"], delta, keep=["pos", "token"])
 
@@ -177,6 +177,6 @@ SELECT page_id, actual, {_severity(1, '2')} FROM m WHERE actual > 1
 """)
 def metric_deep_pages(spark, d):
     """M04 as a rule: the outermost element is the body and does not count."""
-    return deep_nesting(table(spark, d, "pages"), "html", TAG_TOKENS, CLOSING, limit=1).select(
+    return deep_nesting(pages(spark, d), "html", TAG_TOKENS, CLOSING, limit=1).select(
         "page_id", "actual", "severity", "threshold"
     )

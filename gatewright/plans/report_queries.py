@@ -9,6 +9,7 @@ from gatewright.functions.text import (
     DATA_ESCAPES, HTML_ESCAPES, html_escape, local_shown, local_stamp, relative_path, truncate_text,
 )
 from gatewright.plans.doc_findings import ENRICHED_SQL, FINDINGS_SQL, doc_findings
+from gatewright.plans.fixtures import documents
 from gatewright.reporting.findings import categorise, enrich, gate, gate_counts
 from gatewright.reporting.recipients import recipients
 from gatewright.reporting.report import (
@@ -245,7 +246,7 @@ for _code in range(160, 256):
 
 @query("report_html_cell", f"SELECT doc_id, {_HTML_SQL} AS cell FROM documents")
 def report_html_cell(spark, d):
-    return table(spark, d, "documents").select("doc_id", html_escape(F.col("text")).alias("cell"))
+    return documents(spark, d, "doc_id", "text").select("doc_id", html_escape(F.col("text")).alias("cell"))
 
 
 @query("recipients_dedupe", r"""

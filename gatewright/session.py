@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the source has fewer splits than there are cores.
+
+    For work that costs much per byte, such as patterns over texts. A source of any
+    size has more splits than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A small fixed table written into the plan, so that its size is known to Spark.
 

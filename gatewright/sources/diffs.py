@@ -47,10 +47,11 @@ def diff_to_lines(lines_df: DataFrame, suffix: str = ".cs") -> DataFrame:
         .withColumn("hunk_count", F.regexp_extract("line", HUNK, 2))
         .withColumn("hunk_count", F.greatest(count, F.lit(1)))
         .select(
-            "diff_id", "path", F.lower("path").alias("path_key"),
+            "diff_id", "path",
             F.explode(F.sequence("hunk_start", F.col("hunk_start") + F.col("hunk_count") - 1)).alias("line_no"),
         )
         .distinct()
+        .select("diff_id", "path", F.lower("path").alias("path_key"), "line_no")
     )
 
 
