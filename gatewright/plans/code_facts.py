@@ -50,9 +50,15 @@ LOOP_KINDS = ["for", "foreach", "while", "do"]
 
 @dataclass
 class CodeFacts:
-    """files (file_id, path, text), stmts, scopes, params and inside (statement x enclosing scope)."""
+    """Tables the rules read.
+
+    files: file_id, path, text; code: file_id, path, text with literals blanked;
+    stmts: statements with their innermost scope; scopes: brace pairs with kind and name;
+    inside: statement x enclosing scope; params: parameters of methods.
+    """
 
     files: DataFrame
+    code: DataFrame
     stmts: DataFrame
     scopes: DataFrame
     inside: DataFrame
@@ -70,14 +76,14 @@ def blank_literals(text: str) -> str:
         ELSE p END), '')"""
 
 
-def _segments(files: DataFrame) -> DataFrame:
+def _segments(code: DataFrame) -> DataFrame:
     """(file_id, seq, line_no, end_line, text, delim): a text cut after each `{`, `}` and `;`.
 
     The `;` inside a `for (...)` head do not cut. A file is one row, so a window per
     file holds no more than the segments of one text.
     """
-    code = F.regexp_replace(F.expr(blank_literals("text")), _FOR_HEAD, "$1¦$2¦")
-    cut = files.select("file_id", F.posexplode(F.regexp_extract_all(code, F.lit(r"[^{};]*[{};]"), F.lit(0))))
+    text = F.regexp_replace("text", _FOR_HEAD, "$1¦$2¦")
+    cut = code.select("file_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"[^{};]*[{};]"), F.lit(0))))
     breaks = F.length("col") - F.length(F.replace("col", F.lit("\n"), F.lit("")))
     lead = F.regexp_extract("col", r"^\s*", 0)
     lead_breaks = F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit("")))
@@ -141,7 +147,8 @@ def _params(scopes: DataFrame) -> DataFrame:
 
 def code_facts(files: DataFrame) -> CodeFacts:
     """Work out the facts of (file_id, path, text) once and store them for the rules."""
-    segs = stage(_segments(files), "segments")
+    code = stage(files.select("file_id", "path", F.expr(blank_literals("text")).alias("text")), "code")
+    segs = stage(_segments(code), "segments")
     braces = segs.filter(F.col("delim") != ";")
     delta = F.when(F.col("delim") == "{", 1).otherwise(-1)
     paired = pair_spans(
@@ -182,4 +189,4 @@ def code_facts(files: DataFrame) -> CodeFacts:
         ),
         "inside",
     )
-    return CodeFacts(files, stmts, scopes, inside, stage(_params(scopes), "params"))
+    return CodeFacts(files, code, stmts, scopes, inside, stage(_params(scopes), "params"))

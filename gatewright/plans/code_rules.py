@@ -23,6 +23,7 @@ C = F.col
 _ORDER = {rule[0]: i for i, rule in enumerate(RULES)}
 # Rules whose line test is replaced by a test on statements and scopes.
 _BY_FACTS = {"SAF015", "ARCH009", "ARCH010"}
+_ON_LITERALS = {"SEC002"}
 
 # Names and types the rules look for.
 DISPOSABLE = ["SqlConnection", "HttpClient", "FileStream", "MemoryStream", "StreamReader", "StreamWriter",
@@ -480,9 +481,15 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
 
 
 def line_rules(facts: CodeFacts) -> list[DataFrame]:
-    rules = [r for r in SCAN_RULES if r["rule_id"] not in _BY_FACTS]
-    found = scan_texts(facts.files.select("file_id", "path", "text"), ["file_id", "path"], "text", rules)
-    return [hit(found.withColumn("member", F.trim("line")), None)]
+    """Line rules on code with literals blanked; the secret rule needs the literals."""
+    keep = ["file_id", "path"]
+    raw = [r for r in SCAN_RULES if r["rule_id"] in _ON_LITERALS]
+    code = [r for r in SCAN_RULES if r["rule_id"] not in _BY_FACTS | _ON_LITERALS]
+    found = [
+        scan_texts(facts.code.select(*keep, "text"), keep, "text", code),
+        scan_texts(facts.files.select(*keep, "text"), keep, "text", raw),
+    ]
+    return [hit(frame.withColumn("member", F.trim("line")), None) for frame in found]
 
 
 FAMILIES = [structure_rules, safety_rules, concurrency_rules, enclosed_rules, statement_rules, security_rules,

@@ -182,7 +182,7 @@ FROM placed a JOIN paired s ON s.page_id = a.page_id AND s.open_pos < a.pos AND
 WHERE regexp_matches(a.token, '^<a[ >]')
 """)
 def detect_in_scope(spark, d):
-    toks, spans = page_spans(spark, d)
+    toks, spans = page_spans(spark, d, stored=True)
     links = toks.filter(F.col("token").rlike("^<a[ >]"))
     return in_scope(links, spans, ["page_id"], "pos", "open_pos", "close_pos").select(
         "page_id", "tok_no", "pos", "open_token", "depth", "open_pos", "close_pos"

@@ -9,7 +9,7 @@ from gatewright.operators.metrics import (
 )
 from gatewright.operators.spans import pair_spans, positioned_tokens
 from gatewright.plans.fixtures import BALANCED_TAGS, CLOSING, TAG_TOKENS, documents, pages, quoted
-from gatewright.session import table
+from gatewright.session import stage, table
 from gatewright.sources.texts import line_count
 
 QUERIES, ORACLES = {}, {}
@@ -140,9 +140,14 @@ def severity_grade(spark, d):
     return grade(found, policy(spark))
 
 
-def page_spans(spark, d):
-    """Spans of the balanced tags of each page, with character positions."""
+def page_spans(spark, d, stored: bool = False):
+    """Tokens and spans of the balanced tags of each page, with character positions.
+
+    `stored` writes the tokens once, for plans that read them again beside the spans.
+    """
     toks = positioned_tokens(pages(spark, d), ["page_id"], "html", TAG_TOKENS)
+    if stored:
+        toks = stage(toks, "tokens")
     delta = F.when(F.col("token").rlike(CLOSING), -1).otherwise(1)
     return toks, pair_spans(toks, ["page_id"], delta, keep=["pos", "token"])
 
