@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.reporting.findings import union_findings
-from gatewright.schema import as_findings
+from gatewright.schema import as_findings, seq_of
 
 
 class Rules:
@@ -33,7 +33,7 @@ class Rules:
             )
             return as_findings(
                 hits, rule_id=rule_id, target=F.col(id_col).cast("string"), severity=severity,
-                seq=F.col(id_col) * F.lit(1_000_000) + F.col("line_no"),
+                seq=seq_of(F.col(id_col), F.col("line_no"), 1_000_000),
             )
 
         self.register(rule_id, run)

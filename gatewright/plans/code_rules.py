@@ -17,7 +17,7 @@ from gatewright.operators.metrics import child_count, grade, policy
 from gatewright.operators.scan import has_any, one_pass, per_match, scan_texts
 from gatewright.plans.code_facts import BRANCH_KINDS, LOOP_KINDS, CodeFacts
 from gatewright.reporting.findings import categorise
-from gatewright.schema import as_findings
+from gatewright.schema import as_findings, seq_of
 
 C = F.col
 _ORDER = {rule[0]: i for i, rule in enumerate(RULES)}
@@ -504,5 +504,5 @@ def code_findings(facts: CodeFacts) -> DataFrame:
     return categorise(as_findings(
         named, target=C("path"), severity=F.coalesce("severity", sql_lookup("rule_id", RULE_SEVERITY)),
         description=F.concat("rule_name", F.lit(": "), "member"),
-        seq=C("file_id") * F.lit(80_000_000) + order * 1_000_000 + C("line_no"),
+        seq=seq_of(C("file_id"), order * 1_000_000 + C("line_no"), 80_000_000),
     ))

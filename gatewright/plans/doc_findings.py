@@ -13,7 +13,7 @@ from gatewright.operators.scan import line_hits
 from gatewright.plans.detect_queries import scan_sql
 from gatewright.plans.fixtures import quoted
 from gatewright.reporting.findings import union_findings
-from gatewright.schema import WARNING, as_findings
+from gatewright.schema import WARNING, as_findings, seq_of
 from gatewright.session import spread, table
 from gatewright.sources.texts import lines_of
 
@@ -52,14 +52,14 @@ def doc_findings(spark, d):
         end_line_no=F.when(hit, F.col("line_no")),
         description=F.when(hit, F.format_string("Line %d matches %s", "line_no", "rule_id"))
         .otherwise(F.format_string("Measured %d, allowed %d", "actual", "threshold")),
-        seq=F.col("doc_id") * F.lit(8_000_000) + F.col("place"),
+        seq=seq_of(F.col("doc_id"), F.col("place"), 8_000_000),
         vars=F.when(hit, F.create_map(F.lit("line"), F.col("line"))),
     )
     bare = as_findings(
         empty_groups(docs.drop("text"), table(spark, d, "labels"), ["doc_id"]),
         rule_id=UNLABELLED, rule_name="Document Without Label", target=target, member=target, severity=WARNING,
         description="No label: 100%, nobody, looked", fix="Label it",
-        seq=F.col("doc_id") * F.lit(8_000_000) + 4_000_000,
+        seq=seq_of(F.col("doc_id"), 4_000_000, 8_000_000),
     )
     return union_findings([found, bare])
 

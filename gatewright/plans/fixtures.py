@@ -111,6 +111,13 @@ ev AS (SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE)
 """
 
 
+def plain_times(df: DataFrame) -> DataFrame:
+    """Zoned timestamps as plain wall-clock time, like the given tables hold it."""
+    return df.withColumns(
+        {f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema.fields if f.dataType.typeName() == "timestamp"}
+    )
+
+
 def context_key() -> F.Column:
     return F.concat(F.lit("user-"), F.col("user_id").cast("string"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gatewright.lifecycle import close_scope, lifecycle, match_issue, upsert
 from gatewright.operators.mentions import mentions
 from gatewright.operators.ordered import time_block
-from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, documents, events, issues, runs
+from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, documents, events, issues, plain_times, runs
 from gatewright.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -42,23 +42,27 @@ def issue_file_match(spark, d):
 
 
 @query("issue_upsert", f"""
-WITH {EVENTS_SQL}, {ISSUES_SQL},
-cur AS (SELECT context_key, arg_max(state, (opened_at, issue_id)) AS state, max(opened_at) AS updated_at, max(opened_at) AS opened_at FROM issues GROUP BY 1),
-inc AS (SELECT 'user-' || user_id AS context_key, 'open' AS state, max(ts) AS updated_at FROM ev WHERE event_type = 'error' AND user_id % 3 <> 1 GROUP BY 1)
-SELECT coalesce(i.context_key, c.context_key) AS context_key, coalesce(i.state, c.state) AS state, coalesce(i.updated_at, c.updated_at) AS updated_at,
-       c.opened_at, CASE WHEN c.context_key IS NOT NULL AND i.context_key IS NOT NULL THEN 'updated' WHEN i.context_key IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
-FROM (SELECT * FROM cur WHERE context_key NOT LIKE '%5') c FULL JOIN inc i ON i.context_key = c.context_key
+WITH {EVENTS_SQL},
+cur AS (SELECT user_id, k, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS updated_at, min(ts) AS opened_at
+        FROM ev WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+inc AS (SELECT user_id, k, 'open' AS state, max(ts) AS updated_at FROM ev WHERE event_type = 'error' GROUP BY 1, 2)
+SELECT coalesce(i.user_id, c.user_id) AS user_id, coalesce(i.k, c.k) AS k, coalesce(i.state, c.state) AS state,
+       coalesce(i.updated_at, c.updated_at) AS updated_at, c.opened_at,
+       CASE WHEN c.user_id IS NOT NULL AND i.user_id IS NOT NULL THEN 'updated' WHEN i.user_id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
+FROM cur c FULL JOIN inc i ON i.user_id = c.user_id AND i.k = c.k
 """)
 def issue_upsert(spark, d):
-    current = issues(spark, d).filter(~F.col("context_key").endswith("5")).groupBy("context_key").agg(
-        F.max_by("state", F.struct("opened_at", "issue_id")).alias("state"),
-        F.max("opened_at").alias("updated_at"), F.max("opened_at").alias("opened_at"),
+    """Contexts are (user, k): what views and clicks left there meets what failed."""
+    ev = events(spark, d)
+    kind = F.col("event_type")
+    current = ev.filter(kind.isin("view", "click")).groupBy("user_id", "k").agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("state"),
+        F.max("ts").alias("updated_at"), F.min("ts").alias("opened_at"),
     )
-    user = F.substring_index("context_key", "-", -1).cast("bigint")
-    incoming = runs(spark, d).filter(F.col("failed") & (user % 3 != 1)).groupBy("context_key").agg(
+    incoming = ev.filter(kind == "error").groupBy("user_id", "k").agg(
         F.lit("open").alias("state"), F.max("ts").alias("updated_at")
     )
-    return upsert(current, incoming, ["context_key"])
+    return plain_times(upsert(current, incoming, ["user_id", "k"]))
 
 
 LIFECYCLE_SQL = """
@@ -73,9 +77,9 @@ FROM islands GROUP BY user_id, island HAVING bool_or(event_type = 'error')
 
 @query("issue_lifecycle", f"WITH {EVENTS_SQL}, {LIFECYCLE_SQL}")
 def issue_lifecycle(spark, d):
-    return lifecycle(
+    return plain_times(lifecycle(
         events(spark, d), ["user_id"], "ts", "event_id", F.col("event_type") == "error", time_block("ts")
-    )
+    ))
 
 
 @query("issue_close_scope", f"""
@@ -92,4 +96,4 @@ def issue_close_scope(spark, d):
     files = events(spark, d).filter(F.col("event_type") == "click").select(
         F.col("event_id").alias("run_id"), F.concat(F.lit("app/file"), F.col("k").cast("string"), F.lit(".cs")).alias("path")
     )
-    return close_scope(passing, issues(spark, d), files, default_keys=["user-7"])
+    return plain_times(close_scope(passing, issues(spark, d), files, default_keys=["user-7"]))

@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from gatewright.extend import Rules
 from gatewright.operators.groups import repeat_use
-from gatewright.plans.fixtures import EVENTS_SQL
+from gatewright.plans.fixtures import EVENTS_SQL, plain_times
 from gatewright.plans.issue_queries import LIFECYCLE_SQL
 from gatewright.schema import as_findings
 from gatewright.session import table
@@ -46,13 +46,13 @@ def stream_gate_window(spark, d):
     severity = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "signup", "Warning").otherwise("Info")
     gates = stream_gate(_stream(spark, d).withColumn("severity", severity), "1 day", "1 day")
     out = drain_gate(gates)
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return plain_times(out)
 
 
 @query("stream_issue_state", f"WITH {EVENTS_SQL}, {LIFECYCLE_SQL}")
 def stream_issue_state(spark, d):
     out = stream_lifecycle(_stream(spark, d), ["user_id"], "ts", "event_id", F.col("event_type") == "error")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "updated_at", "closed_at")})
+    return plain_times(out)
 
 
 @query("stream_notify_once", """
@@ -68,7 +68,7 @@ SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, ar
 """)
 def stream_latest_sink(spark, d):
     reports = _stream(spark, d).select("user_id", "event_id", "ts", "event_type")
-    return sink_latest_stream(reports, ["user_id"], ["ts", "event_id"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return plain_times(sink_latest_stream(reports, ["user_id"], ["ts", "event_id"]))
 
 
 @query("custom_rule", """

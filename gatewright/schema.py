@@ -64,6 +64,16 @@ def as_findings(df: DataFrame, **given: Column | str | int) -> DataFrame:
     return df.select(*out)
 
 
+def seq_of(id_col: Column, place: Column | int, width: int) -> Column:
+    """Emit order as one number: by id, then by `place` below `width`.
+
+    Very large ids wrap instead of overflowing. Wrapped ids still order the rows of one
+    source among themselves, which is all reports ask for.
+    """
+    span = (2**63 - 1) // width
+    return F.pmod(id_col.cast("bigint"), F.lit(span)) * F.lit(width) + place
+
+
 def severity_rank(severity: Column) -> Column:
     return (
         F.when(severity == ERROR, 3).when(severity == WARNING, 2).when(severity == INFO, 1).otherwise(0)
