@@ -18,17 +18,17 @@ RULES = [
     ("CQ001", "Method Length Exceeded", GRADED, 50, "span_length"),
     ("CQ002", "High Cyclomatic Complexity", GRADED, 10, "branch_score"),
     ("CQ003", "Excessive Parameter Count", GRADED, 4, "child_count"),
-    ("CQ004", "Excessive Nesting Depth", GRADED, 3, "nesting_depth"),
+    ("CQ004", "Deep Nesting Depth", GRADED, 3, "nesting_depth"),
     ("CQ005", "God Class Length Exceeded", WARNING, 300, "span_length"),
     ("CQ006", "Constructor Parameter Clump", WARNING, 5, "child_count"),
     ("CQ007", "High Cognitive Complexity", GRADED, 15, "weighted_depth"),
     ("CQ008", "Excessive Inheritance Hierarchy", WARNING, 3, "child_count"),
     ("CQ009", "Method Bloat in Class", WARNING, 20, "child_count"),
     ("CQ010", "Non-Exhaustive Switch Statement", WARNING, 0, "missing_member"),
-    ("SAF001", "Deep Member Chain", WARNING, 0, "chain_depth"),
+    ("SAF001", "Deep Member Dereferencing", WARNING, 0, "chain_depth"),
     ("SAF002", "Division by Zero Defect", ERROR, 0, "latest_before"),
     ("SAF003", "Resource Leak (Missing 'using' Statement)", ERROR, 0, "unguarded"),
-    ("SAF004", "Array Bounds Violation", ERROR, 0, "scan"),
+    ("SAF004", "Array Bounds Violation (Negative Index)", ERROR, 0, "scan"),
     ("SAF005", "Empty Catch Block (Swallowed Exception)", WARNING, 0, "empty_groups"),
     ("SAF006", "Unreachable Dead Code", WARNING, 0, "after_terminal"),
     ("SAF007", "Generic Exception Throw", WARNING, 0, "scan"),
@@ -148,6 +148,9 @@ SCAN_RULES = [
      "unless": r"(^|\W)const\W|static\s+readonly|readonly\s+static", "note": ""},
 ]
 
+# SAF004 has a second name for loops that run one step too far.
+OFF_BY_ONE = "Off-by-One Loop Boundary Violation"
+OFF_BY_ONE_LINE = next(r["pattern"] for r in SCAN_RULES if r["note"] == "off by one")
 RULE_NAME = {r[0]: r[1] for r in RULES}
 RULE_SEVERITY = {r[0]: r[2] for r in RULES}
 

@@ -2,9 +2,10 @@
 
 A plain window sends all rows of a key to one task. Here a key's rows are cut
 into blocks of the order column (a day of a timestamp, a run of sequence
-numbers). Each block is reduced to one small row with map-side combine, the
-state entering a block comes from a window over those small rows, and the fine
-window runs inside (key, block) only.
+numbers). Each block is reduced to one small row with map-side combine, and a
+window over those small rows gives the state entering each block. That state joins
+its block as one more row, in front of the others, so the fine window inside
+(key, block) needs one shuffle and one sort of the data and no join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BLOCK = "__block"
+_BLOCK, _SEED = "__block", "__seed"
 
 
 def time_block(ts: Column | str, seconds: int = 86_400) -> Column:
@@ -29,12 +30,24 @@ def seq_block(seq: Column | str, width: int = 100_000) -> Column:
     return F.floor(seq / F.lit(width)).cast("bigint")
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column, state_aggs: list[Column],
-             carries: list[Column]) -> DataFrame:
-    """`df` plus the per-block carries, hash-partitioned by (keys, block)."""
-    cut = df.withColumn(_BLOCK, block)
-    entering = cut.groupBy(*keys, _BLOCK).agg(*state_aggs).select(*keys, _BLOCK, *carries)
-    return cut.join(entering, [*keys, _BLOCK], "left")
+def _seeded(df: DataFrame, keys: Sequence[str], block: Column, state_agg: Column, entering: Column) -> DataFrame:
+    """`df` with its block, plus one seed row per (keys, block) whose `__v` is the entering state."""
+    cut = df.withColumn(_BLOCK, block).withColumn(_SEED, F.lit(False))
+    small = cut.groupBy(*keys, _BLOCK).agg(state_agg.alias("__state")).withColumn("__v", entering)
+    seeds = small.filter(F.col("__v").isNotNull()).select(
+        *[
+            F.col(f.name) if f.name in (*keys, _BLOCK) else
+            F.col("__v").cast(f.dataType).alias("__v") if f.name == "__v" else
+            F.lit(True).alias(_SEED) if f.name == _SEED else
+            F.lit(None).cast(f.dataType).alias(f.name)
+            for f in cut.schema.fields
+        ]
+    )
+    return cut.union(seeds)
+
+
+def _data(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col(_SEED)).drop("__v", _SEED, _BLOCK)
 
 
 def _grouped(keys: Sequence[str], value: Column) -> Column:
@@ -57,47 +70,40 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
         return df.withColumn("__v", value).withColumn(
             out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))
         ).drop("__v")
-    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
-    marked = df.withColumn("__v", value)
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    joined = _blocked(
-        marked, keys, block,
-        [F.max(F.when(F.col("__v").isNotNull(), state)).alias("__state")],
-        [F.last("__state", ignorenulls=True).over(earlier)["v"].alias("__carry")],
+    seeded = _seeded(
+        df.withColumn("__v", value), keys, block,
+        F.max(F.when(F.col("__v").isNotNull(), at)), F.last("__state", ignorenulls=True).over(earlier)["v"],
     )
     upto = 0 if inclusive else -1
-    inside = W.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
-    seen = F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__carry"))
-    return joined.withColumn(out, _grouped(keys, seen)).drop("__v", "__carry", _BLOCK)
+    inside = W.partitionBy(*keys, _BLOCK).orderBy(F.desc(_SEED), *order).rowsBetween(W.unboundedPreceding, upto)
+    return _data(seeded.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(inside))))
 
 
 def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
-    state = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
-    marked = df.withColumn("__v", value)
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     later = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(1, W.unboundedFollowing)
-    joined = _blocked(
-        marked, keys, block,
-        [F.min(F.when(F.col("__v").isNotNull(), state)).alias("__state")],
-        [F.first("__state", ignorenulls=True).over(later)["v"].alias("__carry")],
+    seeded = _seeded(
+        df.withColumn("__v", value), keys, block,
+        F.min(F.when(F.col("__v").isNotNull(), at)), F.first("__state", ignorenulls=True).over(later)["v"],
     )
-    inside = W.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    seen = F.coalesce(F.first("__v", ignorenulls=True).over(inside), F.col("__carry"))
-    return joined.withColumn(out, _grouped(keys, seen)).drop("__v", "__carry", _BLOCK)
+    # The state that follows a block stands behind its rows; read backwards it comes first.
+    backwards = [F.desc(c) for c in order]
+    inside = W.partitionBy(*keys, _BLOCK).orderBy(F.desc(_SEED), *backwards).rowsBetween(W.unboundedPreceding, -1)
+    return _data(seeded.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(inside))))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
                   amount: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Add the running sum of `amount` over the rows of the same key."""
-    marked = df.withColumn("__v", amount.cast("bigint"))
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    joined = _blocked(
-        marked, keys, block,
-        [F.sum("__v").alias("__sum")],
-        [F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carry")],
+    seeded = _seeded(
+        df.withColumn("__v", amount.cast("bigint")), keys, block, F.sum("__v"), F.sum("__state").over(earlier)
     )
     upto = 0 if inclusive else -1
-    inside = W.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
-    total = F.coalesce(F.sum("__v").over(inside), F.lit(0)) + F.col("__carry")
-    return joined.withColumn(out, _grouped(keys, total.cast("bigint"))).drop("__v", "__carry", _BLOCK)
+    inside = W.partitionBy(*keys, _BLOCK).orderBy(F.desc(_SEED), *order).rowsBetween(W.unboundedPreceding, upto)
+    total = F.coalesce(F.sum("__v").over(inside), F.lit(0)).cast("bigint")
+    return _data(seeded.withColumn(out, _grouped(keys, total)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.catalogue.rules import RULE_NAME, RULE_SEVERITY, RULES, SCAN_RULES
+from gatewright.catalogue.rules import OFF_BY_ONE, OFF_BY_ONE_LINE, RULE_NAME, RULE_SEVERITY, RULES, SCAN_RULES
 from gatewright.functions.text import sql_lookup
 from gatewright.operators.columns import camel, chain_depth, identical, magic_numbers, pascal
 from gatewright.operators.groups import (
@@ -500,7 +500,8 @@ def code_findings(facts: CodeFacts) -> DataFrame:
     """Findings of all 72 rules; `run_id` is left blank for the caller."""
     hits = union_all([frame for family in FAMILIES for frame in family(facts)])
     order = sql_lookup("rule_id", {r: str(i) for r, i in _ORDER.items()}).cast("bigint")
-    named = hits.withColumn("rule_name", sql_lookup("rule_id", RULE_NAME))
+    too_far = (C("rule_id") == "SAF004") & _is(OFF_BY_ONE_LINE, "member")
+    named = hits.withColumn("rule_name", F.when(too_far, OFF_BY_ONE).otherwise(sql_lookup("rule_id", RULE_NAME)))
     return categorise(as_findings(
         named, target=C("path"), severity=F.coalesce("severity", sql_lookup("rule_id", RULE_SEVERITY)),
         description=F.concat("rule_name", F.lit(": "), "member"),
