@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.mentions import mention_pairs
-from gatewright.operators.ordered import running_total
+from gatewright.operators.ordered import running_total, time_rows
 
 # How a quality issue is recognised.
 QUALITY_LABEL = "code-quality-violation"
@@ -83,13 +83,14 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataF
 
 
 def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column,
-              block: Column, opened: Column | None = None, updated: Column | None = None,
-              weight: Column | None = None) -> DataFrame:
+              opened: Column | None = None, updated: Column | None = None, weight: Column | None = None,
+              target_rows: int = 1_000_000) -> DataFrame:
     """Issues of each key: opened by the first failure, updated by more, closed by a pass.
 
     A key's time line is cut by its passes; the failures between two passes are one
     issue and the pass that ends it closes it. `opened`, `updated` and `weight` let a
-    row stand for an issue that was open before (see `streaming.issues`).
+    row stand for an issue that was open before (see `streaming.issues`). Keys with more
+    than `target_rows` rows are worked on in blocks.
     """
     at = F.col(ts)
     prepared = results.select(
@@ -97,10 +98,9 @@ def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed
         F.coalesce(opened, at).alias("__opened") if opened is not None else at.alias("__opened"),
         F.coalesce(updated, at).alias("__updated") if updated is not None else at.alias("__updated"),
         (F.lit(1) if weight is None else weight).cast("bigint").alias("__w"),
-        block.alias("__blk"),
     )
     cut = running_total(
-        prepared, keys, ["__ts", "__tie"], F.col("__blk"),
+        prepared, keys, ["__ts", "__tie"], time_rows("__ts", target_rows),
         F.when(F.col("__fail"), 0).otherwise(1), "__island", inclusive=False,
     )
     fail = F.col("__fail")

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.operators.ordered import last_before
+from gatewright.operators.ordered import RowBlocks, last_before
 from gatewright.session import materialise
 
 
 def latest_before(uses: DataFrame, assigns: DataFrame, keys: Sequence[str], ts: str,
-                  value: str, block: Column | None, out: str = "assigned") -> DataFrame:
+                  value: str, block: Column | RowBlocks | None, out: str = "assigned") -> DataFrame:
     """Each use with the value of the latest assignment strictly before it.
 
     Both sides are laid on one time line. A use at the same instant as an

@@ -1,16 +1,17 @@
 """Ordered per-key operators that stay balanced when one key is hot.
 
-A plain window sends all rows of a key to one task. Here a key's rows are cut
-into blocks of the order column (a day of a timestamp, a run of sequence
-numbers). Each block is reduced to one small row with map-side combine, and a
-window over those small rows gives the state entering each block. That state joins
-its block as one more row, in front of the others, so the fine window inside
-(key, block) needs one shuffle and one sort of the data and no join.
+A plain window sends all rows of a key to one task. Here the rows of a hot key are
+cut into blocks of the order column. Each block is reduced to one small row with
+map-side combine, and a window over those small rows gives the state entering each
+block. That state joins its block as one more row, in front of the others, so the
+fine window inside (key, block) needs one shuffle and one sort of the data and no
+join. `RowBlocks` sizes the blocks by row counts and leaves all other keys whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,21 +20,56 @@ from pyspark.sql import functions as F
 _BLOCK, _SEED = "__block", "__seed"
 
 
-def time_block(ts: Column | str, seconds: int = 86_400) -> Column:
-    """Block number of a timestamp (with or without zone)."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_timestamp(ts.cast("timestamp")) / F.lit(seconds)).cast("bigint")
-
-
 def seq_block(seq: Column | str, width: int = 100_000) -> Column:
     seq = F.col(seq) if isinstance(seq, str) else seq
     return F.floor(seq / F.lit(width)).cast("bigint")
 
 
-def _seeded(df: DataFrame, keys: Sequence[str], block: Column, state_agg: Column, entering: Column) -> DataFrame:
+@dataclass(frozen=True)
+class RowBlocks:
+    """Blocks of about `target_rows` rows for keys with more rows than that.
+
+    `position` is a bigint along the order: a sequence number, `unix_micros` of a
+    time. One aggregate per key (count, first and last position) decides; keys that
+    are not hot get no block. The hot keys number at most rows / target_rows, and
+    Spark broadcasts them only when their size allows.
+    """
+
+    position: Column
+    target_rows: int = 1_000_000
+
+    def assign(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        placed = df.withColumn("__p", self.position.cast("bigint"))
+        stats = placed.groupBy(*keys).agg(
+            F.count("__p").alias("__n"), F.min("__p").alias("__lo"), F.max("__p").alias("__hi")
+        )
+        blocks = F.ceil(F.col("__n") / F.lit(self.target_rows))
+        hot = stats.filter(F.col("__n") > self.target_rows).select(
+            *keys, "__lo", F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / blocks), F.lit(1)).alias("__width")
+        )
+        block = F.floor((F.col("__p") - F.col("__lo")) / F.col("__width")).cast("bigint")
+        return placed.join(hot, list(keys), "left").withColumn(_BLOCK, block).drop("__p", "__lo", "__width")
+
+
+def time_rows(ts: str, target_rows: int = 1_000_000) -> RowBlocks:
+    """Row blocks along a timestamp, with or without zone."""
+    return RowBlocks(F.unix_micros(F.col(ts).cast("timestamp")), target_rows)
+
+
+def seq_rows(seq: str, target_rows: int = 1_000_000) -> RowBlocks:
+    """Row blocks along a number."""
+    return RowBlocks(F.col(seq), target_rows)
+
+
+def _seeded(df: DataFrame, keys: Sequence[str], block: Column | RowBlocks, state_agg: Column,
+            entering: Column) -> DataFrame:
     """`df` with its block, plus one seed row per (keys, block) whose `__v` is the entering state."""
-    cut = df.withColumn(_BLOCK, block).withColumn(_SEED, F.lit(False))
-    small = cut.groupBy(*keys, _BLOCK).agg(state_agg.alias("__state")).withColumn("__v", entering)
+    cut = block.assign(df, keys) if isinstance(block, RowBlocks) else df.withColumn(_BLOCK, block)
+    cut = cut.withColumn(_SEED, F.lit(False))
+    small = (
+        cut.filter(F.col(_BLOCK).isNotNull()).groupBy(*keys, _BLOCK).agg(state_agg.alias("__state"))
+        .withColumn("__v", entering)
+    )
     seeds = small.filter(F.col("__v").isNotNull()).select(
         *[
             F.col(f.name) if f.name in (*keys, _BLOCK) else
@@ -58,7 +94,7 @@ def _grouped(keys: Sequence[str], value: Column) -> Column:
     return F.when(has_key, value)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None,
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks | None,
                 value: Column, out: str, inclusive: bool = False) -> DataFrame:
     """Add the latest non-null `value` of an earlier row of the same key.
 
@@ -81,7 +117,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     return _data(seeded.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(inside))))
 
 
-def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks,
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
@@ -96,7 +132,7 @@ def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     return _data(seeded.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(inside))))
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks,
                   amount: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Add the running sum of `amount` over the rows of the same key."""
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewright.operators.ordered import next_after, running_total
+from gatewright.operators.ordered import RowBlocks, next_after, running_total
 
 
 def tokens(df: DataFrame, id_cols: Sequence[str], text: str, pattern: str) -> DataFrame:
@@ -42,7 +42,7 @@ def positioned_tokens(df: DataFrame, id_cols: Sequence[str], text: str, pattern:
 
 
 def pair_spans(toks: DataFrame, keys: Sequence[str], delta: Column, order: str = "tok_no",
-               keep: Sequence[str] = (), block: Column | None = None) -> DataFrame:
+               keep: Sequence[str] = (), block: Column | RowBlocks | None = None) -> DataFrame:
     """Pair each opener (`delta` = 1) with the closer (-1) that ends it.
 
     An opener's level is the running sum after it, a closer's is the sum before it,

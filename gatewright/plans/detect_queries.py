@@ -12,7 +12,7 @@ from gatewright.operators.groups import (
     token_not_passed, unguarded,
 )
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
-from gatewright.operators.ordered import last_before, time_block
+from gatewright.operators.ordered import last_before, time_rows
 from gatewright.operators.scan import contains_any, scan_texts
 from gatewright.plans.fixtures import EVENTS_SQL, documents, events, quoted
 from gatewright.plans.metric_queries import SPAN_SQL, page_spans
@@ -89,7 +89,7 @@ FROM tr WHERE a <> b GROUP BY ALL HAVING n_ab > 0 AND n_ba > 0
 def detect_pair_inversion(spark, d):
     steps = last_before(
         events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"],
-        time_block("ts"), F.col("event_type"), "before",
+        time_rows("ts"), F.col("event_type"), "before",
     )
     return inverted_pairs(steps.filter(F.col("before").isNotNull()), ["user_id"], "before", "event_type")
 
@@ -105,7 +105,7 @@ def detect_asof_value(spark, d):
     ev = events(spark, d).select("event_id", "user_id", "ts", "value", "event_type")
     uses = ev.filter(F.col("event_type") == "purchase").drop("event_type")
     assigns = ev.filter(F.col("event_type") == "signup")
-    seen = latest_before(uses, assigns, ["user_id"], "ts", "value", time_block("ts"))
+    seen = latest_before(uses, assigns, ["user_id"], "ts", "value", time_rows("ts"))
     return seen.filter(F.floor("assigned") == 0).select("event_id", "user_id", "value", "assigned")
 
 
@@ -203,7 +203,7 @@ def detect_scope_key_match(spark, d):
     opener = F.when(kind == "signup", F.struct("props", "event_id"))
     inside = last_before(
         events(spark, d).select("event_id", "user_id", "ts", "event_type", "props"),
-        ["user_id"], ["ts", "event_id"], time_block("ts"), opener, "opener",
+        ["user_id"], ["ts", "event_id"], time_rows("ts"), opener, "opener",
     )
     return inside.filter(~kind.isin("signup", "error") & (F.col("opener.props") == F.col("props"))).select(
         "event_id", "user_id", "event_type", "props", F.col("opener.event_id").alias("opened_by")

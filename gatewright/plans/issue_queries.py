@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gatewright.lifecycle import close_scope, lifecycle, match_issue, upsert
 from gatewright.operators.mentions import mentions
-from gatewright.operators.ordered import time_block
 from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, documents, events, issues, plain_times, runs
 from gatewright.session import table
 
@@ -78,7 +77,7 @@ FROM islands GROUP BY user_id, island HAVING bool_or(event_type = 'error')
 @query("issue_lifecycle", f"WITH {EVENTS_SQL}, {LIFECYCLE_SQL}")
 def issue_lifecycle(spark, d):
     return plain_times(lifecycle(
-        events(spark, d), ["user_id"], "ts", "event_id", F.col("event_type") == "error", time_block("ts")
+        events(spark, d), ["user_id"], "ts", "event_id", F.col("event_type") == "error"
     ))
 
 

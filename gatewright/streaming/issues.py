@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.lifecycle import lifecycle
-from gatewright.operators.ordered import time_block
 from gatewright.session import fresh_dir
 from gatewright.streaming.tables import read_batches, write_batch
 
@@ -36,7 +35,7 @@ def advance(open_issues: DataFrame, batch: DataFrame, keys: Sequence[str], ts: s
         F.col(ts).alias("opened_at"), F.col(ts).alias("updated_at"), F.lit(1).cast("bigint").alias("failures"),
     )
     return lifecycle(
-        before.unionByName(now), keys, ts, tie, F.col(failed), time_block(ts),
+        before.unionByName(now), keys, ts, tie, F.col(failed),
         opened=F.col("opened_at"), updated=F.col("updated_at"), weight=F.col("failures"),
     )
 

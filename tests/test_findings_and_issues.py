@@ -11,7 +11,6 @@ from gatewright.catalogue.templates import ROWS
 from gatewright.extend import Rules
 from gatewright.lifecycle import close_scope, issue_keys, lifecycle, match_issue, upsert
 from gatewright.operators.groups import after_terminal, inverted_pairs
-from gatewright.operators.ordered import time_block
 from gatewright.plans.code_facts import code_facts
 from gatewright.plans.code_rules import code_findings
 from gatewright.reporting.findings import categorise, enrich, gate, gate_counts, union_findings
@@ -163,7 +162,7 @@ def test_streamed_issues_equal_batch(spark):
     failed = F.col("event_type") == "error"
     stream = read_events(spark, base, files_per_batch=1)
     streamed = stream_lifecycle(stream, ["user_id"], "ts", "event_id", failed)
-    batch = lifecycle(spark.read.parquet(base), ["user_id"], "ts", "event_id", failed, time_block("ts"))
+    batch = lifecycle(spark.read.parquet(base), ["user_id"], "ts", "event_id", failed, target_rows=20)
     cols = ["user_id", "opened_at", "updated_at", "closed_at", "failures", "state"]
     assert sorted(map(str, streamed.select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
     want, open_at = 0, {}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewright.operators.lookups import latest_before, resolve_chain
-from gatewright.operators.ordered import last_before, next_after, running_total, seq_block
+from gatewright.operators.ordered import last_before, next_after, running_total, seq_block, seq_rows
 from gatewright.operators.spans import pair_spans
 
 
@@ -40,12 +40,12 @@ def _expect(rows):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_against_brute_force(spark, width, partitions):
+@pytest.mark.parametrize("blocks", [seq_block, seq_rows])
+@pytest.mark.parametrize("width", [1, 30, 10_000])
+def test_against_brute_force(spark, width, blocks, partitions=5):
     rows = _rows(seed=width)
     df = spark.createDataFrame(rows, "key int, at long, value int").repartition(partitions)
-    keys, order, block, value = ["key"], ["at"], seq_block("at", width), F.col("value")
+    keys, order, block, value = ["key"], ["at"], blocks("at", width), F.col("value")
     df = last_before(df, keys, order, block, value, "before")
     df = last_before(df, keys, order, block, value, "upto", inclusive=True)
     df = next_after(df, keys, order, block, value, "after")
@@ -71,7 +71,7 @@ def test_null_keys_form_no_group(spark):
 def test_as_of_is_strict(spark):
     uses = spark.createDataFrame([(1, 5, "u5"), (1, 9, "u9"), (2, 1, "u1")], "key int, at long, use string")
     assigns = spark.createDataFrame([(1, 5, 50), (1, 4, 40), (1, 4, 41), (2, 3, 30)], "key int, at long, v int")
-    out = latest_before(uses, assigns, ["key"], "at", "v", seq_block("at", 2), "v")
+    out = latest_before(uses, assigns, ["key"], "at", "v", seq_rows("at", 2), "v")
     assert {r.use: r.v for r in out.collect()} == {"u5": 41, "u9": 50, "u1": None}
 
 
@@ -105,6 +105,6 @@ def test_pairing_of_unbalanced_tokens(spark, blocked):
                 want.add((doc, last[at][0], i, at))
             last[at] = (i, t)
     df = spark.createDataFrame(rows, "doc int, tok_no int, d int").repartition(4)
-    block = seq_block("tok_no", 6) if blocked else None
+    block = seq_rows("tok_no", 6) if blocked else None
     out = pair_spans(df, ["doc"], F.col("d"), block=block)
     assert {(r.doc, r.open_no, r.close_no, r.depth) for r in out.collect()} == want
