@@ -38,12 +38,13 @@ def diff_to_lines(lines_df: DataFrame, suffix: str = ".cs") -> DataFrame:
     `lines_df` is (diff_id, seq, line) with `seq` unique over file headers of a diff.
     A hunk without a count is one line, and so is one with count 0.
     """
-    start = F.regexp_extract("line", HUNK, 1).cast("int")
+    start = F.regexp_extract("line", HUNK, 1).try_cast("int")
     count = F.coalesce(F.expr("try_cast(hunk_count as int)"), F.lit(1))
     return (
         _current_file(lines_df, suffix)
-        .filter(F.col("line").rlike(HUNK))
+        .filter(F.col("line").startswith("@@"))
         .withColumn("hunk_start", start)
+        .filter(F.col("hunk_start").isNotNull())
         .withColumn("hunk_count", F.regexp_extract("line", HUNK, 2))
         .withColumn("hunk_count", F.greatest(count, F.lit(1)))
         .select(
