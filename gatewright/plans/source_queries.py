@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatewright.operators.scope import changed_counts, scope_lines, scope_spans
-from gatewright.plans.fixtures import DIFF_SQL, SPANS_SQL, diff_lines, events, line_spans
+from gatewright.plans.fixtures import DIFF_SQL, SPANS_SQL, diff_lines, line_spans
 from gatewright.session import fresh_dir, stage, table
 from gatewright.sources.choose import first_non_empty
 from gatewright.sources.diffs import diff_files, diff_to_lines

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewright.functions.text import escape_data, escape_property
-from gatewright.reporting.findings import ACTION, ADVISORIES, PASSED
+from gatewright.reporting.findings import ADVISORIES, PASSED
 from gatewright.schema import ERROR, WARNING
 
 # How many rows a report shows.
