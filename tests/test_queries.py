@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as driver
+from gatewright.plans import registry
 from tests.oracle import compare, connect
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def test_matches_sql(spark, con, sf, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
