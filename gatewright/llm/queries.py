@@ -1,9 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
+from gatewright.llm import substring_countmin
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_substring_countmin": substring_countmin.ORACLE_SQL,
+}
