@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import substring_countmin
+from gatewright.llm import pii, substring_countmin
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op8_pii": pii.op8_pii,
     "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
 }
