@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import pii, substring_countmin
+from gatewright.llm import pii, positional_index, substring_countmin
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op5_positional_index": positional_index.op5_positional_index,
     "op8_pii": pii.op8_pii,
     "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_positional_index": positional_index.ORACLE_SQL,
     "op9_substring_countmin": substring_countmin.ORACLE_SQL,
 }
