@@ -2,9 +2,11 @@
 
 1. Documents are dealt into blocks by a hash of their row. Each block counts its windows in a
    count-min sketch of `DEPTH` rows, stored sparsely: sorted cells and whether they were hit twice.
+   A document whose whole text also stands under a smaller doc_id adds nothing to that one's
+   windows and loses all of them, so it is left out here: a group of copies counts once.
 2. The sketches are merged by range of cells. A merged cell of 2 or more is estimated repeated;
    each block gets one bit back for each cell that it sent. The width of a row is a power of
-   two of at least four cells a window, so it grows with the corpus, and nothing is broadcast.
+   two of at least eight cells a window, so it grows with the corpus, and nothing is broadcast.
 3. A block keeps the windows whose cells are repeated in all rows. An estimate is never too low, so
    no repeated window is lost. They are grouped exactly by 128 bits of hash: smallest doc_id.
 4. Each block marks the words of its windows that start in a document with a smaller doc_id.
@@ -21,13 +23,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewright.session import stage
 
-WINDOW, DEPTH, CELLS_PER_WINDOW = 13, 2, 4
+WINDOW, DEPTH, CELLS_PER_WINDOW = 13, 2, 8
 #: Cells of a row of the sketch that are merged by one group, and text bytes in a block.
 SEGMENT_BITS, BLOCK_BYTES = 24, 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # any odd number with well mixed bits does
@@ -49,34 +53,54 @@ class WordHashes(dict):
         return place
 
 
+def text_hash(text: bytes) -> int:
+    """Spark's xxhash64 of a binary column."""
+    digest = xxhash.xxh64_intdigest(text, 42)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def rolled(words: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of all windows, joined from hashes of windows of 1, 2, 4, ... words."""
+    total, done, part, size, base = None, 0, words, 1, int(MULTIPLIER)
+    while True:
+        if window & size:
+            # `part` covers `size` words and comes behind the `done` words joined so far.
+            n = len(words) - done - size + 1
+            total = part.copy() if total is None else total[:n] * np.uint64(base) + part[done: done + n]
+            done += size
+        if done == window:
+            break
+        n = len(part) - size
+        part = part[:n] * np.uint64(base) + part[size: size + n]
+        size, base = 2 * size, base * base & (1 << 64) - 1
+    total ^= total >> np.uint64(29)
+    total *= MIXERS[0]
+    return total ^ total >> np.uint64(32)
+
+
 class Block:
     """Words and windows of some documents, document after document."""
 
-    def __init__(self, table: pa.Table, window: int):
-        self.ids = table.column("id")
+    def __init__(self, table: pa.Table, window: int, copies: set[tuple[int, int]]):
+        self.ids, texts = table.column("id"), [t or b"" for t in table.column("text").to_pylist()]
         ids = self.ids.to_pylist()
-        self.words = [(t or b"").split() for t in table.column("text").to_pylist()]
-        sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
+        self.words = [t.split() for t in texts]
+        #: Rows without an id or with the text of a smaller one have no windows.
+        self.copy = [i is not None and (i, text_hash(t)) in copies for i, t in zip(ids, texts, strict=True)]
+        used = [[] if c or i is None else w for i, c, w in zip(ids, self.copy, self.words, strict=True)]
+        sizes = np.fromiter(map(len, used), dtype=np.int64, count=len(used))
         self.ends = np.cumsum(sizes)
         seen = WordHashes()
-        places = np.fromiter(map(seen.__getitem__, chain.from_iterable(self.words)), dtype=np.int64, count=int(sizes.sum()))
-        #: Windows start where the next words up to `window` belong to the same document, which has an id.
+        places = np.fromiter(map(seen.__getitem__, chain.from_iterable(used)), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(ids)), sizes)
         n = max(0, len(places) - window + 1)
-        known = np.array([i is not None for i in ids], dtype=bool)
-        self.starts = np.flatnonzero((owner[:n] == owner[len(owner) - n:]) & known[owner[:n]]) if n else np.zeros(0, np.int64)
+        #: Windows start where the next words up to `window` belong to the same document.
+        self.starts = np.flatnonzero(owner[:n] == owner[len(owner) - n:]) if n else np.zeros(0, np.int64)
         self.docs = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)[owner[self.starts]] if n else self.starts
-        self.high, self.low = (self._rolled(np.array(x, dtype=np.uint64)[places], window) if n else np.zeros(0, np.uint64)
-                               for x in (seen.high, seen.low))
-
-    def _rolled(self, words: np.ndarray, window: int) -> np.ndarray:
-        n = len(words) - window + 1
-        total = words[:n].copy()
-        for j in range(1, window):
-            total = total * MULTIPLIER + words[j: j + n]
-        total ^= total >> np.uint64(29)
-        total *= MIXERS[0]
-        return (total ^ total >> np.uint64(32))[self.starts]
+        self.high, self.low = (
+            rolled(np.array(x, dtype=np.uint64)[places], window)[self.starts] if n else np.zeros(0, np.uint64)
+            for x in (seen.high, seen.low)
+        )
 
     def cells(self, hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
         return (hashes * MIXERS[row % 2] + np.uint64(row)) * MULTIPLIER >> np.uint64(64 - bits)
@@ -108,26 +132,37 @@ def _segments(cells: np.ndarray, low_bits: int):
             yield int(high[a]), slice(a, b)
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """Rows (block, id, text) dealt by a hash of the row, and the windows they can have at most."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
+def _blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (block, id, text) dealt by a hash of the row; rows (block, id, hash) whose whole text also stands
+    under a smaller id; and the windows there can be at most."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(
         F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(F.size(F.split(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+"))), F.lit(0)).alias("words"),
     ).first()
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.bytes // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(n)).cast("int")
-    return rows.withColumn("block", block).repartition(n, "block"), max(size.words, 1)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.bytes // BLOCK_BYTES))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "hash"), F.lit(n)).cast("int"))
+    keys = rows.filter("id IS NOT NULL AND text IS NOT NULL").select(
+        "block", "id", "hash", F.xxhash64(F.lit(1), "text").alias("more"), F.length("text").alias("length")
+    )
+    first = keys.groupBy("hash", "more", "length").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    first = first.filter("most > least").drop("most")
+    copies = stage(keys.join(first, ["hash", "more", "length"]).filter("id > least").select("block", "id", "hash"), "copies")
+    return rows.select("block", "id", "text").repartition(n, "block"), copies, max(size.words, 1)
 
 
-def repeated_windows(blocks: DataFrame, n_windows: int, window: int = WINDOW) -> DataFrame:
+def _copies(table: pa.Table) -> set[tuple[int, int]]:
+    return set(zip(table.column("id").to_pylist(), table.column("hash").to_pylist(), strict=True))
+
+
+def repeated_windows(blocks: DataFrame, copies: DataFrame, n_windows: int, window: int = WINDOW) -> DataFrame:
     """(block, high, low, least): windows of a block that also start in a document with a smaller id."""
     bits = max(SEGMENT_BITS, (CELLS_PER_WINDOW * n_windows - 1).bit_length())
     low_bits = SEGMENT_BITS
 
-    def sketches(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block, out = Block(table, window), []
+    def sketches(key: tuple[pa.Scalar, ...], known: pa.Table, table: pa.Table) -> pa.Table:
+        block, out = Block(table, window, _copies(known)), []
         for row in range(DEPTH):
             cells, twice = block.sketch(row, bits)
             for segment, part in _segments(cells, low_bits):
@@ -145,10 +180,11 @@ def repeated_windows(blocks: DataFrame, n_windows: int, window: int = WINDOW) ->
         answers = [zlib.compress(np.packbits(total[unpack(p)[0]] > 1).tobytes(), 1) for p in parts]
         return table.drop_columns(["cells"]).append_column("repeated", pa.array(answers, pa.binary()))
 
-    def candidates(key: tuple[pa.Scalar, ...], answers: pa.Table, table: pa.Table) -> pa.Table:
-        block = Block(table, window)
+    def candidates(key: tuple[pa.Scalar, ...], side: pa.Table, table: pa.Table) -> pa.Table:
+        answers, known = side.filter(pc.is_valid(side.column("row"))), side.filter(pc.is_null(side.column("row")))
+        block = Block(table, window, _copies(known))
         keep = np.ones(len(block.starts), dtype=bool)
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("row", "segment", "repeated")), strict=True))
+        rows = list(zip(*(answers.column(c).to_pylist() for c in ("row", "segment", "repeated")), strict=True))
         for row in range(DEPTH):
             cells, _ = block.sketch(row, bits)
             repeated = np.zeros(len(cells), dtype=bool)
@@ -156,7 +192,8 @@ def repeated_windows(blocks: DataFrame, n_windows: int, window: int = WINDOW) ->
             for segment, part in _segments(cells, low_bits):
                 size = part.stop - part.start
                 repeated[part] = np.unpackbits(np.frombuffer(zlib.decompress(given[segment]), np.uint8), count=size)
-            keep &= repeated[np.searchsorted(cells, block.cells(block.high, row, bits))] if len(cells) else keep
+            left = np.flatnonzero(keep)
+            keep[left] = repeated[np.searchsorted(cells, block.cells(block.high[left], row, bits))] if len(cells) else False
         # One row for each window of the block, with the smallest and the largest id it starts in.
         high, low, docs = block.high[keep], block.low[keep], block.docs[keep]
         order = np.lexsort((docs, low, high))
@@ -169,17 +206,17 @@ def repeated_windows(blocks: DataFrame, n_windows: int, window: int = WINDOW) ->
                          pa.array(low[first].view(np.int64)), pa.array(docs[first]), pa.array(docs[last])],
                         names=["block", "high", "low", "least", "most"])
 
-    sent = blocks.groupBy("block").applyInArrow(sketches, "block int, row int, segment bigint, cells binary")
+    sent = copies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        sketches, "block int, row int, segment bigint, cells binary"
+    )
     merged = sent.groupBy("row", "segment").applyInArrow(merge, "block int, row int, segment bigint, repeated binary")
-    found = merged.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+    side = merged.unionByName(copies, allowMissingColumns=True)
+    found = side.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
         candidates, "block int, high bigint, low bigint, least bigint, most bigint"
     )
-    found = stage(found, "windows")
-    # A window has one row for each block it is in; those of several documents stay.
-    whole = found.groupBy("high", "low").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("most > least")
-    return found.select("block", "high", "low", F.col("most").alias("own")).join(
-        whole.select("high", "low", "least"), ["high", "low"]
-    ).filter("own > least").select("block", "high", "low", "least")
+    # A window has at most one row for each block, so that no group is hot.
+    whole = F.min("least").over(W.partitionBy("high", "low"))
+    return found.withColumn("least", whole).filter("most > least").drop("most")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,12 +225,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     A window counts as repeated in a document if its words also start in one with a smaller
     id. All windows are judged on the texts as given.
     """
-    blocks, n_windows = _blocks(docs, doc_id, text)
-    repeats = stage(repeated_windows(blocks, n_windows, window), "repeats")
+    blocks, copies, n_windows = _blocks(docs, doc_id, text)
 
-    def apply(key: tuple[pa.Scalar, ...], marks: pa.Table, table: pa.Table) -> pa.Table:
-        block = Block(table, window)
-        covered = np.zeros(int(block.ends[-1]) + 1 if len(block.ends) else 1, dtype=np.int64)
+    def apply(key: tuple[pa.Scalar, ...], side: pa.Table, table: pa.Table) -> pa.Table:
+        marks, known = side.filter(pc.is_valid(side.column("high"))), side.filter(pc.is_null(side.column("high")))
+        block = Block(table, window, _copies(known))
+        covered = np.zeros((int(block.ends[-1]) if len(block.ends) else 0) + 1, dtype=np.int32)
         if len(marks) and len(block.starts):
             high, low = (marks.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
             least = marks.column("least").to_numpy()
@@ -201,25 +238,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             high, low, least = high[order], low[order], least[order]
             hit = np.zeros(len(block.starts), dtype=bool)
             # Equal high halves with other low halves lie side by side: look at each of them.
-            at, last = np.searchsorted(high, block.high), np.searchsorted(high, block.high, side="right")
-            while (open_ := np.flatnonzero(at < last)).size:
+            at = np.searchsorted(high, block.high)
+            open_ = np.arange(len(at))
+            while len(open_ := open_[at[open_] < len(high)]) and len(open_ := open_[high[at[open_]] == block.high[open_]]):
                 place = at[open_]
                 hit[open_] |= (low[place] == block.low[open_]) & (least[place] < block.docs[open_])
                 at[open_] += 1
-            np.add.at(covered, block.starts[hit], 1)
-            np.add.at(covered, block.starts[hit] + window, -1)
+            covered[block.starts[hit]] += 1
+            covered[block.starts[hit] + window] -= 1
         gone = np.cumsum(covered)[:-1] > 0
         kept, removed, begin = [], [], 0
-        for words, end in zip(block.words, block.ends.tolist(), strict=True):
+        for words, end, copy in zip(block.words, block.ends.tolist(), block.copy, strict=True):
             cut = gone[begin:end]
+            begin = end
+            if copy:
+                removed.append(len(words) if len(words) >= window else 0)
+                kept.append(b"" if removed[-1] else b" ".join(words))
+                continue
             removed.append(int(cut.sum()))
             kept.append(b" ".join([w for w, g in zip(words, cut.tolist(), strict=True) if not g] if removed[-1] else words))
-            begin = end
-        sizes = np.diff(block.ends, prepend=0)
-        return pa.table([block.ids.cast(pa.int64()), pa.array(sizes), pa.array(removed, pa.int64()),
+        return pa.table([block.ids.cast(pa.int64()), pa.array(list(map(len, block.words)), pa.int64()), pa.array(removed, pa.int64()),
                          pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return repeats.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+    marks = repeated_windows(blocks, copies, n_windows, window).unionByName(copies, allowMissingColumns=True)
+    return marks.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
         apply, "doc_id bigint, n_words bigint, n_removed bigint, kept string"
     )
 
