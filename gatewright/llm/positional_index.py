@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gatewright.llm.rows import KEY as DOC
+from gatewright.llm.rows import doc_key, id_of, without
 from gatewright.session import stage
 
 #: What a word is, and letters that are lower-cased.
@@ -31,21 +33,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Term of the one row a document has besides its postings; its position is the number of words.
 LENGTH = ""
-DOC = ["id", "th"]
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def doc_key(doc_id: Column, text: Column) -> list[Column]:
-    """Two columns, never null, that tell rows apart by id and text."""
-    return [
-        F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63))).alias("id"),
-        F.xxhash64(text, text.isNull(), doc_id.isNull()).alias("th"),
-    ]
-
-
 @dataclass(frozen=True)
 class Index:
     """Postings (id, th, term, pos), pos from 1, and a row of LENGTH per document row."""
@@ -155,18 +148,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs, with all their columns."""
-    key = [c.alias(f"__{c_name}") for c, c_name in zip(doc_key(F.col(doc_id), F.col(text)), DOC, strict=True)]
-    bad = contamination(docs, items, window, doc_id, text).filter("n_hit > 0").select(
-        F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.select("*", *key).join(stage(bad, "contaminated"), ["__id", "__th"], "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, contamination(docs, items, window, doc_id, text).filter("n_hit > 0"), doc_id, text)
 
 
 def op5_positional_index(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_words", "n_hit",
+        id_of(F.col("id")).alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from gatewright.llm.positional_index import build_index, contamination, doc_key, drop_contaminated, item_windows, phrase_matches
+from gatewright.llm.positional_index import build_index, contamination, drop_contaminated, item_windows, phrase_matches
+from gatewright.llm.rows import doc_key
 from tests.llm.brute import decontaminate
 
 
