@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import language_fusion, pii, positional_index, substring_countmin, toxicity_ftrl
+from gatewright.llm import best_fit, language_fusion, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op1_best_fit": best_fit.op1_best_fit,
+    "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_toxicity_ftrl": toxicity_ftrl.op3_toxicity_ftrl,
     "op5_positional_index": positional_index.op5_positional_index,
     "op6_language_fusion": language_fusion.op6_language_fusion,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc_zip": warc_zip.ORACLE_SQL,
     "op5_positional_index": positional_index.ORACLE_SQL,
     "op9_substring_countmin": substring_countmin.ORACLE_SQL,
 }
