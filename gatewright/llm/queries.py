@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import best_fit, language_fusion, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
+from gatewright.llm import best_fit, cross_polytope, language_fusion, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_toxicity_ftrl": toxicity_ftrl.op3_toxicity_ftrl,
     "op5_positional_index": positional_index.op5_positional_index,
     "op6_language_fusion": language_fusion.op6_language_fusion,
+    "op7_cross_polytope": cross_polytope.op7_cross_polytope,
     "op8_pii": pii.op8_pii,
     "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
