@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import best_fit, cross_polytope, language_fusion, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
+from gatewright.llm import best_fit, cross_polytope, language_fusion, line_templates, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
     "op1_best_fit": best_fit.op1_best_fit,
     "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_toxicity_ftrl": toxicity_ftrl.op3_toxicity_ftrl,
+    "op4_line_templates": line_templates.op4_line_templates,
     "op5_positional_index": positional_index.op5_positional_index,
     "op6_language_fusion": language_fusion.op6_language_fusion,
     "op7_cross_polytope": cross_polytope.op7_cross_polytope,
