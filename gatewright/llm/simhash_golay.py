@@ -36,11 +36,11 @@ LINK_BITS = 3
 SMALL = 12
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Signed 64-bit SimHash of a UTF-8 text; a bit is set if over half the shingle hashes have it."""
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a UTF-8 text, repeats included, in arrays of up to CHUNK."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -48,13 +48,26 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
         starts, ends = starts[: 1 - shingle or None], ends[shingle - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), CHUNK):
         pairs = zip(starts[at: at + CHUNK].tolist(), ends[at: at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8").view(np.uint8)
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """Signed 64-bit number whose bits are those that over half the hashes have."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        values = hashes.view(np.uint8)
         for k in range(8):  # count byte values, then the bits in them
-            ones[8 * k: 8 * k + 8] += np.bincount(hashes[k::8], minlength=256) @ BITS_OF_BYTE
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
+            ones[8 * k: 8 * k + 8] += np.bincount(values[k::8], minlength=256) @ BITS_OF_BYTE
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

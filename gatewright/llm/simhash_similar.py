@@ -1,0 +1,175 @@
+"""Documents of similar shingle sets, found through several Golay-keyed fingerprints and verified.
+
+One fingerprint finds all pairs up to three bits, which are near copies with few edits. For a given
+similarity of shingle sets (Jaccard, 0.8 by default) each text gets REPEATS fingerprints from
+remixed hashes. Fingerprints that share fuzzy keys of any of them and differ in few bits are
+proposed; pairs whose bits over all fingerprints rule out the similarity go; the others are
+verified on their whole shingle sets. In a group of fingerprints with one key each is
+proposed with the group's least one near it, so a group of n gives fewer than n proposals.
+
+Texts with equal words in lower case are one node, named by 64 bits of their hash. Texts without
+words are one node. Rows without an id stand behind those with one. Of rows equal in id and text one
+stays. Columns may have any name but `__id`, `__th` and `__node`. An empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gatewright.llm.components import components
+from gatewright.llm.rows import KEY, NO_ID, doc_key
+from gatewright.llm.simhash_golay import fuzzy_keys, majority, shingle_hashes
+from gatewright.session import stage
+
+SHINGLE, SIMILARITY, REPEATS = 5, 0.8, 4
+#: Bits in which one fingerprint, and all together, may differ in a proposal.
+ONE_BITS, ALL_BITS = 10, 52
+MIXERS = tuple(np.uint64(m) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
+KEYS_EACH = 3 << 24
+
+
+def remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other bits of the same hashes; number 0 leaves them as they are."""
+    if not number:
+        return hashes
+    x = hashes * MIXERS[number]
+    return (x ^ x >> np.uint64(32)) * MIXERS[number] ^ x >> np.uint64(29)
+
+
+def node_of(text: bytes | None) -> int:
+    """Hash of the words in lower case."""
+    digest = xxhash.xxh3_64_intdigest(b" ".join((text or b"").lower().split()))
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(*doc_key(F.col(doc_id), F.col(text)), F.col(text).cast("binary").alias("text"))
+
+
+def prints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, node, fps) for each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps = [], []
+            for value in batch.column(2):
+                raw = value.as_py()
+                parts = list(shingle_hashes(raw, shingle))
+                nodes.append(node_of(raw))
+                fps.append([majority(iter([remixed(p, r) for p in parts])) for r in range(REPEATS)])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                                  names=[*KEY, "node", "fps"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "id bigint, th bigint, node bigint, fps array<bigint>")
+
+
+def star_links(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, least, other): in groups of equal, sorted keys, members near the least one left, which then leave."""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    found: list[tuple] = []
+    two = starts[sizes == 2]
+    one, other = np.minimum(fps[two], fps[two + 1]), np.maximum(fps[two], fps[two + 1])
+    near = np.bitwise_count(one.view(np.uint64) ^ other.view(np.uint64)) <= bits
+    found.append((key[two][near], one[near], other[near]))
+    for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        left = np.sort(fps[at: at + size])
+        while len(left) > 1:
+            near = np.bitwise_count(left.view(np.uint64) ^ left[:1].view(np.uint64)) <= bits
+            near[0] = False
+            members = left[near]
+            found.append((np.full(len(members), key[at]), np.full(len(members), left[0]), members))
+            near[0] = True
+            left = left[~near]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def proposals(nodes: DataFrame) -> DataFrame:
+    """(u, v) pairs of nodes to verify, from (node, fps)."""
+    each = nodes.select("node", F.posexplode("fps").alias("r", "fp"))
+    heads = stage(each.groupBy("r", "fp").agg(F.min("node").alias("head"), F.max("node").alias("last")), "heads")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(fps), 20_000):
+                for number in np.unique(r[at: at + 20_000]).tolist():
+                    key, fp = fuzzy_keys(fps[at: at + 20_000][r[at: at + 20_000] == number].copy())
+                    yield pa.record_batch([pa.array((key + number * KEYS_EACH).astype(np.int32)), pa.array(fp)], names=["key", "fp"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            k, u, v = star_links(key, fps, ONE_BITS)
+            return pa.record_batch([pa.array((k // KEYS_EACH).astype(np.int32)), pa.array(u), pa.array(v)], names=["r", "u", "v"])
+
+        held = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        for batch in batches:
+            key = np.concatenate((held[0], batch.column(0).to_numpy()))
+            fps = np.concatenate((held[1], batch.column(1).to_numpy()))
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole:
+                yield out(key[:whole], fps[:whole])
+            held = (key[whole:], fps[whole:])
+        if len(held[0]):
+            yield out(*held)
+
+    rows = heads.select("r", "fp").mapInArrow(keyed, "key int, fp bigint").repartition(F.col("key")).sortWithinPartitions("key")
+    near = rows.mapInArrow(linked, "r int, u bigint, v bigint").distinct()
+    head = lambda name: heads.select("r", F.col("fp").alias(name), F.col("head").alias(f"n{name}"))
+    pairs = near.join(head("u"), ["r", "u"]).join(head("v"), ["r", "v"]).select("nu", "nv")
+    # Nodes that share a fingerprint meet its head.
+    same = each.join(heads.filter("last <> head"), ["r", "fp"]).filter("node <> head").select(F.col("head").alias("nu"), F.col("node").alias("nv"))
+    pairs = pairs.unionByName(same).filter("nu <> nv").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return both.filter(differ <= ALL_BITS).select("u", "v")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """The pairs whose shingle sets are similar enough; texts are read again only for their nodes."""
+    used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    one = rows.join(used, "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("key")).select("node", "key.id", "key.th")
+    one = stage(one, "to-verify")
+    # Rows equal in id and text give the same set: any of them will do.
+    source = _texts(docs, doc_id, text).join(one, KEY).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, value in zip(*batch.columns, strict=True):
+                parts = list(shingle_hashes(value.as_py(), shingle))
+                found = np.unique((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.uint32)).view(np.int32)
+                yield pa.record_batch([pa.array([node.as_py()], pa.int64()), pa.array([found], pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    sets = stage(source.mapInArrow(run, "node bigint, shingles array<int>"), "shingle-sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct()
+
+
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, node, root): rows of one root are connected by equal words or verified pairs."""
+    rows = stage(prints(docs, shingle, doc_id, text), "prints")
+    nodes = stage(rows.groupBy("node").agg(F.min("fps").alias("fps")), "nodes")
+    pairs = stage(proposals(nodes), "proposals")
+    links = verified(pairs, docs, rows, shingle, similarity, doc_id, text)
+    roots = stage(components(links), "roots")
+    return rows.select(*KEY, "node").join(roots, "node", "left").select(*KEY, "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest id of each group of similar rows, with all its columns."""
+    groups = similar_groups(docs, shingle, similarity, doc_id, text)
+    last = (F.col("id") == NO_ID).cast("int")  # rows without an id come last
+    best = F.min(F.struct(last.alias("last"), "id", "th")).alias("best")
+    names = ["__" + k for k in KEY]
+    kept = stage(groups.groupBy("root").agg(best).select(F.col("best.id").alias(names[0]), F.col("best.th").alias(names[1])).distinct(), "kept")
+    key = [c.alias(n) for c, n in zip(doc_key(F.col(doc_id), F.col(text)), names, strict=True)]
+    rows = docs.select("*", *key).join(kept, names, "left_semi").dropDuplicates(names)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
