@@ -34,24 +34,24 @@ def latest_before(uses: DataFrame, assigns: DataFrame, keys: Sequence[str], ts:
     return seen.filter(F.col("__kind") == 0).select("__use.*", out)
 
 
-def resolve_chain(df: DataFrame, key: str, ref: str, literal: str, max_depth: int = 32) -> DataFrame:
+def resolve_chain(df: DataFrame, key: str, ref: str, literal: str) -> DataFrame:
     """Follow key -> key references to the terminal literal: (key, value, depth).
 
-    A row without a reference is terminal and holds the literal. Chains longer
-    than `max_depth`, cycles and dangling references give null. References are
-    doubled every round, so the number of joins is the logarithm of the depth,
-    and each round is written out, so the plan does not grow.
+    A row without a reference is terminal and holds the literal. Cycles and dangling
+    references give null. References are doubled every round until no row is open, so
+    the number of joins is the logarithm of the longest chain; a row still open after
+    more steps than there are rows is in a cycle. Each round is written out, so the plan
+    does not grow.
     """
     # `jump` is the node reached after `depth` steps; `value` is set once it is terminal.
-    state = df.select(
+    state = materialise(df.select(
         F.col(key).alias("key"),
         F.col(ref).alias("jump"),
         F.when(F.col(ref).isNull(), F.col(literal)).alias("value"),
-        F.when(F.col(ref).isNull(), 0).otherwise(1).alias("depth"),
-    )
-    rounds = max(1, (max_depth - 1).bit_length() + 1)
+        F.when(F.col(ref).isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+    ))
+    rounds = state.count().bit_length() + 1
     for _ in range(rounds):
-        state = materialise(state)
         open_rows = state.filter(F.col("jump").isNotNull())
         if open_rows.isEmpty():
             break
@@ -64,13 +64,12 @@ def resolve_chain(df: DataFrame, key: str, ref: str, literal: str, max_depth: in
             "key", F.col("t_jump").alias("jump"), F.col("t_value").alias("value"),
             (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
         )
-        state = state.filter(F.col("jump").isNull()).unionByName(moved)
+        state = materialise(state.filter(F.col("jump").isNull()).unionByName(moved))
+    ended = F.col("jump").isNull()
     return state.select(
         "key",
-        F.when(F.col("jump").isNull() & (F.col("depth") <= max_depth), F.col("value")).alias("value"),
-        F.when(
-            F.col("jump").isNull() & F.col("value").isNotNull() & (F.col("depth") <= max_depth), F.col("depth")
-        ).alias("depth"),
+        F.when(ended, F.col("value")).alias("value"),
+        F.when(ended & F.col("value").isNotNull(), F.col("depth").cast("int")).alias("depth"),
     )
 
 

@@ -5,7 +5,9 @@ cut into blocks of the order column. Each block is reduced to one small row with
 map-side combine, and a window over those small rows gives the state entering each
 block. That state joins its block as one more row, in front of the others, so the
 fine window inside (key, block) needs one shuffle and one sort of the data and no
-join. `RowBlocks` sizes the blocks by row counts and leaves all other keys whole.
+join. `RowBlocks` sizes the blocks by row counts and leaves all other keys whole. It
+counts the rows of keys first; without a hot key the plain window is the plan, which
+gives the same rows.
 """
 
 from __future__ import annotations
@@ -30,25 +32,38 @@ class RowBlocks:
     """Blocks of about `target_rows` rows for keys with more rows than that.
 
     `position` is a bigint along the order: a sequence number, `unix_micros` of a
-    time. One aggregate per key (count, first and last position) decides; keys that
-    are not hot get no block. The hot keys number at most rows / target_rows, and
-    Spark broadcasts them only when their size allows.
+    time. Blocks are cut at percentiles of a hot key's positions, so a burst is cut as finely
+    as it is dense; rows of one position stay together. A row without a position is in the first block,
+    as nulls sort first. The hot keys number at most rows / target_rows, and Spark
+    broadcasts them only when their size allows.
     """
 
     position: Column
     target_rows: int = 1_000_000
 
-    def assign(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def most(self, df: DataFrame, keys: Sequence[str]) -> int:
+        """Rows of the largest key, from one count over the key columns."""
+        return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+    def assign(self, df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+        """`df` with its block; `most` is what `most` found and sets how many cuts a hot key gets."""
+        cuts = -(-most // self.target_rows)
         placed = df.withColumn("__p", self.position.cast("bigint"))
-        stats = placed.groupBy(*keys).agg(
-            F.count("__p").alias("__n"), F.min("__p").alias("__lo"), F.max("__p").alias("__hi")
-        )
-        blocks = F.ceil(F.col("__n") / F.lit(self.target_rows))
-        hot = stats.filter(F.col("__n") > self.target_rows).select(
-            *keys, "__lo", F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / blocks), F.lit(1)).alias("__width")
+        shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+        hot = placed.groupBy(*keys).agg(
+            F.count("*").alias("__n"), F.percentile_approx("__p", shares, max(10_000, 20 * cuts)).alias("__cuts")
+        ).filter(F.col("__n") > self.target_rows).drop("__n")
+        hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__cuts")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+        # Rows above a cut are in a later block; a null position is above none.
+        block = F.size(F.filter("__cuts", lambda c: c < F.col("__p"))).cast("bigint")
+        return (
+            placed.join(hot, same, "left")
+            .withColumn(_BLOCK, F.when(F.col("__cuts").isNotNull(), block))
+            .drop("__p", "__cuts", *[f"__h_{k}" for k in keys])
         )
-        block = F.floor((F.col("__p") - F.col("__lo")) / F.col("__width")).cast("bigint")
-        return placed.join(hot, list(keys), "left").withColumn(_BLOCK, block).drop("__p", "__lo", "__width")
 
 
 def time_rows(ts: str, target_rows: int = 1_000_000) -> RowBlocks:
@@ -61,10 +76,13 @@ def seq_rows(seq: str, target_rows: int = 1_000_000) -> RowBlocks:
     return RowBlocks(F.col(seq), target_rows)
 
 
-def _seeded(df: DataFrame, keys: Sequence[str], block: Column | RowBlocks, state_agg: Column,
+def _seeded(df: DataFrame, keys: Sequence[str], block: Column | DataFrame, state_agg: Column,
             entering: Column) -> DataFrame:
-    """`df` with its block, plus one seed row per (keys, block) whose `__v` is the entering state."""
-    cut = block.assign(df, keys) if isinstance(block, RowBlocks) else df.withColumn(_BLOCK, block)
+    """`df` with its block, plus one seed row per (keys, block) whose `__v` is the entering state.
+
+    `block` is the block column, or `df` with its blocks already.
+    """
+    cut = df.withColumn(_BLOCK, block) if isinstance(block, Column) else block
     cut = cut.withColumn(_SEED, F.lit(False))
     small = (
         cut.filter(F.col(_BLOCK).isNotNull()).groupBy(*keys, _BLOCK).agg(state_agg.alias("__state"))
@@ -82,6 +100,14 @@ def _seeded(df: DataFrame, keys: Sequence[str], block: Column | RowBlocks, state
     return cut.union(seeds)
 
 
+def _blocks(df: DataFrame, keys: Sequence[str], block: Column | RowBlocks | None) -> Column | DataFrame | None:
+    """What `_seeded` takes as its blocks, or None where one plain window does."""
+    if not isinstance(block, RowBlocks):
+        return block
+    most = block.most(df, keys)
+    return None if most <= block.target_rows else block.assign(df, keys, most)
+
+
 def _data(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(_SEED)).drop("__v", _SEED, _BLOCK)
 
@@ -101,15 +127,15 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     Without `block` one plain window does the work: for keys that cannot grow, such
     as a part of one text.
     """
+    df = df.withColumn("__v", value)
+    block = _blocks(df, keys, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-        return df.withColumn("__v", value).withColumn(
-            out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))
-        ).drop("__v")
+        return df.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))).drop("__v")
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     seeded = _seeded(
-        df.withColumn("__v", value), keys, block,
+        df, keys, block,
         F.max(F.when(F.col("__v").isNotNull(), at)), F.last("__state", ignorenulls=True).over(earlier)["v"],
     )
     upto = 0 if inclusive else -1
@@ -120,10 +146,15 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
 def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks,
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
+    df = df.withColumn("__v", value)
+    block = _blocks(df, keys, block)
+    if block is None:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+        return df.withColumn(out, _grouped(keys, F.first("__v", ignorenulls=True).over(whole))).drop("__v")
     at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__v").alias("v"))
     later = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(1, W.unboundedFollowing)
     seeded = _seeded(
-        df.withColumn("__v", value), keys, block,
+        df, keys, block,
         F.min(F.when(F.col("__v").isNotNull(), at)), F.first("__state", ignorenulls=True).over(later)["v"],
     )
     # The state that follows a block stands behind its rows; read backwards it comes first.
@@ -135,11 +166,14 @@ def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks,
                   amount: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Add the running sum of `amount` over the rows of the same key."""
-    earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    seeded = _seeded(
-        df.withColumn("__v", amount.cast("bigint")), keys, block, F.sum("__v"), F.sum("__state").over(earlier)
-    )
+    df = df.withColumn("__v", amount.cast("bigint"))
     upto = 0 if inclusive else -1
+    block = _blocks(df, keys, block)
+    if block is None:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
+        return df.withColumn(out, _grouped(keys, F.coalesce(F.sum("__v").over(whole), F.lit(0)).cast("bigint"))).drop("__v")
+    earlier = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    seeded = _seeded(df, keys, block, F.sum("__v"), F.sum("__state").over(earlier))
     inside = W.partitionBy(*keys, _BLOCK).orderBy(F.desc(_SEED), *order).rowsBetween(W.unboundedPreceding, upto)
     total = F.coalesce(F.sum("__v").over(inside), F.lit(0)).cast("bigint")
     return _data(seeded.withColumn(out, _grouped(keys, total)))

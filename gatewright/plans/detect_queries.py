@@ -121,7 +121,21 @@ def resolve_chain_query(spark, d):
     key = F.col("p_partkey")
     ref = F.when((key > 1) & (key % 11 != 0), F.floor(key / 2))
     parts = table(spark, d, "part").select(key, ref.alias("parent"), "p_brand")
-    return resolve_chain(parts, "p_partkey", "parent", "p_brand", max_depth=32)
+    return resolve_chain(parts, "p_partkey", "parent", "p_brand")
+
+
+@query("resolve_chain_deep", """
+WITH RECURSIVE walk AS (
+  SELECT p_partkey AS key, p_partkey AS node, 0 AS depth FROM part
+  UNION ALL SELECT key, node - 1, depth + 1 FROM walk WHERE node > 1 AND node % 97 <> 0)
+SELECT w.key, p.p_brand AS value, CAST(w.depth AS INT) AS depth
+FROM walk w JOIN part p ON p.p_partkey = w.node WHERE w.node <= 1 OR w.node % 97 = 0
+""")
+def resolve_chain_deep(spark, d):
+    """Part -> the part before it, up to 96 steps to 0, 1 or a multiple of 97."""
+    key = F.col("p_partkey")
+    parts = table(spark, d, "part").select(key, F.when((key > 1) & (key % 97 != 0), key - 1).alias("parent"), "p_brand")
+    return resolve_chain(parts, "p_partkey", "parent", "p_brand")
 
 
 @query("detect_zero_divisor", """

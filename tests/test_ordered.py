@@ -78,15 +78,16 @@ def test_as_of_is_strict(spark):
 def test_chain_ends(spark):
     """Terminal, deep, dangling and circular references, against a walk."""
     refs = {i: i + 1 for i in range(1, 40)}
+    refs.update({i: i + 1 for i in range(1000, 1099)} | {1099: 40})
     refs.update({100: 101, 101: 100, 200: 999})
     rows = [(k, r, f"lit{k}") for k, r in refs.items()] + [(40, None, "end"), (50, None, "own")]
     out = {r.key: (r.value, r.depth) for r in resolve_chain(
-        spark.createDataFrame(rows, "k int, ref int, lit string"), "k", "ref", "lit", max_depth=32).collect()}
+        spark.createDataFrame(rows, "k int, ref int, lit string"), "k", "ref", "lit").collect()}
     for key in (*refs, 40, 50):
         at, depth = key, 0
-        while refs.get(at) is not None and depth <= 32:
+        while refs.get(at) is not None and depth <= 300:
             at, depth = refs[at], depth + 1
-        known = at in (40, 50) and depth <= 32
+        known = at in (40, 50) and depth <= 300
         assert out[key] == (({40: "end", 50: "own"}[at], depth) if known else (None, None)), key
 
 
@@ -108,3 +109,19 @@ def test_pairing_of_unbalanced_tokens(spark, blocked):
     block = seq_rows("tok_no", 6) if blocked else None
     out = pair_spans(df, ["doc"], F.col("d"), block=block)
     assert {(r.doc, r.open_no, r.close_no, r.depth) for r in out.collect()} == want
+
+
+def test_block_cuts(spark):
+    """Null positions, bursts and ties give the same rows for every block size, and no block is much too large."""
+    rows = [(1, i if i % 21 else None, i) for i in range(1, 400)] + [(1, 10**12, 1000)] + [(2, 5, i) for i in range(50)] + [(None, i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, at long, tie int")
+    for op in (lambda b: running_total(df, ["k"], ["at", "tie"], b, F.lit(1), "v"),
+               lambda b: last_before(df, ["k"], ["at", "tie"], b, F.col("tie"), "v"),
+               lambda b: next_after(df, ["k"], ["at", "tie"], b, F.col("tie"), "v")):
+        want = sorted(map(str, op(seq_rows("at", 10_000)).collect()))
+        for size in (5, 40):
+            assert sorted(map(str, op(seq_rows("at", size)).collect())) == want
+    burst = spark.createDataFrame([(1, i, i) for i in range(1000)] + [(1, 10**9, 0)], "k int, at long, tie int")
+    cut = seq_rows("at", 100)
+    sizes = cut.assign(burst, ["k"], cut.most(burst, ["k"])).groupBy("__block").count().collect()
+    assert len(sizes) >= 9 and max(r["count"] for r in sizes) <= 130
