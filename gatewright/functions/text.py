@@ -70,15 +70,46 @@ SUMMARY_LIMIT_BYTES, SUMMARY_KEEP = 850 * 1024, 800 * 1024
 COMMENT_LIMIT_CHARS, COMMENT_KEEP = 60_000, 58_000
 
 
+def split_outside(col: Column, openers: str = "<([{", closers: str = ">)]}") -> Column:
+    """The parts of a text between commas that stand in no bracket, however deep; an empty text has none.
+
+    A fold over the text's brackets, commas and runs between them; the `>` of `=>` closes nothing.
+    """
+    pieces = F.regexp_extract_all(col, F.lit(r"=>|[<>()\[\]{},]|[^<>()\[\]{},=]+|="), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, piece: Column) -> Column:
+        cut = (piece == ",") & (state["depth"] == 0)
+        depth = state["depth"] + F.when(piece.isin(list(openers)), 1).when(piece.isin(list(closers)), -1).otherwise(0)
+        return F.struct(
+            F.greatest(depth, F.lit(0)).alias("depth"),
+            F.when(cut, F.lit("")).otherwise(F.concat(state["part"], piece)).alias("part"),
+            F.when(cut, F.concat(state["parts"], F.array(state["part"]))).otherwise(state["parts"]).alias("parts"),
+        )
+
+    whole = F.aggregate(pieces, start, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
+    return F.when(F.trim(col) == "", F.array().cast("array<string>")).otherwise(whole)
+
+
 def relative_path(path: Column, base: str) -> Column:
-    """Strip the base and decode percent escapes; other paths stay as they are.
+    """The path as seen from the base folder, percent escapes decoded; `../` leads out of it.
 
-    A `+` is a plain character in a path. A path that cannot be decoded is only stripped.
+    Paths of another root (scheme and host, drive) stay as they are. A `+` is a plain character in
+    a path. A path that cannot be decoded is only made relative.
     """
-    prefix = base if base.endswith("/") else base + "/"
-    rest = F.substr(path, F.lit(len(prefix) + 1))
+    root = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:/*[^/]*)?/?"
+    folder = base if base.endswith("/") else base + "/"
+    base_root = F.regexp_extract(F.lit(folder), root, 0)
+    steps = F.split(F.substr(F.lit(folder), F.length(base_root) + 1), "/")  # ends with an empty name
+    names = F.split(F.substr(path, F.length(base_root) + 1), "/")
+    most = F.least(F.size(steps), F.size(names)) - 1
+    shared = F.coalesce(
+        F.array_min(F.filter(F.sequence(F.lit(0), most), lambda i: (i == most) | (F.get(steps, i) != F.get(names, i)))), F.lit(0))
+    up = F.repeat(F.lit("../"), F.size(steps) - 1 - shared)
+    rest = F.concat(up, F.array_join(F.slice(names, shared + 1, F.size(names)), "/"))
     decoded = F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B")))
-    return F.when(path.startswith(prefix), F.coalesce(decoded, rest)).otherwise(path)
+    same_root = F.regexp_extract(path, root, 0) == base_root
+    return F.when(same_root & (base_root != ""), F.coalesce(decoded, rest)).otherwise(path)
 
 
 # The formats of report times.

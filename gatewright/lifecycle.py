@@ -61,6 +61,43 @@ def match_issue(runs: DataFrame, issues: DataFrame, tag: str = TAG) -> DataFrame
     return runs.join(newest, "context_key", "left")
 
 
+def context_forms(pr: Column, branch: Column) -> tuple[Column, Column]:
+    """(label, tag) of a run: of its pull request, else of its branch, else null."""
+    has_branch = F.coalesce(branch, F.lit("")) != ""
+    return (
+        F.when(pr.isNotNull(), F.concat(F.lit("pr-"), pr.cast("string"))).when(has_branch, F.concat(F.lit("branch-"), branch)),
+        F.when(pr.isNotNull(), F.format_string("[PR #%s]", pr.cast("string"))).when(has_branch, F.format_string("[Branch: %s]", branch)),
+    )
+
+
+def issue_marks(issues: DataFrame) -> DataFrame:
+    """(issue_id, mark): labels of quality issues, and tags in their title or body.
+
+    A branch may hold `]`, so each end bracket of a run without blanks and `[` ends a tag.
+    """
+    quality = issues.filter(is_quality_issue())
+    by_label = quality.select("issue_id", F.explode("labels").alias("mark"))
+    runs = F.regexp_extract_all(
+        F.concat_ws("\n", "title", "body"), F.lit(r"(\[(?:PR #|Branch: )[^\s\[]*\])"), F.lit(1)
+    )
+    ends = F.split("run", r"\]")
+    tags = F.transform(
+        F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.concat(F.array_join(F.slice(ends, 1, i), "]"), F.lit("]"))
+    )
+    by_tag = quality.select("issue_id", F.explode(runs).alias("run")).select("issue_id", F.explode(tags).alias("mark"))
+    return by_label.unionByName(by_tag).distinct()
+
+
+def match_context(runs: DataFrame, issues: DataFrame, label: str = "label", tag: str = "tag") -> DataFrame:
+    """Each run with the newest open quality issue that has its label or holds its tag, or null."""
+    open_issues = issues.filter(F.col("state") == "open")
+    newest = issue_marks(open_issues).join(open_issues.select("issue_id", "opened_at"), "issue_id").groupBy("mark").agg(
+        F.max(F.struct("opened_at", "issue_id")).alias("found"))
+    by = lambda column, out: newest.select(F.col("mark").alias(column), F.col("found").alias(out))
+    met = runs.join(by(label, "__label"), label, "left").join(by(tag, "__tag"), tag, "left")
+    return met.withColumn("issue_id", F.greatest("__label", "__tag")["issue_id"]).drop("__label", "__tag")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Incoming rows replace current rows of the same key; others are kept.
 

@@ -22,8 +22,8 @@ def _test(rule: dict, col: str, mode: str = "") -> str:
     return f"(({needs}) AND {pattern})"
 
 
-def scan(lines: DataFrame, rules: Sequence[dict], col: str = "line") -> DataFrame:
-    """One row per (rule, line) hit; all rules are tested in one pass over the lines.
+def scan(lines: DataFrame, rules: Sequence[dict], col: str = "line", every: bool = False) -> DataFrame:
+    """One row per (rule, line) hit, or with `every` per match; all rules are tested in one pass over the lines.
 
     A rule is a dict with `rule_id`, `pattern` and optionally `unless`, a pattern
     that lets a line off, and `needs`, plain texts a match cannot do without. Two
@@ -34,11 +34,12 @@ def scan(lines: DataFrame, rules: Sequence[dict], col: str = "line") -> DataFram
         test = _test(rule, col)
         if rule.get("unless"):
             test += f" AND NOT rlike({col}, {sql_str(rule['unless'])})"
-        hits.append(f"CASE WHEN {test} THEN {sql_str(rule['rule_id'])} END")
-    return lines.withColumn("rule_id", F.explode(F.expr(f"array_compact(array({', '.join(hits)}))")))
+        times = f"regexp_count({col}, {sql_str(rule['pattern'])})" if every else "1"
+        hits.append(f"CASE WHEN {test} THEN array_repeat({sql_str(rule['rule_id'])}, {times}) END")
+    return lines.withColumn("rule_id", F.explode(F.expr(f"flatten(array_compact(array({', '.join(hits)})))")))
 
 
-def scan_texts(df: DataFrame, id_cols: Sequence[str], text: str, rules: Sequence[dict]) -> DataFrame:
+def scan_texts(df: DataFrame, id_cols: Sequence[str], text: str, rules: Sequence[dict], every: bool = False) -> DataFrame:
     """`scan` over the lines of whole texts.
 
     A line can only match when its text does (patterns are tried in multi-line
@@ -47,9 +48,9 @@ def scan_texts(df: DataFrame, id_cols: Sequence[str], text: str, rules: Sequence
     """
     suspects = df.filter(F.expr(" OR ".join(_test(rule, text, "(?m)") for rule in rules)))
     if len(id_cols) == 1:
-        return scan(to_lines(suspects, id_cols[0], text), rules)
+        return scan(to_lines(suspects, id_cols[0], text), rules, every=every)
     packed = suspects.withColumn("__id", F.struct(*id_cols))
-    return scan(to_lines(packed, "__id", text), rules).select("__id.*", "line_no", "line", "rule_id")
+    return scan(to_lines(packed, "__id", text), rules, every=every).select("__id.*", "line_no", "line", "rule_id")
 
 
 def line_hits(text: str, rules: Sequence[dict]) -> str:
@@ -87,16 +88,17 @@ def contains_any(df: DataFrame, col: str, terms: Sequence[str], also: str | None
     )
 
 
-def one_pass(df: DataFrame, keep: Sequence[str], tests: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+def one_pass(df: DataFrame, keep: Sequence[str], tests: Sequence[tuple]) -> DataFrame:
     """Several row rules in one reading: (keep, rule_id, member) for every test a row meets.
 
-    A test is (rule_id, condition, member).
+    A test is (rule_id, condition, member), or (rule_id, condition, member, times) for several hits of a row.
     """
     rows = [
-        F.when(condition, F.struct(F.lit(rule_id).alias("rule_id"), member.cast("string").alias("member")))
-        for rule_id, condition, member in tests
+        F.when(condition, F.array_repeat(
+            F.struct(F.lit(rule_id).alias("rule_id"), member.cast("string").alias("member")), times[0] if times else F.lit(1)))
+        for rule_id, condition, member, *times in tests
     ]
-    return df.select(*keep, F.inline(F.array_compact(F.array(*rows))))
+    return df.select(*keep, F.inline(F.flatten(F.array_compact(F.array(*rows)))))
 
 
 def per_match(col: Column, pattern: str) -> Column:

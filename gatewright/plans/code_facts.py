@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewright.functions.text import sql_str
+from gatewright.functions.text import split_outside, sql_str
 from gatewright.operators.enclosing import in_scope
 from gatewright.operators.spans import pair_spans
 from gatewright.session import stage
@@ -127,15 +127,11 @@ def _describe(scopes: DataFrame) -> DataFrame:
 
 def _params(scopes: DataFrame) -> DataFrame:
     """(scope_id, file_id, open_no, line, method, header, idx, modifier, type, name): parameters of methods."""
-    plain = F.regexp_replace(F.col("head_args"), r"=[^,]*", "")
-    # Commas inside type arguments do not separate parameters; two levels are unfolded.
-    for _ in range(2):
-        plain = F.regexp_replace(plain, r"<([^<>,]*),([^<>]*)>", "<$1‚$2>")
     rows = scopes.filter((F.col("kind") == "method") & (F.trim("head_args") != "")).select(
         "scope_id", "file_id", "path", "open_no", "open_line", "close_line", "p_kind", "p_name",
-        F.col("name").alias("method"), "header", F.posexplode(F.split(plain, ",")).alias("idx", "raw"),
+        F.col("name").alias("method"), "header", F.posexplode(split_outside(F.col("head_args"))).alias("idx", "raw"),
     )
-    raw = F.trim("raw")
+    raw = F.trim(F.regexp_replace("raw", r"(?s)(?<![=!<>])=(?![=>]).*$", ""))  # without a default value
     form = r"^(?:(in|ref|out|params|this)\s+)?(.+?)\s+(\w+)$"
     return rows.select(
         *[c for c in rows.columns if c != "raw"],

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.catalogue.rules import OFF_BY_ONE, OFF_BY_ONE_LINE, RULE_NAME, RULE_SEVERITY, RULES, SCAN_RULES
-from gatewright.functions.text import sql_lookup
+from gatewright.functions.text import split_outside, sql_lookup
 from gatewright.operators.columns import camel, chain_depth, identical, magic_numbers, pascal
 from gatewright.operators.groups import (
-    after_terminal, empty_groups, extras, inverted_pairs, layer_boundary, missing_member, presence_xor, repeat_use,
+    after_terminal, empty_groups, extras, layer_boundary, missing_member, presence_xor, repeat_use,
     token_not_passed, unguarded,
 )
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
@@ -142,15 +142,15 @@ def structure_rules(facts: CodeFacts) -> list[DataFrame]:
 
     keep = [*PLACE, "close_line", "name"]
     of_methods = methods.join(body, "scope_id", "left").join(takes, "scope_id", "left").select(
-        *keep, F.inline(F.array(
+        *keep, F.inline(F.array_compact(F.array(
             row("CQ001", lines), row("CQ002", C("paths")), row("CQ004", C("nested")), row("CQ007", C("effort")),
-            F.when(is_ctor, row("CQ006", C("takes"))).otherwise(row("CQ003", C("takes"))),
-        )),
+            row("CQ003", C("takes")), F.when(is_ctor, row("CQ006", C("takes"))),
+        ))),
     )
-    bases = F.regexp_replace(F.regexp_extract("header", r":\s*(.*?)(?:\s+where\s.*)?$", 1), r"<[^<>]*>", "")
+    bases = F.regexp_extract("header", r":\s*(.*?)(?:\s+where\s.*)?$", 1)
     of_types = types.filter(is_class).select(
         *keep, F.inline(F.array(
-            row("CQ005", lines), row("CQ008", F.when(bases != "", F.size(F.split(bases, ",")))),
+            row("CQ005", lines), row("CQ008", F.when(bases != "", F.size(split_outside(bases)))),
         )),
     )
     plain = methods.filter((C("p_kind") == "type") & ~is_ctor & ~C("name").startswith("~"))
@@ -241,29 +241,34 @@ def _zero_division(facts: CodeFacts) -> DataFrame:
     """
     assign = r"(?:^|[\s(])(\w+)\s*=\s*([^=].*)$"
     is_name = r"^[A-Za-z_]\w*$"
-    in_method = _within(facts, "method").select("scope_id", *PLACE, "seq", "text")
-    assigns = in_method.filter(_is(assign)).select(
-        "scope_id", "file_id", F.regexp_extract("text", assign, 1).alias("var"), "seq",
-        F.regexp_replace(F.regexp_extract("text", assign, 2), r"[()\-+\s]", "").alias("assigned"),
+    # The nearest method or accessor holds a statement's variables; without one only fields count.
+    nearest = _within(facts, "method", "accessor").groupBy("file_id", "seq").agg(F.max_by("scope_id", "open_no").alias("scope_id"))
+    around = _within(facts, "type").groupBy("file_id", "seq").agg(F.max_by("scope_id", "open_no").alias("type_scope"))
+    placed = facts.stmts.select(*PLACE, "seq", "text").join(nearest, ["file_id", "seq"], "left").join(
+        around, ["file_id", "seq"], "left")
+    # Signs and brackets around a whole value say nothing about it being 0; inside they do.
+    value = F.trim(F.regexp_replace(F.regexp_extract("text", assign, 2), r"^[\s(+\-]+(?=[\w.]+[\s)]*$)|[\s)]+$", ""))
+    assigns = placed.filter(C("scope_id").isNotNull() & _is(assign)).select(
+        "scope_id", "type_scope", F.regexp_extract("text", assign, 1).alias("var"), "seq", value.alias("assigned"),
     ).withColumn("node", F.concat_ws("#", "scope_id", "seq", "var"))
-    initial = _fields(facts).filter(_is("=")).groupBy("file_id", C("name").alias("var")).agg(
-        F.min_by(F.trim(F.regexp_extract("text", r"=\s*(.*)$", 1)), "seq").alias("initial")
-    )
+    first = F.trim(F.regexp_replace(F.regexp_extract("text", r"=\s*(.*)$", 1), r"^[\s(+\-]+(?=[\w.]+[\s)]*$)|[\s)]+$", ""))
+    initial = _fields(facts).filter(_is("=")).groupBy(C("p_scope").alias("type_scope"), C("name").alias("var")).agg(
+        F.min_by(first, "seq").alias("initial"))
     nodes = assigns.select("scope_id", "var", "seq", "node")
     by_name = assigns.filter(_is(is_name, "assigned")).select(
-        "scope_id", "file_id", C("assigned").alias("var"), "seq", C("node").alias("origin"))
+        "scope_id", "type_scope", C("assigned").alias("var"), "seq", C("node").alias("origin"))
     linked = latest_before(by_name, nodes, ["scope_id", "var"], "seq", "node", None, "ref").join(
-        initial, ["file_id", "var"], "left").select("origin", "ref", "initial")
+        initial, ["type_scope", "var"], "left").select("origin", "ref", "initial")
     chain = assigns.join(linked, C("node") == C("origin"), "left").select(
         "node", "ref", F.coalesce("initial", "assigned").alias("literal"))
     values = resolve_chain(chain, "node", "ref", "literal").select(C("key").alias("node"), "value")
 
-    uses = in_method.filter(_is(r"[/%]")).withColumn(
+    uses = placed.filter(_is(r"[/%]")).withColumn(
         "var", F.explode(F.regexp_extract_all("text", F.lit(r"[/%]=?\s*[(\-]*(\w+(?:\.\d+)?)"), F.lit(1)))
     ).drop("text")
     found = (
         latest_before(uses, nodes, ["scope_id", "var"], "seq", "node", None, "node")
-        .join(values, "node", "left").join(initial, ["file_id", "var"], "left")
+        .join(values, "node", "left").join(initial, ["type_scope", "var"], "left")
     )
     divisor = F.when(C("var").rlike(r"^\d"), C("var")).otherwise(F.coalesce("value", "initial"))
     return hit(found.filter(divisor.isin(ZEROS)), "SAF002", C("var"))
@@ -273,17 +278,19 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
     out = []
     in_method = _within(facts, "method")
     lock_on = r"^lock\s*\((.*)\)$"
-    nested = _within(facts, "lock").filter(_is(lock_on)).groupBy("scope_id", "file_id", "header", "open_line").agg(
+    # An outer lock with its first inner one, and the method they are in; pairs meet within a file only.
+    holder = in_method.groupBy("file_id", C("seq").alias("open_no")).agg(F.max_by("name", C("depth")).alias("method"))
+    nested = _within(facts, "lock").filter(_is(lock_on)).groupBy("file_id", "path", "open_no", "header", "open_line").agg(
         F.min_by("text", "seq").alias("inner")
-    ).select("file_id", C("open_line").alias("line_no"), F.regexp_extract("header", lock_on, 1).alias("outer_lock"),
-             F.regexp_extract("inner", lock_on, 1).alias("inner_lock"))
-    crossed = inverted_pairs(nested, ["file_id"], "outer_lock", "inner_lock")
-    where = nested.groupBy("file_id", F.least("outer_lock", "inner_lock").alias("a"), F.greatest("outer_lock", "inner_lock").alias("b")).agg(
-        F.max("line_no").alias("line_no"))
-    out.append(hit(
-        crossed.join(where, ["file_id", "a", "b"]).join(facts.files.select("file_id", "path"), "file_id"), "CON001",
-        F.concat("a", F.lit("/"), "b"), actual=C("n_ab") * C("n_ba"),
-    ))
+    ).join(holder, ["file_id", "open_no"], "left").select(
+        "file_id", "path", "open_no", C("open_line").alias("line_no"), "method",
+        F.regexp_extract("header", lock_on, 1).alias("outer_lock"), F.regexp_extract("inner", lock_on, 1).alias("inner_lock"))
+    before = nested.select("file_id", C("open_no").alias("first_no"), C("method").alias("first_method"),
+                           C("outer_lock").alias("inner_lock"), C("inner_lock").alias("outer_lock"))
+    crossed = nested.join(before, ["file_id", "outer_lock", "inner_lock"]).filter(C("first_no") < C("open_no"))
+    out.append(hit(crossed, "CON001", F.coalesce("method", F.lit("Method")), vars=F.create_map(
+        F.lit("other"), F.coalesce("first_method", F.lit("Method")),
+        F.lit("order"), F.concat("outer_lock", F.lit(" -> "), "inner_lock"))))
     shared = _fields(facts).filter(_is(r"(?:^|\s)static\s") & ~_is(r"(?:^|\s)(?:readonly|const)\s")).select(
         "file_id", C("name").alias("changed"), C("p_scope").alias("type_scope")).distinct()
     owner = facts.scopes.select("scope_id", C("p_scope").alias("type_scope"))
@@ -326,7 +333,7 @@ def enclosed_rules(facts: CodeFacts) -> list[DataFrame]:
         ("CON009", kind.isin("for", "foreach") & (started != "") & (loop_var != "") & F.contains(started, loop_var), loop_var),
         ("CON011", header.rlike(PARALLEL) & _is(r"\.(?:Add|Remove|Clear)\s*\("), C("text")),
         ("SEC005", (kind == "method") & _is(r"new\s+(?:System\.)?Random\s*\(") & F.lower("name").rlike(SENSITIVE), C("name")),
-        ("PERF006", in_loop & _is(r"\.Substring\s*\("), C("text")),
+        ("PERF006", in_loop & _is(r"\.Substring\s*\("), C("text"), F.regexp_count("text", F.lit(r"\.Substring\s*\("))),
         ("PERF008", (kind == "method") & _is(r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\("), F.lit("new Regex()")),
     ]
     # Every arrow inside a loop is a hit, so this rule may hit a statement more than once.
@@ -401,8 +408,9 @@ def _string_growth(facts: CodeFacts) -> DataFrame:
         "method_scope", C("name").alias("var"), F.lit(1).alias("priority"), _kind_of(C("type")).alias("kind"))
     params = facts.params.select(
         C("scope_id").alias("method_scope"), C("param").alias("var"), F.lit(2).alias("priority"), _kind_of(C("type")).alias("kind"))
-    fields = _fields(facts).select("file_id", C("name").alias("var"), C("type"))
-    field_decl = grown.select("file_id", "method_scope", "var").distinct().join(fields, ["file_id", "var"]).select(
+    fields = _fields(facts).select(C("p_scope").alias("type_scope"), C("name").alias("var"), C("type"))
+    around = facts.scopes.select(C("scope_id").alias("method_scope"), C("p_scope").alias("type_scope"))
+    field_decl = grown.select("method_scope", "var").distinct().join(around, "method_scope").join(fields, ["type_scope", "var"]).select(
         "method_scope", "var", F.lit(3).alias("priority"), _kind_of(C("type")).alias("kind"))
     decls = local_decl.unionByName(params).unionByName(field_decl)
     typed = classify(grown, decls, ["method_scope", "var"], [("number", NUMERIC_NAMES), ("string", TEXT_NAMES)], "var", "unknown")
@@ -486,7 +494,7 @@ def line_rules(facts: CodeFacts) -> list[DataFrame]:
     raw = [r for r in SCAN_RULES if r["rule_id"] in _ON_LITERALS]
     code = [r for r in SCAN_RULES if r["rule_id"] not in _BY_FACTS | _ON_LITERALS]
     found = [
-        scan_texts(facts.code.select(*keep, "text"), keep, "text", code),
+        scan_texts(facts.code.select(*keep, "text"), keep, "text", code, every=True),
         scan_texts(facts.files.select(*keep, "text"), keep, "text", raw),
     ]
     return [hit(frame.withColumn("member", F.trim("line")), None) for frame in found]

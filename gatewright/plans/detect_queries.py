@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from gatewright.catalogue.rules import SCAN_RULES
 from gatewright.operators.columns import camel, chain_depth, identical, magic_numbers, pascal, zero_divisor
-from gatewright.operators.enclosing import in_scope
+from gatewright.operators.enclosing import in_scope, in_scope_same_key
 from gatewright.operators.groups import (
     after_terminal, empty_groups, extras, inverted_pairs, layer_boundary, missing_member, presence_xor, repeat_use,
     token_not_passed, unguarded,
 )
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
-from gatewright.operators.ordered import last_before, time_rows
+from gatewright.operators.ordered import last_before, next_after, time_rows
 from gatewright.operators.scan import contains_any, scan_texts
 from gatewright.plans.fixtures import EVENTS_SQL, documents, events, quoted
 from gatewright.plans.metric_queries import SPAN_SQL, page_spans
@@ -205,23 +205,28 @@ def detect_in_scope(spark, d):
 
 @query("detect_scope_key_match", f"""
 WITH {EVENTS_SQL}, o AS (
-  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN {{'props': props, 'event_id': event_id}} END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN {{'props': props, 'event_id': event_id, 'value': value}} END IGNORE NULLS)
             OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opener
   FROM ev)
 SELECT event_id, user_id, event_type, props, opener.event_id AS opened_by FROM o
-WHERE event_type NOT IN ('signup', 'error') AND opener.props = props
+WHERE event_type NOT IN ('signup', 'error') AND opener.props = props AND NOT coalesce(floor(opener.value) % 7 = 0, false)
 """)
 def detect_scope_key_match(spark, d):
-    """Sessions run from one signup to the next; an event repeating the opener's `props` is a hit, errors are exempt."""
-    kind = F.col("event_type")
-    opener = F.when(kind == "signup", F.struct("props", "event_id"))
-    inside = last_before(
-        events(spark, d).select("event_id", "user_id", "ts", "event_type", "props"),
-        ["user_id"], ["ts", "event_id"], time_rows("ts"), opener, "opener",
-    )
-    return inside.filter(~kind.isin("signup", "error") & (F.col("opener.props") == F.col("props"))).select(
-        "event_id", "user_id", "event_type", "props", F.col("opener.event_id").alias("opened_by")
-    )
+    """Sessions run from one signup to the next; an event repeating the opener's `props` is a hit.
+
+    Errors are no items, and sessions whose signup has a value of a whole part divisible by 7 let their events off.
+    """
+    ev = events(spark, d).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "ts", "event_type", "props", "value")
+    signup = F.col("event_type") == "signup"
+    opened = next_after(ev.filter(signup), ["user_id"], ["ts", "event_id"], time_rows("ts"), F.col("pos"), "next")
+    last = ev.agg(F.max("pos") + 1).scalar()
+    spans = opened.select("user_id", F.col("pos").alias("start_pos"), F.coalesce("next", last).alias("end_pos"),
+                          F.col("props").alias("opener"), F.col("event_id").alias("opened_by"), F.col("value").alias("opening"))
+    items = ev.filter(~signup & (F.col("event_type") != "error")).select("event_id", "user_id", "pos", "event_type", "props")
+    day = 24 * 3600 * 1_000_000
+    free = spans.filter(F.floor("opening") % 7 == 0).select("user_id", "start_pos", "end_pos")
+    hits = in_scope_same_key(items, spans, ["user_id"], ("props", "opener"), exempt=free, item_id=("event_id",), width=day)
+    return hits.select("event_id", "user_id", "event_type", "props", "opened_by")
 
 
 @query("detect_missing_member", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewright.lifecycle import close_scope, lifecycle, match_issue, upsert
+from gatewright.lifecycle import close_scope, context_forms, lifecycle, match_context, match_issue, upsert
 from gatewright.operators.mentions import mentions
 from gatewright.plans.fixtures import EVENTS_SQL, ISSUES_SQL, documents, events, issues, plain_times, runs
 from gatewright.session import table
@@ -32,6 +32,28 @@ def issue_match(spark, d):
     return match_issue(runs(spark, d), issues(spark, d)).select("run_id", "context_key", "issue_id")
 
 
+@query("issue_match_context", f"""
+WITH {EVENTS_SQL}, {ISSUES_SQL}, found AS (
+  SELECT issue_id, opened_at, CAST(substr(context_key, 6) AS BIGINT) AS u FROM open_quality)
+SELECT e.event_id AS run_id, CASE WHEN e.user_id % 2 = 0 THEN 'pr-' || e.user_id ELSE 'branch-b' || e.user_id END AS label, i.issue_id
+FROM ev e LEFT JOIN (SELECT u, arg_max(issue_id, (opened_at, issue_id)) AS issue_id FROM found GROUP BY 1) i ON i.u = e.user_id
+""")
+def issue_match_context(spark, d):
+    """Users are pull requests (even) or branches; half of their issues have the label, the others the tag."""
+    user = F.col("user_id")
+    pr, branch = F.when(user % 2 == 0, user), F.concat(F.lit("b"), user.cast("string"))
+    label, tag = context_forms(pr, branch)
+    marked = issues(spark, d).withColumn("user_id", F.regexp_extract(F.concat_ws(" ", "labels", "title", "body"), r"user-(\d+)", 1).cast("bigint"))
+    by_label = F.col("issue_id") % 2 == 0
+    quality = F.array_remove("labels", F.concat(F.lit("user-"), user.cast("string")))
+    marked = marked.select(
+        "issue_id", "state", "opened_at", F.when(by_label, F.array_append(quality, label)).otherwise(quality).alias("labels"),
+        F.when(by_label, F.regexp_replace("title", r"\[.*$", "")).otherwise(F.concat(F.regexp_replace("title", r"\[.*$", ""), tag)).alias("title"),
+        F.regexp_replace("body", r"\[[^\]]*\]", "").alias("body"))
+    return match_context(events(spark, d).select(F.col("event_id").alias("run_id"), label.alias("label"), tag.alias("tag")), marked).select(
+        "run_id", "label", "issue_id")
+
+
 @query("issue_file_match", """
 SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))
 """)

@@ -218,13 +218,19 @@ def report_truncate(spark, d):
 
 
 @query("path_relative", """
-SELECT page_id, path, CASE WHEN path LIKE 'https://%' THEN url_decode(substr(path, 9)) ELSE path END AS relative
-FROM (SELECT page_id, url || '/a%20b+c%2Cd' AS path FROM pages)
+SELECT page_id, path, CASE page_id % 4 WHEN 0 THEN url_decode(name) WHEN 1 THEN url_decode('deep/' || name)
+  WHEN 2 THEN '../b/' || url_decode(name) ELSE path END AS relative
+FROM (SELECT page_id, name, CASE page_id % 4 WHEN 0 THEN '/data/a/' WHEN 1 THEN '/data/a/deep/' WHEN 2 THEN '/data/b/'
+        ELSE 'https://host/data/a/' END || name AS path
+      FROM (SELECT page_id, split_part(url, '/', 3) || '/p%20q+r%2Cs' AS name FROM pages))
 """)
 def path_relative(spark, d):
-    path = F.concat("url", F.lit("/a%20b+c%2Cd"))
+    """Below the base, deeper, beside it, and under another root."""
+    name = F.concat(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/p%20q+r%2Cs"))
+    folders = F.array(*[F.lit(x) for x in ("/data/a/", "/data/a/deep/", "/data/b/", "https://host/data/a/")])
+    path = F.concat(F.element_at(folders, (F.col("page_id") % 4 + 1).cast("int")), name)
     return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn(
-        "relative", relative_path(F.col("path"), "https://")
+        "relative", relative_path(F.col("path"), "/data/a")
     )
 
 

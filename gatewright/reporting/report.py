@@ -16,6 +16,8 @@ from gatewright.schema import ERROR, WARNING
 ERROR_ROWS = 50
 WARNING_ROWS = {"comment": 10, "summary": 25}
 BLUEPRINT_ROWS = {ERROR: 15, WARNING: 5}
+# `seq` alone may tie (two rules on one line, folded ids); rows that tie here too are equal in a report.
+ORDER = ["seq", "target", "rule_id", "line_no", "end_line_no", "member", "description"]
 
 
 def file_groups(findings: DataFrame, only_errors: bool = True, group: tuple[str, ...] = ("run_id", "target")) -> DataFrame:
@@ -23,7 +25,7 @@ def file_groups(findings: DataFrame, only_errors: bool = True, group: tuple[str,
 
     Rows stay rows; `group_seq` (the file's first `seq`) and `group_rows` come from
     one small row per file, so a file with very many findings is never gathered.
-    Sort by (run_id, group_seq, seq) to print.
+    Sort by (run_id, group_seq, target) and ORDER to print.
     """
     shown = findings.filter(F.col("severity") == ERROR) if only_errors else findings
     firsts = shown.groupBy(*group).agg(F.min("seq").alias("group_seq"), F.count("*").alias("group_rows"))
@@ -40,7 +42,7 @@ def topk_overflow(findings: DataFrame, k_by_severity: Mapping[str, int], run: st
     for severity, k in k_by_severity.items():
         limit = F.when(F.col("severity") == severity, k).otherwise(limit)
     graded = findings.filter(F.col("severity").isin(list(k_by_severity)))
-    w = W.partitionBy(run, "severity").orderBy("seq")
+    w = W.partitionBy(run, "severity").orderBy(*[c for c in ORDER if c in findings.columns])
     # The largest k bounds the rank first: a constant bound is what the optimizer pushes down.
     top = (
         graded.withColumn("row_no", F.row_number().over(w))

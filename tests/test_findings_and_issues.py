@@ -9,7 +9,7 @@ from gatewright.catalogue.advice import ADVICE, advice_table
 from gatewright.catalogue.rules import RULES, SCAN_RULES
 from gatewright.catalogue.templates import ROWS
 from gatewright.extend import Rules
-from gatewright.lifecycle import close_scope, issue_keys, lifecycle, match_issue, upsert
+from gatewright.lifecycle import close_scope, context_forms, issue_keys, lifecycle, match_context, match_issue, upsert
 from gatewright.operators.groups import after_terminal, inverted_pairs
 from gatewright.plans.code_facts import code_facts
 from gatewright.plans.code_rules import code_findings
@@ -123,6 +123,18 @@ def test_issue_matching(spark):
     assert {r.context_key: r.issue_id for r in match_issue(runs, issues).collect()} == {"dev": 4, "fix]a": 1, "none": None}
 
 
+def test_context_matching(spark):
+    issues = spark.createDataFrame([
+        (1, "❌ [PR #7]", "", [], "open", 1), (2, "t", "b", ["code-quality-violation", "pr-7"], "open", 5),
+        (3, "t [Branch: fix]a]", "❌ Critical Blocking Errors", [], "open", 2), (4, "t", "b", ["code-quality-violation", "branch-fix]a"], "open", 1),
+        (5, "[PR #70]", "Critical Blocking Errors", [], "open", 9), (6, "t", "b", ["pr-8"], "open", 9),
+    ], ISSUE)
+    label, tag = context_forms(F.col("pr"), F.col("branch"))
+    runs = spark.createDataFrame([(7, "x"), (None, "fix]a"), (8, None), (None, ""), (70, None)], "pr int, branch string")
+    got = match_context(runs.withColumns({"label": label, "tag": tag}), issues).collect()
+    assert {(r.pr, r.branch): r.issue_id for r in got} == {(7, "x"): 2, (None, "fix]a"): 3, (8, None): None, (None, ""): None, (70, None): 5}
+
+
 def test_issue_closing(spark):
     runs = spark.createDataFrame([(1, "fix", 5, True), (2, "other", 4, True), (3, "dev", 1, False), (4, "main", 9, True)],
                                  "run_id int, context_key string, ts int, passed boolean")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gatewright.functions.text import escape_property, fill, html_escape, relative_path, truncate_text
+from gatewright.functions.text import escape_property, fill, html_escape, relative_path, split_outside, truncate_text
 from gatewright.operators.columns import camel, magic_numbers, pascal
 from gatewright.operators.enclosing import in_scope, in_scope_same_key
 from gatewright.operators.mentions import mention_pairs
@@ -114,6 +114,9 @@ def test_text_functions(spark):
         relative_path(F.lit("/base/a%20b+c.cs"), "/base").alias("rel"),
         relative_path(F.lit("/other/a%20b"), "/base").alias("other"),
         relative_path(F.lit("/base/50%"), "/base").alias("odd"),
+        F.array(*[relative_path(F.lit(p), "/base/x/") for p in (
+            "/base/x/y", "/base/y", "/base/x", "/base/xy/z", "C:/base/x/y", "y", "/")]).alias("paths"),
+        F.array(*[split_outside(F.lit(t)) for t in ("a, b", "M<A<B<C, D>, E>, F> a, (int, int) b = (1, 2), D[,] c, x => x", "", "a<b")]).alias("parts"),
         fill(F.lit("{a} {b} {c} {"), F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("B"))).alias("filled"),
         F.array(*[pascal(F.lit(n)) for n in ("item_count", "__", "already", "Done", "a__b", "")]).alias("pascal"),
         camel(F.lit("Item_Count")).alias("camel"),
@@ -121,7 +124,9 @@ def test_text_functions(spark):
     assert row.prop == "50%25%3A a%2C%0D%0Ab"
     assert row.html == "&lt;a href=&#39;x&#39;&gt;&quot;&#233;&amp;&#119070;&#160;ő&lt;/a&gt;"
     assert (row.bytes, row.chars) == ("éé…", "ééé")
-    assert (row.rel, row.other, row.odd) == ("a b+c.cs", "/other/a%20b", "50%")
+    assert (row.rel, row.other, row.odd) == ("a b+c.cs", "../other/a b", "50%")
+    assert row.paths == ["y", "../y", "../x", "../xy/z", "C:/base/x/y", "y", "../../"]
+    assert row.parts == [["a", " b"], ["M<A<B<C, D>, E>, F> a", " (int, int) b = (1, 2)", " D[,] c", " x => x"], [], ["a<b"]]
     assert row.filled == "{b} B {c} {"
     assert row.pascal == ["ItemCount", "__", "Already", "Done", "AB", ""] and row.camel == "itemCount"
 
