@@ -147,7 +147,8 @@ def _blocks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
         "block", "id", "hash", F.xxhash64(F.lit(1), "text").alias("more"), F.length("text").alias("length")
     )
     first = keys.groupBy("hash", "more", "length").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    first = first.filter("most > least").drop("most")
+    # Written first, so that the join is one of two plain tables, whose hot texts Spark can split.
+    first = stage(first.filter("most > least").drop("most"), "first-copies")
     copies = stage(keys.join(first, ["hash", "more", "length"]).filter("id > least").select("block", "id", "hash"), "copies")
     return rows.select("block", "id", "text").repartition(n, "block"), copies, max(size.words, 1)
 
