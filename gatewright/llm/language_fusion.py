@@ -171,11 +171,12 @@ def identify(rows: DataFrame, model: TextModel, keys: Sequence[str], markup: boo
         table = known.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*sums).alias("n"), F.count("*").alias("rows"))
         share = F.col("rows") / F.lit(everywhere)
         logs = [F.log((F.col("n")[i] + CODE_ROWS * share) / (total[i] + CODE_ROWS)) for i in range(size)]
-        return table.select(F.col(column).alias(f"{column}_key"), F.array(*logs).alias(f"{column}_log"))
+        return stage(table.select(F.col(column).alias(f"{column}_key"), F.array(*logs).alias(f"{column}_log")), column)
 
     hosts = known.filter("host IS NOT NULL").groupBy("host").agg(F.array(*sums).alias("at_host"), F.first("site").alias("of_site"))
     sites = hosts.groupBy("of_site").agg(F.array(*[F.sum(F.col("at_host")[i]) for i in range(size)]).alias("at_site"))
-    hosts = hosts.join(sites, "of_site", "left").select(F.col("host").alias("host_key"), "at_host", "at_site")
+    # Tables of counts are written first: joins of plain tables, whose hot keys Spark can split.
+    hosts = stage(hosts.join(sites, "of_site", "left").select(F.col("host").alias("host_key"), "at_host", "at_site"), "hosts")
     own = F.coalesce("p", F.array_repeat(F.lit(0.0), size))
     rest = lambda at: F.zip_with(F.coalesce(at, own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     added = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
