@@ -76,7 +76,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id
 def _probes(windows: DataFrame, index: Index) -> DataFrame:
     """(window, probes): distinct windows, numbered, with their terms from the rarest on."""
     spread = windows.select("window", F.posexplode("terms").alias("off", "term"))
-    counted = spread.join(index.counts(), "term", "left")
+    counted = spread.join(stage(index.counts(), "term-counts"), "term", "left")
     probe = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")
     ranked = counted.groupBy("window").agg(F.array_sort(F.collect_list(probe)).alias("probes"))
     return ranked.filter(F.col("probes")[0]["n"] > 0)
