@@ -15,6 +15,7 @@ from gatewright.operators.groups import (
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
 from gatewright.operators.metrics import child_count, grade, policy
 from gatewright.operators.scan import has_any, one_pass, per_match, scan_texts
+from gatewright.operators.scope import scope_lines, scope_spans
 from gatewright.plans.code_facts import BRANCH_KINDS, LOOP_KINDS, CodeFacts
 from gatewright.reporting.findings import categorise
 from gatewright.schema import as_findings, seq_of
@@ -114,7 +115,7 @@ def _locals(facts: CodeFacts) -> DataFrame:
     ).filter(~C("type").isin(NOT_TYPES))
 
 
-def structure_rules(facts: CodeFacts) -> list[DataFrame]:
+def structure_rules(facts: CodeFacts, limits: DataFrame | None = None) -> list[DataFrame]:
     methods, types = _methods(facts), _types(facts)
     in_method = _within(facts, "method")
     is_ctor = C("name") == C("p_name")
@@ -156,7 +157,8 @@ def structure_rules(facts: CodeFacts) -> list[DataFrame]:
     plain = methods.filter((C("p_kind") == "type") & ~is_ctor & ~C("name").startswith("~"))
     bloated = child_count(types.filter(is_class), plain, "scope_id", "p_scope", 20, None).select(
         *keep, F.lit("CQ009").alias("rule_id"), "actual")
-    graded = grade(of_methods.unionByName(of_types).unionByName(bloated), policy(facts.files.sparkSession))
+    limits = policy(facts.files.sparkSession) if limits is None else limits
+    graded = grade(of_methods.unionByName(of_types).unionByName(bloated), limits)
     structure = graded.select(
         *PLACE, "rule_id", C("name").alias("member"), C("close_line").alias("end_line_no"), "actual", "threshold", "severity",
         F.expr("cast(null as map<string,string>) as vars"),
@@ -500,18 +502,56 @@ def line_rules(facts: CodeFacts) -> list[DataFrame]:
     return [hit(frame.withColumn("member", F.trim("line")), None) for frame in found]
 
 
-FAMILIES = [structure_rules, safety_rules, concurrency_rules, enclosed_rules, statement_rules, security_rules,
+FAMILIES = [safety_rules, concurrency_rules, enclosed_rules, statement_rules, security_rules,
             performance_rules, architecture_rules, line_rules]
 
 
-def code_findings(facts: CodeFacts) -> DataFrame:
-    """Findings of all 72 rules; `run_id` is left blank for the caller."""
-    hits = union_all([frame for family in FAMILIES for frame in family(facts)])
+#: Settings that replace the limit of a measuring rule.
+LIMIT_SETTINGS = {
+    "CQ001": "MaxMethodLines", "CQ002": "MaxCyclomaticComplexity", "CQ003": "MaxParameterCount", "CQ004": "MaxNestingDepth",
+}
+#: Rules that look at a whole file, however little of it changed.
+UNSCOPED = ["CON001"]
+
+
+def limits_from(settings: DataFrame, column: str = "settings") -> DataFrame:
+    """The policy with the limits of one row of settings, as `gate_settings` gives them."""
+    limit = C("threshold")
+    for rule_id, name in LIMIT_SETTINGS.items():
+        limit = F.when(C("rule_id") == rule_id, settings.select(f"{column}.{name}").scalar()).otherwise(limit)
+    return policy(settings.sparkSession).withColumn("threshold", limit.cast("int"))
+
+
+def scope_findings(found: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """Findings that a change (path, line_no) touches; None keeps all.
+
+    A measured span stays if it holds a changed line or its file has none; a finding in a line
+    stays if that line changed, so an empty change keeps spans and no lines.
+    """
+    if changed is None:
+        return found
+    path = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    lines = changed.select(path.alias("path_key"), "line_no").distinct()
+    keyed = found.withColumn("path_key", F.lower(F.replace("target", F.lit("\\"), F.lit("/"))))
+    span, whole = C("end_line_no") > 0, C("rule_id").isin(UNSCOPED)
+    kept = scope_spans(keyed.filter(span & ~whole), lines, start="line_no", end="end_line_no")
+    touched = scope_lines(keyed.filter(~span & ~whole), lines.withColumnRenamed("path_key", "path"), path="path_key")
+    return kept.unionByName(touched).unionByName(keyed.filter(whole)).drop("path_key")
+
+
+def code_findings(facts: CodeFacts, changed: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """Findings of all 72 rules; `run_id` is left blank for the caller.
+
+    `changed` limits them to what changed, `settings` is one row of `gate_settings`.
+    """
+    limits = None if settings is None else limits_from(settings)
+    hits = union_all([*structure_rules(facts, limits), *(frame for family in FAMILIES for frame in family(facts))])
     order = sql_lookup("rule_id", {r: str(i) for r, i in _ORDER.items()}).cast("bigint")
     too_far = (C("rule_id") == "SAF004") & _is(OFF_BY_ONE_LINE, "member")
     named = hits.withColumn("rule_name", F.when(too_far, OFF_BY_ONE).otherwise(sql_lookup("rule_id", RULE_NAME)))
-    return categorise(as_findings(
+    found = categorise(as_findings(
         named, target=C("path"), severity=F.coalesce("severity", sql_lookup("rule_id", RULE_SEVERITY)),
         description=F.concat("rule_name", F.lit(": "), "member"),
         seq=seq_of(C("file_id"), order * 1_000_000 + C("line_no"), 80_000_000),
     ))
+    return scope_findings(found, changed)

@@ -5,6 +5,9 @@ puts them in front of its own rows, as failures that happened before, and runs t
 batch lifecycle over both. That plan cuts each key's rows into time blocks, so a
 context sending a third of all rows does not end in one task, as it would in a
 per-key state function.
+
+A row older than what an earlier micro-batch has seen could belong inside an issue that
+is already closed, so it is refused: order a stream, or watermark and sort it, first.
 """
 
 from __future__ import annotations
@@ -41,7 +44,10 @@ def advance(open_issues: DataFrame, batch: DataFrame, keys: Sequence[str], ts: s
 
 
 def stream_lifecycle(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column) -> DataFrame:
-    """Run the issue lifecycle over the data present: all issues, closed and open."""
+    """Run the issue lifecycle over the data present: all issues, closed and open.
+
+    Raises an error when a micro-batch holds a row older than the newest row before it.
+    """
     spark = stream.sparkSession
     rows = stream.select(*keys, ts, tie, failed.alias("failed"))
     base = fresh_dir(spark, "issues")
@@ -52,7 +58,15 @@ def stream_lifecycle(stream: DataFrame, keys: Sequence[str], ts: str, tie: str,
     empty = spark.createDataFrame([], ddl)
     write_batch(empty, base, -1)
 
+    seen = fresh_dir(spark, "issues-seen")
+    newest_seen = spark.createDataFrame([], f"newest {ts_type}")
+    write_batch(newest_seen, seen, -1)
+
     def each(batch: DataFrame, batch_id: int) -> None:
+        before = read_batches(spark, seen, newest_seen.schema).filter(F.col("batch") < batch_id).agg(F.max("newest").alias("newest"))
+        late = batch.filter(F.col(ts) < before.scalar())
+        if not late.isEmpty():
+            raise ValueError("a micro-batch holds rows older than those before it")
         # A repeated micro-batch starts from the version before it, as the first time.
         versions = read_batches(spark, base, empty.schema).filter(F.col("batch") < batch_id)
         last = versions.agg(F.max("batch").alias("b")).scalar()
@@ -61,6 +75,7 @@ def stream_lifecycle(stream: DataFrame, keys: Sequence[str], ts: str, tie: str,
         else:
             current = versions.filter((F.col("state") == "open") & (F.col("batch") == last))
         write_batch(advance(current, batch, keys, ts, tie, "failed").select(empty.columns), base, batch_id)
+        write_batch(batch.agg(F.max(ts).alias("newest")), seen, batch_id)
 
     query = (
         rows.writeStream.outputMode("append")

@@ -4,6 +4,7 @@ import pytest
 
 from gatewright.plans.code_facts import code_facts
 from gatewright.plans.code_rules import code_findings
+from gatewright.sources.settings import gate_settings
 
 CHAIN = "".join(f"int v{i} = v{i - 1}; " for i in range(1, 60))
 BODY = "class C {{\n    void Run(int t)\n    {{\n        {}\n    }}\n}}"
@@ -41,3 +42,21 @@ def test_findings(found, name):
 
 def test_lock_members(found):
     assert sorted(m for t, r, _, m in found if r == "CON001") == ["M1", "M2"]
+
+
+def test_scope_and_settings(spark):
+    """No change given, changed lines, a file without any, and limits from settings."""
+    text = BODY.format("Use(a.Result);\n        Use(b.Result);") + "\n" + TEXTS["constructor"][0] + "\n" + TEXTS["locks"][0]
+    files = spark.createDataFrame([(1, "Src\\One.cs", text), (2, "src/Two.cs", text)], "file_id bigint, path string, text string")
+    facts = code_facts(files)
+    of = lambda found: sorted((r.target[4:7], r.rule_id, r.line_no) for r in found.collect() if r.rule_id in WATCHED)
+    both = lambda *hits: [(f, *h) for f in ("One", "Two") for h in hits]
+    locks = [("CON001", 26), ("CON001", 33)]
+    assert of(code_findings(facts)) == sorted(both(("CON003", 4), ("CON003", 5), ("CQ003", 10), *locks))
+    schema = "path string, line_no int"
+    some = spark.createDataFrame([("src/one.cs", 5), ("src/one.cs", 12), ("src/Two.cs", 99)], schema)
+    assert of(code_findings(facts, some)) == sorted([("One", "CON003", 5), ("One", "CQ003", 10), *both(*locks)])
+    none = spark.createDataFrame([], schema)
+    assert of(code_findings(facts, none)) == sorted(both(("CQ003", 10), *locks))
+    loose = gate_settings(spark.createDataFrame([('{"maxparametercount": 5}',)], "raw string"), "raw")
+    assert of(code_findings(facts, none, loose)) == sorted(both(*locks))
