@@ -9,7 +9,7 @@ from gatewright.session import inline_table
 _TEXTS = {
     "CQ001": ("{member} runs over {actual} lines, the limit is {limit}. Long bodies hide several jobs in one place.",
               "Move each job of the body into a method of its own.",
-              ["Mark the phases of {member}.", "Give each phase a method.", "Keep {member} under {limit} lines."],
+              ["Start where the fewest local variables are needed.", "Cut those lines out, with what they read as arguments.", "Go on until the rest fits a screen."],
               "Total(o) => Price(o) + Tax(o);"),
     "CQ002": ("{member} has {actual} paths, the limit is {limit}. Every path wants a test.",
               "Leave early and replace long ladders by lookups.",

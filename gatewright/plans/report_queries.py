@@ -10,10 +10,11 @@ from gatewright.functions.text import (
 )
 from gatewright.plans.doc_findings import ENRICHED_SQL, FINDINGS_SQL, doc_findings
 from gatewright.plans.fixtures import documents
-from gatewright.reporting.findings import categorise, enrich, gate, gate_counts
+from gatewright.reporting.findings import ACTION, ADVISORIES, PASSED, categorise, enrich, gate, gate_counts
 from gatewright.reporting.recipients import recipients
 from gatewright.reporting.report import (
-    annotations, blueprints, file_groups, metric_cell, report_text, topk_overflow,
+    BADGES, CUT_NOTICE, HEADS, TABLE_HEAD, annotations, blueprints, error_report, file_groups, metric_cell, report_text,
+    topk_overflow,
 )
 from gatewright.schema import ERROR, WARNING
 from gatewright.session import stage, table
@@ -165,7 +166,7 @@ def report_annotations(spark, d):
 
 
 _ROW_SQL = f"""
-'| ' || CASE severity WHEN 'Error' THEN '❌ **Error**' ELSE '⚠️ **Warning**' END || ' | `' || rule_id || '` ' || rule_name || ' | `' || target || ':' || line_no
+'| ' || CASE severity WHEN 'Error' THEN '{BADGES[ERROR]}' ELSE '{BADGES[WARNING]}' END || ' | `' || rule_id || '` ' || rule_name || ' | `' || target || ':' || line_no
   || '` | `' || member || '` | ' || {CELL_SQL} || ' | ' || fix || ' |'
 """
 _BLUE_SQL = """
@@ -176,33 +177,63 @@ _BLUE_SQL = """
 """
 
 
-@query("report_text", f"""
+def _text_sql(warnings: int, facts: str = "") -> str:
+    return f"""
 WITH {FINDINGS_SQL}, {ENRICHED_SQL}, {RUNS_SQL},
 ranked AS (
   SELECT *, CASE severity WHEN 'Error' THEN 0 ELSE 1 END AS place,
          row_number() OVER (PARTITION BY run_id, severity ORDER BY seq) AS row_no, count(*) OVER (PARTITION BY run_id, severity) AS n,
-         CASE severity WHEN 'Error' THEN 50 WHEN 'Warning' THEN 25 END AS k FROM enriched),
+         CASE severity WHEN 'Error' THEN 50 WHEN 'Warning' THEN {warnings} END AS k FROM enriched),
 tab AS (
   SELECT run_id, place, row_no, {_ROW_SQL} AS line FROM ranked WHERE row_no <= k
-  UNION ALL SELECT DISTINCT run_id, place, k + 1, '| ' || CASE severity WHEN 'Error' THEN '❌ **Error**' ELSE '⚠️ **Warning**' END
+  UNION ALL SELECT DISTINCT run_id, place, k + 1, '| ' || CASE severity WHEN 'Error' THEN '{BADGES[ERROR]}' ELSE '{BADGES[WARNING]}' END
      || ' | and ' || (n - k) || ' more | - | - | - | see the findings table |' FROM ranked WHERE n > k),
 tabs AS (SELECT run_id, string_agg(line, chr(10) ORDER BY place, row_no) AS body FROM tab GROUP BY run_id),
 carried AS (SELECT *, row_number() OVER (PARTITION BY run_id, severity ORDER BY seq) AS blue_no FROM ranked WHERE steps_text <> '' OR example <> ''),
 blues AS (SELECT run_id, string_agg({_BLUE_SQL}, chr(10) ORDER BY place, blue_no) AS blue FROM carried
           WHERE blue_no <= CASE severity WHEN 'Error' THEN 15 ELSE 5 END GROUP BY run_id)
 SELECT g.run_id,
-  CASE status WHEN 'PASSED' THEN '## ✅ Code Quality Gate: **PASSED**' WHEN 'PASSED WITH ADVISORIES' THEN '## ⚠️ Code Quality Gate: **PASSED WITH ADVISORIES**'
-       ELSE '## 🚨 Code Quality Check: **ACTION REQUIRED**' END || chr(10) || '- Errors: ' || errors || chr(10) || '- Warnings: ' || warnings
-  || CASE WHEN status = 'PASSED' THEN '' ELSE chr(10) || '| Severity | Rule | Location | Target | Actual vs Limit | Recommended Remediation |' || chr(10)
-       || '| :---: | :--- | :--- | :--- | :---: | :--- |' || chr(10) || t.body
+  CASE status WHEN '{PASSED}' THEN '{HEADS[PASSED]}' WHEN '{ADVISORIES}' THEN '{HEADS[ADVISORIES]}' ELSE '{HEADS[ACTION]}' END || chr(10) || '- Errors: ' || errors || chr(10) || '- Warnings: ' || warnings {facts}
+  || CASE WHEN status = 'PASSED' THEN '' ELSE chr(10) || '{TABLE_HEAD[0]}' || chr(10)
+       || '{TABLE_HEAD[1]}' || chr(10) || t.body
        || CASE WHEN b.blue IS NULL THEN '' ELSE chr(10) || '### Blueprints' || chr(10) || b.blue END END AS report
 FROM gates g LEFT JOIN tabs t ON t.run_id = g.run_id LEFT JOIN blues b ON b.run_id = g.run_id
-""")
+"""
+
+
+@query("report_text", _text_sql(25))
 def report_text_query(spark, d):
     found = stage(enriched(spark, d), "findings")
     return report_text(gate(gate_counts(all_runs(spark, d), found)), found)
 
 
+_FACTS = "|| chr(10) || '- Files analyzed: ' || (SELECT count(*) FROM documents x WHERE x.source || '/' || x.lang = g.run_id)"
+
+
+@query("report_text_comment", f"""
+SELECT run_id, CASE WHEN length(report) > 60000 THEN left(report, 58000) || '{CUT_NOTICE.replace(chr(10), "' || chr(10) || '")}' ELSE report END AS report
+FROM ({_text_sql(10, _FACTS)})
+""")
+def report_text_comment(spark, d):
+    """The shorter report, with what is known of the run."""
+    found = stage(enriched(spark, d), "findings")
+    docs = table(spark, d, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("run_id")).agg(F.count("*").alias("files"))
+    runs = gate(gate_counts(all_runs(spark, d), found)).join(docs, "run_id", "left").fillna(0, ["files"])
+    return report_text(runs, found, "comment")
+
+
+@query("report_errors", f"""
+WITH {FINDINGS_SQL}, {ENRICHED_SQL}
+SELECT run_id, min(seq) OVER (PARTITION BY run_id, target) AS group_seq, target, seq, rule_id,
+  '| `' || rule_id || '` ' || rule_name || ' | ' || CASE WHEN rule_id LIKE 'CQ%' THEN 'Code Quality' WHEN rule_id LIKE 'SEC%' THEN 'Security' ELSE 'General' END
+    || ' | `' || target || ':' || line_no || '` | `' || member || '` | ' || {CELL_SQL} || ' | ' || fix || ' |' AS line,
+  {_BLUE_SQL} AS blueprint
+FROM enriched WHERE severity = 'Error'
+""")
+def report_errors(spark, d):
+    return error_report(stage(enriched(spark, d), "findings"))
+
+
 @query("report_truncate", """
 SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN left(text, 1500) || chr(10) || '(cut)' ELSE text END AS by_bytes,
        CASE WHEN length(text) > 1000 THEN left(text, 900) || '…' ELSE text END AS by_chars

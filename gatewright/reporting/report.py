@@ -8,14 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewright.functions.text import escape_data, escape_property
-from gatewright.reporting.findings import ADVISORIES, PASSED
+from gatewright.functions.text import (
+    COMMENT_KEEP, COMMENT_LIMIT_CHARS, SUMMARY_KEEP, SUMMARY_LIMIT_BYTES, escape_data, escape_property, truncate_text,
+)
+from gatewright.reporting.findings import ACTION, ADVISORIES, PASSED, categorise
 from gatewright.schema import ERROR, WARNING
 
 # How many rows a report shows.
 ERROR_ROWS = 50
 WARNING_ROWS = {"comment": 10, "summary": 25}
 BLUEPRINT_ROWS = {ERROR: 15, WARNING: 5}
+# Status lines, badges, table heads and the notice of a cut.
+HEADS = {
+    PASSED: "## ✅ Code Quality Gate: **PASSED**",
+    ADVISORIES: "## ⚠️ Code Quality Gate: **PASSED WITH ADVISORIES**",
+    ACTION: "## 🚨 Code Quality Check: **ACTION REQUIRED**",
+}
+BADGES = {ERROR: "❌ **Error**", WARNING: "⚠️ **Warning**"}
+TABLE_HEAD = (
+    "| Severity | Rule | Location | Target | Actual vs Limit | Recommended Remediation |",
+    "| :---: | :--- | :--- | :--- | :---: | :--- |",
+)
+RUN_FACTS = {"files": "Files analyzed", "commit_sha": "Commit", "analyzed_at": "Analysis time"}
+CUT_NOTICE = "\n\n(cut: the findings table holds the rest)"
 # `seq` alone may tie (two rules on one line, folded ids); rows that tie here too are equal in a report.
 ORDER = ["seq", "target", "rule_id", "line_no", "end_line_no", "member", "description"]
 
@@ -98,7 +113,7 @@ def annotations(findings: DataFrame) -> DataFrame:
 
 def table_row() -> Column:
     """A markdown table row for a "row" or a "more" line of `topk_overflow`."""
-    badge = F.when(F.col("severity") == ERROR, "❌ **Error**").otherwise("⚠️ **Warning**")
+    badge = F.when(F.col("severity") == ERROR, BADGES[ERROR]).otherwise(BADGES[WARNING])
     full = F.concat(
         F.lit("| "), badge, F.lit(" | `"), F.col("rule_id"), F.lit("` "), F.col("rule_name"),
         F.lit(" | `"), F.col("target"), F.lit(":"), F.col("line_no").cast("string"),
@@ -134,7 +149,8 @@ def blueprint_text() -> Column:
 def report_text(runs: DataFrame, findings: DataFrame, kind: str = "summary", with_blueprints: bool = True) -> DataFrame:
     """(run_id, report): one markdown text per run.
 
-    `runs` is the output of `gate`. What is gathered per run is bounded by the row
+    `runs` is the output of `gate`, with any of the columns of RUN_FACTS. Texts over the size of
+    their kind are cut. What is gathered per run is bounded by the row
     limits of the report kind: at most 52 + 27 table rows and 20 blueprints.
     """
     rows = topk_overflow(findings, {ERROR: ERROR_ROWS, WARNING: WARNING_ROWS[kind]})
@@ -155,17 +171,35 @@ def report_text(runs: DataFrame, findings: DataFrame, kind: str = "summary", wit
         _join_sorted(F.collect_list(F.when(F.col("part") == "table", F.col("row")))).alias("__table"),
         _join_sorted(F.collect_list(F.when(F.col("part") == "blueprint", F.col("row")))).alias("__blue"),
     )
-    head = F.when(F.col("status") == PASSED, "## ✅ Code Quality Gate: **PASSED**").when(
-        F.col("status") == ADVISORIES, "## ⚠️ Code Quality Gate: **PASSED WITH ADVISORIES**"
-    ).otherwise("## 🚨 Code Quality Check: **ACTION REQUIRED**")
-    counts = F.concat(
-        F.lit("- Errors: "), F.col("errors").cast("string"), F.lit("\n- Warnings: "), F.col("warnings").cast("string")
+    head = F.when(F.col("status") == PASSED, HEADS[PASSED]).when(F.col("status") == ADVISORIES, HEADS[ADVISORIES]).otherwise(HEADS[ACTION])
+    counts = F.concat_ws(
+        "\n", F.concat(F.lit("- Errors: "), F.col("errors").cast("string")), F.concat(F.lit("- Warnings: "), F.col("warnings").cast("string")),
+        *[F.concat(F.lit(f"- {shown}: "), F.col(name).cast("string")) for name, shown in RUN_FACTS.items() if name in runs.columns],
     )
-    header = "| Severity | Rule | Location | Target | Actual vs Limit | Recommended Remediation |\n| :---: | :--- | :--- | :--- | :---: | :--- |"
+    header = "\n".join(TABLE_HEAD)
     text = F.when(F.col("status") == PASSED, F.concat_ws("\n", head, counts)).otherwise(
         F.concat_ws(
             "\n", head, counts, F.lit(header), F.when(F.col("__table") != "", F.col("__table")),
             F.when(F.coalesce(F.col("__blue"), F.lit("")) != "", F.concat(F.lit("### Blueprints\n"), F.col("__blue"))),
         )
     )
+    if kind == "summary":
+        text = truncate_text(text, SUMMARY_LIMIT_BYTES, SUMMARY_KEEP, CUT_NOTICE, "bytes")
+    else:
+        text = truncate_text(text, COMMENT_LIMIT_CHARS, COMMENT_KEEP, CUT_NOTICE)
     return runs.join(body, "run_id", "left").select("run_id", text.alias("report"))
+
+
+def error_report(findings: DataFrame) -> DataFrame:
+    """All errors of all runs as rows: (run_id, group_seq, target, seq, rule_id, line, blueprint).
+
+    The report of a run is its rows sorted by (group_seq, target) and ORDER; it has no limit, so
+    it stays rows and is never one text.
+    """
+    line = F.concat(
+        F.lit("| `"), F.col("rule_id"), F.lit("` "), F.col("rule_name"), F.lit(" | "), F.col("category"), F.lit(" | `"),
+        F.col("target"), F.lit(":"), F.col("line_no").cast("string"), F.lit("` | `"), F.col("member"), F.lit("` | "),
+        metric_cell(F.col("severity"), F.col("actual"), F.col("threshold")), F.lit(" | "), F.col("fix"), F.lit(" |"),
+    )
+    return file_groups(categorise(findings), only_errors=True).select(
+        "run_id", "group_seq", "target", "seq", "rule_id", line.alias("line"), blueprint_text().alias("blueprint"))
