@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,16 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Partitions that `spread` deals rows to; 0, the default, leaves them as the source splits them.
+SPREAD = "spark.gatewright.spread.partitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when the source has fewer splits than there are cores.
+    """Rows dealt by their keys to as many partitions as the setting SPREAD says.
 
-    For work that costs much per byte, such as patterns over texts. A source of any
-    size has more splits than that and is left as it is, without a shuffle.
+    For work that costs much per byte, such as patterns over texts, on sources of few files: a
+    bench or a test on one machine sets it. A source of any size has splits enough and is not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    n = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n, *keys) if n else df
 
 
 def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -85,9 +89,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what is staged inside once the block ends, for callers that are then done with their results.
+
+    with staging(spark):
+        query(spark, sf_dir).write.parquet(target)
+    """
+    paths: list[str] = []
+    _STAGED.append(paths)
+    try:
+        yield paths
+    finally:
+        _STAGED.remove(paths)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, deleted at the end of a `staging` block around the call."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _STAGED:
+        _STAGED[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:

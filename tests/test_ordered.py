@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gatewright.operators.lookups import latest_before, resolve_chain
 from gatewright.operators.ordered import last_before, next_after, running_total, seq_block, seq_rows
 from gatewright.operators.spans import pair_spans
+from gatewright.session import stage, staging
 
 
 def _rows(n=600, seed=1):
@@ -125,3 +127,20 @@ def test_block_cuts(spark):
     cut = seq_rows("at", 100)
     sizes = cut.assign(burst, ["k"], cut.most(burst, ["k"])).groupBy("__block").count().collect()
     assert len(sizes) >= 9 and max(r["count"] for r in sizes) <= 130
+
+
+def test_staging(spark):
+    """Staged tables go with their block, others stay; blocks may nest."""
+    rows = spark.range(5)
+    kept = stage(rows)
+    with staging(spark) as outer:
+        stage(rows)
+        with staging(spark) as inner:
+            assert stage(rows).count() == 5
+        assert len(outer) == len(inner) == 1
+        assert spark.read.parquet(outer[0]).count() == 5
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(inner[0])
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(outer[0])
+    assert kept.count() == 5
