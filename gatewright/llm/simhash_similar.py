@@ -9,7 +9,7 @@ proposed with the group's least one near it, so a group of n gives fewer than n
 
 Texts with equal words in lower case are one node, named by 64 bits of their hash. Texts without
 words are one node. Rows without an id stand behind those with one. Of rows equal in id and text one
-stays. Columns may have any name but `__id`, `__th` and `__node`. An empty table gives an empty table.
+stays. Columns may have any name but `__id`, `__th` and `__maybe`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.components import components
-from gatewright.llm.rows import KEY, NO_ID, doc_key
+from gatewright.llm.rows import KEY, NO_ID, doc_key, maybe_in
 from gatewright.llm.simhash_golay import fuzzy_keys, majority, shingle_hashes
 from gatewright.session import stage
 
@@ -134,10 +134,11 @@ def proposals(nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, doc_id: str, text: str) -> DataFrame:
     """The pairs whose shingle sets are similar enough; texts are read again only for their nodes."""
     used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    one = rows.join(used, "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("key")).select("node", "key.id", "key.th")
+    one = rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("key")).join(used, "node").select("node", "key.id", "key.th")
     one = stage(one, "to-verify")
     # Rows equal in id and text give the same set: any of them will do.
-    source = _texts(docs, doc_id, text).join(one, KEY).select("node", "text")
+    near = maybe_in(docs.select(doc_id, text), one, doc_id, text).filter("__maybe")
+    source = _texts(near, doc_id, text).join(one, KEY).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +166,17 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest id of each group of similar rows, with all its columns."""
-    groups = similar_groups(docs, shingle, similarity, doc_id, text)
+    groups = stage(similar_groups(docs, shingle, similarity, doc_id, text), "groups")
     last = (F.col("id") == NO_ID).cast("int")  # rows without an id come last
     best = F.min(F.struct(last.alias("last"), "id", "th")).alias("best")
+    kept = stage(groups.groupBy("root").agg(best).select("best.id", "best.th").distinct(), "kept")
+    # Only rows that go or that are there several times need to meet what is kept.
+    doubtful = groups.groupBy(*KEY).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), KEY, "left")
+    doubtful = stage(doubtful.filter("stays IS NULL OR n > 1").select(*KEY), "doubtful")
     names = ["__" + k for k in KEY]
-    kept = stage(groups.groupBy("root").agg(best).select(F.col("best.id").alias(names[0]), F.col("best.th").alias(names[1])).distinct(), "kept")
     key = [c.alias(n) for c, n in zip(doc_key(F.col(doc_id), F.col(text)), names, strict=True)]
-    rows = docs.select("*", *key).join(kept, names, "left_semi").dropDuplicates(names)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = maybe_in(docs, doubtful, doc_id, text)
+    checked = rows.filter("__maybe").select(*own, *key).join(
+        kept.select(*[F.col(k).alias(n) for k, n in zip(KEY, names, strict=True)]), names, "left_semi").dropDuplicates(names)
+    return rows.filter("NOT __maybe").select(*own).unionByName(checked.select(*own))
