@@ -2,10 +2,12 @@
 
 One fingerprint finds all pairs up to three bits, which are near copies with few edits. For a given
 similarity of shingle sets (Jaccard, 0.8 by default) each text gets REPEATS fingerprints from
-remixed hashes. Fingerprints that share fuzzy keys of any of them and differ in few bits are
-proposed; pairs whose bits over all fingerprints rule out the similarity go; the others are
-verified on their whole shingle sets. In a group of fingerprints with one key each is
-proposed with the group's least one near it, so a group of n gives fewer than n proposals.
+remixed hashes of its distinct shingles, so that repeats weigh neither there nor in the similarity.
+Fingerprints that share fuzzy keys of any of them and differ in few bits are proposed; pairs whose
+bits over all fingerprints make the similarity unlikely go; the others are verified on their whole
+shingle sets. In a group of fingerprints with one key each is proposed with the group's least one
+near it, so a group of n gives fewer than n proposals. Members whose proposal is refused are proposed
+among each other, against HEADS of them a round, until none are left.
 
 Texts with equal words in lower case are one node, named by 64 bits of their hash. Texts without
 words are one node. Rows without an id stand behind those with one. Of rows equal in id and text one
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewright.llm.components import components
@@ -30,6 +33,8 @@ from gatewright.session import stage
 SHINGLE, SIMILARITY, REPEATS = 5, 0.8, 4
 #: Bits in which one fingerprint, and all together, may differ in a proposal.
 ONE_BITS, ALL_BITS = 10, 52
+#: Members of a refused group that the others meet in one round.
+HEADS = 32
 MIXERS = tuple(np.uint64(m) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 KEYS_EACH = 3 << 24
 
@@ -48,6 +53,12 @@ def node_of(text: bytes | None) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+def distinct_shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text, each once."""
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(*doc_key(F.col(doc_id), F.col(text)), F.col(text).cast("binary").alias("text"))
 
@@ -59,9 +70,9 @@ def prints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text
             nodes, fps = [], []
             for value in batch.column(2):
                 raw = value.as_py()
-                parts = list(shingle_hashes(raw, shingle))
+                once = distinct_shingles(raw, shingle)
                 nodes.append(node_of(raw))
-                fps.append([majority(iter([remixed(p, r) for p in parts])) for r in range(REPEATS)])
+                fps.append([majority(iter([remixed(once, r)])) for r in range(REPEATS)])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
                                   names=[*KEY, "node", "fps"])
 
@@ -90,7 +101,7 @@ def star_links(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray,
 
 
 def proposals(nodes: DataFrame) -> DataFrame:
-    """(u, v) pairs of nodes to verify, from (node, fps)."""
+    """(r, g, v) from (node, fps): node v is proposed with node g, as their fingerprints r are near."""
     each = nodes.select("node", F.posexplode("fps").alias("r", "fp"))
     heads = stage(each.groupBy("r", "fp").agg(F.min("node").alias("head"), F.max("node").alias("last")), "heads")
 
@@ -121,19 +132,23 @@ def proposals(nodes: DataFrame) -> DataFrame:
     rows = heads.select("r", "fp").mapInArrow(keyed, "key int, fp bigint").repartition(F.col("key")).sortWithinPartitions("key")
     near = rows.mapInArrow(linked, "r int, u bigint, v bigint").distinct()
     head = lambda name: heads.select("r", F.col("fp").alias(name), F.col("head").alias(f"n{name}"))
-    pairs = near.join(head("u"), ["r", "u"]).join(head("v"), ["r", "v"]).select("nu", "nv")
+    pairs = near.join(head("u"), ["r", "u"]).join(head("v"), ["r", "v"]).select("r", F.col("nu").alias("g"), F.col("nv").alias("v"))
     # Nodes that share a fingerprint meet its head.
-    same = each.join(heads.filter("last <> head"), ["r", "fp"]).filter("node <> head").select(F.col("head").alias("nu"), F.col("node").alias("nv"))
-    pairs = pairs.unionByName(same).filter("nu <> nv").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
+    same = each.join(heads.filter("last <> head"), ["r", "fp"]).select("r", F.col("head").alias("g"), F.col("node").alias("v"))
+    return pairs.unionByName(same).filter("g <> v").distinct()
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) pairs of nodes, smaller one first, whose bits over all fingerprints are few enough to verify them."""
+    pairs = pairs.select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v")).distinct()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return both.filter(differ <= ALL_BITS).select("u", "v")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """The pairs whose shingle sets are similar enough; texts are read again only for their nodes."""
-    used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def shingle_sets(used: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """(node, shingles) of the nodes `used`; texts are read again only for them."""
     one = rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("key")).join(used, "node").select("node", "key.id", "key.th")
     one = stage(one, "to-verify")
     # Rows equal in id and text give the same set: any of them will do.
@@ -143,23 +158,66 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, value in zip(*batch.columns, strict=True):
-                parts = list(shingle_hashes(value.as_py(), shingle))
-                found = np.unique((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).astype(np.uint32)).view(np.int32)
+                found = np.unique(distinct_shingles(value.as_py(), shingle).astype(np.uint32)).view(np.int32)
                 yield pa.record_batch([pa.array([node.as_py()], pa.int64()), pa.array([found], pa.list_(pa.int32()))], names=["node", "shingles"])
 
-    sets = stage(source.mapInArrow(run, "node bigint, shingles array<int>"), "shingle-sets")
+    return stage(source.mapInArrow(run, "node bigint, shingles array<int>"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are similar enough."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.filter(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct()
 
 
+def rounds(pool: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(r, g, h, v) from groups (r, g) of nodes v: the HEADS least members h of each, with those behind and near them."""
+    several = pool.groupBy("r", "g").agg(F.count("*").alias("n")).filter("n > 1").select("r", "g")
+    each = nodes.select(F.col("node").alias("v"), F.posexplode("fps").alias("r", "fp"))
+    ranked = stage(pool.join(several, ["r", "g"]).join(each, ["r", "v"]), "refused")
+    least = ranked.withColumn("at", F.row_number().over(W.partitionBy("r", "g").orderBy("fp", "v"))).filter(F.col("at") <= HEADS)
+    heads = least.groupBy("r", "g").agg(F.collect_list(F.struct("fp", F.col("v").alias("h"))).alias("heads"))
+    own = F.struct("fp", F.col("v").alias("h"))
+    near = F.filter("heads", lambda x: (x <= own) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= ONE_BITS))
+    # Heads meet themselves too, which marks them as done.
+    return ranked.join(heads, ["r", "g"]).select("r", "g", "v", F.explode(near).alias("head")).select("r", "g", F.col("head.h").alias("h"), "v")
+
+
+def links_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """(u, v): verified pairs of nodes, of all rounds of proposals."""
+    pool = stage(proposals(nodes), "proposals")
+    met, number = pool.withColumn("h", F.col("g")), 0
+    links = tried = sets = None
+    while True:
+        pairs = likely(met.filter("h <> v"), nodes)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        new = used if sets is None else stage(used.join(sets.select("node"), "node", "left_anti"), "new-nodes")
+        if sets is None or not new.isEmpty():
+            more = shingle_sets(new, docs, rows, shingle, doc_id, text)
+            sets = more if sets is None else sets.unionByName(more)
+        found = stage(verified(pairs, sets, similarity), "links")
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        number += 1
+        if number % 16 == 0:  # keep the plans short
+            links, tried = stage(links, "links"), stage(tried, "tried")
+        # Members leave that are linked to one they were proposed with, and heads, which all others have met.
+        pair = met.select("r", "g", "v", F.least("h", "v").alias("u"), F.greatest("h", "v").alias("w"))
+        linked = pair.join(links.withColumnRenamed("v", "w"), ["u", "w"]).select("r", "g", "v")
+        gone = linked.unionByName(met.filter("h = v").select("r", "g", "v")).distinct()
+        pool = stage(pool.join(gone, ["r", "g", "v"], "left_anti"), "pool")
+        met = stage(rounds(pool, nodes), "met")
+        if met.isEmpty():
+            return links
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, node, root): rows of one root are connected by equal words or verified pairs."""
     rows = stage(prints(docs, shingle, doc_id, text), "prints")
     nodes = stage(rows.groupBy("node").agg(F.min("fps").alias("fps")), "nodes")
-    pairs = stage(proposals(nodes), "proposals")
-    links = verified(pairs, docs, rows, shingle, similarity, doc_id, text)
+    links = links_of(docs, rows, nodes, shingle, similarity, doc_id, text)
     roots = stage(components(links), "roots")
     return rows.select(*KEY, "node").join(roots, "node", "left").select(*KEY, "node", F.coalesce("root", "node").alias("root"))
 

@@ -8,7 +8,7 @@ from gatewright.llm import golay
 from gatewright.llm.components import components
 from gatewright.llm.rows import doc_key
 from gatewright.llm.simhash_golay import fingerprint, fuzzy_keys, group_links, near_duplicates
-from gatewright.llm.simhash_similar import keep_one, similar_groups, star_links
+from gatewright.llm.simhash_similar import ONE_BITS, keep_one, links_of, prints, proposals, rounds, similar_groups, star_links
 from pyspark.sql import functions as F
 from tests.llm import brute
 
@@ -155,3 +155,31 @@ def test_keep_one(spark):
         [("2", a.upper()), ("7", b), ("4", ""), ("None", "alone here"), ("3", " x ")])
     assert keep_one(docs.limit(0)).collect() == []
     assert docs.select(*doc_key(F.col("doc_id"), F.col("text"))).distinct().count() == 9
+
+
+def test_repeats_do_not_hide_a_copy(spark):
+    """A footer that stands once in one text and often in the other changes no shingle set much."""
+    rows, rng = [], random.Random(4)
+    for i in range(8):
+        words = " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(400))
+        footer = " " + " ".join(f"f{rng.randrange(10 ** 9)}" for _ in range(8))
+        rows += [(2 * i, words + footer), (2 * i + 1, words + footer * 60)]
+    got = {r.id: r.root for r in similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(8)) and len(set(got.values())) == 8
+
+
+def test_refused_members_meet_each_other(spark):
+    """Where the least member of a group is like no other, the others are still proposed among themselves."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, "quite another text of a few words"), (1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "and one more that is like none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    node = {r.id: r.node for r in prints(docs).collect()}
+    # Fingerprints one bit apart put all in one star, whose head is text 0.
+    near = [(node[i], [1 << i if i else 0] * 4) for i in range(4)]
+    nodes = spark.createDataFrame(near, "node bigint, fps array<bigint>")
+    assert {(r.g, r.v) for r in proposals(nodes).collect() if r.g == node[0]} == {(node[0], node[i]) for i in (1, 2, 3)}
+    links = links_of(docs, prints(docs), nodes, 5, .8, "doc_id", "text").collect()
+    assert {(r.u, r.v) for r in links} == {tuple(sorted((node[1], node[2])))}
+    pool = spark.createDataFrame([(0, 9, node[i]) for i in (1, 2, 3)], "r int, g bigint, v bigint")
+    met = {(r.h, r.v) for r in rounds(pool, nodes).collect() if r.h != r.v}
+    assert met == {(node[1], node[2]), (node[1], node[3]), (node[2], node[3])} and ONE_BITS >= 2
