@@ -11,7 +11,8 @@ sees their size and broadcasts them only below its limit.
 
 Rows: a null or empty text has no words and gets a row with zeros. Repeated rows each get their row.
 A row without doc_id is judged like any other. Items without words match nothing; items with equal
-texts all count. Other columns are not read. Empty documents give an empty table, an empty
+texts all count. Items that share an id count as one in `items`, whatever their texts; items without an id
+are found like any other, but are not named there. Other columns are not read. Empty documents give an empty table, an empty
 benchmark gives no hits.
 """
 
@@ -128,8 +129,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     vocabulary = every.select(F.explode("terms").alias("term")).distinct()
     index = build_index(docs, vocabulary, doc_id, text)
     # Equal windows are searched once, under a number; the benchmark bounds this table.
-    numbered = stage(every.groupBy("terms").agg(F.min(F.struct("item_id", "at")).alias("one")).select(
-        "terms", F.xxhash64("one.item_id", "one.at").alias("window")), "numbered")
+    # Written once with its numbers, which no two windows share, whatever the ids of their items are.
+    numbered = stage(every.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()), "numbered")
     owners = stage(every.join(numbered, "terms").select("window", "item_id").distinct(), "owners")
     matches = stage(phrase_matches(index, numbered.select("window", "terms")), "matches")
     # A word counts once however many windows cover it: only what reaches past earlier ends is new.

@@ -51,3 +51,13 @@ def test_empty(spark):
     docs, items, (d, b) = tables(spark)
     assert contamination(d.limit(0), b).collect() == []
     assert {r.n_hit for r in contamination(d, b.limit(0)).collect()} == {0}
+
+
+def test_ids_of_items(spark):
+    """Items that share an id, or have none, are all found."""
+    items = [(1, "red green blue"), (1, "one two three"), (None, "salt and pepper"), (None, "to and fro")]
+    docs = [(i, f"x {t} y") for i, (_, t) in enumerate(items)] + [(9, "red two pepper")]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.id: (r.n_hit, r["items"]) for r in contamination(d, b).collect()}
+    assert got == {0: (3, ["1"]), 1: (3, ["1"]), 2: (3, []), 3: (3, []), 9: (0, [])}
+    assert [r.doc_id for r in drop_contaminated(d, b).collect()] == [9]
