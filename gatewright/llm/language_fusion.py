@@ -1,8 +1,9 @@
 """Language identification that fuses evidence by Bayes' rule.
 
 - Text: likelihood of hashed letter trigrams in each language, counted on a bounded sample of
-  labelled texts (about SAMPLE texts a language, by a hash of the text). A class UND, which finds
-  all trigrams equally likely, stands for what is in none of the languages.
+  labelled texts (about SAMPLE texts a language, by a hash of the text). Every label that occurs has
+  its model, kept sparse: only trigrams that were seen in it. A class UND, which finds all
+  trigrams equally likely, stands for what is in none of the languages.
 - Markup and address: how often a declared language or an address suffix goes with each language.
 - Host: a prior smoothed over its site, and that over all rows, without the row's own part.
 
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewright.llm.rows import KEY, doc_key, id_of, without
-from gatewright.session import stage
+from gatewright.session import inline_table, stage
 
-UND, SAMPLE, LANGUAGES = "und", 2_000, 64
-PLACES, CHUNK = 1 << 16, 1 << 20
+UND, SAMPLE = "und", 2_000
+PLACES = 1 << 16
 #: Trigrams whose evidence counts in full, as neighbouring trigrams are not independent.
 FULL = 60.0
 #: Rows that the wider level counts for: all rows within a site, a site within a host; of a code within its language.
@@ -72,48 +73,60 @@ def trigrams(text: str | None, markup: bool = False) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Languages, the last of them UND, and log likelihoods by place and language."""
+    """Languages, the last of them UND, and log likelihoods by place and language.
+
+    `unseen` has one of each language for places it never had; from `starts[place]` on stand the
+    languages in `seen` that had the place, and what they add to it in `more`.
+    """
 
     languages: list[str]
-    logs: np.ndarray
+    unseen: np.ndarray
+    starts: np.ndarray
+    seen: np.ndarray
+    more: np.ndarray
 
     def evidence(self, text: str | None, markup: bool) -> list[float] | None:
         places = trigrams(text, markup)
         if not len(places):
             return None
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(places), CHUNK):
-            total += self.logs[places[at: at + CHUNK]].sum(0, dtype=np.float64)
+        used, times = np.unique(places, return_counts=True)
+        sizes = self.starts[used + 1] - self.starts[used]
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[used] - np.cumsum(sizes) + sizes, sizes)
+        total = self.unseen * len(places) + np.bincount(self.seen[at], self.more[at] * np.repeat(times, sizes), len(self.languages))
         total *= min(1.0, FULL / len(places))
         return (total - total.max()).tolist()
 
 
 def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Counts from about `sample` texts of each of the LANGUAGES most frequent labels."""
+    """Counts from about `sample` texts of each label."""
     known = docs.select(F.col(text).alias("text"), F.col(label).alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
-    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
+    sizes = known.groupBy("label").count().collect()
     languages = sorted(r.label for r in sizes)
-    share = dict((r.label, sample / r["count"]) for r in sizes)
+    number = {name: i for i, name in enumerate(languages)}
     if languages:
-        cut = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, int(share[k] * 1_000_000))]), F.col("label"))
-        known = known.filter(F.col("label").isin(languages) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < cut))
+        cut = inline_table(docs.sparkSession, [(r.label, int(sample / r["count"] * 1_000_000)) for r in sizes], "label string, cut bigint")
+        known = known.join(cut, "label").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("cut")).select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), PLACES), dtype=np.int64)
         for batch in batches:
+            total: dict[int, np.ndarray] = {}
             for value, name in zip(batch.column(0), batch.column(1), strict=True):
-                np.add.at(total[languages.index(name.as_py())], trigrams(value.as_py()), 1)
-        language, place = np.nonzero(total)
-        yield pa.record_batch([pa.array(language.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total[language, place])],
-                              names=["language", "place", "n"])
-
-    counts = np.zeros((PLACES, len(languages)))
+                one = total.setdefault(number[name.as_py()], np.zeros(PLACES, dtype=np.int64))
+                np.add.at(one, trigrams(value.as_py()), 1)
+            for language, one in total.items():
+                place = np.flatnonzero(one)
+                yield pa.record_batch([pa.array(np.full(len(place), language, np.int32)), pa.array(place.astype(np.int32)), pa.array(one[place])],
+                                      names=["language", "place", "n"])
+
+    size = len(languages)
+    language, place, n = (np.zeros(0, np.int64),) * 3
     if languages:
         rows = known.mapInArrow(count, "language int, place int, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n")).toPandas()
-        counts[rows.place, rows.language] = rows.n
-    logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * PLACES))
-    even = np.full((PLACES, 1), -np.log(PLACES))
-    return TextModel([*languages, UND], np.concatenate((logs, even), axis=1).astype(np.float32))
+        rows = rows.sort_values(["place", "language"])
+        language, place, n = (rows[c].to_numpy().astype(np.int64) for c in ("language", "place", "n"))
+    unseen = np.log(0.1 / (np.bincount(language, n, size) + 0.1 * PLACES))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=PLACES))))
+    return TextModel([*languages, UND], np.append(unseen, -np.log(PLACES)), starts, language, np.log((n + 0.1) / 0.1))
 
 
 def declared_language(markup: Column) -> Column:
@@ -145,60 +158,74 @@ def identify(rows: DataFrame, model: TextModel, keys: Sequence[str], markup: boo
     """
     size = len(model.languages)
     source = rows.select(*keys, "host", "declared", "text")
-    schema = T.StructType([*source.drop("text").schema.fields, T.StructField("text_log", T.ArrayType(T.DoubleType()))])
+    lists = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*source.drop("text").schema.fields, T.StructField("text_log", lists), T.StructField("p", lists)])
+
+    def chances(logs: np.ndarray) -> np.ndarray:
+        raw = np.exp(logs - logs.max(-1, keepdims=True))
+        return raw / raw.sum(-1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            found = pa.array([model.evidence(t.as_py(), markup) for t in column], pa.list_(pa.float64()))
-            yield batch.drop_columns(["text"]).append_column("text_log", found)
-
-    def chances(logs: Column) -> Column:
-        top = F.array_max(logs)
-        raw = F.transform(logs, lambda x: F.exp(x - top))
-        return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+            found = [model.evidence(t.as_py(), markup) for t in column]
+            own = [None if x is None else chances(np.array(x)) for x in found]
+            yield batch.drop_columns(["text"]).append_column("text_log", pa.array(found, pa.list_(pa.float64()))).append_column(
+                "p", pa.array(own, pa.list_(pa.float64())))
 
-    scored = source.mapInArrow(run, schema).withColumn("p", chances(F.col("text_log")))
+    scored = source.mapInArrow(run, schema)
     scored = stage(scored.withColumn("site", site_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "text-evidence")
     known = scored.filter("p IS NOT NULL")
-    sums = [F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(size)]
-    total = known.agg(F.array(*sums).alias("all")).first()["all"]
+
+    def summed(table: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+        """(keys, out, rows): sums of the arrays in `column`, place by place, and the number of rows."""
+        each = table.select(*keys, F.posexplode(column).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"), F.count("*").alias("rows"))
+        return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(out), F.max("rows").alias("rows"))
+
+    total = summed(known, [], "p", "all").first()["all"] or [0.0] * size
     everywhere = sum(total) or 1.0
-    overall = F.array(*[F.lit((x + 0.5) / (everywhere + 0.5 * size)) for x in total])
+    overall = (np.array(total) + 0.5) / (everywhere + 0.5 * size)
 
     def code_logs(column: str) -> DataFrame:
         """(column, <column>_log): log chance of the code in each language, smoothed with its chance overall."""
-        table = known.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*sums).alias("n"), F.count("*").alias("rows"))
+        table = summed(known.filter(F.col(column).isNotNull()), [column], "p", "n")
         share = F.col("rows") / F.lit(everywhere)
-        logs = [F.log((F.col("n")[i] + CODE_ROWS * share) / (total[i] + CODE_ROWS)) for i in range(size)]
-        return stage(table.select(F.col(column).alias(f"{column}_key"), F.array(*logs).alias(f"{column}_log")), column)
+        logs = F.zip_with("n", F.array(*[F.lit(x) for x in total]), lambda n, t: F.log((n + CODE_ROWS * share) / (t + CODE_ROWS)))
+        return stage(table.select(F.col(column).alias(f"{column}_key"), logs.alias(f"{column}_log")), column)
 
-    hosts = known.filter("host IS NOT NULL").groupBy("host").agg(F.array(*sums).alias("at_host"), F.first("site").alias("of_site"))
-    sites = hosts.groupBy("of_site").agg(F.array(*[F.sum(F.col("at_host")[i]) for i in range(size)]).alias("at_site"))
+    hosts = stage(summed(known.filter("host IS NOT NULL"), ["host", "site"], "p", "at_host").drop("rows").withColumnRenamed("site", "of_site"), "host-sums")
+    sites = summed(hosts, ["of_site"], "at_host", "at_site").drop("rows")
     # Tables of counts are written first: joins of plain tables, whose hot keys Spark can split.
     hosts = stage(hosts.join(sites, "of_site", "left").select(F.col("host").alias("host_key"), "at_host", "at_site"), "hosts")
-    own = F.coalesce("p", F.array_repeat(F.lit(0.0), size))
-    rest = lambda at: F.zip_with(F.coalesce(at, own), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    added = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-
-    def smoothed(counts: Column, wider: Column, weight: float) -> Column:
-        return F.zip_with(counts, wider, lambda n, q: (n + q * weight) / (added(counts) + weight))
-
     joined = scored.join(hosts, scored.host == hosts.host_key, "left")
     for column in ("declared", "suffix"):
         codes = code_logs(column)
         joined = joined.join(codes, joined[column] == codes[f"{column}_key"], "left")
-    joined = joined.withColumn("site_prior", smoothed(rest("at_site"), overall, SITE_ROWS))
-    joined = joined.withColumn("prior", smoothed(rest("at_host"), F.col("site_prior"), HOST_ROWS))
-    logs = F.zip_with("text_log", "prior", lambda a, q: a + F.log(q))
-    for column in ("declared_log", "suffix_log"):
-        logs = F.zip_with(logs, F.coalesce(column, F.array_repeat(F.lit(0.0), size)), lambda a, b: a + b)
-    names = F.array(*[F.lit(x) for x in model.languages])
-    fused = joined.select(*keys, chances(logs).alias("chances"))
-    best = F.array_max("chances")
-    language = F.coalesce(F.element_at(names, F.array_position("chances", best).cast("int")), F.lit(UND))
-    return fused.select(*keys, language.alias("language"), F.coalesce(best, F.lit(1.0)).alias("chance")).withColumn(
-        "accepted", (F.col("language") != UND) & (F.col("chance") >= LEAST_CHANCE))
+    joined = joined.select(*keys, "text_log", "p", "at_host", "at_site", "declared_log", "suffix_log")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            def table(name: str, default: np.ndarray | float) -> np.ndarray:
+                column = batch.column(batch.schema.get_field_index(name))  # noqa: B023
+                out = np.array(np.broadcast_to(default, (len(column), size)), dtype=np.float64)
+                out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy().reshape(-1, size)
+                return out
+
+            def smoothed(counts: np.ndarray, wider: np.ndarray, weight: float) -> np.ndarray:
+                return (counts + wider * weight) / (counts.sum(1, keepdims=True) + weight)
+
+            own = table("p", 0.0)
+            rest = lambda name: np.maximum(table(name, own) - own, 0.0)  # noqa: B023, E731
+            prior = smoothed(rest("at_host"), smoothed(rest("at_site"), overall, SITE_ROWS), HOST_ROWS)
+            known = batch.column(batch.schema.get_field_index("text_log")).is_valid().to_numpy(zero_copy_only=False)
+            found = chances(table("text_log", 0.0) + np.log(prior) + table("declared_log", 0.0) + table("suffix_log", 0.0))
+            language = [model.languages[i] if k else UND for i, k in zip(found.argmax(1), known, strict=True)]
+            chance = np.where(known, found.max(1), 1.0)
+            yield pa.record_batch([*(batch.column(i) for i in range(len(keys))), pa.array(language, pa.string()), pa.array(chance)],
+                                  names=[*keys, "language", "chance"])
+
+    out = T.StructType([*joined.select(*keys).schema.fields, T.StructField("language", T.StringType()), T.StructField("chance", T.DoubleType())])
+    return joined.mapInArrow(fuse, out).withColumn("accepted", (F.col("language") != UND) & (F.col("chance") >= LEAST_CHANCE))
 
 
 def identify_documents(docs: DataFrame, model: TextModel, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -69,3 +69,16 @@ def test_query(spark):
     rows = got.filter("doc_id IS NOT NULL").join(docs, "doc_id")
     assert got.count() == docs.count() + spark.read.parquet(f"{folder}/pages.parquet").count()
     assert rows.filter("language = lang AND accepted").count() > .97 * docs.count()
+
+
+def test_every_label_has_a_model(spark):
+    """More labels than a fixed table would hold, the last of them rare."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": " ".join(letters[i % 26] + letters[(i // 26 + 7 * j) % 26] + letters[(3 * i + j) % 26] for j in range(6)) for i in range(70)}
+    rows = [(100 * n + i, text, name, "s") for n, (name, text) in enumerate(words.items()) for i in range(1 if n > 63 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = fit_text(docs)
+    assert model.languages == [*words, UND]
+    for name, text in words.items():
+        assert model.languages[int(np.argmax(model.evidence(text, False)))] == name
+    assert keep_identified(docs).count() == len(rows)
