@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import best_fit, cross_polytope, language_fusion, line_templates, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
+from gatewright.llm import best_fit, chat_format, cross_polytope, language_fusion, line_templates, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_chat_format": chat_format.op11_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc_zip": warc_zip.ORACLE_SQL,
     "op5_positional_index": positional_index.ORACLE_SQL,
     "op9_substring_countmin": substring_countmin.ORACLE_SQL,
+    "op11_chat_format": chat_format.ORACLE_SQL,
 }
