@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gatewright.llm import best_fit, chat_format, cross_polytope, exact_whitening, language_fusion, line_templates, pii, positional_index, substring_countmin, toxicity_ftrl, warc_zip
+from gatewright.llm import best_fit, chat_format, cross_polytope, exact_whitening, language_fusion, line_templates, pii, positional_index, prefix_trie, substring_countmin, toxicity_ftrl, warc_zip
 from gatewright.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_substring_countmin": substring_countmin.op9_substring_countmin,
     "op10_simhash_golay": op10_simhash_golay,
     "op11_chat_format": chat_format.op11_chat_format,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_exact_whitening": exact_whitening.op13_exact_whitening,
 }
 
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op5_positional_index": positional_index.ORACLE_SQL,
     "op9_substring_countmin": substring_countmin.ORACLE_SQL,
     "op11_chat_format": chat_format.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
