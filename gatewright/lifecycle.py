@@ -119,23 +119,17 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataF
     )
 
 
-def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column,
-              opened: Column | None = None, updated: Column | None = None, weight: Column | None = None,
-              target_rows: int = 1_000_000) -> DataFrame:
+def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column, target_rows: int = 1_000_000) -> DataFrame:
     """Issues of each key: opened by the first failure, updated by more, closed by a pass.
 
     A key's time line is cut by its passes; the failures between two passes are one
-    issue and the pass that ends it closes it. `opened`, `updated` and `weight` let a
-    row stand for an issue that was open before (see `streaming.issues`). Keys with more
+    issue and the pass that ends it closes it. A row whose `failed` is null passes; rows
+    without a key belong to no context and are left out. Keys with more
     than `target_rows` rows are worked on in blocks.
     """
-    at = F.col(ts)
     prepared = results.select(
-        *keys, at.alias("__ts"), F.col(tie).alias("__tie"), failed.alias("__fail"),
-        F.coalesce(opened, at).alias("__opened") if opened is not None else at.alias("__opened"),
-        F.coalesce(updated, at).alias("__updated") if updated is not None else at.alias("__updated"),
-        (F.lit(1) if weight is None else weight).cast("bigint").alias("__w"),
-    )
+        *keys, F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), F.coalesce(failed, F.lit(False)).alias("__fail"),
+    ).dropna(subset=list(keys))
     cut = running_total(
         prepared, keys, ["__ts", "__tie"], time_rows("__ts", target_rows),
         F.when(F.col("__fail"), 0).otherwise(1), "__island", inclusive=False,
@@ -144,12 +138,12 @@ def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed
     return (
         cut.groupBy(*keys, "__island")
         .agg(
-            F.min(F.when(fail, F.col("__opened"))).alias("opened_at"),
-            F.max(F.when(fail, F.col("__updated"))).alias("updated_at"),
+            F.min(F.when(fail, F.col("__ts"))).alias("opened_at"),
+            F.max(F.when(fail, F.col("__ts"))).alias("updated_at"),
             F.min(F.when(~fail, F.col("__ts"))).alias("closed_at"),
-            F.sum(F.when(fail, F.col("__w"))).cast("bigint").alias("failures"),
+            F.count_if(fail).alias("failures"),
         )
-        .filter(F.col("failures").isNotNull())
+        .filter("failures > 0")
         .withColumn("state", F.when(F.col("closed_at").isNull(), "open").otherwise("closed"))
         .drop("__island")
     )

@@ -1,90 +1,130 @@
-"""Issue state as a keyed table over micro-batches.
+"""Issue state as keyed state of a streaming query.
 
-The open issues are the only state a run needs: one row per context. A micro-batch
-puts them in front of its own rows, as failures that happened before, and runs the
-batch lifecycle over both. That plan cuts each key's rows into time blocks, so a
-context sending a third of all rows does not end in one task, as it would in a
-per-key state function.
+Spark's state store holds for each key its open issue, and the rows that may still be
+overtaken: rows come in any order within `delay`, wait until the watermark has passed them, and then
+move the issue in order of time. A timer wakes a key whose rows are due though no row of it came.
+A row older than the watermark could belong inside an issue that is settled. Spark drops rows older than the watermark of the
+micro-batch before; those between the two are given out as late. Both are counted, and change no issue.
 
-A row older than what an earlier micro-batch has seen could belong inside an issue that
-is already closed, so it is refused: order a stream, or watermark and sort it, first.
+Order matters within a key, so a key's rows of one micro-batch go through one call; they come in Arrow batches, and what
+is kept between calls is one issue and the rows of the last `delay`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gatewright.lifecycle import lifecycle
 from gatewright.session import fresh_dir
-from gatewright.streaming.tables import read_batches, write_batch
-
-STATE = ["opened_at", "updated_at", "failures"]
-
-
-def advance(open_issues: DataFrame, batch: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: str) -> DataFrame:
-    """Issues after a micro-batch: those it closed and those still open.
-
-    `batch` is (keys, ts, tie, failed). Micro-batches follow each other in time.
-    """
-    before = open_issues.select(
-        *keys, F.col("updated_at").alias(ts), F.lit(-1).cast("bigint").alias(tie), F.lit(True).alias(failed),
-        *STATE,
-    )
-    now = batch.select(
-        *keys, ts, F.col(tie).cast("bigint").alias(tie), failed,
-        F.col(ts).alias("opened_at"), F.col(ts).alias("updated_at"), F.lit(1).cast("bigint").alias("failures"),
-    )
-    return lifecycle(
-        before.unionByName(now), keys, ts, tie, F.col(failed),
-        opened=F.col("opened_at"), updated=F.col("updated_at"), weight=F.col("failures"),
-    )
-
-
-def stream_lifecycle(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column) -> DataFrame:
-    """Run the issue lifecycle over the data present: all issues, closed and open.
-
-    Raises an error when a micro-batch holds a row older than the newest row before it.
+from gatewright.streaming.feeds import all_progress, past_watermark, run_available
+from gatewright.streaming.upsert import BUCKETS, create_upserts, read_upserts, upsert_batch
+
+#: Open issue (micros, tie, micros, count; nulls for none) and rows that wait.
+STATE = "opened bigint, opened_tie bigint, updated bigint, failures bigint, ats array<bigint>, ties array<bigint>, fails array<boolean>"
+OUT = "opened bigint, opened_tie bigint, updated bigint, closed bigint, failures bigint, late boolean"
+
+
+def _settle(issue: list | None, rows: list[tuple[int, int, bool]]) -> tuple[list | None, list[tuple]]:
+    """Move an issue through rows in order: the issue after them, and what happened to each issue touched."""
+    done, moved = [], False
+    for at, tie, failed in rows:
+        if failed:
+            issue = [*issue[:2], at, issue[3] + 1] if issue else [at, tie, at, 1]
+            moved = True
+        elif issue:
+            done.append((*issue[:3], at, issue[3]))
+            issue, moved = None, False
+    return issue, done + ([(*issue[:3], None, issue[3])] if issue and moved else [])
+
+
+def _advance(n_keys: int):
+    """The state function, for keys of `n_keys` columns; rows have (at, tie, failed)."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, opened_tie, updated, failures, *kept = state.get if state.exists else (None, None, None, None, [], [], [])
+        issue = None if opened is None else [opened, opened_tie, updated, failures]
+        rows = list(zip(*kept, strict=True))
+        mark = state.getCurrentWatermarkMs()
+        late = []
+        for batch in batches if not state.hasTimedOut else ():
+            for row in zip(batch["at"].tolist(), batch["tie"].tolist(), batch["failed"].tolist(), strict=True):
+                (late if row[0] // 1000 < mark else rows).append(row)
+        due = sorted(r for r in rows if r[0] // 1000 < mark)
+        wait = [r for r in rows if r[0] // 1000 >= mark]
+        issue, out = _settle(issue, due)
+        n_issues = len(out)
+        out += [(at, tie, None, None, int(failed)) for at, tie, failed in late]
+        if issue or wait:
+            state.update((*(issue or [None] * 4), [r[0] for r in wait], [r[1] for r in wait], [r[2] for r in wait]))
+            if wait:
+                state.setTimeoutTimestamp(max(min(r[0] for r in wait) // 1000, mark) + 1)
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        columns = list(zip(*out, strict=True))
+        found = {f"k{i}": [key[i]] * len(out) for i in range(n_keys)}
+        found |= {n: pd.array(list(c), dtype="Int64") for n, c in zip(["opened", "opened_tie", "updated", "closed", "failures"], columns, strict=True)}
+        yield pd.DataFrame(found | {"late": [i >= n_issues for i in range(len(out))]})
+
+    return step
+
+
+class IssueTable:
+    """Issues of a stream in an upserted table, and how many rows came too late for them.
+
+    `run` works on the rows present and goes on from the run before. Rows wait for the watermark: the last
+    `delay` of a stream is settled once later rows, or a heartbeat, have arrived. Rows without a key, a time or a tie
+    move the watermark at most; a row whose `failed` is null passes.
     """
-    spark = stream.sparkSession
-    rows = stream.select(*keys, ts, tie, failed.alias("failed"))
-    base = fresh_dir(spark, "issues")
-    key_fields = [f for f in rows.schema.fields if f.name in keys]
-    ts_type = rows.schema[ts].dataType.simpleString()
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    ddl += f", opened_at {ts_type}, updated_at {ts_type}, closed_at {ts_type}, failures bigint, state string"
-    empty = spark.createDataFrame([], ddl)
-    write_batch(empty, base, -1)
-
-    seen = fresh_dir(spark, "issues-seen")
-    newest_seen = spark.createDataFrame([], f"newest {ts_type}")
-    write_batch(newest_seen, seen, -1)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        before = read_batches(spark, seen, newest_seen.schema).filter(F.col("batch") < batch_id).agg(F.max("newest").alias("newest"))
-        late = batch.filter(F.col(ts) < before.scalar())
-        if not late.isEmpty():
-            raise ValueError("a micro-batch holds rows older than those before it")
-        # A repeated micro-batch starts from the version before it, as the first time.
-        versions = read_batches(spark, base, empty.schema).filter(F.col("batch") < batch_id)
-        last = versions.agg(F.max("batch").alias("b")).scalar()
-        if batch_id == 0:
-            current = empty
-        else:
-            current = versions.filter((F.col("state") == "open") & (F.col("batch") == last))
-        write_batch(advance(current, batch, keys, ts, tie, "failed").select(empty.columns), base, batch_id)
-        write_batch(batch.agg(F.max(ts).alias("newest")), seen, batch_id)
-
-    query = (
-        rows.writeStream.outputMode("append")
-        .option("checkpointLocation", fresh_dir(spark, "issues-log"))
-        .foreachBatch(each)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    versions = read_batches(spark, base, empty.schema)
-    newest = versions.agg(F.max("batch").alias("b")).scalar()
-    return versions.filter((F.col("state") == "closed") | (F.col("batch") == newest)).drop("batch")
+
+    def __init__(self, stream: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column, delay: str = "1 day",
+                 folder: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.keys, self.buckets = stream.sparkSession, list(keys), buckets
+        self.base = folder or fresh_dir(self.spark, "issues")
+        names = [f"k{i}" for i in range(len(keys))]
+        rows = stream.select(
+            *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+            F.col(tie).cast("bigint").alias("tie"), F.coalesce(failed, F.lit(False)).alias("failed"),
+        ).withWatermark("ts", delay)
+        whole = F.col("tie").isNotNull() & F.col("at").isNotNull()
+        for n in names:
+            whole = whole & F.col(n).isNotNull()
+        rows = past_watermark(rows, "ts", whole)
+        key_fields = [T.StructField(n, rows.schema[n].dataType) for n in names]
+        self.schema = T.StructType([*key_fields, *T._parse_datatype_string(OUT).fields])
+        self.events = rows.groupBy(*names).applyInPandasWithState(
+            _advance(len(names)), self.schema, T._parse_datatype_string(STATE), "append", GroupStateTimeout.EventTimeTimeout)
+        self.names, self.dropped = names, 0
+        create_upserts(self.spark, f"{self.base}/table", self.schema)
+
+    def run(self) -> IssueTable:
+        # An issue is known by its first failure; it only grows, and is closed last.
+        query = run_available(self.events.writeStream.outputMode("append"), f"{self.base}/log", lambda batch, _: upsert_batch(
+            batch, f"{self.base}/table", [*self.names, "late", "opened", "opened_tie"], ["failures", "closed"], self.buckets))
+        self.dropped += sum(o.numRowsDroppedByWatermark for p in all_progress(query) for o in p.stateOperators)
+        return self
+
+    def _table(self) -> DataFrame:
+        return read_upserts(self.spark, f"{self.base}/table", self.schema)
+
+    def late_rows(self) -> int:
+        """Rows that came too late: those given out as late, and those Spark dropped in the runs of this object."""
+        return self.dropped + self._table().filter("late").count()
+
+    def issues(self) -> DataFrame:
+        """(keys, opened_at, updated_at, closed_at, failures, state)"""
+        time = lambda c, name: F.timestamp_micros(c).alias(name)
+        state = F.when(F.col("closed").isNull(), "open").otherwise("closed").alias("state")
+        return self._table().filter("NOT late").select(
+            *[F.col(n).alias(k) for n, k in zip(self.names, self.keys, strict=True)],
+            time("opened", "opened_at"), time("updated", "updated_at"), time("closed", "closed_at"), "failures", state)
+
+
+def stream_lifecycle(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column, delay: str = "1 day") -> DataFrame:
+    """Run the issue lifecycle over the data present: the issues that are settled by its watermark."""
+    return IssueTable(stream, keys, ts, tie, failed, delay).run().issues()

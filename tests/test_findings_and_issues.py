@@ -19,9 +19,6 @@ from gatewright.reporting.report import topk_overflow
 from gatewright.schema import as_findings
 from gatewright.session import fresh_dir
 from gatewright.sources.sinks import read_latest, write_findings
-from gatewright.streaming.gates import drain_append, drain_gate, notify_once, sink_latest_stream, stream_gate
-from gatewright.streaming.issues import stream_lifecycle
-from gatewright.streaming.tables import read_events
 
 
 def test_catalogue_is_complete():
@@ -153,63 +150,6 @@ def test_upsert(spark):
     assert got[1][2] == 20
 
 
-def _event_files(spark, n_days=4):
-    """Events of several days, one file per day, written in time order."""
-    start = dt.datetime(2024, 1, 1)
-    rows = []
-    for i in range(400):
-        user = 0 if i % 3 == 0 else i % 7
-        kind = ["error", "view", "error", "click", "view"][(i * i + user) % 5]
-        rows.append((i, start + dt.timedelta(minutes=14 * i), user, kind))
-    base = fresh_dir(spark, "events-test")
-    for day in range(n_days):
-        part = [r for r in rows if (r[1] - start).days == day]
-        spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode(
-            "append").parquet(base)
-    return base, [r for r in rows if (r[1] - start).days < n_days]
-
-
-def test_streamed_issues_equal_batch(spark):
-    base, rows = _event_files(spark)
-    failed = F.col("event_type") == "error"
-    stream = read_events(spark, base, files_per_batch=1)
-    streamed = stream_lifecycle(stream, ["user_id"], "ts", "event_id", failed)
-    batch = lifecycle(spark.read.parquet(base), ["user_id"], "ts", "event_id", failed, target_rows=20)
-    cols = ["user_id", "opened_at", "updated_at", "closed_at", "failures", "state"]
-    assert sorted(map(str, streamed.select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
-    want, open_at = 0, {}
-    for _, _, user, kind in rows:
-        if kind == "error" and user not in open_at:
-            open_at[user] = True
-            want += 1
-        elif kind != "error":
-            open_at.pop(user, None)
-    assert streamed.count() == want
-
-
-def test_streamed_gate_and_late_rows(spark):
-    base, rows = _event_files(spark)
-    late = [(9999, dt.datetime(2023, 12, 1), 1, "error")]
-    spark.createDataFrame(late, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(base)
-    severity = F.when(F.col("event_type") == "error", "Error").otherwise("Info")
-    stream = read_events(spark, base, files_per_batch=1).withColumn("severity", severity)
-    got = {r.window_start: r.errors for r in drain_gate(stream_gate(stream, "1 day", "1 hour")).collect()}
-    want = {}
-    for _, ts, _, kind in rows:
-        day = dt.datetime(ts.year, ts.month, ts.day)
-        want[day] = want.get(day, 0) + (kind == "error")
-    assert got == want
-
-
-def test_notify_once_and_latest(spark):
-    base, rows = _event_files(spark)
-    day = lambda: read_events(spark, base, files_per_batch=1).withColumn("day", F.to_date("ts"))
-    once = drain_append(notify_once(day(), ["user_id", "day"], "1 day"))
-    assert once.count() == len({(u, ts.date()) for _, ts, u, _ in rows})
-    newest = sink_latest_stream(day().select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"])
-    assert {r.user_id: r.event_id for r in newest.collect()} == {u: max(e for e, _, v, _ in rows if v == u) for _, _, u, _ in rows}
-
-
 def test_rules_are_registered_once(spark):
     rules = Rules()
     rules.register("U1", lambda df: df)
