@@ -1,8 +1,9 @@
-"""Items inside enclosing spans, by bucketed range joins.
+"""Items inside enclosing spans, by range joins over dyadic blocks of position buckets.
 
-A span is listed once per position bucket it covers and an item sits in exactly
-one bucket, so the join has the equi key (document, bucket), every pair is met
-once, and a long document is spread over its buckets.
+A span is listed once per dyadic block of the buckets it covers, so a span over any number of
+buckets is a few rows; an item is listed once per level that occurs among spans, which is one where all spans are
+short. The join has the equi key (document, level, block), every pair is met once, and a long document is
+spread over its blocks.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.operators.intervals import block_at, cover
+
 
 def point_bucket(pos: Column | str, width: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(pos / F.lit(width)).cast("bigint")
 
 
-def span_buckets(start: Column | str, end: Column | str, width: int) -> Column:
-    """All buckets of the positions start..end (array); empty for a reversed span."""
-    first, last = point_bucket(start, width), point_bucket(end, width)
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+def lay_spans(spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """`spans` once per dyadic block (`__b`: level and block) of the buckets of start..end; none for a reversed span."""
+    return spans.withColumn("__b", F.explode(cover(point_bucket(start, width), point_bucket(end, width))))
 
 
 def in_scope(items: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str = "pos",
@@ -32,19 +34,20 @@ def in_scope(items: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str =
     `same` = (item column, span column) also asks for equal values there. Span
     columns other than the keys must not clash with item columns.
     """
-    laid = spans.withColumn("__b", F.explode(span_buckets(start, end, width)))
-    placed = items.withColumn("__b", point_bucket(pos, width))
+    laid = lay_spans(spans, start, end, width)
+    levels = laid.agg(F.sort_array(F.collect_set("__b.level"))).scalar()
+    placed = items.withColumn("__l", F.explode(levels)).withColumn("__b", block_at(point_bucket(pos, width), F.col("__l")))
     renamed = laid.select(
         *[F.col(k).alias(f"__s_{k}") for k in keys],
-        F.col("__b").alias("__sb"),
+        F.col("__b.level").alias("__sl"), F.col("__b.block").alias("__sb"),
         *[c for c in spans.columns if c not in keys],
     )
-    on = (F.col("__b") == F.col("__sb")) & (F.col(start) < F.col(pos)) & (F.col(pos) < F.col(end))
+    on = (F.col("__l") == F.col("__sl")) & (F.col("__b") == F.col("__sb")) & (F.col(start) < F.col(pos)) & (F.col(pos) < F.col(end))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__s_{k}"))
     if same:
         on = on & (F.col(same[0]) == F.col(same[1]))
-    return placed.join(renamed, on).drop("__b", "__sb", *[f"__s_{k}" for k in keys])
+    return placed.join(renamed, on).drop("__l", "__b", "__sl", "__sb", *[f"__s_{k}" for k in keys])
 
 
 def in_scope_same_key(items: DataFrame, spans: DataFrame, keys: Sequence[str],

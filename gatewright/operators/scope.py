@@ -2,41 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.operators.intervals import block_at, cover
+
 WORD = 64  # lines per bit mask, the bits of a bigint
 
 
-def scope_spans(spans: DataFrame, changed: DataFrame | None, key: str = "path_key",
-                start: str = "start_line", end: str = "end_line", line: str = "line_no") -> DataFrame:
+def _bits(first: Column, last: Column) -> Column:
+    """A mask with the bits first..last of a word."""
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(WORD - 1) - (last - first)).cast("int"))
+    return F.call_function("shiftleft", ones, first.cast("int"))
+
+
+def _word_bits(word: Column, first: Column, last: Column) -> Column:
+    """The bits of a word that stand for lines first..last."""
+    return _bits(F.greatest(first - word * WORD, F.lit(0)), F.least(last - word * WORD, F.lit(WORD - 1)))
+
+
+def _word(line: Column) -> Column:
+    return F.floor(line / WORD).cast("bigint")
+
+
+def lay_line_spans(bounds: DataFrame, start: str, end: str) -> DataFrame:
+    """`bounds` once per place to look for a changed line: (level, block, wanted).
+
+    The first and the last word of a span are looked up with the bits wanted there (level -1),
+    the words between as dyadic blocks, any bit of which counts.
+    """
+    first, last = _word(F.col(start)), _word(F.col(end))
+    entry = lambda level, block, wanted: F.struct(
+        level.cast("int").alias("level"), block.cast("bigint").alias("block"), wanted.cast("bigint").alias("wanted"))
+    edges = F.array_distinct(F.transform(F.array(first, last), lambda w: entry(F.lit(-1), w, _word_bits(w, F.col(start), F.col(end)))))
+    inner = F.transform(cover(first + 1, last - 1), lambda b: entry(b.level, b.block, F.lit(-1)))
+    return bounds.withColumn("__at", F.explode(F.concat(edges, inner))).select("*", "__at.*").drop("__at")
+
+
+def scope_spans(spans: DataFrame, changed: DataFrame | None, key: str = "path_key", start: str = "start_line",
+                end: str = "end_line", line: str = "line_no", last_line: str | None = None) -> DataFrame:
     """Spans holding at least one changed line.
 
+    `changed` has a row per line, or per run of lines if `last_line` names its end.
     No change table at all, or no changed line for a span's key, keeps the span.
     Bounds are inclusive, lines count from 0 or 1. Duplicates of a span are kept or
     dropped together.
 
     The changed lines of a key are packed into one bit mask per 64 lines, an
-    aggregate with map-side combine. A span is tested against the masks it reaches,
-    so the join is an equi join on (key, word) and meets at most one mask per word.
+    aggregate with map-side combine. A span looks at the masks of its two ends and at dyadic blocks of the
+    words between, so a span of any length is a few rows and the join an equi join on (key, level, block).
     """
     if changed is None:
         return spans
-    bit = F.expr(f"shiftleft(1L, cast({line} % {WORD} as int))")
-    masks = (
-        changed.groupBy(F.col(key), F.expr(f"cast({line} div {WORD} as bigint)").alias("__w"))
-        .agg(F.bit_or(bit).alias("__mask"))
-    )
+    runs = changed.select(F.col(key), F.col(line).cast("bigint").alias("__f"), F.col(last_line or line).cast("bigint").alias("__l")).filter("__l >= __f")
+    words = runs.withColumn("__w", F.explode(F.sequence(_word(F.col("__f")), _word(F.col("__l")))))
+    masks = words.groupBy(key, "__w").agg(F.bit_or(_word_bits(F.col("__w"), F.col("__f"), F.col("__l"))).alias("__mask"))
     # Verdicts are worked out once per distinct bounds.
-    bounds = spans.filter(F.col(end) >= F.col(start)).select(key, start, end).distinct()
-    reach = bounds.withColumn(
-        "__w", F.explode(F.expr(f"sequence(cast({start} div {WORD} as bigint), cast({end} div {WORD} as bigint))"))
-    )
-    first = f"greatest({start} - __w * {WORD}, 0)"
-    last = f"least({end} - __w * {WORD}, {WORD - 1})"
-    wanted = f"shiftleft(shiftrightunsigned(-1L, cast({WORD - 1} - ({last} - {first}) as int)), cast({first} as int))"
+    reach = lay_line_spans(spans.filter(F.col(end) >= F.col(start)).select(key, start, end).distinct(), start, end)
+    levels = reach.filter("level >= 0").agg(F.collect_set("level")).scalar()
+    coarse = masks.select(key, "__w", F.explode(levels).alias("level")).select(
+        key, "level", block_at(F.col("__w"), F.col("level")).alias("block"), F.lit(-1).cast("bigint").alias("__mask"))
+    marks = masks.select(key, F.lit(-1).alias("level"), F.col("__w").alias("block"), "__mask").unionByName(coarse.distinct())
     touched = (
-        reach.join(masks, [key, "__w"]).filter(F.expr(f"(__mask & {wanted}) != 0"))
+        reach.join(marks, [key, "level", "block"]).filter(F.col("__mask").bitwiseAND(F.col("wanted")) != 0)
         .select(key, start, end).distinct()
     )
     known = masks.select(F.col(key).alias("__key")).distinct()

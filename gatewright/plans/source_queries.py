@@ -8,7 +8,7 @@ from gatewright.operators.scope import changed_counts, scope_lines, scope_spans
 from gatewright.plans.fixtures import DIFF_SQL, SPANS_SQL, diff_lines, line_spans
 from gatewright.session import fresh_dir, stage, table
 from gatewright.sources.choose import first_non_empty
-from gatewright.sources.diffs import diff_files, diff_to_lines
+from gatewright.sources.diffs import diff_files, diff_to_lines, diff_to_ranges
 from gatewright.sources.isolate import isolate_json
 from gatewright.sources.settings import json_settings, resolve_settings
 from gatewright.sources.sinks import read_latest, write_findings
@@ -155,8 +155,8 @@ WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.path_key = s.path_key)
 """)
 def scope_span_overlap(spark, d):
     spans = line_spans(spark, d)
-    changed = stage(diff_to_lines(diff_lines(spark, d)), "changed")
-    return scope_spans(spans, changed).select(
+    changed = stage(diff_to_ranges(diff_lines(spark, d)), "changed")
+    return scope_spans(spans, changed, line="first_line", last_line="last_line").select(
         "l_orderkey", "l_linenumber", "l_partkey", "start_line", "end_line"
     )
 

@@ -32,25 +32,28 @@ def _current_file(lines_df: DataFrame, suffix: str) -> DataFrame:
     ).filter(F.col("path") != "")
 
 
-def diff_to_lines(lines_df: DataFrame, suffix: str = ".cs") -> DataFrame:
-    """(diff_id, path, path_key, line_no) of every changed line.
+def diff_to_ranges(lines_df: DataFrame, suffix: str = ".cs") -> DataFrame:
+    """(diff_id, path, path_key, first_line, last_line) of every hunk of changed lines.
 
     `lines_df` is (diff_id, seq, line) with `seq` unique over file headers of a diff.
     A hunk without a count is one line, and so is one with count 0.
     """
     start = F.regexp_extract("line", HUNK, 1).try_cast("int")
-    count = F.coalesce(F.expr("try_cast(hunk_count as int)"), F.lit(1))
+    count = F.coalesce(F.regexp_extract("line", HUNK, 2).try_cast("int"), F.lit(1))
     return (
         _current_file(lines_df, suffix)
         .filter(F.col("line").startswith("@@"))
-        .withColumn("hunk_start", start)
-        .filter(F.col("hunk_start").isNotNull())
-        .withColumn("hunk_count", F.regexp_extract("line", HUNK, 2))
-        .withColumn("hunk_count", F.greatest(count, F.lit(1)))
-        .select(
-            "diff_id", "path",
-            F.explode(F.sequence("hunk_start", F.col("hunk_start") + F.col("hunk_count") - 1)).alias("line_no"),
-        )
+        .select("diff_id", "path", F.lower("path").alias("path_key"), start.alias("first_line"),
+                (start + F.greatest(count, F.lit(1)) - 1).alias("last_line"))
+        .filter(F.col("first_line").isNotNull())
+    )
+
+
+def diff_to_lines(lines_df: DataFrame, suffix: str = ".cs") -> DataFrame:
+    """(diff_id, path, path_key, line_no) of every changed line."""
+    return (
+        diff_to_ranges(lines_df, suffix)
+        .select("diff_id", "path", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
         .distinct()
         .select("diff_id", "path", F.lower("path").alias("path_key"), "line_no")
     )
