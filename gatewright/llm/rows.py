@@ -29,11 +29,10 @@ def id_of(key: Column) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs`, with all their columns, less the rows whose key is in `gone` (id, th)."""
-    names = ["__" + k for k in KEY]
-    key = [c.alias(n) for c, n in zip(doc_key(F.col(doc_id), F.col(text)), names, strict=True)]
-    gone = stage(gone.select(*[F.col(k).alias(n) for k, n in zip(KEY, names, strict=True)]).distinct(), "gone")
-    return docs.select("*", *key).join(gone, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs`, with all their columns, of any names, less the rows whose key is in `gone` (id, th)."""
+    gone = stage(gone.select(*KEY).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(F.col(doc_id), F.col(text)))
+    return rows.join(gone, KEY, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: Bits of the filter below: 512 KB, whatever the tables hold.
