@@ -263,13 +263,44 @@ def record_ranges(file: Ranges) -> list[tuple[int, int]]:
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, intact boolean, payload binary"
 
 
-def read_packages(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row (RECORD) for each record of the packages in column `path`; `intact`: the digest is that of the payload."""
+#: Bytes of records, as stored, that are dealt together.
+CHUNK = 8 << 20
+
+
+def range_chunks(paths: DataFrame, tasks: int, chunk: int = CHUNK) -> DataFrame:
+    """(path, first, starts, lengths): the records of each package in runs of about `chunk` bytes, from its indexes alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                file = Ranges(path)
+                ranges = record_ranges(file)
+                file.close()
+                cuts, held = [0], 0
+                for i, (_, length) in enumerate(ranges):
+                    if held and held + length > chunk:
+                        cuts.append(i)
+                        held = 0
+                    held += length
+                parts = [ranges[a:b] for a, b in zip(cuts, [*cuts[1:], len(ranges)], strict=True) if b > a]
+                yield pa.record_batch([
+                    pa.array([path] * len(parts)), pa.array([p[0][0] for p in parts], pa.int64()),
+                    *(pa.array([[r[k] for r in p] for p in parts], pa.list_(pa.int64())) for k in (0, 1)),
+                ], names=["path", "first", "starts", "lengths"])
+
+    # Ranges of paths, so that each of few packages meets a task of its own.
+    return paths.select("path").repartitionByRange(tasks, "path").mapInArrow(run, "path string, first bigint, starts array<bigint>, lengths array<bigint>")
+
+
+def read_packages(paths: DataFrame, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """A row (RECORD) for each record of the packages in column `path`; `intact`: the digest is that of the payload.
+
+    Runs of records, of one package or many, are dealt to `tasks` tasks (by default as many as shuffles have).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0):
-                file, rows, held = Ranges(path.as_py()), [], 0
-                for start, length in record_ranges(file):
+            for path, _, starts, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file, rows, held = Ranges(path), [], 0
+                for start, length in zip(starts, lengths, strict=True):
                     got = parse_record(gzip.decompress(file.read(start, length)))
                     got["intact"] = got["payload_digest"] == got.pop("declared_digest")
                     held += len(got["payload"] or b"")
@@ -289,7 +320,8 @@ def read_packages(paths: DataFrame, payloads: bool = True) -> DataFrame:
     def to_batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    return paths.select("path").mapInArrow(run, RECORD)
+    tasks = tasks or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return range_chunks(paths, tasks).repartitionByRange(tasks, "path", "first").mapInArrow(run, RECORD)
 
 
 def list_packages(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,8 +334,7 @@ def list_packages(spark: SparkSession, folder: str) -> DataFrame:
 def op2_warc_zip(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     packages = write_packages(with_revisits(pages), fresh_dir(spark, "warc"))
-    # One package a task: the table of packages is small, its packages are not.
-    return read_packages(packages.repartition(F.col("path")), payloads=False).select(
+    return read_packages(packages, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
     )
 

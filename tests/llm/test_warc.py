@@ -4,12 +4,15 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatewright.llm.warc_zip import (
-    ARCHIVE, Ranges, data_start, digest, directory, list_packages, parse_record, read_packages, record_ranges, warc_record,
+    ARCHIVE, Ranges, data_start, digest, directory, list_packages, parse_record, range_chunks, read_packages, record_ranges, warc_record,
     with_revisits, write_packages,
 )
 
+from gatewright.session import fresh_dir
+
 
 def test_round_trip(spark, tmp_path):
     big = "x" * 200_000 + "é\r\n\r\nWARC/1.1\r\n"
@@ -83,3 +86,17 @@ def test_foreign_package(tmp_path):
     path.write_bytes(b"short")
     with pytest.raises(ValueError):
         directory(Ranges(str(path)))
+
+
+def test_reading_is_spread(spark):
+    """k packages meet min(k, n) tasks; a large one is cut into runs of records."""
+    pages = spark.range(600).selectExpr("id as page_id", "concat('u', id) as url", "repeat(uuid(), 30) as html")
+    packages = write_packages(with_revisits(pages), fresh_dir(spark, "spread"), 20_000)
+    k = packages.count()
+    assert k >= 8
+    for n in (5, 4 * k):
+        parts = [r.p for r in read_packages(packages, tasks=n).select("page_id", F.spark_partition_id().alias("p")).collect()]
+        assert len(parts) == 600 and len(set(parts)) == min(k, n)
+    whole = write_packages(with_revisits(pages).coalesce(1), fresh_dir(spark, "spread"), 1 << 30)
+    chunks = range_chunks(whole, 4, 10_000).collect()
+    assert len(chunks) > 3 * whole.count() and sum(len(r.starts) for r in chunks) == 600
