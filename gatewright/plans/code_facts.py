@@ -156,22 +156,21 @@ def code_facts(files: DataFrame) -> CodeFacts:
     )
     described = _describe(paired.join(files.select("file_id", "path"), "file_id"))
     spans = stage(described, "spans")
-    held = in_scope(
-        segs, spans.drop("path"), ["file_id"], pos="seq", start="open_no", end="close_no", width=256
-    )
-    # The innermost scope around each segment.
-    parent = held.groupBy("file_id", "seq").agg(
-        F.max_by(F.struct("open_no", "kind", "name", "header", "scope_id"), "open_no").alias("p")
-    )
-    stmts = stage(
-        segs.join(parent, ["file_id", "seq"], "left")
+    # Each segment's enclosing scopes, outermost first, found once and kept in its row.
+    held = in_scope(segs.select("file_id", "seq"), spans.drop("path"), ["file_id"], pos="seq", start="open_no", end="close_no", width=256)
+    fields = ["open_no", *[c for c in spans.columns if c not in ("file_id", "path", "open_no")]]
+    chains = held.groupBy("file_id", "seq").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chain"))
+    chained = stage(
+        segs.join(chains, ["file_id", "seq"], "left")
         .join(files.select("file_id", "path"), "file_id")
+        .withColumn("p", F.element_at("chain", -1))
         .select(
             *segs.columns, "path", F.col("p.open_no").alias("p_open"), F.col("p.kind").alias("p_kind"),
-            F.col("p.name").alias("p_name"), F.col("p.header").alias("p_header"), F.col("p.scope_id").alias("p_scope"),
+            F.col("p.name").alias("p_name"), F.col("p.header").alias("p_header"), F.col("p.scope_id").alias("p_scope"), "chain",
         ),
         "stmts",
     )
+    stmts = chained.drop("chain")
     scopes = stage(
         spans.join(
             stmts.select("file_id", F.col("seq").alias("open_no"), "p_open", "p_kind", "p_name", "p_scope"),
@@ -179,10 +178,5 @@ def code_facts(files: DataFrame) -> CodeFacts:
         ),
         "scopes",
     )
-    inside = stage(
-        in_scope(
-            stmts, spans.drop("path"), ["file_id"], pos="seq", start="open_no", end="close_no", width=256
-        ),
-        "inside",
-    )
+    inside = chained.select(*stmts.columns, F.explode("chain").alias("s")).select(*stmts.columns, *[F.col(f"s.{c}").alias(c) for c in fields])
     return CodeFacts(files, code, stmts, scopes, inside, stage(_params(scopes), "params"))
