@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from gatewright.operators.mentions import mention_pairs
 from gatewright.operators.ordered import running_total, time_rows
+from gatewright.session import stage
 
 # How a quality issue is recognised.
 QUALITY_LABEL = "code-quality-violation"
 QUALITY_TITLES = ["Code Quality Blocking Errors", "❌"]
 QUALITY_BODY = "Critical Blocking Errors"
 TAG = "[Branch: "
+#: Mark of every issue, held by runs of a default branch; no label or tag has this form.
+ALL = "\n"
 
 
 def is_quality_issue() -> Column:
@@ -70,22 +73,23 @@ def context_forms(pr: Column, branch: Column) -> tuple[Column, Column]:
     )
 
 
-def issue_marks(issues: DataFrame) -> DataFrame:
-    """(issue_id, mark): labels of quality issues, and tags in their title or body.
+def marks_of(labels: Column, text: Column) -> Column:
+    """Labels, and tags in a text, as one array.
 
     A branch may hold `]`, so each end bracket of a run without blanks and `[` ends a tag.
     """
-    quality = issues.filter(is_quality_issue())
-    by_label = quality.select("issue_id", F.explode("labels").alias("mark"))
-    runs = F.regexp_extract_all(
-        F.concat_ws("\n", "title", "body"), F.lit(r"(\[(?:PR #|Branch: )[^\s\[]*\])"), F.lit(1)
-    )
-    ends = F.split("run", r"\]")
-    tags = F.transform(
-        F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.concat(F.array_join(F.slice(ends, 1, i), "]"), F.lit("]"))
-    )
-    by_tag = quality.select("issue_id", F.explode(runs).alias("run")).select("issue_id", F.explode(tags).alias("mark"))
-    return by_label.unionByName(by_tag).distinct()
+    def tags(run: Column) -> Column:
+        ends = F.split(run, r"\]")
+        return F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.concat(F.array_join(F.slice(ends, 1, i), "]"), F.lit("]")))
+
+    runs = F.regexp_extract_all(text, F.lit(r"(\[(?:PR #|Branch: )[^\s\[]*\])"), F.lit(1))
+    return F.concat(F.coalesce(labels, F.array().cast("array<string>")), F.flatten(F.transform(runs, tags)))
+
+
+def issue_marks(issues: DataFrame) -> DataFrame:
+    """(issue_id, mark): labels of quality issues, and tags in their title or body."""
+    marks = marks_of(F.col("labels"), F.concat_ws("\n", "title", "body"))
+    return issues.filter(is_quality_issue()).select("issue_id", F.explode(marks).alias("mark")).distinct()
 
 
 def match_context(runs: DataFrame, issues: DataFrame, label: str = "label", tag: str = "tag") -> DataFrame:
@@ -150,38 +154,37 @@ def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed
 
 
 def close_scope(runs: DataFrame, issues: DataFrame, files: DataFrame, default_keys: Sequence[str] = ("main", "master"),
-                tag: str = TAG, suffix: str = ".cs") -> DataFrame:
+                suffix: str = ".cs", label: Column | None = None, tag: Column | None = None) -> DataFrame:
     """Open issues closed by passing runs: (issue_id, closed_at, closed_by).
 
-    A passing run closes the issues named by its label or tag and those mentioning
+    A passing run closes the issues that have its label or hold its tag, and those mentioning
     a file it touched; one on a default branch closes all. Runs are
-    (run_id, context_key, ts, passed), files (run_id, path). Each issue is closed by
-    the earliest such run.
+    (run_id, context_key, ts, passed), files (run_id, path). `label` and `tag` are columns of runs, as
+    `context_forms` gives them; without them the context key is the label and `[Branch: key]` the tag.
+    Each issue is closed by the earliest such run.
     """
-    passing = runs.filter("passed")
-    quality = issues.filter((F.col("state") == "open") & is_quality_issue())
+    key = F.col("context_key")
+    label = key if label is None else label
+    tag = F.concat(F.lit(TAG), key, F.lit("]")) if tag is None else tag
     closer = F.struct("ts", "run_id")
-    first_by_key = passing.groupBy("context_key").agg(F.min(closer).alias("closer"))
-    by_key = issue_keys(quality, tag).join(first_by_key, "context_key").select("issue_id", "closer")
-
+    passing = runs.filter("passed").withColumn("closer", closer)
+    # What closes: labels, tags and the default branch, which stands for every issue, as marks of one table; then names of files.
+    everything = F.when(key.isin(list(default_keys)), F.lit(ALL))
+    marked = passing.select("closer", F.explode(F.array_compact(F.array(label, tag, everything))).alias("mark")).filter(F.col("mark") != QUALITY_LABEL)
+    closers = marked.groupBy("mark").agg(F.min("closer").alias("closer"))
     name = F.element_at(F.split("path", r"[/\\]"), -1)
-    first_by_name = (
+    by_name = stage(
         files.withColumn("name", name).filter(F.col("name").endswith(suffix))
-        .join(passing, "run_id").groupBy("name").agg(F.min(closer).alias("closer"))
-    )
-    texts = quality.select("issue_id", F.concat_ws("\n", "title", "body").alias("text"))
-    by_file = (
-        mention_pairs(texts, "issue_id", "text", first_by_name, "name")
-        .join(first_by_name, F.col("needle") == F.col("name")).select("issue_id", "closer")
-    )
-    # The earliest default-branch pass is one row, or none.
-    any_default = (
-        passing.filter(F.col("context_key").isin(list(default_keys)))
-        .agg(F.min(closer).alias("closer")).scalar()
-    )
-    by_default = quality.select("issue_id", any_default.alias("closer")).filter(F.col("closer").isNotNull())
+        .join(passing.select("run_id", "closer"), "run_id").groupBy("name").agg(F.min("closer").alias("closer")), "names")
+
+    text = F.concat_ws("\n", "title", "body")
+    quality = stage(issues.filter((F.col("state") == "open") & is_quality_issue()).select(
+        "issue_id", text.alias("text"), F.array_distinct(F.concat(marks_of(F.col("labels"), text), F.array(F.lit(ALL)))).alias("marks")), "open-issues")
+    by_mark = quality.select("issue_id", F.explode("marks").alias("mark")).join(closers, "mark").select("issue_id", "closer")
+    by_file = mention_pairs(quality, "issue_id", "text", by_name, "name").join(
+        by_name, F.col("needle") == F.col("name")).select("issue_id", "closer")
     return (
-        by_key.unionByName(by_file).unionByName(by_default)
+        by_mark.unionByName(by_file)
         .groupBy("issue_id").agg(F.min("closer").alias("closer"))
         .select("issue_id", F.col("closer.ts").alias("closed_at"), F.col("closer.run_id").alias("closed_by"))
     )

@@ -32,26 +32,53 @@ def issue_match(spark, d):
     return match_issue(runs(spark, d), issues(spark, d)).select("run_id", "context_key", "issue_id")
 
 
-@query("issue_match_context", f"""
-WITH {EVENTS_SQL}, {ISSUES_SQL}, found AS (
-  SELECT issue_id, opened_at, CAST(substr(context_key, 6) AS BIGINT) AS u FROM open_quality)
-SELECT e.event_id AS run_id, CASE WHEN e.user_id % 2 = 0 THEN 'pr-' || e.user_id ELSE 'branch-b' || e.user_id END AS label, i.issue_id
-FROM ev e LEFT JOIN (SELECT u, arg_max(issue_id, (opened_at, issue_id)) AS issue_id FROM found GROUP BY 1) i ON i.u = e.user_id
-""")
-def issue_match_context(spark, d):
-    """Users are pull requests (even) or branches; half of their issues have the label, the others the tag."""
+def _context():
+    """(label, tag) of a user as a pull request (even) or a branch."""
     user = F.col("user_id")
-    pr, branch = F.when(user % 2 == 0, user), F.concat(F.lit("b"), user.cast("string"))
-    label, tag = context_forms(pr, branch)
+    return context_forms(F.when(user % 2 == 0, user), F.concat(F.lit("b"), user.cast("string")))
+
+
+def _marked_issues(spark, d):
+    """Issues of pull requests and branches; half have the label, the others the tag."""
+    user = F.col("user_id")
+    label, tag = _context()
     marked = issues(spark, d).withColumn("user_id", F.regexp_extract(F.concat_ws(" ", "labels", "title", "body"), r"user-(\d+)", 1).cast("bigint"))
     by_label = F.col("issue_id") % 2 == 0
     quality = F.array_remove("labels", F.concat(F.lit("user-"), user.cast("string")))
-    marked = marked.select(
+    return marked.select(
         "issue_id", "state", "opened_at", F.when(by_label, F.array_append(quality, label)).otherwise(quality).alias("labels"),
         F.when(by_label, F.regexp_replace("title", r"\[.*$", "")).otherwise(F.concat(F.regexp_replace("title", r"\[.*$", ""), tag)).alias("title"),
         F.regexp_replace("body", r"\[[^\]]*\]", "").alias("body"))
-    return match_context(events(spark, d).select(F.col("event_id").alias("run_id"), label.alias("label"), tag.alias("tag")), marked).select(
-        "run_id", "label", "issue_id")
+
+
+@query("issue_match_context", f"""
+WITH {EVENTS_SQL}, {ISSUES_SQL}, found AS (
+  SELECT issue_id, opened_at, CAST(substr(context_key, 6) AS BIGINT) AS u FROM open_quality)
+SELECT e.event_id AS run_id, CASE WHEN e.user_id % 2 = 0 THEN 'pr-' || e.user_id ELSE 'branch-b' || e.user_id END AS label, i.issue_id
+FROM ev e LEFT JOIN (SELECT u, arg_max(issue_id, (opened_at, issue_id)) AS issue_id FROM found GROUP BY 1) i ON i.u = e.user_id
+""")
+def issue_match_context(spark, d):
+    label, tag = _context()
+    runs = events(spark, d).select(F.col("event_id").alias("run_id"), label.alias("label"), tag.alias("tag"))
+    return match_context(runs, _marked_issues(spark, d)).select("run_id", "label", "issue_id")
+
+
+@query("issue_close_context", f"""
+WITH {EVENTS_SQL}, {ISSUES_SQL},
+passing AS (SELECT event_id AS run_id, user_id, ts, k FROM ev WHERE event_type <> 'error'),
+closers AS (
+  SELECT i.issue_id, p.ts, p.run_id FROM open_quality i JOIN passing p ON 'user-' || p.user_id = i.context_key
+  UNION ALL SELECT i.issue_id, p.ts, p.run_id FROM open_quality i JOIN passing p ON i.form = 1 AND p.k % 9 = 0 AND contains('src/file' || i.k || '.cs:1', 'file' || p.k || '.cs'))
+SELECT issue_id, min(ts) AS closed_at, arg_min(run_id, (ts, run_id)) AS closed_by FROM closers GROUP BY issue_id
+""")
+def issue_close_context(spark, d):
+    """Issues closed by the label or tag of a pull request or branch, and by files that passing runs touched."""
+    label, tag = _context()
+    passing = events(spark, d).select(
+        F.col("event_id").alias("run_id"), F.col("user_id").cast("string").alias("context_key"), "ts", "k",
+        (F.col("event_type") != "error").alias("passed"), label.alias("label"), tag.alias("tag"))
+    files = passing.filter(F.col("k") % 9 == 0).select("run_id", F.concat(F.lit("app\\file"), F.col("k").cast("string"), F.lit(".cs")).alias("path"))
+    return plain_times(close_scope(passing, _marked_issues(spark, d), files, label=F.col("label"), tag=F.col("tag")))
 
 
 @query("issue_file_match", """

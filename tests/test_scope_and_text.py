@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gatewright.functions.text import escape_property, fill, html_escape, relative_path, split_outside, truncate_text
 from gatewright.operators.columns import camel, magic_numbers, pascal
 from gatewright.operators.enclosing import in_scope, in_scope_same_key
-from gatewright.operators.mentions import mention_pairs
+from gatewright.operators.mentions import _tested, candidates, mention_pairs, mentions
 from gatewright.operators.metrics import nesting_depth
 from gatewright.operators.scope import changed_counts, scope_lines, scope_spans
 from gatewright.operators.spans import positioned_tokens
@@ -148,3 +148,19 @@ def test_settings(spark):
 def test_magic_numbers_skip_what_is_no_int(spark):
     df = spark.createDataFrame([("a 0 1 2 100 99999999999 2147483647",)], "t string")
     assert sorted(r.literal for r in magic_numbers(df, "t").collect()) == [2, 2147483647]
+
+
+def test_mentions_go_by_the_rarest_run(spark):
+    """Texts that hold only the frequent runs of a needle are never fetched; the others once for all their needles."""
+    common = [(i, f"x one two three four y{i}") for i in range(50)]
+    texts = spark.createDataFrame([*common, (100, "a one two three four five six b"), (101, "four five six seven one two")], "id int, text string")
+    many = [(f"y{i}",) for i in range(50)] + [("one two three four five six",), ("nowhere one two three else at all",), ("",), (None,)]
+    needles = spark.createDataFrame(many, "needle string")
+    found = candidates(texts, "id", "text", needles, "needle")
+    got = {(r.id, r.needle) for r in found.collect()}
+    assert {i for i, n in got if n.startswith("one")} == {100} and not any(n.startswith("nowhere") for _, n in got)
+    assert _tested(texts, "id", "text", found).count() == len({i for i, _ in got})
+    pairs = {(r.id, r.needle) for r in mention_pairs(texts, "id", "text", needles, "needle").collect()}
+    assert pairs == {(i, n) for i, t in [(r.id, r.text) for r in texts.collect()] for (n,) in many if n and n in t}
+    assert {r.id for r in mentions(texts, "id", "text", needles, "needle").collect()} == {i for i, _ in pairs}
+    assert mentions(texts, "id", "text", needles.limit(0), "needle").count() == 0
