@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.mentions import mention_pairs
-from gatewright.operators.ordered import running_total, time_rows
+from gatewright.operators.ordered import RowBlocks, running_total
 from gatewright.session import stage
 
 # How a quality issue is recognised.
@@ -135,7 +135,7 @@ def lifecycle(results: DataFrame, keys: Sequence[str], ts: str, tie: str, failed
         *keys, F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), F.coalesce(failed, F.lit(False)).alias("__fail"),
     ).dropna(subset=list(keys))
     cut = running_total(
-        prepared, keys, ["__ts", "__tie"], time_rows("__ts", target_rows),
+        prepared, keys, ["__ts", "__tie"], RowBlocks(target_rows),
         F.when(F.col("__fail"), 0).otherwise(1), "__island", inclusive=False,
     )
     fail = F.col("__fail")

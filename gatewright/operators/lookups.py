@@ -34,43 +34,66 @@ def latest_before(uses: DataFrame, assigns: DataFrame, keys: Sequence[str], ts:
     return seen.filter(F.col("__kind") == 0).select("__use.*", out)
 
 
-def resolve_chain(df: DataFrame, key: str, ref: str, literal: str) -> DataFrame:
-    """Follow key -> key references to the terminal literal: (key, value, depth).
+RESOLVED, DANGLING, ON_CYCLE, TO_CYCLE = "resolved", "dangling", "cycle", "to_cycle"
+
+
+def chain_ends(df: DataFrame, key: str, ref: str, literal: str) -> DataFrame:
+    """Where key -> key references end: (key, value, depth, status, cycle), one row per key.
 
-    A row without a reference is terminal and holds the literal. Cycles and dangling
-    references give null. References are doubled every round until no row is open, so
-    the number of joins is the logarithm of the longest chain; a row still open after
-    more steps than there are rows is in a cycle. Each round is written out, so the plan
-    does not grow.
+    A row without a reference is terminal and holds the literal: its chain is `resolved`, with the
+    number of steps as depth. A reference to a key that is not there is `dangling`. Keys of a cycle
+    are `cycle`, keys that lead into one `to_cycle`; both carry the least key of the cycle. Of rows that
+    share a key the one with the least (reference, literal) stands, so one without a reference first.
+
+    References are doubled every round until no row is open, so the number of joins is the
+    logarithm of the longest chain. A row still open after more steps than there are keys leads to
+    a cycle, and what such rows point to by then are just the keys of cycles. Each round is written
+    out, so the plan does not grow. A key that very many point to is one row on its side of
+    the join, so Spark may split the other side.
     """
-    # `jump` is the node reached after `depth` steps; `value` is set once it is terminal.
-    state = materialise(df.select(
-        F.col(key).alias("key"),
-        F.col(ref).alias("jump"),
-        F.when(F.col(ref).isNull(), F.col(literal)).alias("value"),
-        F.when(F.col(ref).isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+    firsts = df.groupBy(F.col(key).alias("key")).agg(
+        F.min(F.struct(F.col(ref).alias("ref"), F.col(literal).alias("literal"))).alias("row")
+    )
+    # `jump` is the node after `depth` steps, `low` the least key on the way; `value` is set once it is terminal.
+    state = materialise(firsts.select(
+        "key", F.col("row.ref").alias("jump"),
+        F.when(F.col("row.ref").isNull(), F.col("row.literal")).alias("value"),
+        F.when(F.col("row.ref").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.col("key").alias("low"), F.lit(False).alias("lost"),
     ))
-    rounds = state.count().bit_length() + 1
-    for _ in range(rounds):
-        open_rows = state.filter(F.col("jump").isNotNull())
+    is_open = F.col("jump").isNotNull()
+    for _ in range(state.count().bit_length() + 1):
+        open_rows = state.filter(is_open)
         if open_rows.isEmpty():
             break
-        target = state.select(
-            F.col("key").alias("t_key"), F.col("jump").alias("t_jump"),
-            F.col("value").alias("t_value"), F.col("depth").alias("t_depth"),
-        )
-        # A dangling reference keeps no jump and no value: it ends as null.
+        target = state.select(*[F.col(c).alias(f"t_{c}") for c in state.columns])
         moved = open_rows.join(target, F.col("jump") == F.col("t_key"), "left").select(
             "key", F.col("t_jump").alias("jump"), F.col("t_value").alias("value"),
             (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
+            F.least("low", "t_low").alias("low"), F.coalesce("t_lost", F.lit(True)).alias("lost"),
         )
-        state = materialise(state.filter(F.col("jump").isNull()).unionByName(moved))
-    ended = F.col("jump").isNull()
-    return state.select(
-        "key",
-        F.when(ended, F.col("value")).alias("value"),
-        F.when(ended & F.col("value").isNotNull(), F.col("depth").cast("int")).alias("depth"),
+        state = materialise(state.filter(~is_open).unionByName(moved))
+    status = F.when(F.col("lost"), F.lit(DANGLING)).otherwise(F.lit(RESOLVED))
+    ended = state.filter(~is_open).select(
+        "key", "value", F.when(~F.col("lost"), F.col("depth").cast("int")).alias("depth"), status.alias("status"),
+        F.lit(None).cast(state.schema["key"].dataType).alias("cycle"),
+    )
+    looped = state.filter(is_open)
+    members = looped.join(looped.select(F.col("jump").alias("key")).distinct(), "key", "left_semi").select(
+        F.col("key").alias("member"), F.col("low").alias("cycle"))
+    rounds = looped.join(members, F.col("jump") == F.col("member")).drop("member").join(
+        members.select("member"), F.col("key") == F.col("member"), "left"
+    ).select(
+        "key", "value", F.lit(None).cast("int").alias("depth"),
+        F.when(F.col("member").isNull(), F.lit(TO_CYCLE)).otherwise(F.lit(ON_CYCLE)).alias("status"), "cycle",
     )
+    return ended.unionByName(rounds)
+
+
+def resolve_chain(df: DataFrame, key: str, ref: str, literal: str) -> DataFrame:
+    """The terminal literal of each key by `chain_ends`: (key, value, depth); cycles and dangling references give null."""
+    ends = chain_ends(df, key, ref, literal)
+    return ends.select("key", "value", F.when(F.col("value").isNotNull(), F.col("depth")).alias("depth"))
 
 
 def classify(uses: DataFrame, decls: DataFrame, keys: Sequence[str],

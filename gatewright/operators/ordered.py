@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gatewright.operators.numbering import chunk_of, numbered
+
 _BLOCK, _SEED = "__block", "__seed"
 
 
@@ -29,51 +31,31 @@ def seq_block(seq: Column | str, width: int = 100_000) -> Column:
 
 @dataclass(frozen=True)
 class RowBlocks:
-    """Blocks of about `target_rows` rows for keys with more rows than that.
+    """Blocks of `target_rows` rows for keys with more rows than that; other keys stay whole.
 
-    `position` is a bigint along the order: a sequence number, `unix_micros` of a
-    time. Blocks are cut at percentiles of a hot key's positions, so a burst is cut as finely
-    as it is dense; rows of one position stay together. A row without a position is in the first block,
-    as nulls sort first. The hot keys number at most rows / target_rows, and Spark
-    broadcasts them only when their size allows.
+    The rows of hot keys are numbered in order over ranges that Spark samples and cut by their numbers, so
+    a burst is cut as finely as it is dense, and rows of one position are cut like any others. The hot
+    keys number at most rows / target_rows, and Spark broadcasts them only when their size allows.
     """
 
-    position: Column
     target_rows: int = 1_000_000
 
     def most(self, df: DataFrame, keys: Sequence[str]) -> int:
         """Rows of the largest key, from one count over the key columns."""
         return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
-    def assign(self, df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-        """`df` with its block; `most` is what `most` found and sets how many cuts a hot key gets."""
-        cuts = -(-most // self.target_rows)
-        placed = df.withColumn("__p", self.position.cast("bigint"))
-        shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-        hot = placed.groupBy(*keys).agg(
-            F.count("*").alias("__n"), F.percentile_approx("__p", shares, max(10_000, 20 * cuts)).alias("__cuts")
-        ).filter(F.col("__n") > self.target_rows).drop("__n")
-        hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__cuts")
+    def assign(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+        """`df` with its block along `order`, null for the rows of keys that stay whole."""
+        hot = df.groupBy(*keys).count().filter(F.col("count") > self.target_rows)
+        hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot"))
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-        # Rows above a cut are in a later block; a null position is above none.
-        block = F.size(F.filter("__cuts", lambda c: c < F.col("__p"))).cast("bigint")
-        return (
-            placed.join(hot, same, "left")
-            .withColumn(_BLOCK, F.when(F.col("__cuts").isNotNull(), block))
-            .drop("__p", "__cuts", *[f"__h_{k}" for k in keys])
-        )
-
-
-def time_rows(ts: str, target_rows: int = 1_000_000) -> RowBlocks:
-    """Row blocks along a timestamp, with or without zone."""
-    return RowBlocks(F.unix_micros(F.col(ts).cast("timestamp")), target_rows)
-
-
-def seq_rows(seq: str, target_rows: int = 1_000_000) -> RowBlocks:
-    """Row blocks along a number."""
-    return RowBlocks(F.col(seq), target_rows)
+        marked = df.join(hot, same, "left").select(*df.columns, "__hot")
+        cut = numbered(marked.filter("__hot").drop("__hot"), keys, order, "__no")
+        cut = cut.withColumn(_BLOCK, chunk_of(F.col("__no"), self.target_rows)).drop("__no")
+        whole = marked.filter("__hot IS NULL").drop("__hot").withColumn(_BLOCK, F.lit(None).cast("bigint"))
+        return whole.unionByName(cut)
 
 
 def _seeded(df: DataFrame, keys: Sequence[str], block: Column | DataFrame, state_agg: Column,
@@ -100,12 +82,11 @@ def _seeded(df: DataFrame, keys: Sequence[str], block: Column | DataFrame, state
     return cut.union(seeds)
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], block: Column | RowBlocks | None) -> Column | DataFrame | None:
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks | None) -> Column | DataFrame | None:
     """What `_seeded` takes as its blocks, or None where one plain window does."""
     if not isinstance(block, RowBlocks):
         return block
-    most = block.most(df, keys)
-    return None if most <= block.target_rows else block.assign(df, keys, most)
+    return None if block.most(df, keys) <= block.target_rows else block.assign(df, keys, order)
 
 
 def _data(df: DataFrame) -> DataFrame:
@@ -128,7 +109,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     as a part of one text.
     """
     df = df.withColumn("__v", value)
-    block = _blocks(df, keys, block)
+    block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
         return df.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))).drop("__v")
@@ -147,7 +128,7 @@ def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
     df = df.withColumn("__v", value)
-    block = _blocks(df, keys, block)
+    block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
         return df.withColumn(out, _grouped(keys, F.first("__v", ignorenulls=True).over(whole))).drop("__v")
@@ -168,7 +149,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     """Add the running sum of `amount` over the rows of the same key."""
     df = df.withColumn("__v", amount.cast("bigint"))
     upto = 0 if inclusive else -1
-    block = _blocks(df, keys, block)
+    block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
         return df.withColumn(out, _grouped(keys, F.coalesce(F.sum("__v").over(whole), F.lit(0)).cast("bigint"))).drop("__v")

@@ -11,8 +11,8 @@ from gatewright.operators.groups import (
     after_terminal, empty_groups, extras, inverted_pairs, layer_boundary, missing_member, presence_xor, repeat_use,
     token_not_passed, unguarded,
 )
-from gatewright.operators.lookups import classify, latest_before, resolve_chain
-from gatewright.operators.ordered import last_before, next_after, time_rows
+from gatewright.operators.lookups import chain_ends, classify, latest_before, resolve_chain
+from gatewright.operators.ordered import RowBlocks, last_before, next_after
 from gatewright.operators.scan import contains_any, scan_texts
 from gatewright.plans.fixtures import EVENTS_SQL, documents, events, quoted
 from gatewright.plans.metric_queries import SPAN_SQL, page_spans
@@ -89,7 +89,7 @@ FROM tr WHERE a <> b GROUP BY ALL HAVING n_ab > 0 AND n_ba > 0
 def detect_pair_inversion(spark, d):
     steps = last_before(
         events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"],
-        time_rows("ts"), F.col("event_type"), "before",
+        RowBlocks(), F.col("event_type"), "before",
     )
     return inverted_pairs(steps.filter(F.col("before").isNotNull()), ["user_id"], "before", "event_type")
 
@@ -105,7 +105,7 @@ def detect_asof_value(spark, d):
     ev = events(spark, d).select("event_id", "user_id", "ts", "value", "event_type")
     uses = ev.filter(F.col("event_type") == "purchase").drop("event_type")
     assigns = ev.filter(F.col("event_type") == "signup")
-    seen = latest_before(uses, assigns, ["user_id"], "ts", "value", time_rows("ts"))
+    seen = latest_before(uses, assigns, ["user_id"], "ts", "value", RowBlocks())
     return seen.filter(F.floor("assigned") == 0).select("event_id", "user_id", "value", "assigned")
 
 
@@ -138,6 +138,41 @@ def resolve_chain_deep(spark, d):
     return resolve_chain(parts, "p_partkey", "parent", "p_brand")
 
 
+@query("resolve_chain_ends", """
+WITH RECURSIVE raw AS (
+  SELECT p_partkey // 2 AS key, p_brand AS lit, p_partkey % 2 AS again,
+         CASE WHEN p_partkey // 2 % 10 IN (1, 2, 3, 9) THEN p_partkey // 2 - 1 WHEN p_partkey // 2 % 10 IN (4, 5) THEN p_partkey // 2 + 1
+              WHEN p_partkey // 2 % 10 = 6 THEN p_partkey // 2 - 2 WHEN p_partkey // 2 % 10 = 7 THEN p_partkey // 2 - 3
+              WHEN p_partkey // 2 % 10 = 8 THEN -1 END AS ref
+  FROM part),
+nodes AS (
+  SELECT key, CASE WHEN key % 10 > 0 THEN min(ref + again) END AS ref, min(lit) AS lit FROM raw GROUP BY key),
+walk AS (
+  SELECT key, key AS node, [key] AS path FROM nodes
+  UNION ALL SELECT w.key, n.ref, list_append(w.path, n.ref) FROM walk w JOIN nodes n ON n.key = w.node
+  WHERE n.ref IS NOT NULL AND NOT list_contains(w.path, n.ref)),
+ends AS (
+  SELECT w.key, w.path, w.node, n.key AS there, n.ref, n.lit
+  FROM (SELECT key, arg_max(path, len(path)) AS path, arg_max(node, len(path)) AS node FROM walk GROUP BY key) w
+  LEFT JOIN nodes n ON n.key = w.node)
+SELECT key, CASE WHEN there IS NOT NULL AND ref IS NULL THEN lit END AS value,
+       CAST(CASE WHEN there IS NOT NULL AND ref IS NULL THEN len(path) - 1 END AS INT) AS depth,
+       CASE WHEN there IS NULL THEN 'dangling' WHEN ref IS NULL THEN 'resolved' WHEN ref = key THEN 'cycle' ELSE 'to_cycle' END AS status,
+       CASE WHEN there IS NOT NULL AND ref IS NOT NULL THEN list_min(list_slice(path, list_position(path, ref), len(path))) END AS cycle
+FROM ends
+""")
+def resolve_chain_ends(spark, d):
+    """Two parts a key; of each ten keys one chain of four, a cycle of three with a way in, and two that dangle."""
+    key = F.floor(F.col("p_partkey") / 2)
+    place = key % 10
+    ref = (
+        F.when(place.isin(1, 2, 3, 9), key - 1).when(place.isin(4, 5), key + 1).when(place == 6, key - 2)
+        .when(place == 7, key - 3).when(place == 8, F.lit(-1))
+    )
+    parts = table(spark, d, "part").select(key.alias("k"), (ref + F.col("p_partkey") % 2).alias("ref"), "p_brand")
+    return chain_ends(parts, "k", "ref", "p_brand")
+
+
 @query("detect_zero_divisor", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, 0.0::DOUBLE AS safe_quotient FROM lineitem WHERE l_discount = 0
 """)
@@ -218,7 +253,7 @@ def detect_scope_key_match(spark, d):
     """
     ev = events(spark, d).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "ts", "event_type", "props", "value")
     signup = F.col("event_type") == "signup"
-    opened = next_after(ev.filter(signup), ["user_id"], ["ts", "event_id"], time_rows("ts"), F.col("pos"), "next")
+    opened = next_after(ev.filter(signup), ["user_id"], ["ts", "event_id"], RowBlocks(), F.col("pos"), "next")
     last = ev.agg(F.max("pos") + 1).scalar()
     spans = opened.select("user_id", F.col("pos").alias("start_pos"), F.coalesce("next", last).alias("end_pos"),
                           F.col("props").alias("opener"), F.col("event_id").alias("opened_by"), F.col("value").alias("opening"))

@@ -13,7 +13,7 @@ from gatewright.plans.fixtures import documents
 from gatewright.reporting.findings import ACTION, ADVISORIES, PASSED, categorise, enrich, gate, gate_counts
 from gatewright.reporting.recipients import recipients
 from gatewright.reporting.report import (
-    BADGES, CUT_NOTICE, HEADS, TABLE_HEAD, annotations, blueprints, error_report, file_groups, metric_cell, report_text,
+    BADGES, CUT_NOTICE, HEADS, TABLE_HEAD, annotations, blueprints, error_chunks, error_report, file_groups, metric_cell, report_text,
     topk_overflow,
 )
 from gatewright.schema import ERROR, WARNING
@@ -234,6 +234,24 @@ def report_errors(spark, d):
     return error_report(stage(enriched(spark, d), "findings"))
 
 
+@query("report_error_chunks", f"""
+WITH {FINDINGS_SQL}, {ENRICHED_SQL},
+lines AS (
+  SELECT *, min(seq) OVER (PARTITION BY run_id, target) AS group_seq,
+    '| `' || rule_id || '` ' || rule_name || ' | ' || CASE WHEN rule_id LIKE 'CQ%' THEN 'Code Quality' WHEN rule_id LIKE 'SEC%' THEN 'Security' ELSE 'General' END
+      || ' | `' || target || ':' || line_no || '` | `' || member || '` | ' || {CELL_SQL} || ' | ' || fix || ' |' AS line
+  FROM enriched WHERE severity = 'Error'),
+numbered AS (
+  SELECT run_id, line, row_number() OVER (PARTITION BY run_id
+    ORDER BY group_seq, target, seq, rule_id, line_no, end_line_no, member, description, line) AS row_no FROM lines)
+SELECT run_id, (row_no - 1) // 20 + 1 AS chunk, min(row_no) AS first_row, count(*) AS n_rows,
+       string_agg(line, chr(10) ORDER BY row_no) AS text
+FROM numbered GROUP BY ALL
+""")
+def report_error_chunks(spark, d):
+    return error_chunks(stage(enriched(spark, d), "findings"), rows=20)
+
+
 @query("report_truncate", """
 SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN left(text, 1500) || chr(10) || '(cut)' ELSE text END AS by_bytes,
        CASE WHEN length(text) > 1000 THEN left(text, 900) || '…' ELSE text END AS by_chars

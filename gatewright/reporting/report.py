@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gatewright.functions.text import (
     COMMENT_KEEP, COMMENT_LIMIT_CHARS, SUMMARY_KEEP, SUMMARY_LIMIT_BYTES, escape_data, escape_property, truncate_text,
 )
+from gatewright.operators.numbering import chunk_of, numbered
 from gatewright.reporting.findings import ACTION, ADVISORIES, PASSED, categorise
 from gatewright.schema import ERROR, WARNING
 
@@ -18,6 +19,7 @@ from gatewright.schema import ERROR, WARNING
 ERROR_ROWS = 50
 WARNING_ROWS = {"comment": 10, "summary": 25}
 BLUEPRINT_ROWS = {ERROR: 15, WARNING: 5}
+CHUNK_ROWS = 500
 # Status lines, badges, table heads and the notice of a cut.
 HEADS = {
     PASSED: "## ✅ Code Quality Gate: **PASSED**",
@@ -190,16 +192,34 @@ def report_text(runs: DataFrame, findings: DataFrame, kind: str = "summary", wit
     return runs.join(body, "run_id", "left").select("run_id", text.alias("report"))
 
 
+def _error_line() -> Column:
+    return F.concat(
+        F.lit("| `"), F.col("rule_id"), F.lit("` "), F.col("rule_name"), F.lit(" | "), F.col("category"), F.lit(" | `"),
+        F.col("target"), F.lit(":"), F.col("line_no").cast("string"), F.lit("` | `"), F.col("member"), F.lit("` | "),
+        metric_cell(F.col("severity"), F.col("actual"), F.col("threshold")), F.lit(" | "), F.col("fix"), F.lit(" |"),
+    )
+
+
 def error_report(findings: DataFrame) -> DataFrame:
     """All errors of all runs as rows: (run_id, group_seq, target, seq, rule_id, line, blueprint).
 
     The report of a run is its rows sorted by (group_seq, target) and ORDER; it has no limit, so
     it stays rows and is never one text.
     """
-    line = F.concat(
-        F.lit("| `"), F.col("rule_id"), F.lit("` "), F.col("rule_name"), F.lit(" | "), F.col("category"), F.lit(" | `"),
-        F.col("target"), F.lit(":"), F.col("line_no").cast("string"), F.lit("` | `"), F.col("member"), F.lit("` | "),
-        metric_cell(F.col("severity"), F.col("actual"), F.col("threshold")), F.lit(" | "), F.col("fix"), F.lit(" |"),
-    )
     return file_groups(categorise(findings), only_errors=True).select(
-        "run_id", "group_seq", "target", "seq", "rule_id", line.alias("line"), blueprint_text().alias("blueprint"))
+        "run_id", "group_seq", "target", "seq", "rule_id", _error_line().alias("line"), blueprint_text().alias("blueprint"))
+
+
+def error_chunks(findings: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """The error report of each run as numbered pieces: (run_id, chunk, first_row, n_rows, text).
+
+    A piece has `rows` lines of the report, the last one of a run what is left. Rows are numbered by
+    ranges over all tasks (`numbered`), so what is gathered in one place is one piece.
+    """
+    shown = file_groups(categorise(findings), only_errors=True).withColumn("line", _error_line())
+    order = ["group_seq", *ORDER, "line"]
+    lines = numbered(shown.select("run_id", "target", *[c for c in order if c != "target"]), ["run_id"], ["group_seq", "target", *order[1:]])
+    return lines.groupBy("run_id", chunk_of(F.col("row_no"), rows).alias("chunk")).agg(
+        F.min("row_no").alias("first_row"), F.count("*").alias("n_rows"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"]), "\n").alias("text"),
+    )

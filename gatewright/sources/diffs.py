@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.operators.ordered import last_before, seq_rows
+from gatewright.operators.ordered import RowBlocks, last_before
 
 # Fixed values of the diff format.
 FILE_PREFIX = "+++ b/"
@@ -28,7 +28,7 @@ def _current_file(lines_df: DataFrame, suffix: str) -> DataFrame:
         F.col("line").startswith(FILE_PREFIX) | F.col("line").startswith("@@")
     )
     return last_before(
-        relevant, ["diff_id"], ["seq"], seq_rows("seq"), named, "path", inclusive=True
+        relevant, ["diff_id"], ["seq"], RowBlocks(), named, "path", inclusive=True
     ).filter(F.col("path") != "")
 
 

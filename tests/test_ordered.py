@@ -6,8 +6,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gatewright.operators.lookups import latest_before, resolve_chain
-from gatewright.operators.ordered import last_before, next_after, running_total, seq_block, seq_rows
+from gatewright.operators.lookups import chain_ends, latest_before, resolve_chain
+from gatewright.operators.numbering import numbered
+from gatewright.operators.ordered import RowBlocks, last_before, next_after, running_total, seq_block
 from gatewright.operators.spans import pair_spans
 from gatewright.session import stage, staging
 
@@ -42,7 +43,7 @@ def _expect(rows):
     return out
 
 
-@pytest.mark.parametrize("blocks", [seq_block, seq_rows])
+@pytest.mark.parametrize("blocks", [seq_block, lambda _, width: RowBlocks(width)])
 @pytest.mark.parametrize("width", [1, 30, 10_000])
 def test_against_brute_force(spark, width, blocks, partitions=5):
     rows = _rows(seed=width)
@@ -73,7 +74,7 @@ def test_null_keys_form_no_group(spark):
 def test_as_of_is_strict(spark):
     uses = spark.createDataFrame([(1, 5, "u5"), (1, 9, "u9"), (2, 1, "u1")], "key int, at long, use string")
     assigns = spark.createDataFrame([(1, 5, 50), (1, 4, 40), (1, 4, 41), (2, 3, 30)], "key int, at long, v int")
-    out = latest_before(uses, assigns, ["key"], "at", "v", seq_rows("at", 2), "v")
+    out = latest_before(uses, assigns, ["key"], "at", "v", RowBlocks(2), "v")
     assert {r.use: r.v for r in out.collect()} == {"u5": 41, "u9": 50, "u1": None}
 
 
@@ -108,7 +109,7 @@ def test_pairing_of_unbalanced_tokens(spark, blocked):
                 want.add((doc, last[at][0], i, at))
             last[at] = (i, t)
     df = spark.createDataFrame(rows, "doc int, tok_no int, d int").repartition(4)
-    block = seq_rows("tok_no", 6) if blocked else None
+    block = RowBlocks(6) if blocked else None
     out = pair_spans(df, ["doc"], F.col("d"), block=block)
     assert {(r.doc, r.open_no, r.close_no, r.depth) for r in out.collect()} == want
 
@@ -120,13 +121,57 @@ def test_block_cuts(spark):
     for op in (lambda b: running_total(df, ["k"], ["at", "tie"], b, F.lit(1), "v"),
                lambda b: last_before(df, ["k"], ["at", "tie"], b, F.col("tie"), "v"),
                lambda b: next_after(df, ["k"], ["at", "tie"], b, F.col("tie"), "v")):
-        want = sorted(map(str, op(seq_rows("at", 10_000)).collect()))
+        want = sorted(map(str, op(RowBlocks(10_000)).collect()))
         for size in (5, 40):
-            assert sorted(map(str, op(seq_rows("at", size)).collect())) == want
+            assert sorted(map(str, op(RowBlocks(size)).collect())) == want
     burst = spark.createDataFrame([(1, i, i) for i in range(1000)] + [(1, 10**9, 0)], "k int, at long, tie int")
-    cut = seq_rows("at", 100)
-    sizes = cut.assign(burst, ["k"], cut.most(burst, ["k"])).groupBy("__block").count().collect()
-    assert len(sizes) >= 9 and max(r["count"] for r in sizes) <= 130
+    ties = spark.createDataFrame([(1, 7, i) for i in range(1000)], "k int, at long, tie int")
+    for rows in (burst, ties):
+        sizes = RowBlocks(100).assign(rows, ["k"], ["at"]).groupBy("__block").count().collect()
+        assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 100
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_numbers_per_run(spark, partitions):
+    """Hot, small and null runs, null positions and ties, against a sort."""
+    rnd = random.Random(partitions)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, 1, 2, 9]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "run int, at int, tie int").repartition(4)
+    got = numbered(df, ["run"], ["at", "tie"], partitions=partitions).collect()
+    lines = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        lines.setdefault(r[0], []).append(r)
+    assert sorted(map(str, ((r.run, r.at, r.tie, r.row_no) for r in got))) == sorted(
+        str((*r, i)) for line in lines.values() for i, r in enumerate(line, 1))
+    tied = numbered(df, ["run"], [], partitions=partitions).groupBy("run").agg(F.collect_list("row_no").alias("n"))
+    assert all(sorted(r.n) == list(range(1, len(lines[r.run]) + 1)) for r in tied.collect())
+    assert numbered(df.limit(0), ["run"], ["at"]).collect() == []
+
+
+def test_chain_ends_told_apart(spark):
+    """Cycles, ways into them, dangling references and repeated keys, against a walk."""
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice([None, rnd.randrange(70), rnd.randrange(70)]), f"l{i}") for i, k in enumerate([*range(60), *range(20), 3, 3])]
+    rows += [(k, 900, "hot") for k in range(1000, 1200)] + [(900, None, None), (901, 901, "self")]
+    nodes = {}
+    for k, ref, lit in rows:
+        nodes.setdefault(k, []).append((ref is not None, ref or 0, ref, lit))
+    nodes = {k: min(v, key=lambda r: (r[0], r[1], r[3] is not None, r[3] or ""))[2:] for k, v in nodes.items()}
+    want = {}
+    for k in nodes:
+        path = [k]
+        while path[-1] in nodes and nodes[path[-1]][0] is not None and nodes[path[-1]][0] not in path:
+            path.append(nodes[path[-1]][0])
+        if path[-1] not in nodes:
+            want[k] = (None, None, "dangling", None)
+        elif nodes[path[-1]][0] is None:
+            want[k] = (nodes[path[-1]][1], len(path) - 1, "resolved", None)
+        else:
+            ring = path[path.index(nodes[path[-1]][0]):]
+            want[k] = (None, None, "cycle" if k in ring else "to_cycle", min(ring))
+    got = chain_ends(spark.createDataFrame(rows, "k int, ref int, lit string").repartition(5), "k", "ref", "lit").collect()
+    assert len(got) == len(nodes) and {r.key: (r.value, r.depth, r.status, r.cycle) for r in got} == want
+    assert {w[2] for w in want.values()} == {"dangling", "resolved", "cycle", "to_cycle"}
 
 
 def test_staging(spark):
