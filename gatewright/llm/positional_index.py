@@ -34,6 +34,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Term of the one row a document has besides its postings; its position is the number of words.
 LENGTH = ""
+#: Words that a term may stand from its place in the proximity matches of the query.
+SLOP = 2
+#: More probes than a window has.
+MANY = 1 << 30
+PLACE = ["window", *DOC, "start"]
 
 
 def terms(text: Column) -> Column:
@@ -83,31 +88,65 @@ def _probes(windows: DataFrame, index: Index) -> DataFrame:
     return ranked.filter(F.col("probes")[0]["n"] > 0)
 
 
+def _asked(found: DataFrame, first: int, last: int) -> DataFrame:
+    """The probes of ranks first..last-1 of each place: the term and where it is due; `used` is the place of the rarest term."""
+    chosen = F.slice("probes", first + 1, last - first)
+    rows = found.select(
+        *PLACE, (F.col("start") + F.col("probes")[0]["off"]).alias("used"), "probes", F.size(chosen).alias("need"), F.posexplode(chosen))
+    return rows.select(*PLACE, "used", "probes", "need", (F.col("pos") + first).alias("rank"), F.col("col.term").alias("term"),
+                       (F.col("start") + F.col("col.off")).alias("due"))
+
+
+def _near(asked: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """`asked` with each posting `pos` of its term at most `slop` words from where it is due, but for the used one."""
+    width = 2 * slop + 1
+    zones = F.array_distinct(F.transform(F.array(F.lit(-slop), F.lit(slop)), lambda d: F.floor((F.col("due") + d) / width)))
+    met = asked.withColumn("zone", F.explode(zones)).join(
+        postings.withColumn("zone", F.floor(F.col("pos") / width)), [*DOC, "term", "zone"])
+    return met.filter((F.abs(F.col("pos") - F.col("due")) <= slop) & (F.col("pos") != F.col("used")))
+
+
 def _confirm(found: DataFrame, postings: DataFrame, first: int, last: int, slop: int = 0) -> DataFrame:
     """Places whose probes of ranks first..last-1 are all in the postings; those without such probes stay."""
-    place = ["window", *DOC, "start"]
     need = F.size(F.slice("probes", first + 1, last - first))
-    asked = found.filter(need > 0).select(*place, need.alias("need"), F.posexplode(F.slice("probes", first + 1, last - first)))
-    asked = asked.select(*place, "need", F.col("pos").alias("rank"), F.col("col.term").alias("term"),
-                         (F.col("start") + F.col("col.off")).alias("due"))
-    if slop:
-        width = 2 * slop + 1
-        near = F.array_distinct(F.transform(F.array(F.lit(-slop), F.lit(slop)), lambda d: F.floor((F.col("due") + d) / width)))
-        asked = asked.withColumn("zone", F.explode(near))
-        met = asked.join(postings.withColumn("zone", F.floor(F.col("pos") / width)), [*DOC, "term", "zone"])
-        met = met.filter(F.abs(F.col("pos") - F.col("due")) <= slop)
-    else:
-        met = asked.join(postings.withColumnRenamed("pos", "due"), [*DOC, "term", "due"])
-    kept = met.groupBy(*place, "need").agg(F.count_distinct("rank").alias("got")).filter("got = need").select(*place)
-    return kept.unionByName(found.filter(need <= 0).select(*place))
+    asked = _asked(found.filter(need > 0), first, last).drop("probes")
+    met = _near(asked, postings, slop) if slop else asked.join(postings.withColumnRenamed("pos", "due"), [*DOC, "term", "due"])
+    kept = met.groupBy(*PLACE, "need").agg(F.count_distinct("rank").alias("got")).filter("got = need").select(*PLACE)
+    return kept.unionByName(found.filter(need <= 0).select(*PLACE))
+
+
+def _assign(found: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(window, id, th, start, exact): places where each probe gets a posting of its own within `slop`.
+
+    Probes of one term are served in the order of their places, each with the first posting left to it:
+    their ranges are equally long, so this finds an assignment if there is one.
+    """
+    met = _near(_asked(found, 1, MANY), postings, slop).groupBy(*PLACE).agg(
+        F.first("probes").alias("probes"), F.max("need").alias("need"),
+        F.collect_set(F.struct("rank", "pos", (F.col("pos") == F.col("due")).alias("hit"))).alias("met"),
+    ).filter(F.size(F.array_distinct(F.col("met.rank"))) == F.col("need"))
+    # Places of `probes`, counted from 0 like ranks, by term and then by place in the window.
+    others = F.slice(F.transform("probes", lambda p, i: F.struct(p["term"].alias("term"), p["off"].alias("off"), i.alias("rank"))), 2, MANY)
+
+    def serve(state: Column, probe: Column) -> Column:
+        left = F.filter("met", lambda m: (m["rank"] == probe["rank"]) & ((probe["term"] != state["term"]) | (m["pos"] > state["last"])))
+        pos = F.array_min(F.transform(left, lambda m: m["pos"]))
+        return F.struct(probe["term"].alias("term"), F.coalesce(pos, state["last"]).alias("last"), (state["ok"] & pos.isNotNull()).alias("ok"))
+
+    start = F.struct(F.lit(LENGTH).alias("term"), F.lit(0).alias("last"), F.lit(True).alias("ok"))
+    served = F.aggregate(F.array_sort(others), start, serve, lambda state: state["ok"])
+    plain = F.size(F.array_distinct(F.col("probes.term"))) == F.size("probes")
+    exact = F.size(F.filter("met", lambda m: m["hit"])) == F.col("need")
+    kept = met.select(*PLACE, exact.alias("exact"), (plain | served).alias("ok")).filter("ok").drop("ok")
+    return kept.unionByName(found.filter(F.size("probes") == 1).select(*PLACE, F.lit(True).alias("exact")))
 
 
 def phrase_matches(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """(window, id, th, start, size): places in documents where all terms of a window stand.
+    """(window, id, th, start, size, exact): places in documents where all terms of a window stand.
 
     `windows` is (window bigint, terms). With `slop` 0 these are exact phrases from word `start`
-    on. Otherwise each term may stand up to `slop` words from its place, as seen from the rarest
-    term, in any order: proximity matches.
+    on. Otherwise proximity matches come with them: each term may stand up to `slop` words from its
+    place, as seen from the rarest term, in any order, and each has a word of its own.
     """
     probes = stage(_probes(windows, index), "probes")
     post = index.postings
@@ -118,13 +157,21 @@ def phrase_matches(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame
     seconds = stage(probes.filter(F.size("probes") > 1).select(F.col("probes")[1]["term"].alias("term")).distinct(), "seconds")
     thinned = stage(_confirm(places.join(probes, "window"), post.join(seconds, "term", "left_semi"), 1, 2, slop), "thinned")
     in_docs = stage(thinned.select(*DOC).distinct(), "hit-docs")
-    longest = 1 << 30
-    rest = _confirm(thinned.join(probes, "window"), post.join(in_docs, DOC, "left_semi"), 2, longest, slop)
+    found, hit_post = thinned.join(probes, "window"), post.join(in_docs, DOC, "left_semi")
+    if slop:
+        rest = _assign(found, hit_post, slop)
+    else:
+        rest = _confirm(found, hit_post, 2, MANY).withColumn("exact", F.lit(True))
     return rest.join(probes.select("window", F.size("probes").alias("size")), "window")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, n_words, n_hit, items): a row for each row of `docs`, keyed by `doc_key`."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
+                  slop: int = 0) -> DataFrame:
+    """(id, th, n_words, n_hit, items, near): a row for each row of `docs`, keyed by `doc_key`.
+
+    `n_hit` and `items` are of exact matches. `near` are the items of which no window stands in the
+    text as it is, but one by a proximity match within `slop`; with 0 there are none.
+    """
     every = stage(item_windows(items, window), "windows")
     vocabulary = every.select(F.explode("terms").alias("term")).distinct()
     index = build_index(docs, vocabulary, doc_id, text)
@@ -132,18 +179,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     # Written once with its numbers, which no two windows share, whatever the ids of their items are.
     numbered = stage(every.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()), "numbered")
     owners = stage(every.join(numbered, "terms").select("window", "item_id").distinct(), "owners")
-    matches = stage(phrase_matches(index, numbered.select("window", "terms")), "matches")
+    matches = stage(phrase_matches(index, numbered.select("window", "terms"), slop), "matches")
     # A word counts once however many windows cover it: only what reaches past earlier ends is new.
-    spans = matches.groupBy(*DOC, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
+    spans = matches.filter("exact").groupBy(*DOC, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     earlier = W.partitionBy(*DOC).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0))), F.lit(0))
     hits = spans.withColumn("fresh", fresh).groupBy(*DOC).agg(F.sum("fresh").alias("n_hit"))
-    named = matches.select(*DOC, "window").distinct().join(owners, "window").groupBy(*DOC).agg(
-        F.collect_set(F.col("item_id").cast("string")).alias("items")
+    of_windows = matches.groupBy(*DOC, "window").agg(F.max("exact").alias("exact"))
+    of_items = of_windows.join(owners, "window").groupBy(*DOC, F.col("item_id").cast("string").alias("item")).agg(F.max("exact").alias("exact"))
+    named = of_items.groupBy(*DOC).agg(
+        F.collect_set(F.when(F.col("exact"), F.col("item"))).alias("items"), F.collect_set(F.when(~F.col("exact"), F.col("item"))).alias("near"),
     )
     return index.lengths().join(hits, DOC, "left").join(named, DOC, "left").select(
         *DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"),
+        *[F.array_sort(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in ("items", "near")],
     )
 
 
@@ -153,16 +202,20 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, d
 
 
 def op5_positional_index(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, of exact matches, and `n_near`: items met only by proximity."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).select(
+    return contamination(docs, items, slop=SLOP).select(
         id_of(F.col("id")).alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("bigint").alias("n_near"),
     )
 
 
-ORACLE_SQL = r"""
+# `n_near`: a place is near if for any two probes of a term, none of them the rarest one, there are as many
+# words of that term between their ranges as there are probes from one to the other.
+ORACLE_SQL = rf"""
 WITH texts AS (
     SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents
     UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark
@@ -186,9 +239,37 @@ WITH texts AS (
 ), named AS (
     SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS items
     FROM hits GROUP BY r
+), probes AS (
+    SELECT gram, generate_subscripts(terms, 1) - 1 AS off, unnest(terms) AS term
+    FROM (SELECT DISTINCT gram, string_split(gram, ' ') AS terms FROM grams)
+), postings AS (
+    SELECT * FROM (SELECT r, generate_subscripts(words, 1) AS pos, unnest(words) AS term FROM split WHERE kind = 0)
+    WHERE term IN (SELECT term FROM probes)
+), counted AS (
+    SELECT p.*, coalesce(n, 0) AS n FROM probes p LEFT JOIN (SELECT term, count(*) AS n FROM postings GROUP BY term) USING (term)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY gram ORDER BY n, off) AS rank FROM counted
+), pairs AS (
+    SELECT a.gram, a.term, a.off AS first, b.off AS last, count(*) AS need
+    FROM ranked a JOIN ranked b ON a.gram = b.gram AND a.term = b.term AND a.off <= b.off
+    JOIN ranked m ON m.gram = a.gram AND m.term = a.term AND m.off BETWEEN a.off AND b.off AND m.rank > 1
+    WHERE a.rank > 1 AND b.rank > 1 GROUP BY ALL
+), starts AS (
+    SELECT DISTINCT gram, r, pos, pos - off AS start FROM ranked JOIN postings USING (term) WHERE rank = 1
+), met AS (
+    SELECT s.gram, s.r, s.start, p.first, p.last, p.need, count(d.pos) AS got
+    FROM starts s LEFT JOIN pairs p USING (gram) LEFT JOIN postings d
+    ON d.r = s.r AND d.term = p.term AND d.pos BETWEEN s.start + p.first - {SLOP} AND s.start + p.last + {SLOP} AND d.pos <> s.pos
+    GROUP BY ALL
+), near AS (
+    SELECT DISTINCT m.r, item_id
+    FROM (SELECT gram, r, start FROM met GROUP BY ALL HAVING bool_and(coalesce(got >= need, true))) m JOIN grams USING (gram)
+    WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.r = m.r AND h.item_id = grams.item_id)
+), nears AS (
+    SELECT r, count(DISTINCT item_id) AS n_near FROM near GROUP BY r
 )
 SELECT id AS doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit,
        coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM split LEFT JOIN covered USING (r) LEFT JOIN named USING (r) WHERE kind = 0
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::bigint AS n_near
+FROM split LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN nears USING (r) WHERE kind = 0
 """
