@@ -38,6 +38,8 @@ LENGTH = ""
 SLOP = 2
 #: More probes than a window has.
 MANY = 1 << 30
+#: Terms of a window in a proximity search: ranks are bits of a bigint.
+BITS = 62
 PLACE = ["window", *DOC, "start"]
 
 
@@ -115,17 +117,34 @@ def _confirm(found: DataFrame, postings: DataFrame, first: int, last: int, slop:
     return kept.unionByName(found.filter(need <= 0).select(*PLACE))
 
 
-def _assign(found: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
-    """(window, id, th, start, exact): places where each probe gets a posting of its own within `slop`.
+def _bit(rank: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), rank)
+
+
+def _complete(found: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(window, id, th, start, exact): places whose probes all have a posting within `slop`.
+
+    Ranks are bits of a number, so a place is one small row however many postings it meets.
+    """
+    few = F.when(F.size("probes") <= BITS, F.size("probes")).otherwise(F.raise_error(F.lit(f"proximity takes windows of {BITS} terms at most")))
+    met = _near(_asked(found.filter(few > 1), 1, MANY).drop("probes"), postings, slop)
+    bit = _bit(F.col("rank"))
+    bits = met.select(*PLACE, "need", bit.alias("near"), F.when(F.col("pos") == F.col("due"), bit).otherwise(0).alias("hit"))
+    every = _bit(F.col("need") + 1) - 2
+    whole = bits.groupBy(*PLACE, "need").agg(F.bit_or("near").alias("near"), F.bit_or("hit").alias("hit")).filter(F.col("near") == every)
+    return whole.select(*PLACE, (F.col("hit") == every).alias("exact")).unionByName(
+        found.filter(F.size("probes") == 1).select(*PLACE, F.lit(True).alias("exact")))
+
+
+def _unserved(found: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(window, id, th, start): complete places where the probes of a term can't each have a posting of its own.
 
     Probes of one term are served in the order of their places, each with the first posting left to it:
     their ranges are equally long, so this finds an assignment if there is one.
     """
-    met = _near(_asked(found, 1, MANY), postings, slop).groupBy(*PLACE).agg(
-        F.first("probes").alias("probes"), F.max("need").alias("need"),
-        F.collect_set(F.struct("rank", "pos", (F.col("pos") == F.col("due")).alias("hit"))).alias("met"),
-    ).filter(F.size(F.array_distinct(F.col("met.rank"))) == F.col("need"))
-    # Places of `probes`, counted from 0 like ranks, by term and then by place in the window.
+    met = _near(_asked(found, 1, MANY).drop("probes"), postings, slop).groupBy(*PLACE).agg(
+        F.collect_set(F.struct("rank", "pos")).alias("met")).join(found.select("window", "probes").distinct(), "window")
+    # Probes with their ranks, by term and then by place in the window.
     others = F.slice(F.transform("probes", lambda p, i: F.struct(p["term"].alias("term"), p["off"].alias("off"), i.alias("rank"))), 2, MANY)
 
     def serve(state: Column, probe: Column) -> Column:
@@ -135,10 +154,7 @@ def _assign(found: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
 
     start = F.struct(F.lit(LENGTH).alias("term"), F.lit(0).alias("last"), F.lit(True).alias("ok"))
     served = F.aggregate(F.array_sort(others), start, serve, lambda state: state["ok"])
-    plain = F.size(F.array_distinct(F.col("probes.term"))) == F.size("probes")
-    exact = F.size(F.filter("met", lambda m: m["hit"])) == F.col("need")
-    kept = met.select(*PLACE, exact.alias("exact"), (plain | served).alias("ok")).filter("ok").drop("ok")
-    return kept.unionByName(found.filter(F.size("probes") == 1).select(*PLACE, F.lit(True).alias("exact")))
+    return met.filter(~served).select(*PLACE)
 
 
 def phrase_matches(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame:
@@ -159,7 +175,12 @@ def phrase_matches(index: Index, windows: DataFrame, slop: int = 0) -> DataFrame
     in_docs = stage(thinned.select(*DOC).distinct(), "hit-docs")
     found, hit_post = thinned.join(probes, "window"), post.join(in_docs, DOC, "left_semi")
     if slop:
-        rest = _assign(found, hit_post, slop)
+        # Only near places with a repeated term can lack words: few, so their postings are met once more.
+        complete = stage(_complete(found, hit_post, slop), "complete")
+        repeated = F.size(F.array_distinct(F.col("probes.term"))) < F.size("probes")
+        doubtful = stage(complete.filter("NOT exact").drop("exact").join(probes.filter(repeated), "window"), "doubtful")
+        doubtful_docs = stage(doubtful.select(*DOC).distinct(), "doubtful-docs")
+        rest = complete.join(_unserved(doubtful, post.join(doubtful_docs, DOC, "left_semi"), slop), PLACE, "left_anti")
     else:
         rest = _confirm(found, hit_post, 2, MANY).withColumn("exact", F.lit(True))
     return rest.join(probes.select("window", F.size("probes").alias("size")), "window")
