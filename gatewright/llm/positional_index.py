@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 Postings (term, document, position) of all terms that any benchmark item uses are written once,
-sorted by term within each file. Every benchmark window then takes its terms from the rarest on:
+clustered by term within each file. Every benchmark window then takes its terms from the rarest on:
 the list of the rarest gives candidate places, offset by the place of the term in the window; the
 second list thins them out; the rest of the terms confirm them. Lists are intersected as joins on
 (document, term, position), so a frequent term is only looked up where a rare one already fits.
@@ -69,7 +69,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, doc_id: st
     if vocabulary is not None:
         wanted = vocabulary.select("term").union(vocabulary.sparkSession.sql(f"SELECT '{LENGTH}' AS term"))
         rows = rows.join(stage(wanted.distinct(), "vocabulary"), "term", "left_semi")
-    return Index(stage(rows.sortWithinPartitions("term", *DOC, "pos"), "postings"))
+    # A sort by one number is a radix sort; it puts the postings of a term together and keeps their order.
+    return Index(stage(rows.sortWithinPartitions(F.xxhash64("term")), "postings"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
