@@ -5,10 +5,16 @@ fingerprints differ in at most 3 bits, at least two of the three words differ in
 bit each, so for one of the three pairs of words they share a pair of fuzzy keys. Keys are
 24 bits of codeword indices; all fingerprints with a key meet, and bits are counted exactly.
 
+Keys are counted first, and those of more than GROUP fingerprints are split. The third word of two
+linked fingerprints differs in at most 3 bits, so one of its four pieces is equal in both: they meet by
+(key, piece). What is still too large is dealt into blocks, and each pair of blocks meets in a group of its own.
+
 Rows: a null text has no words; fewer words than a shingle are one shingle; no words give
 fingerprint zero, linked like any other. Repeated rows each get their row. A row without a
 doc_id takes part, but can't name a component; a component without any id has null.
-Other columns of `docs` are not read. An empty table gives an empty table.
+`near_duplicates` doesn't read other columns, `keep_one` returns all columns, of any names; there the smallest id
+stays, rows without one stand behind those with one, and of rows equal in id and text one stays.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gatewright.llm import golay
 from gatewright.llm.components import components
+from gatewright.llm.rows import KEY, NO_ID, doc_key, without
 from gatewright.session import stage
 
 SEED, BITS, CHUNK = 42, 64, 200_000
@@ -34,6 +41,10 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 LINK_BITS = 3
 #: Groups up to this size compare all members at once, larger ones spread from member to member.
 SMALL = 12
+#: Fingerprints of a key beyond which the key is split.
+GROUP = 1 << 14
+#: Pieces of the word that a key leaves out: one more than the bits that may differ in it.
+PIECES = LINK_BITS + 1
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
@@ -150,26 +161,14 @@ def group_links(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(distinct: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """(u, v) links that connect all fingerprints with at most `bits` differing bits.
-
-    `distinct` has one row for each value of fp. Rows of equal keys come together sorted, so
-    that a task holds one group at a time: 8 bytes a fingerprint. A group of copies is one
-    fingerprint here, and a group of near copies gives fewer links than it has members.
-    """
-    if bits > LINK_BITS:
-        raise ValueError(f"the keys find all pairs up to {LINK_BITS} bits")
-    keyed = distinct.select("fp").mapInArrow(_key_rows, "key int, fp bigint")
-    shuffled = keyed.repartition(F.col("key")).sortWithinPartitions("key")
-
+def _met(keyed: DataFrame, bits: int) -> DataFrame:
+    """(u, v) links within the groups of (key, fp), sorted by key, so that a task holds one group at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
         def out(key, fps):
             u, v = group_links(key, fps, bits)
             return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        parts = [(key, fps)]
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
         for batch in batches:
             parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if parts[-1][0][0] == parts[-1][0][-1] and parts[0][0].size and parts[0][0][-1] == parts[-1][0][-1]:
@@ -184,23 +183,94 @@ def links(distinct: DataFrame, bits: int = LINK_BITS) -> DataFrame:
         if len(key):
             yield out(key, np.concatenate([p[1] for p in parts]))
 
-    return shuffled.mapInArrow(run, "u bigint, v bigint").distinct()
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+
+
+def _large(keyed: DataFrame, group: int) -> DataFrame:
+    """(key, n) of the keys with more than `group` rows; rows are added up before they are shuffled."""
+    return stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group), "large-keys")
+
+
+def by_pieces(keyed: DataFrame) -> DataFrame:
+    """(key, fp) with a new key for each piece of the word that is not in the old key.
+
+    Keys are hashes: if two fall together, their fingerprints are compared needlessly, and none is lost.
+    """
+    def piece(word: int, number: int):
+        at, n = SEGMENTS[word]
+        first, last = (at + n * k // PIECES for k in (number, number + 1))
+        return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << last - first) - 1))
+
+    left_out = [({0, 1, 2} - set(pair)).pop() for pair in combinations(range(len(SEGMENTS)), 2)]
+    which = F.shiftright("key", 24)
+    value = lambda k: F.when(which == 0, piece(left_out[0], k)).when(which == 1, piece(left_out[1], k)).otherwise(piece(left_out[2], k))
+    keys = F.array(*[F.xxhash64("key", F.lit(k), value(k)) for k in range(PIECES)])
+    return keyed.select(F.explode(keys).alias("key"), "fp")
+
+
+def by_blocks(keyed: DataFrame, large: DataFrame, group: int) -> DataFrame:
+    """(key, fp) of the keys in `large`, dealt into blocks of about `group` rows, with a new key for each pair of blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(group)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    dealt = keyed.join(large, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+
+
+def links(distinct: DataFrame, bits: int = LINK_BITS, group: int = GROUP) -> DataFrame:
+    """(u, v) links that connect all fingerprints with at most `bits` differing bits.
+
+    `distinct` has one row for each value of fp. A group of copies is one fingerprint here, a
+    group of near copies gives fewer links than it has members, and no group holds
+    many more than 2 * `group` fingerprints of 8 bytes.
+    """
+    if bits > LINK_BITS:
+        raise ValueError(f"the keys find all pairs up to {LINK_BITS} bits")
+    keyed = distinct.select("fp").mapInArrow(_key_rows, "key int, fp bigint")
+    large = _large(keyed, group)
+    if large.isEmpty():
+        return _met(keyed, bits).distinct()
+    found = _met(keyed.join(large, "key", "left_anti"), bits)
+    finer = stage(by_pieces(keyed.join(large, "key", "left_semi")), "pieces")
+    larger = _large(finer, group)
+    found = found.unionByName(_met(finer.join(larger, "key", "left_anti"), bits))
+    return found.unionByName(_met(by_blocks(finer, larger, group), bits)).distinct()
+
+
+def rooted(distinct: DataFrame, bits: int = LINK_BITS) -> DataFrame:
+    """`distinct`, a row for each fp, with the `root` that all fingerprints reachable by links share."""
+    roots = components(links(distinct, bits))
+    linked = distinct.join(roots, distinct.fp == roots.node, "left")
+    return stage(linked.select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = LINK_BITS, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable by links."""
     marked = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle), "simhash")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    rooted = components(links(distinct, bits))
-    named = distinct.join(rooted, distinct.fp == rooted.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = stage(named, "roots")
+    named = rooted(stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints"), bits)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = LINK_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The row with the smallest id of each component, with all its columns.
+
+    Only keys and fingerprints are grouped; texts meet the keys of the rows that go, once.
+    """
+    source = docs.select(*doc_key(F.col(doc_id), F.col(text)), F.col(text).alias("text"))
+    marked = stage(fingerprints(source, shingle, keep=tuple(KEY)), "simhash")
+    place = F.struct((F.col("id") == NO_ID).cast("int").alias("last"), "id", "th")  # rows without an id come last
+    named = rooted(stage(marked.groupBy("fp").agg(F.min(place).alias("least")), "fingerprints"), bits)
+    best = named.groupBy("root").agg(F.min("least").alias("best")).select("best.id", "best.th")
+    best = stage(best.withColumn("stays", F.lit(True)), "kept")
+    times = marked.groupBy(*KEY).agg(F.count("*").alias("n")).join(best, KEY, "left")
+    # Rows whose key is there once and stays need not be touched; of those there several times one comes back.
+    moved = stage(times.filter("stays IS NULL OR n > 1").select(*KEY, F.coalesce("stays", F.lit(False)).alias("stays")), "moved")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(F.col(doc_id), F.col(text)))
+    again = rows.join(moved.filter("stays").select(*KEY), KEY, "left_semi").dropDuplicates(KEY)
+    return without(docs, moved, doc_id, text).unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(

@@ -7,7 +7,8 @@ import __spark_entry__ as driver
 from gatewright.llm import golay
 from gatewright.llm.components import components
 from gatewright.llm.rows import doc_key
-from gatewright.llm.simhash_golay import fingerprint, fuzzy_keys, group_links, near_duplicates
+from gatewright.llm.simhash_golay import GROUP, by_blocks, by_pieces, fingerprint, fuzzy_keys, group_links, links, near_duplicates
+from gatewright.llm.simhash_golay import keep_one as keep_linked
 from gatewright.llm.simhash_similar import ONE_BITS, keep_one, links_of, prints, proposals, rounds, similar_groups, star_links
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -102,6 +103,43 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_keys_above_the_size_are_split(spark):
+    """Links connect the same fingerprints whether no key, many or nearly all are above the size."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 6, dtype=np.int64)
+    # A hot key: first two words equal, third words of all kinds, many of them within three bits.
+    hot = [int(base[0]) & (1 << 46) - 1 | int(x) << 46 for x in rng.integers(0, 1 << 17, 500)]
+    flipped = []
+    for x in base.tolist() * 40:
+        for b in rng.choice(64, rng.integers(1, 5), replace=False):
+            x = (x % (1 << 64)) ^ (1 << int(b))
+        flipped.append(x - (1 << 64) if x >> 63 else x)
+    fps = sorted(set(hot + flipped + base.tolist()))
+    distinct = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    want = brute.components(len(fps), lambda a, b: ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= 3)
+    for group in (GROUP, 60, 3):
+        found = links(distinct, group=group).collect()
+        assert all(((r.u ^ r.v) % (1 << 64)).bit_count() <= 3 for r in found)
+        near = {(r.u, r.v) for r in found} | {(r.v, r.u) for r in found}
+        assert want == brute.components(len(fps), lambda a, b: (fps[a], fps[b]) in near), group  # noqa: B023
+
+
+def test_pieces_and_blocks_keep_every_pair(spark):
+    """Pairs of up to three bits meet by a piece; rows of a large key meet in some pair of blocks of bounded size."""
+    fps = [0, 0b111 << 46, 1 << 46 | 1 << 51 | 1 << 56, -1 ^ ((1 << 46) - 1)]
+    keyed = spark.createDataFrame([(5, x) for x in fps], "key int, fp bigint")  # the third word is left out
+    met = defaultdict(set)
+    for r in by_pieces(keyed).collect():
+        met[r.fp].add(r.key)
+    assert met[0] & met[fps[1]] and met[0] & met[fps[2]] and not met[0] & met[fps[3]]
+    rows = spark.range(1000).selectExpr("1L AS key", "id AS fp")
+    groups = defaultdict(set)
+    for r in by_blocks(rows, spark.createDataFrame([(1, 1000)], "key bigint, n bigint"), 100).collect():
+        groups[r.key].add(r.fp)
+    assert len(groups) == 55 and max(map(len, groups.values())) < 300
+    assert all(any({a, b} <= g for g in groups.values()) for a in range(0, 1000, 37) for b in range(0, 1000, 41))
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     prints = [brute.simhash(t, 3) for _, t in rows]
@@ -114,6 +152,21 @@ def test_query(spark, sf):
         (d, f"{f:016x}", least[r]) for (d, _), f, r in zip(rows, prints, root, strict=True))
 
 
+def test_keep_linked(spark):
+    rows = [(7 * i % 500, t) for i, t in enumerate(texts())] + [(None, texts()[30]), (None, "alone here, no id"), (7, texts()[1]), (7, texts()[1])]
+    docs = spark.createDataFrame([(*r, i % 2, "k") for i, r in enumerate(rows)], "doc_id bigint, text string, id int, `a.b` string")
+    prints = [brute.simhash(t, 3) for _, t in rows]
+    root = brute.components(len(rows), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 3)
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min((d is None, d), least.get(r, (True, None)), key=lambda x: (x[0], x[1] or 0))
+    got = keep_linked(docs)
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(d) for _, d in least.values())
+    assert {(r.doc_id, r.text) for r in got.collect()} <= set(rows)
+    assert keep_linked(docs.limit(0)).collect() == []
+
+
 def shingles(text):
     words = brute.words_of((text or "").lower())
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
