@@ -14,7 +14,7 @@ from gatewright.llm.best_fit import pack
 from gatewright.llm.language_fusion import keep_identified
 from gatewright.llm.line_templates import drop_templates
 from gatewright.llm.positional_index import drop_contaminated
-from gatewright.llm.simhash_similar import keep_one
+from gatewright.llm.simhash_golay import keep_one
 from gatewright.session import stage
 
 
@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five words a shingle, a similarity of 0.8 or more."""
+    """The document with the smallest id of each group: three words a shingle, links at up to three bits."""
     return keep_one(docs)
 
 
