@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatewright.session import stage
 
@@ -33,42 +28,3 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str
     gone = stage(gone.select(*KEY).distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(F.col(doc_id), F.col(text)))
     return rows.join(gone, KEY, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
-
-#: Bits of the filter below: 512 KB, whatever the tables hold.
-FILTER_BITS = 1 << 22
-
-
-def maybe_in(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "__maybe") -> DataFrame:
-    """`docs` with a boolean: false if a row's key is surely not in `keys` (id, th).
-
-    The keys set bits of a bitmap of fixed size, which goes to the tasks that read `docs`. So
-    most rows skip a join with few keys, and the shuffle of their texts; those that may be in `keys` still have to
-    meet them. With very many keys all bits are set, and nothing but that saving is lost.
-    """
-    place = lambda one, two: F.pmod(F.xxhash64(one, two), F.lit(FILTER_BITS)).cast("int")
-
-    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        if bits.any():
-            yield pa.record_batch([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
-
-    # Places are summed up by task and then by their number, so that what the driver gets is bounded by the bitmap.
-    spots = keys.select(place("id", "th").alias("place")).distinct()
-    parts = spots.repartition(8).mapInArrow(bitmap, "bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for part in parts:
-        bits |= np.frombuffer(part.bits, dtype=np.uint8)
-    known = np.unpackbits(bits).astype(bool)
-    one, two = doc_key(F.col(doc_id), F.col(text))
-    source = docs.withColumn(out, place(one, two))
-    fields = [f for f in docs.withColumn(out, F.lit(True)).schema.fields]
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(out)
-            yield batch.set_column(at, out, pa.array(known[batch.column(at).to_numpy()]))
-
-    return source.mapInArrow(look, T.StructType(fields))

@@ -4,7 +4,6 @@ import corpus_pipeline as pipeline
 from tests.llm import brute
 from tests.llm.test_best_fit import check
 from tests.llm.test_line_templates import brute as without_templates
-from tests.llm.test_simhash import jaccard_pairs
 
 
 def test_stages(spark, sf):
@@ -26,13 +25,12 @@ def test_stages(spark, sf):
             assert {d: r.text for d, r in now.items()} == dict(without_templates(rows, 3))
             assert all(r.n_chars == len(r.text) for r in after)
         elif name == "simhash_near_dedup":
-            pairs = jaccard_pairs(rows, .8)
-            group = brute.components(len(rows), lambda a, b: (b, a) in pairs or rows[a][1].lower().split() == rows[b][1].lower().split())  # noqa: B023
-            members = {}
+            prints = [brute.simhash(t, 3) for _, t in rows]
+            group = brute.components(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)  # noqa: B023
+            least = {}
             for (d, _), g in zip(rows, group, strict=True):
-                members.setdefault(g, []).append(d)
-            assert all(min(m) in now for m in members.values())  # nothing without a near copy goes
-            assert len(now) <= 1.05 * len(members)
+                least[g] = min(d, least.get(g, d))
+            assert set(now) == set(least.values()) and all(now[d] == before[d] for d in now)
         elif name == "benchmark_decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(now) == {r[0] for r in brute.decontaminate(rows, items, 10) if not r[2]}
