@@ -3,7 +3,8 @@
 import pytest
 
 from gatewright.plans.code_facts import code_facts
-from gatewright.plans.code_rules import code_findings
+from gatewright.plans.code_rules import code_findings, scope_findings
+from gatewright.session import stage
 from gatewright.sources.settings import gate_settings
 
 CHAIN = "".join(f"int v{i} = v{i - 1}; " for i in range(1, 60))
@@ -60,3 +61,13 @@ def test_scope_and_settings(spark):
     assert of(code_findings(facts, none)) == sorted(both(("CQ003", 10), *locks))
     loose = gate_settings(spark.createDataFrame([('{"maxparametercount": 5}',)], "raw string"), "raw")
     assert of(code_findings(facts, none, loose)) == sorted(both(*locks))
+
+
+def test_scoped_findings_run_the_rules_once(spark):
+    """A change meets the findings as they are written, not a plan of all rules for each of its joins."""
+    rows = [("a.cs", "CQ001", 4, 9), ("A.cs", "CON003", 5, 0), ("a.cs", "CON003", 6, 0), ("b.cs", "CQ001", 1, 2), ("b.cs", "CON003", 1, 0), ("b.cs", "CON001", 1, 0)]
+    source = stage(spark.createDataFrame(rows, "target string, rule_id string, line_no int, end_line_no int"), "rules_run_here")
+    found = scope_findings(source, spark.createDataFrame([("a.cs", 5)], "path string, line_no int"))
+    assert "rules_run_here" not in found._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|") and not any(
+        "rules_run_here" in f for f in found.inputFiles())
+    assert sorted(tuple(r) for r in found.collect()) == sorted([rows[0], rows[1], rows[3], rows[5]])
