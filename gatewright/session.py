@@ -47,6 +47,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n else df
 
 
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt evenly to partitions of about `rows` rows each.
+
+    For small rows that stand for much work each, such as the keys of texts that a plan makes: many of them
+    fit one split of their source. The number of partitions grows with the table.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A small fixed table written into the plan, so that its size is known to Spark.
 

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.catalogue.templates import NEWLINE, ROWS
-from gatewright.session import inline_table
+from gatewright.session import inline_table, spread_rows
+
+#: Files that a partition of the corpus holds. A part is some bytes, its text up to 10 KB, so the parts of one split are very many texts.
+FILES = 4096
 
 
 def code_corpus(part: DataFrame) -> DataFrame:
-    """(file_id, path, text, tid, rule_id, violating): each part gets one template."""
+    """(file_id, path, text, tid, rule_id, violating): each part gets one template.
+
+    Parts are dealt out before their texts are made, so the work on texts is in partitions of `FILES` files.
+    """
     spark = part.sparkSession
     rows = [(t, r, v, d, b.replace("\n", NEWLINE)) for t, r, v, d, b in ROWS]
     templates = inline_table(
@@ -19,7 +25,7 @@ def code_corpus(part: DataFrame) -> DataFrame:
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     text = F.replace(F.replace("body", F.lit("{id}"), F.col("p_partkey").cast("string")), F.lit("{name}"), name)
     return (
-        part.withColumn("tid", F.col("p_partkey") % len(rows))
+        spread_rows(part.select("p_partkey", "p_name", "p_brand"), FILES).withColumn("tid", F.col("p_partkey") % len(rows))
         .join(templates, "tid")
         .select(
             F.col("p_partkey").alias("file_id"),

@@ -5,6 +5,7 @@ import pytest
 from gatewright.plans.code_facts import code_facts
 from gatewright.plans.code_rules import code_findings, scope_findings
 from gatewright.session import stage
+from gatewright.sources.corpus import code_corpus
 from gatewright.sources.settings import gate_settings
 
 CHAIN = "".join(f"int v{i} = v{i - 1}; " for i in range(1, 60))
@@ -71,3 +72,9 @@ def test_scoped_findings_run_the_rules_once(spark):
     assert "rules_run_here" not in found._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|") and not any(
         "rules_run_here" in f for f in found.inputFiles())
     assert sorted(tuple(r) for r in found.collect()) == sorted([rows[0], rows[1], rows[3], rows[5]])
+
+
+def test_corpus_is_dealt_before_texts_are_made(spark):
+    part = spark.range(10_000).coalesce(1).selectExpr("id as p_partkey", "'a b' as p_name", "'Brand#1' as p_brand")
+    corpus = code_corpus(part)
+    assert corpus.rdd.getNumPartitions() == 3 and corpus.count() == 10_000
