@@ -7,7 +7,7 @@ block. That state joins its block as one more row, in front of the others, so th
 fine window inside (key, block) needs one shuffle and one sort of the data and no
 join. `RowBlocks` sizes the blocks by row counts and leaves all other keys whole. It
 counts the rows of keys first; without a hot key the plain window is the plan, which
-gives the same rows.
+gives the same rows. Large tables are then dealt to more tasks, so what a task sorts does not grow with the table.
 """
 
 from __future__ import annotations
@@ -39,10 +39,21 @@ class RowBlocks:
     """
 
     target_rows: int = 1_000_000
+    task_rows: int = 500_000
 
     def most(self, df: DataFrame, keys: Sequence[str]) -> int:
         """Rows of the largest key, from one count over the key columns."""
-        return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        return self.sizes(df, keys)[0]
+
+    def sizes(self, df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+        """Rows of the largest key and of all keys, from one count over the key columns."""
+        most, rows = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+        return most or 0, rows or 0
+
+    def deal(self, df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+        """`df` dealt by its keys to tasks of about `task_rows` rows, where Spark's own number of tasks would leave more in each."""
+        n = -(-rows // self.task_rows)
+        return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
     def assign(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
         """`df` with its block along `order`, null for the rows of keys that stay whole."""
@@ -82,11 +93,12 @@ def _seeded(df: DataFrame, keys: Sequence[str], block: Column | DataFrame, state
     return cut.union(seeds)
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks | None) -> Column | DataFrame | None:
-    """What `_seeded` takes as its blocks, or None where one plain window does."""
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | RowBlocks | None) -> tuple[DataFrame, Column | DataFrame | None]:
+    """`df`, and what `_seeded` takes as its blocks, or None where one plain window over `df` does."""
     if not isinstance(block, RowBlocks):
-        return block
-    return None if block.most(df, keys) <= block.target_rows else block.assign(df, keys, order)
+        return df, block
+    most, rows = block.sizes(df, keys)
+    return (block.deal(df, keys, rows), None) if most <= block.target_rows else (df, block.assign(df, keys, order))
 
 
 def _data(df: DataFrame) -> DataFrame:
@@ -109,7 +121,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     as a part of one text.
     """
     df = df.withColumn("__v", value)
-    block = _blocks(df, keys, order, block)
+    df, block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
         return df.withColumn(out, _grouped(keys, F.last("__v", ignorenulls=True).over(whole))).drop("__v")
@@ -128,7 +140,7 @@ def next_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
                value: Column, out: str) -> DataFrame:
     """Add the first non-null `value` of a later row of the same key."""
     df = df.withColumn("__v", value)
-    block = _blocks(df, keys, order, block)
+    df, block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
         return df.withColumn(out, _grouped(keys, F.first("__v", ignorenulls=True).over(whole))).drop("__v")
@@ -149,7 +161,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     """Add the running sum of `amount` over the rows of the same key."""
     df = df.withColumn("__v", amount.cast("bigint"))
     upto = 0 if inclusive else -1
-    block = _blocks(df, keys, order, block)
+    df, block = _blocks(df, keys, order, block)
     if block is None:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
         return df.withColumn(out, _grouped(keys, F.coalesce(F.sum("__v").over(whole), F.lit(0)).cast("bigint"))).drop("__v")

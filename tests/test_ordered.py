@@ -189,3 +189,13 @@ def test_staging(spark):
     with pytest.raises(AnalysisException):
         spark.read.parquet(outer[0])
     assert kept.count() == 5
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    """What a task sorts does not grow with the table; small ones keep Spark's plan."""
+    rows = [(k, i, i if i % 5 == 0 else None) for i in range(2000) for k in [i % 97]] + [(None, 3, 4)]
+    df = spark.createDataFrame(rows, "key long, at long, value long")
+    run = lambda block: last_before(df, ["key"], ["at"], block, F.col("value"), "seen", inclusive=True)
+    dealt = run(RowBlocks(1000, task_rows=50))
+    assert dealt.rdd.getNumPartitions() == 41 and run(RowBlocks(1000)).rdd.getNumPartitions() <= 8
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, run(None).collect()))
