@@ -11,6 +11,7 @@ from gatewright.operators.mentions import _tested, candidates, mention_pairs, me
 from gatewright.operators.metrics import nesting_depth
 from gatewright.operators.scope import changed_counts, scope_lines, scope_spans
 from gatewright.operators.spans import positioned_tokens
+from gatewright.session import stage
 from gatewright.sources.diffs import diff_files, diff_to_lines
 from gatewright.sources.settings import gate_settings, json_settings, resolve_settings
 from gatewright.sources.texts import read_text_files, select_sources, to_lines
@@ -34,6 +35,18 @@ def test_span_scope_null_empty_and_filled(spark):
     assert scope_spans(df, changed.limit(0)).count() == len(spans)
 
 
+def test_spans_are_read_few_times(spark):
+    """Bounds without order, nulls and spans over several rows of masks; one reading for near spans, three for far ones."""
+    spans = [("a", 4000, 4200, 1), ("a", 10, 9, 2), ("a", 1, 20_000, 3), ("a", 5000, 8100, 4), ("a", None, 7, 5), ("z", 9, 1, 6),
+             (None, 1, 2, 7), ("z", None, 7, 8), ("b", 63, 64, 9), ("b", 0, 62, 10), ("b", 5000, 5001, 11)]
+    df = stage(spark.createDataFrame(spans, SPAN), "spans_read")
+    changed = spark.createDataFrame([("a", "a", 4100), ("b", "b", 64), ("a", "a", 8192)], CHANGED)
+    kept = scope_spans(df, changed)
+    assert sorted(r.no for r in kept.collect()) == [1, 3, 6, 7, 8, 9]
+    leaves = kept._jdf.queryExecution().analyzed().collectLeaves().mkString("|")
+    assert leaves.count("start_line") <= 4
+
+
 def test_line_scope_null_and_empty(spark):
     found = spark.createDataFrame([("SRC/A.cs", 3), ("src/a.cs", 4), ("src/b.cs", 3)], "target string, line_no int")
     changed = spark.createDataFrame([("src/A.cs", "src/a.cs", 3)], CHANGED)
