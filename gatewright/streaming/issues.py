@@ -1,18 +1,21 @@
 """Issue state as keyed state of a streaming query.
 
-Spark's state store holds for each key its open issue, and the rows that may still be
+Spark's state store holds for each slot of keys, a hash of them, the open issues, and the rows that may still be
 overtaken: rows come in any order within `delay`, wait until the watermark has passed them, and then
-move the issue in order of time. A timer wakes a key whose rows are due though no row of it came.
+move the issue in order of time. A timer wakes a slot whose rows are due though no row of it came.
 A row older than the watermark could belong inside an issue that is settled. Spark drops rows older than the watermark of the
 micro-batch before; those between the two are given out as late. Both are counted, and change no issue.
 
 Order matters within a key, so a key's rows of one micro-batch go through one call; they come in Arrow batches, and what
-is kept between calls is one issue and the rows of the last `delay`.
+is kept between calls is an issue for each key and the rows of the last `delay`. Keys share calls because a call costs
+milliseconds and a row microseconds.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,8 +27,11 @@ from gatewright.session import fresh_dir
 from gatewright.streaming.feeds import all_progress, past_watermark, run_available
 from gatewright.streaming.upsert import BUCKETS, create_upserts, read_upserts, upsert_batch
 
-#: Open issue (micros, tie, micros, count; nulls for none) and rows that wait.
-STATE = "opened bigint, opened_tie bigint, updated bigint, failures bigint, ats array<bigint>, ties array<bigint>, fails array<boolean>"
+#: Open issues (micros, tie, micros, count) and rows that wait, each behind the keys they are of.
+ISSUES = "opened array<bigint>, opened_tie array<bigint>, updated array<bigint>, failures array<bigint>"
+ROWS = "ats array<bigint>, ties array<bigint>, fails array<boolean>"
+#: Keys meet in so many calls at most; a call and its state cost far more than the rows of a key.
+SLOTS = 8192
 OUT = "opened bigint, opened_tie bigint, updated bigint, closed bigint, failures bigint, late boolean"
 
 
@@ -42,38 +48,53 @@ def _settle(issue: list | None, rows: list[tuple[int, int, bool]]) -> tuple[list
     return issue, done + ([(*issue[:3], None, issue[3])] if issue and moved else [])
 
 
-def _advance(n_keys: int):
-    """The state function, for keys of `n_keys` columns; rows have (at, tie, failed)."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, opened_tie, updated, failures, *kept = state.get if state.exists else (None, None, None, None, [], [], [])
-        issue = None if opened is None else [opened, opened_tie, updated, failures]
-        rows = list(zip(*kept, strict=True))
+def _advance(n_keys: int, slots: bool):
+    """The state function, for keys of `n_keys` columns; rows have (at, tie, failed), with `slots` behind those of their key."""
+    names = [*[f"k{i}" for i in range(n_keys)], "opened", "opened_tie", "updated", "closed", "failures", "late"]
+    n = n_keys if slots else 0
+
+    def keyed(columns: Sequence[list]) -> Iterator[tuple]:
+        return zip(*columns, strict=True) if n else repeat(())
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get if state.exists else [[]] * (2 * n + 7)
+        issues = {k: list(issue) for k, issue in zip(keyed(kept[:n]), zip(*kept[n:n + 4], strict=True))}
+        rows = defaultdict(list)
+        for k, row in zip(keyed(kept[n + 4:2 * n + 4]), zip(*kept[2 * n + 4:], strict=True)):
+            rows[k].append(row)
         mark = state.getCurrentWatermarkMs()
-        late = []
+        late, out, wait = [], [], []
         for batch in batches if not state.hasTimedOut else ():
-            for row in zip(batch["at"].tolist(), batch["tie"].tolist(), batch["failed"].tolist(), strict=True):
-                (late if row[0] // 1000 < mark else rows).append(row)
-        due = sorted(r for r in rows if r[0] // 1000 < mark)
-        wait = [r for r in rows if r[0] // 1000 >= mark]
-        issue, out = _settle(issue, due)
-        n_issues = len(out)
-        out += [(at, tie, None, None, int(failed)) for at, tie, failed in late]
-        if issue or wait:
-            state.update((*(issue or [None] * 4), [r[0] for r in wait], [r[1] for r in wait], [r[2] for r in wait]))
+            found = zip(batch["at"].tolist(), batch["tie"].tolist(), batch["failed"].tolist(), strict=True)
+            for k, row in zip(keyed([batch[c].tolist() for c in names[:n]]), found):
+                if row[0] // 1000 < mark:
+                    late.append((*(k or group), row[0], row[1], None, None, int(row[2]), True))
+                else:
+                    rows[k].append(row)
+        for k, waiting in rows.items():
+            issue, moved = _settle(issues.pop(k, None), sorted(r for r in waiting if r[0] // 1000 < mark))
+            out += [(*(k or group), *o, False) for o in moved]
+            wait += [(*k, *r) for r in waiting if r[0] // 1000 >= mark]
+            if issue:
+                issues[k] = issue
+        if issues or wait:
+            opened = [(*k, *issue) for k, issue in issues.items()]
+            state.update((*_columns(opened, n + 4), *_columns(wait, n + 3)))
             if wait:
-                state.setTimeoutTimestamp(max(min(r[0] for r in wait) // 1000, mark) + 1)
+                state.setTimeoutTimestamp(max(min(r[n] for r in wait) // 1000, mark) + 1)
         elif state.exists:
             state.remove()
-        if not out:
-            return
-        columns = list(zip(*out, strict=True))
-        found = {f"k{i}": [key[i]] * len(out) for i in range(n_keys)}
-        found |= {n: pd.array(list(c), dtype="Int64") for n, c in zip(["opened", "opened_tie", "updated", "closed", "failures"], columns, strict=True)}
-        yield pd.DataFrame(found | {"late": [i >= n_issues for i in range(len(out))]})
+        if out or late:
+            # One block of objects: columns of their own dtypes cost more than the work on a key's few rows.
+            yield pd.DataFrame(out + late, columns=names, dtype=object)
 
     return step
 
 
+def _columns(rows: list[tuple], n: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(n)]
+
+
 class IssueTable:
     """Issues of a stream in an upserted table, and how many rows came too late for them.
 
@@ -83,7 +104,7 @@ class IssueTable:
     """
 
     def __init__(self, stream: DataFrame, keys: Sequence[str], ts: str, tie: str, failed: Column, delay: str = "1 day",
-                 folder: str | None = None, buckets: int = BUCKETS):
+                 folder: str | None = None, buckets: int = BUCKETS, slots: int = SLOTS):
         self.spark, self.keys, self.buckets = stream.sparkSession, list(keys), buckets
         self.base = folder or fresh_dir(self.spark, "issues")
         names = [f"k{i}" for i in range(len(keys))]
@@ -97,8 +118,14 @@ class IssueTable:
         rows = past_watermark(rows, "ts", whole)
         key_fields = [T.StructField(n, rows.schema[n].dataType) for n in names]
         self.schema = T.StructType([*key_fields, *T._parse_datatype_string(OUT).fields])
-        self.events = rows.groupBy(*names).applyInPandasWithState(
-            _advance(len(names)), self.schema, T._parse_datatype_string(STATE), "append", GroupStateTimeout.EventTimeTimeout)
+        # Other types of keys, which Python may not compare as Spark does, have a call each.
+        dealt = all(isinstance(f.dataType, (T.IntegralType, T.StringType)) for f in key_fields)
+        key_lists = lambda at: [f"{at}{i} array<{f.dataType.simpleString()}>" for i, f in enumerate(key_fields) if dealt]
+        state = T._parse_datatype_string(", ".join([*key_lists("i"), ISSUES, *key_lists("w"), ROWS]))
+        if dealt:
+            rows = rows.withColumn("slot", F.pmod(F.xxhash64(*names), F.lit(slots)))
+        self.events = rows.groupBy(*(["slot"] if dealt else names)).applyInPandasWithState(
+            _advance(len(names), dealt), self.schema, state, "append", GroupStateTimeout.EventTimeTimeout)
         self.names, self.dropped = names, 0
         create_upserts(self.spark, f"{self.base}/table", self.schema)
 

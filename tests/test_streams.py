@@ -159,3 +159,19 @@ def test_upsert_table_does_not_grow(spark):
     assert upsert_batch(one, path, ["k", "part"], ["at"], 8) == 1
     assert len(set(Path(path).rglob("*.parquet")) - set(stamps)) == 1  # only the folder of the key
     assert upsert_batch(one.limit(0), path, ["k", "part"], ["at"], 8) == 0
+
+
+def test_keys_share_calls(spark):
+    """Many keys in a call of the state function, or a call for each key of a type that Python may compare otherwise."""
+    base, rows = fresh_dir(spark, "events-test"), _rows()
+    for part in (rows[:100], rows[100:250], rows[250:]):
+        _put(spark, base, part)
+    arrive(heartbeat(spark.read.parquet(base), SEAL), base)
+    half = lambda df: df.withColumn("half", F.col("user_id") / 2)
+    for key in ("user_id", "half"):
+        table = IssueTable(half(read_events(spark, base, files_per_batch=1)), [key], "ts", "event_id", failed(), "40 days", slots=2).run()
+        batch = lifecycle(half(spark.createDataFrame(rows, SCHEMA)), [key], "ts", "event_id", failed())
+        cols = [key, *[c for c in COLS if c != "user_id"]]
+        assert table.late_rows() == 0 and _sorted(table.issues(), cols) == _sorted(batch, cols)
+        store = spark.read.format("statestore").load(f"{table.base}/log")
+        assert store.select("key").distinct().count() <= (2 if key == "user_id" else 99)
