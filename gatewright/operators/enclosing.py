@@ -50,6 +50,26 @@ def in_scope(items: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str =
     return placed.join(renamed, on).drop("__l", "__b", "__sl", "__sb", *[f"__s_{k}" for k in keys])
 
 
+def enclosing_chains(items: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str = "pos",
+                     start: str = "start_pos", end: str = "end_pos", width: int = 256, out: str = "chain") -> DataFrame:
+    """Each item with the spans around it (start < pos < end) as an array of structs, outermost first; null without any.
+
+    The spans over a bucket are put into one row, `width` and the depth of nesting at most if spans do not cross, so an
+    item meets one row and is not shuffled again to gather its spans. A span over n positions is n / width + 2 rows.
+    """
+    fields = [start, *[c for c in spans.columns if c not in (*keys, start)]]
+    buckets = F.explode(F.sequence(point_bucket(start, width), point_bucket(end, width))).alias("__b")
+    held = (
+        spans.select(*keys, F.struct(*fields).alias("__s"), buckets)
+        .groupBy(*keys, "__b").agg(F.sort_array(F.collect_list("__s")).alias("__spans"))
+    )
+    around = F.filter("__spans", lambda s: (s[start] < F.col(pos)) & (F.col(pos) < s[end]))
+    return (
+        items.withColumn("__b", point_bucket(pos, width)).join(held, [*keys, "__b"], "left")
+        .withColumn(out, around).withColumn(out, F.when(F.size(out) > 0, F.col(out))).drop("__b", "__spans")
+    )
+
+
 def in_scope_same_key(items: DataFrame, spans: DataFrame, keys: Sequence[str],
                       same: tuple[str, str], exempt: DataFrame | None = None,
                       item_id: Sequence[str] = ("pos",), **kw) -> DataFrame:

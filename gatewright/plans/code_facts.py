@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewright.functions.text import split_outside, sql_str
-from gatewright.operators.enclosing import in_scope
+from gatewright.operators.enclosing import enclosing_chains
 from gatewright.operators.spans import pair_spans
 from gatewright.session import stage
 
@@ -53,8 +53,9 @@ class CodeFacts:
     """Tables the rules read.
 
     files: file_id, path, text; code: file_id, path, text with literals blanked;
-    stmts: statements with their innermost scope; scopes: brace pairs with kind and name;
-    inside: statement x enclosing scope; params: parameters of methods.
+    stmts: statements with their innermost scope, the scopes that hold their variables and fields, and whether
+    they are in a using, lock or if; scopes: brace pairs with kind and name;
+    inside: statement x enclosing scope, the columns rules ask for, written flat; params: parameters of methods.
     """
 
     files: DataFrame
@@ -77,10 +78,11 @@ def blank_literals(text: str) -> str:
 
 
 def _segments(code: DataFrame) -> DataFrame:
-    """(file_id, seq, line_no, end_line, text, delim): a text cut after each `{`, `}` and `;`.
+    """(file_id, seq, line_no, end_line, text, delim, copies): a text cut after each `{`, `}` and `;`.
 
     The `;` inside a `for (...)` head do not cut. A file is one row, so a window per
-    file holds no more than the segments of one text.
+    file holds no more than the segments of one text. `copies` counts the segments of one number, more than 1
+    where a file_id repeats.
     """
     text = F.regexp_replace("text", _FOR_HEAD, "$1¦$2¦")
     cut = code.select("file_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"[^{};]*[{};]"), F.lit(0))))
@@ -93,13 +95,14 @@ def _segments(code: DataFrame) -> DataFrame:
     return (
         cut.withColumn("__n", breaks)
         .withColumn("__end", F.sum("__n").over(upto) + 1)
+        .withColumn("copies", F.count("*").over(W.partitionBy("file_id", "pos")))
         .select(
             "file_id", (F.col("pos") + 1).alias("seq"),
             (F.col("__end") - F.col("__n") + lead_breaks).cast("int").alias("line_no"),
             F.col("__end").cast("int").alias("end_line"),
             text.alias("text"), F.right("col", F.lit(1)).alias("delim"),
             F.col("col").rlike(r"(?:^|\W)(?:case\s|default\s*:)").alias("labelled"),
-            F.col("col").rlike(r"(?:^|\W)default\s*:").alias("default_label"),
+            F.col("col").rlike(r"(?:^|\W)default\s*:").alias("default_label"), "copies",
         )
     )
 
@@ -156,17 +159,23 @@ def code_facts(files: DataFrame) -> CodeFacts:
     )
     described = _describe(paired.join(files.select("file_id", "path"), "file_id"))
     spans = stage(described, "spans")
-    # Each segment's enclosing scopes, outermost first, found once and kept in its row.
-    held = in_scope(segs.select("file_id", "seq"), spans.drop("path"), ["file_id"], pos="seq", start="open_no", end="close_no", width=256)
-    fields = ["open_no", *[c for c in spans.columns if c not in ("file_id", "path", "open_no")]]
-    chains = held.groupBy("file_id", "seq").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chain"))
+    # Each segment's enclosing scopes, outermost first, found once and kept in its row; once for each copy of a repeated file_id.
+    of_scope = ["open_no", "close_no", "depth", "header", "open_line", "kind", "name"]
+    laid = enclosing_chains(segs, spans.select("file_id", *of_scope), ["file_id"], pos="seq", start="open_no", end="close_no")
+    scope_id = lambda open_no: F.when(F.col(open_no).isNotNull(), F.concat_ws(":", "file_id", open_no))
+    repeated = F.when(F.col("copies") > 1, F.sort_array(F.flatten(F.array_repeat("chain", F.col("copies").cast("int"))))).otherwise(F.col("chain"))
+    held_by = lambda *kinds: F.try_element_at(F.filter("chain", lambda c: c["kind"].isin(*kinds)), F.lit(-1))["open_no"]
+    in_kind = lambda kind: F.coalesce(F.exists("chain", lambda c: c["kind"] == kind), F.lit(False))
     chained = stage(
-        segs.join(chains, ["file_id", "seq"], "left")
+        laid.withColumn("chain", repeated)
         .join(files.select("file_id", "path"), "file_id")
-        .withColumn("p", F.element_at("chain", -1))
+        .withColumns({"p": F.element_at("chain", -1), "var_open": held_by("method", "accessor"), "type_open": held_by("type")})
         .select(
-            *segs.columns, "path", F.col("p.open_no").alias("p_open"), F.col("p.kind").alias("p_kind"),
-            F.col("p.name").alias("p_name"), F.col("p.header").alias("p_header"), F.col("p.scope_id").alias("p_scope"), "chain",
+            *[c for c in segs.columns if c != "copies"], "path", F.col("p.open_no").alias("p_open"), F.col("p.kind").alias("p_kind"),
+            F.col("p.name").alias("p_name"), F.col("p.header").alias("p_header"), scope_id("p.open_no").alias("p_scope"),
+            # The nearest method or accessor holds a statement's variables, the nearest type its fields.
+            scope_id("var_open").alias("var_scope"), scope_id("type_open").alias("type_scope"),
+            in_kind("using").alias("in_using"), in_kind("lock").alias("in_lock"), in_kind("if").alias("in_if"), "chain",
         ),
         "stmts",
     )
@@ -178,5 +187,8 @@ def code_facts(files: DataFrame) -> CodeFacts:
         ),
         "scopes",
     )
-    inside = chained.select(*stmts.columns, F.explode("chain").alias("s")).select(*stmts.columns, *[F.col(f"s.{c}").alias(c) for c in fields])
+    # Nearly every rule reads it, so it is written flat and a rule reads the columns it asks for.
+    own = ["file_id", "path", "seq", "line_no", "text", "delim", "labelled", "default_label", "p_kind", "in_lock"]
+    held = chained.select(*own, F.explode("chain").alias("s"))
+    inside = stage(held.select(*own, *[F.col(f"s.{c}").alias(c) for c in of_scope if c != "close_no"], scope_id("s.open_no").alias("scope_id")), "inside")
     return CodeFacts(files, code, stmts, scopes, inside, stage(_params(scopes), "params"))

@@ -107,8 +107,8 @@ def _fields(facts: CodeFacts) -> DataFrame:
     ).withColumns({"type": F.regexp_extract("text", DECLARATION, 1), "name": F.regexp_extract("text", DECLARATION, 2)})
 
 
-def _locals(facts: CodeFacts) -> DataFrame:
-    return facts.stmts.filter(
+def _locals(stmts: DataFrame) -> DataFrame:
+    return stmts.filter(
         C("p_kind").isNotNull() & ~C("p_kind").isin("type", "namespace", "init", "property") & _is(DECLARATION)
         & (C("delim") != "}")
     ).withColumns(
@@ -126,14 +126,16 @@ def structure_rules(facts: CodeFacts, limits: DataFrame | None = None) -> list[D
     around = _within(facts, *BRANCH_KINDS).groupBy("file_id", "seq").agg(F.count("*").alias("around"))
     inner = facts.scopes.select("file_id", C("open_no").alias("seq"), C("depth").alias("inner_depth"))
     weight = F.coalesce("around", F.lit(0)) + 1
+    counted = in_method.select(
+        "file_id", "seq", "scope_id", "depth", F.regexp_count("text", F.lit(BRANCH)).alias("branches"),
+        F.regexp_count("text", F.lit(COGNITIVE)).alias("hard"), F.regexp_count("text", F.lit(LOGICAL)).alias("logical"))
     body = (
-        in_method.join(around, ["file_id", "seq"], "left").join(inner, ["file_id", "seq"], "left")
+        counted.join(around, ["file_id", "seq"], "left").join(inner, ["file_id", "seq"], "left")
         .groupBy("scope_id")
         .agg(
-            (F.sum(F.regexp_count("text", F.lit(BRANCH))) + 1).cast("int").alias("paths"),
+            (F.sum("branches") + 1).cast("int").alias("paths"),
             F.max(C("inner_depth") - C("depth")).cast("int").alias("nested"),
-            F.sum(F.regexp_count("text", F.lit(COGNITIVE)) * weight + F.regexp_count("text", F.lit(LOGICAL)))
-            .cast("int").alias("effort"),
+            F.sum(C("hard") * weight + C("logical")).cast("int").alias("effort"),
         )
     )
     takes = facts.params.groupBy("scope_id").agg(F.count("*").cast("int").alias("takes"))
@@ -175,22 +177,21 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     in_method = _within(facts, "method")
     out = []
 
-    chains = stmts.filter(~_is(r"^(?:using|namespace)\s")).withColumn(
+    dots = F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))  # a chain has three
+    chains = stmts.filter((dots >= 3) & ~_is(r"^(?:using|namespace)\s")).withColumn(
         "chain", F.explode(F.regexp_extract_all("text", F.lit(CHAIN), F.lit(0)))
     )
     out.append(hit(chain_depth(chains, "chain", 3, ["System.", "Microsoft."]), "SAF001", C("chain")))
     out.append(_zero_division(facts))
 
-    made = stmts.filter(_is(rf"new\s+[\w.]*(?:{'|'.join(DISPOSABLE)})") & ~_is(r"^(?:await\s+)?using\W"))
-    out.append(hit(
-        unguarded(made, _within(facts, "using"), ["file_id", "seq"]), "SAF003",
-        F.regexp_extract("text", r"new\s+([\w.]+)", 1),
-    ))
+    made = stmts.filter(~C("in_using") & has_any("text", DISPOSABLE, rf"new\s+[\w.]*(?:{'|'.join(DISPOSABLE)})") & ~_is(r"^(?:await\s+)?using\W"))
+    out.append(hit(made, "SAF003", F.regexp_extract("text", r"new\s+([\w.]+)", 1)))
     catches = facts.scopes.filter(C("kind") == "catch").withColumn("line_no", C("open_line"))
     filled = _within(facts, "catch").filter((C("text") != "") | (C("delim") == "{"))
     out.append(hit(empty_groups(catches, filled, ["scope_id"]), "SAF005", C("header")))
 
-    plain = stmts.filter((C("text") != "") & C("p_kind").isNotNull() & ~C("p_kind").isin("switch", "type", "namespace", "init"))
+    plain = stmts.filter((C("text") != "") & C("p_kind").isNotNull() & ~C("p_kind").isin("switch", "type", "namespace", "init")).select(
+        *PLACE, "p_scope", "seq", "text", "delim")
     dead = after_terminal(
         plain, ["p_scope"], ["seq"], _is(r"^(?:return|throw|break|continue)(?:\W|$)") & (C("delim") == ";")
     )
@@ -200,7 +201,7 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     watched = facts.params.filter(
         C("header").rlike(r"(?:^|\s)public\s") & ~C("type").isin([*VALUE_TYPES, "string"]) & ~C("type").endswith("?")
     ).select("scope_id", "param", C("open_line").alias("line_no"), "path", "file_id", "method")
-    body = in_method.select("scope_id", "text")
+    body = in_method.filter(has_any("text", [".", "ThrowIfNull(", " == null", " is null"])).select("scope_id", "text")
     named = watched.join(body, "scope_id").filter(F.contains("text", "param"))
     uses = named.filter(F.expr(r"rlike(text, concat('(?:^|[^\\w.])', param, '[.]'))"))
     tested = named.filter(
@@ -230,8 +231,8 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
         vars=F.create_map(F.lit("missing"), C("missing")),
     ))
     cast_rule = next(r for r in SCAN_RULES if r["rule_id"] == "SAF015")
-    casts = stmts.filter(F.concat("text", F.lit(";")).rlike(cast_rule["pattern"]) & ~F.concat("text", F.lit(";")).rlike(cast_rule["unless"]))
-    out.append(hit(unguarded(casts, _within(facts, "if"), ["file_id", "seq"]), "SAF015", C("text")))
+    casts = stmts.filter(~C("in_if") & F.concat("text", F.lit(";")).rlike(cast_rule["pattern"]) & ~F.concat("text", F.lit(";")).rlike(cast_rule["unless"]))
+    out.append(hit(casts, "SAF015", C("text")))
     return out
 
 
@@ -244,16 +245,16 @@ def _zero_division(facts: CodeFacts) -> DataFrame:
     """
     assign = r"(?:^|[\s(])(\w+)\s*=\s*([^=].*)$"
     is_name = r"^[A-Za-z_]\w*$"
-    # The nearest method or accessor holds a statement's variables; without one only fields count.
-    nearest = _within(facts, "method", "accessor").groupBy("file_id", "seq").agg(F.max_by("scope_id", "open_no").alias("scope_id"))
-    around = _within(facts, "type").groupBy("file_id", "seq").agg(F.max_by("scope_id", "open_no").alias("type_scope"))
-    placed = facts.stmts.select(*PLACE, "seq", "text").join(nearest, ["file_id", "seq"], "left").join(
-        around, ["file_id", "seq"], "left")
+    # Without a method or accessor around a statement only fields count.
+    placed = facts.stmts.select(*PLACE, "seq", "text", C("var_scope").alias("scope_id"), "type_scope")
+    divides = placed.filter(_is(r"[/%]"))
+    # Chains stay in a scope, so only scopes that divide need theirs.
+    dividing = divides.filter(C("scope_id").isNotNull()).select("scope_id").distinct()
     # Signs and brackets around a whole value say nothing about it being 0; inside they do.
     value = F.trim(F.regexp_replace(F.regexp_extract("text", assign, 2), r"^[\s(+\-]+(?=[\w.]+[\s)]*$)|[\s)]+$", ""))
-    assigns = placed.filter(C("scope_id").isNotNull() & _is(assign)).select(
+    assigns = stage(placed.filter(C("scope_id").isNotNull() & _is(assign)).join(dividing, "scope_id", "left_semi").select(
         "scope_id", "type_scope", F.regexp_extract("text", assign, 1).alias("var"), "seq", value.alias("assigned"),
-    ).withColumn("node", F.concat_ws("#", "scope_id", "seq", "var"))
+    ).withColumn("node", F.concat_ws("#", "scope_id", "seq", "var")), "assigns")
     first = F.trim(F.regexp_replace(F.regexp_extract("text", r"=\s*(.*)$", 1), r"^[\s(+\-]+(?=[\w.]+[\s)]*$)|[\s)]+$", ""))
     initial = _fields(facts).filter(_is("=")).groupBy(C("p_scope").alias("type_scope"), C("name").alias("var")).agg(
         F.min_by(first, "seq").alias("initial"))
@@ -266,7 +267,7 @@ def _zero_division(facts: CodeFacts) -> DataFrame:
         "node", "ref", F.coalesce("initial", "assigned").alias("literal"))
     values = resolve_chain(chain, "node", "ref", "literal").select(C("key").alias("node"), "value")
 
-    uses = placed.filter(_is(r"[/%]")).withColumn(
+    uses = divides.withColumn(
         "var", F.explode(F.regexp_extract_all("text", F.lit(r"[/%]=?\s*[(\-]*(\w+(?:\.\d+)?)"), F.lit(1)))
     ).drop("text")
     found = (
@@ -282,7 +283,7 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
     in_method = _within(facts, "method")
     lock_on = r"^lock\s*\((.*)\)$"
     # An outer lock with its first inner one, and the method they are in; pairs meet within a file only.
-    holder = in_method.groupBy("file_id", C("seq").alias("open_no")).agg(F.max_by("name", C("depth")).alias("method"))
+    holder = in_method.filter(C("text").startswith("lock")).groupBy("file_id", C("seq").alias("open_no")).agg(F.max_by("name", C("depth")).alias("method"))
     nested = _within(facts, "lock").filter(_is(lock_on)).groupBy("file_id", "path", "open_no", "header", "open_line").agg(
         F.min_by("text", "seq").alias("inner")
     ).join(holder, ["file_id", "open_no"], "left").select(
@@ -297,15 +298,15 @@ def concurrency_rules(facts: CodeFacts) -> list[DataFrame]:
     shared = _fields(facts).filter(_is(r"(?:^|\s)static\s") & ~_is(r"(?:^|\s)(?:readonly|const)\s")).select(
         "file_id", C("name").alias("changed"), C("p_scope").alias("type_scope")).distinct()
     owner = facts.scopes.select("scope_id", C("p_scope").alias("type_scope"))
-    writes = in_method.filter(~C("header").rlike(r"(?:^|\s)static\s")).withColumn(
+    writes = in_method.filter(~C("in_lock") & C("text").contains("=") & ~C("header").rlike(r"(?:^|\s)static\s")).withColumn(
         "changed", F.regexp_extract("text", r"^([\w.]+)\s*(?:[-+*/%&|^]|\?\?|<<|>>)?=[^=>]", 1)
     ).filter(C("changed") != "").join(owner, "scope_id").join(shared, ["file_id", "changed", "type_scope"], "left_semi")
-    out.append(hit(unguarded(writes, _within(facts, "lock"), ["file_id", "seq"]), "CON007", C("changed")))
+    out.append(hit(writes, "CON007", C("changed")))
 
     owners = facts.params.filter(C("type") == "CancellationToken").groupBy("scope_id").agg(
         F.min_by("param", "idx").alias("token"))
     call = r"([\w.]*Async)\s*\(([^()]*)\)"
-    calls = in_method.filter(_is(call) & ~_is(r"Task\.(?:Delay|Yield)")).withColumns({
+    calls = in_method.filter(has_any("text", ["Async"], call) & ~_is(r"Task\.(?:Delay|Yield)")).withColumns({
         "called": F.regexp_extract("text", call, 1),
         "args": F.transform(F.split(F.regexp_extract("text", call, 2), ","), lambda a: F.trim(a)),
     })
@@ -332,12 +333,12 @@ def enclosed_rules(facts: CodeFacts) -> list[DataFrame]:
     tests = [
         ("SAF012", (kind == "foreach") & (changed != "") & (changed == source), C("text")),
         ("SAF013", (kind == "catch") & (thrown != "") & (thrown == caught), C("text")),
-        ("CON006", (kind == "method") & header.rlike(r"(?:^|\s)async\s") & _is(r"Thread\.Sleep\s*\("), C("name")),
+        ("CON006", (kind == "method") & has_any("text", ["Thread.Sleep"], r"Thread\.Sleep\s*\(") & header.rlike(r"(?:^|\s)async\s"), C("name")),
         ("CON009", kind.isin("for", "foreach") & (started != "") & (loop_var != "") & F.contains(started, loop_var), loop_var),
-        ("CON011", header.rlike(PARALLEL) & _is(r"\.(?:Add|Remove|Clear)\s*\("), C("text")),
-        ("SEC005", (kind == "method") & _is(r"new\s+(?:System\.)?Random\s*\(") & F.lower("name").rlike(SENSITIVE), C("name")),
-        ("PERF006", in_loop & _is(r"\.Substring\s*\("), C("text"), F.regexp_count("text", F.lit(r"\.Substring\s*\("))),
-        ("PERF008", (kind == "method") & _is(r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\("), F.lit("new Regex()")),
+        ("CON011", header.contains("Parallel.For") & header.rlike(PARALLEL) & _is(r"\.(?:Add|Remove|Clear)\s*\("), C("text")),
+        ("SEC005", (kind == "method") & has_any("text", ["Random"], r"new\s+(?:System\.)?Random\s*\(") & F.lower("name").rlike(SENSITIVE), C("name")),
+        ("PERF006", in_loop & has_any("text", [".Substring"], r"\.Substring\s*\("), C("text"), F.regexp_count("text", F.lit(r"\.Substring\s*\("))),
+        ("PERF008", (kind == "method") & has_any("text", ["Regex"], r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\("), F.lit("new Regex()")),
     ]
     # Every arrow inside a loop is a hit, so this rule may hit a statement more than once.
     arrows = facts.inside.filter(in_loop & C("text").contains("=>")).withColumn("arrow", F.explode(per_match(C("text"), "=>")))
@@ -352,7 +353,7 @@ def statement_rules(facts: CodeFacts) -> list[DataFrame]:
         ("SEC003", has_any("text", WEAK_CRYPTO, rf"(?:{'|'.join(WEAK_CRYPTO)})[\w.]*\s*\("), C("text")),
         ("SEC004", has_any("text", HTML_SINKS,
                            r'(?:Response\.Write(?:Async)?|HtmlString|Html\.Raw)\s*\(\s*(?:\$"|[^,]*\+|[^,]*Request\.)'), C("text")),
-        ("CON011", _is(PARALLEL + r".*\.(?:Add|Remove|Clear)\s*\("), C("text")),
+        ("CON011", has_any("text", ["Parallel.For"], PARALLEL + r".*\.(?:Add|Remove|Clear)\s*\("), C("text")),
     ]
     return [hit(one_pass(facts.stmts, PLACE, tests), None)]
 
@@ -383,7 +384,7 @@ def performance_rules(facts: CodeFacts) -> list[DataFrame]:
     out = [_string_growth(facts)]
 
     lazy = facts.params.filter(C("type").startswith("IEnumerable")).select("scope_id", "param", "method", "path", "file_id", C("open_line").alias("line_no"))
-    chains = in_method.select("scope_id", F.explode(F.regexp_extract_all("text", F.lit(CHAIN), F.lit(0))).alias("chain"))
+    chains = in_method.filter(has_any("text", [".Where", ".Select", ".Count", ".Any", ".ToList", ".ToArray"])).select("scope_id", F.explode(F.regexp_extract_all("text", F.lit(CHAIN), F.lit(0))).alias("chain"))
     calls = chains.select(
         "scope_id", F.regexp_extract("chain", r"^(\w+)\.", 1).alias("param"),
         F.explode(F.regexp_extract_all("chain", F.lit(r"\.(?:Where|Select|Count|Any|ToList|ToArray)\w*\("), F.lit(0))),
@@ -401,21 +402,22 @@ def _string_growth(facts: CodeFacts) -> DataFrame:
     """`+=` in loops whose target is a text: by its value, else by its nearest declaration, else by its name."""
     grow = r"^([\w.]+)\s*\+=\s*(.+)$"
     owner = _within(facts, "method").select("file_id", "seq", C("scope_id").alias("method_scope"))
-    grown = (
-        _within(facts, *LOOP_KINDS).filter(_is(grow))
+    grown = stage(
+        _within(facts, *LOOP_KINDS).filter(has_any("text", ["+="], grow))
         .select("file_id", "path", "seq", "line_no", "scope_id", "text",
                 F.regexp_extract("text", grow, 1).alias("var"), F.regexp_extract("text", grow, 2).alias("value"))
-        .join(owner, ["file_id", "seq"])
+        .join(owner, ["file_id", "seq"]), "grown",
     )
-    local_decl = _locals(facts).join(owner, ["file_id", "seq"]).select(
-        "method_scope", C("name").alias("var"), F.lit(1).alias("priority"), _kind_of(C("type")).alias("kind"))
+    local_decl = _locals(_within(facts, "method")).select(
+        C("scope_id").alias("method_scope"), C("name").alias("var"), F.lit(1).alias("priority"), _kind_of(C("type")).alias("kind"))
     params = facts.params.select(
         C("scope_id").alias("method_scope"), C("param").alias("var"), F.lit(2).alias("priority"), _kind_of(C("type")).alias("kind"))
     fields = _fields(facts).select(C("p_scope").alias("type_scope"), C("name").alias("var"), C("type"))
     around = facts.scopes.select(C("scope_id").alias("method_scope"), C("p_scope").alias("type_scope"))
     field_decl = grown.select("method_scope", "var").distinct().join(around, "method_scope").join(fields, ["type_scope", "var"]).select(
         "method_scope", "var", F.lit(3).alias("priority"), _kind_of(C("type")).alias("kind"))
-    decls = local_decl.unionByName(params).unionByName(field_decl)
+    asked = grown.select("method_scope", "var").distinct()
+    decls = local_decl.unionByName(params).join(asked, ["method_scope", "var"], "left_semi").unionByName(field_decl)
     typed = classify(grown, decls, ["method_scope", "var"], [("number", NUMERIC_NAMES), ("string", TEXT_NAMES)], "var", "unknown")
     as_text = C("value").rlike(r'^\$?""$') | C("value").endswith(".ToString()")
     return hit(typed.filter(as_text | (C("kind") == "string")), "PERF001", C("text"))
@@ -449,7 +451,7 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
     out.append(hit(types.filter(~is_interface & ~is_enum & (first_lower | snake)), "ARCH003", C("name"), vars=expected(pascal(C("name")))))
     props = facts.scopes.filter((C("kind") == "property") & (C("p_kind") == "type")).withColumn("line_no", C("open_line"))
     out.append(hit(props.filter(first_lower | snake), "ARCH004", C("name"), vars=expected(pascal(C("name")))))
-    variables = _fields(facts).withColumn("local", F.lit(False)).unionByName(_locals(facts).withColumn("local", F.lit(True)))
+    variables = _fields(facts).withColumn("local", F.lit(False)).unionByName(_locals(stmts).withColumn("local", F.lit(True)))
     out.append(hit(
         variables.filter((F.length("name") >= 2) & (snake | (C("local") & C("name").rlike(r"^[A-Z]")))), "ARCH005", C("name"),
         vars=expected(camel(C("name"))),
@@ -465,7 +467,7 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
     out.append(hit(fields.filter(public & ~fixed), "ARCH010", C("name")))
 
     in_class = facts.inside.filter((C("kind") == "type") & C("header").rlike(r"(?:^|\s)class\s"))
-    console = in_class.filter(_is(r"Console\.Write(?:Line)?\s*\(")).groupBy("file_id", "path", "seq", "line_no").agg(
+    console = in_class.filter(has_any("text", ["Console.Write"], r"Console\.Write(?:Line)?\s*\(")).groupBy("file_id", "path", "seq", "line_no").agg(
         F.max_by("name", "open_no").alias("class_name"))
     out.append(hit(console.filter(~C("class_name").rlike(r"^Program$|(?:Console|Cli|Demo)$")), "ARCH009", C("class_name")))
     members = _within(facts, "type").filter((C("text") != "") | (C("delim") == "{"))
@@ -475,12 +477,12 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
         "file_id", "line_no", F.regexp_extract("text", r"([\w.]+)$", 1).alias("imported"))
     slashed = facts.files.select("file_id", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
     out.append(hit(layer_boundary(slashed, "path", imports, "file_id", "imported", [(INNER_LAYER, PRESENTATION)]), "ARCH012", C("imported")))
-    contexts = in_class.filter(_is(r"new\s+[\w.]*Context(?:\W|$)")).groupBy("file_id", "path", "seq", "line_no").agg(
+    contexts = in_class.filter(has_any("text", ["Context"], r"new\s+[\w.]*Context(?:\W|$)")).groupBy("file_id", "path", "seq", "line_no").agg(
         F.max_by("name", "open_no").alias("class_name"))
     out.append(hit(contexts.filter(C("class_name").endswith("Controller")), "ARCH013", C("class_name")))
 
-    tested = stmts.filter(_is(r"^(?:else\s+)?if\s*\(")).select("file_id", "path", "seq", "line_no", "text").unionByName(
-        _within(facts, "if").select("file_id", "path", "seq", "line_no", "text")).distinct()
+    tested = stmts.filter(_is(r"[=<>]\s*\d") & (C("in_if") | _is(r"^(?:else\s+)?if\s*\("))).select(
+        "file_id", "path", "seq", "line_no", "text").distinct()
     literals = tested.withColumn("literals", F.array_join(
         F.regexp_extract_all("text", F.lit(r"(?:[=!]=|[^=<>-]>|[^=<>]<)\s*(\d+)(?![\w.])"), F.lit(1)), " "))
     out.append(hit(magic_numbers(literals, "literals"), "ARCH014", C("literal").cast("string")))

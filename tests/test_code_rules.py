@@ -78,3 +78,22 @@ def test_corpus_is_dealt_before_texts_are_made(spark):
     part = spark.range(10_000).coalesce(1).selectExpr("id as p_partkey", "'a b' as p_name", "'Brand#1' as p_brand")
     corpus = code_corpus(part)
     assert corpus.rdd.getNumPartitions() == 3 and corpus.count() == 10_000
+
+
+def test_inside_is_written_flat(spark):
+    """Rules read the columns they ask for; what only asks about scopes around a statement joins nothing."""
+    rows = [(1, "a.cs", TEXTS["getter"][0]), (2, "b.cs", TEXTS["own_field"][0]), (None, "c.cs", TEXTS["getter"][0])]
+    facts = code_facts(spark.createDataFrame(rows, "file_id bigint, path string, text string"))
+    plan = facts.inside._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    got = {(r.file_id, r.text): (r.var_scope, r.type_scope, r.p_scope) for r in facts.stmts.collect()}
+    assert got[(1, "int z = 0")] == ("1:3", "1:1", "1:3") and got[(2, "int rate = 0")] == (None, "2:1", "2:1")
+    assert {r[0] for r in facts.inside.filter("text = 'int z = 0'").select("scope_id").collect()} == {"1:1", "1:2", "1:3"}
+
+
+def test_repeated_file_keeps_all_pairs(spark):
+    """Two rows of one file: each of its two segments meets both paths, and the eight scopes that the copies make of one."""
+    rows = [(1, "a.cs", "class A\n{\n    int x;\n}")] * 2
+    facts = code_facts(spark.createDataFrame(rows, "file_id bigint, path string, text string"))
+    assert facts.stmts.filter("text = 'int x'").count() == 4
+    assert [tuple(r) for r in facts.inside.filter("text = 'int x'").groupBy("scope_id").count().collect()] == [("1:1", 32)]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gatewright.operators.enclosing import in_scope, lay_spans
+from gatewright.operators.enclosing import enclosing_chains, in_scope, lay_spans
 from gatewright.operators.intervals import block_at, cover
 from gatewright.operators.scope import lay_line_spans, scope_spans
 
@@ -48,3 +48,17 @@ def test_long_and_short_spans(spark):
     got = in_scope(spark.createDataFrame(points, "path_key string, pos int"), s, ["path_key"], start="start_line", end="end_line", width=16)
     assert sorted((r.path_key, r.pos, r.start_line, r.end_line) for r in got.collect()) == sorted(
         (k, p, a, b) for k, p in points for e, a, b in spans if e == k and a < p < b)
+
+
+def test_enclosing_chains(spark):
+    """Long and short spans over many buckets against all pairs; an item keeps its row, and null keys meet nothing."""
+    rng = random.Random(3)
+    spans = [(k, a, a + n, f"s{i}") for i in range(60) for k in ("a", "b", None)
+             for a, n in [(rng.randrange(100), rng.choice([0, 1, 5, 40, 300]))]]
+    items = [(k, p) for k in ("a", "b", "c", None) for p in range(0, 400, 3)]
+    s = spark.createDataFrame(spans, "doc string, start_pos int, end_pos int, name string")
+    got = enclosing_chains(spark.createDataFrame(items, "doc string, pos int"), s, ["doc"], width=16).collect()
+    assert len(got) == len(items)
+    for r in got:
+        want = sorted((a, b, n) for k, a, b, n in spans if k is not None and k == r.doc and a < r.pos < b)
+        assert (r.chain and [tuple(x) for x in r.chain]) == (want or None)
