@@ -49,7 +49,8 @@ class GateTable:
     def __init__(self, gate_stream: DataFrame, folder: str | None = None, buckets: int = BUCKETS):
         self.stream, self.buckets, spark = gate_stream, buckets, gate_stream.sparkSession
         self.base = folder or fresh_dir(spark, "gate")
-        self.schema = gate_stream.schema.add("batch", T.LongType())
+        # A schema of its own: `add` changes the one that the stream keeps, so a second table would have the column twice.
+        self.schema = T.StructType([*gate_stream.schema.fields, T.StructField("batch", T.LongType())])
         self.seen = 0
         create_upserts(spark, f"{self.base}/table", self.schema)
 
