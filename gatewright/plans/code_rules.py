@@ -9,14 +9,14 @@ from gatewright.catalogue.rules import OFF_BY_ONE, OFF_BY_ONE_LINE, RULE_NAME, R
 from gatewright.functions.text import split_outside, sql_lookup
 from gatewright.operators.columns import camel, chain_depth, identical, magic_numbers, pascal
 from gatewright.operators.groups import (
-    after_terminal, empty_groups, extras, layer_boundary, missing_member, presence_xor, repeat_use,
+    after_terminal, extras, layer_boundary, missing_member, presence_xor, repeat_use,
     token_not_passed, unguarded,
 )
 from gatewright.operators.lookups import classify, latest_before, resolve_chain
 from gatewright.operators.metrics import child_count, grade, policy
 from gatewright.operators.scan import has_any, one_pass, per_match, scan_texts
 from gatewright.operators.scope import scope_lines, scope_spans
-from gatewright.plans.code_facts import BRANCH_KINDS, LOOP_KINDS, CodeFacts
+from gatewright.plans.code_facts import BRANCH, BRANCH_KINDS, DECLARATION, LOOP_KINDS, NO_LOCALS, TERMINAL, CodeFacts
 from gatewright.reporting.findings import categorise
 from gatewright.schema import as_findings, seq_of
 from gatewright.session import stage
@@ -45,12 +45,10 @@ TEXT_NAMES = ["str", "text", "msg", "message", "output", "content", "body", "htm
 ZEROS = ["0", "0.0", "0f", "0m", "0d", "0L", "0D"]
 PRESENTATION = r"Microsoft\.AspNetCore|System\.Web|Controllers|Views"
 INNER_LAYER = r"/(?:Domain|Entities|Core)/"
-BRANCH = r"(?:^|\W)(?:if|while|for|foreach|do|case|catch)(?:\W|$)|\?\?=?|&&|\|\||\s\?\s"
 COGNITIVE = r"(?:^|\W)(?:if|while|for|foreach|catch)(?:\W|$)|\s\?\s"
 LOGICAL = r"&&|\|\|"
 PARALLEL = r"Parallel\.For(?:Each)?\s*\("
 CHAIN = r"[A-Za-z_]\w*(?:\([^()]*\))?(?:\??\.[A-Za-z_]\w*(?:\([^()]*\))?)+"
-DECLARATION = r"^(?:(?:const|static|readonly|public|private|protected|internal|volatile|using)\s+)*([A-Za-z_][\w<>\[\],.?]*)\s+([A-Za-z_]\w*)\s*(?:=[^=>].*)?$"
 NOT_TYPES = ["return", "throw", "new", "await", "else", "goto", "using", "namespace", "case", "break", "continue", "in", "yield"]
 
 
@@ -89,7 +87,7 @@ def _is(pattern: str, col: str = "text") -> Column:
 
 
 def _within(facts: CodeFacts, *kinds: str) -> DataFrame:
-    return facts.inside.filter(C("kind").isin(*kinds))
+    return facts.held.filter(C("kind").isin(*kinds))
 
 
 def _methods(facts: CodeFacts) -> DataFrame:
@@ -102,14 +100,14 @@ def _types(facts: CodeFacts) -> DataFrame:
 
 def _fields(facts: CodeFacts) -> DataFrame:
     """(…, type, name) of statements directly in a type that declare a field."""
-    return facts.stmts.filter(
+    return facts.asked.filter(
         (C("p_kind") == "type") & (C("delim") == ";") & _is(DECLARATION) & ~C("p_header").rlike(r"(?:^|\s)enum\s")
     ).withColumns({"type": F.regexp_extract("text", DECLARATION, 1), "name": F.regexp_extract("text", DECLARATION, 2)})
 
 
 def _locals(stmts: DataFrame) -> DataFrame:
     return stmts.filter(
-        C("p_kind").isNotNull() & ~C("p_kind").isin("type", "namespace", "init", "property") & _is(DECLARATION)
+        C("p_kind").isNotNull() & ~C("p_kind").isin(NO_LOCALS) & _is(DECLARATION)
         & (C("delim") != "}")
     ).withColumns(
         {"type": F.regexp_extract("text", DECLARATION, 1), "name": F.regexp_extract("text", DECLARATION, 2)}
@@ -122,22 +120,21 @@ def structure_rules(facts: CodeFacts, limits: DataFrame | None = None) -> list[D
     is_ctor = C("name") == C("p_name")
     is_class = C("header").rlike(r"(?:^|\s)class\s")
 
-    # Branches, depth and reading effort of a method come from one aggregate over its statements.
+    # Branches and reading effort of a method come from one aggregate over its statements that branch, depth from the scopes in it.
     around = _within(facts, *BRANCH_KINDS).groupBy("file_id", "seq").agg(F.count("*").alias("around"))
     inner = facts.scopes.select("file_id", C("open_no").alias("seq"), C("depth").alias("inner_depth"))
     weight = F.coalesce("around", F.lit(0)) + 1
-    counted = in_method.select(
-        "file_id", "seq", "scope_id", "depth", F.regexp_count("text", F.lit(BRANCH)).alias("branches"),
+    counted = in_method.filter(_is(BRANCH)).select(
+        "file_id", "seq", "scope_id", F.regexp_count("text", F.lit(BRANCH)).alias("branches"),
         F.regexp_count("text", F.lit(COGNITIVE)).alias("hard"), F.regexp_count("text", F.lit(LOGICAL)).alias("logical"))
     body = (
-        counted.join(around, ["file_id", "seq"], "left").join(inner, ["file_id", "seq"], "left")
+        counted.join(around, ["file_id", "seq"], "left").join(inner.drop("inner_depth"), ["file_id", "seq"], "left")
         .groupBy("scope_id")
-        .agg(
-            (F.sum("branches") + 1).cast("int").alias("paths"),
-            F.max(C("inner_depth") - C("depth")).cast("int").alias("nested"),
-            F.sum(C("hard") * weight + C("logical")).cast("int").alias("effort"),
-        )
+        .agg(F.sum("branches").alias("branches"), F.sum(C("hard") * weight + C("logical")).alias("effort"))
     )
+    depths = facts.openings.join(inner, ["file_id", "seq"]).groupBy("scope_id").agg(
+        F.max(C("inner_depth") - C("depth")).cast("int").alias("nested"))
+    of_body = lambda value: F.when(C("close_no") - C("open_no") > 1, F.coalesce(value, F.lit(0)))  # noqa: E731  null without statements
     takes = facts.params.groupBy("scope_id").agg(F.count("*").cast("int").alias("takes"))
     lines = C("close_line") - C("open_line") + 1
 
@@ -145,9 +142,9 @@ def structure_rules(facts: CodeFacts, limits: DataFrame | None = None) -> list[D
         return F.struct(F.lit(rule_id).alias("rule_id"), actual.cast("int").alias("actual"))
 
     keep = [*PLACE, "close_line", "name"]
-    of_methods = methods.join(body, "scope_id", "left").join(takes, "scope_id", "left").select(
+    of_methods = methods.join(body, "scope_id", "left").join(depths, "scope_id", "left").join(takes, "scope_id", "left").select(
         *keep, F.inline(F.array_compact(F.array(
-            row("CQ001", lines), row("CQ002", C("paths")), row("CQ004", C("nested")), row("CQ007", C("effort")),
+            row("CQ001", lines), row("CQ002", of_body(C("branches")) + 1), row("CQ004", C("nested")), row("CQ007", of_body(C("effort"))),
             row("CQ003", C("takes")), F.when(is_ctor, row("CQ006", C("takes"))),
         ))),
     )
@@ -173,7 +170,7 @@ def structure_rules(facts: CodeFacts, limits: DataFrame | None = None) -> list[D
 
 
 def safety_rules(facts: CodeFacts) -> list[DataFrame]:
-    stmts = facts.stmts
+    stmts = facts.asked
     in_method = _within(facts, "method")
     out = []
 
@@ -187,13 +184,12 @@ def safety_rules(facts: CodeFacts) -> list[DataFrame]:
     made = stmts.filter(~C("in_using") & has_any("text", DISPOSABLE, rf"new\s+[\w.]*(?:{'|'.join(DISPOSABLE)})") & ~_is(r"^(?:await\s+)?using\W"))
     out.append(hit(made, "SAF003", F.regexp_extract("text", r"new\s+([\w.]+)", 1)))
     catches = facts.scopes.filter(C("kind") == "catch").withColumn("line_no", C("open_line"))
-    filled = _within(facts, "catch").filter((C("text") != "") | (C("delim") == "{"))
-    out.append(hit(empty_groups(catches, filled, ["scope_id"]), "SAF005", C("header")))
+    out.append(hit(catches.filter(~C("filled")), "SAF005", C("header")))
 
     plain = stmts.filter((C("text") != "") & C("p_kind").isNotNull() & ~C("p_kind").isin("switch", "type", "namespace", "init")).select(
         *PLACE, "p_scope", "seq", "text", "delim")
     dead = after_terminal(
-        plain, ["p_scope"], ["seq"], _is(r"^(?:return|throw|break|continue)(?:\W|$)") & (C("delim") == ";")
+        plain, ["p_scope"], ["seq"], _is(TERMINAL) & (C("delim") == ";")
     )
     out.append(hit(dead, "SAF006", C("text")))
 
@@ -246,7 +242,7 @@ def _zero_division(facts: CodeFacts) -> DataFrame:
     assign = r"(?:^|[\s(])(\w+)\s*=\s*([^=].*)$"
     is_name = r"^[A-Za-z_]\w*$"
     # Without a method or accessor around a statement only fields count.
-    placed = facts.stmts.select(*PLACE, "seq", "text", C("var_scope").alias("scope_id"), "type_scope")
+    placed = facts.asked.select(*PLACE, "seq", "text", C("var_scope").alias("scope_id"), "type_scope")
     divides = placed.filter(_is(r"[/%]"))
     # Chains stay in a scope, so only scopes that divide need theirs.
     dividing = divides.filter(C("scope_id").isNotNull()).select("scope_id").distinct()
@@ -341,8 +337,9 @@ def enclosed_rules(facts: CodeFacts) -> list[DataFrame]:
         ("PERF008", (kind == "method") & has_any("text", ["Regex"], r"new\s+(?:System\.Text\.RegularExpressions\.)?Regex\s*\("), F.lit("new Regex()")),
     ]
     # Every arrow inside a loop is a hit, so this rule may hit a statement more than once.
-    arrows = facts.inside.filter(in_loop & C("text").contains("=>")).withColumn("arrow", F.explode(per_match(C("text"), "=>")))
-    return [hit(one_pass(facts.inside, PLACE, tests), None), hit(arrows, "PERF007", F.lit("lambda in loop"))]
+    arrows = facts.held.filter(in_loop & C("text").contains("=>")).withColumn("arrow", F.explode(per_match(C("text"), "=>")))
+    tested = facts.held.filter(kind.isin("method", "catch", *LOOP_KINDS) | header.contains("Parallel.For"))
+    return [hit(one_pass(tested, PLACE, tests), None), hit(arrows, "PERF007", F.lit("lambda in loop"))]
 
 
 def statement_rules(facts: CodeFacts) -> list[DataFrame]:
@@ -355,7 +352,7 @@ def statement_rules(facts: CodeFacts) -> list[DataFrame]:
                            r'(?:Response\.Write(?:Async)?|HtmlString|Html\.Raw)\s*\(\s*(?:\$"|[^,]*\+|[^,]*Request\.)'), C("text")),
         ("CON011", has_any("text", ["Parallel.For"], PARALLEL + r".*\.(?:Add|Remove|Clear)\s*\("), C("text")),
     ]
-    return [hit(one_pass(facts.stmts, PLACE, tests), None)]
+    return [hit(one_pass(facts.asked, PLACE, tests), None)]
 
 
 def security_rules(facts: CodeFacts) -> list[DataFrame]:
@@ -424,7 +421,7 @@ def _string_growth(facts: CodeFacts) -> DataFrame:
 
 
 def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
-    methods, types, stmts = _methods(facts), _types(facts), facts.stmts
+    methods, types, stmts = _methods(facts), _types(facts), facts.asked
     expected = lambda form: F.create_map(F.lit("expected"), form)
     first_lower = C("name").rlike(r"^[a-z]")
     snake = C("name").contains("_")
@@ -466,12 +463,11 @@ def architecture_rules(facts: CodeFacts) -> list[DataFrame]:
     ))
     out.append(hit(fields.filter(public & ~fixed), "ARCH010", C("name")))
 
-    in_class = facts.inside.filter((C("kind") == "type") & C("header").rlike(r"(?:^|\s)class\s"))
+    in_class = facts.held.filter((C("kind") == "type") & C("header").rlike(r"(?:^|\s)class\s"))
     console = in_class.filter(has_any("text", ["Console.Write"], r"Console\.Write(?:Line)?\s*\(")).groupBy("file_id", "path", "seq", "line_no").agg(
         F.max_by("name", "open_no").alias("class_name"))
     out.append(hit(console.filter(~C("class_name").rlike(r"^Program$|(?:Console|Cli|Demo)$")), "ARCH009", C("class_name")))
-    members = _within(facts, "type").filter((C("text") != "") | (C("delim") == "{"))
-    out.append(hit(empty_groups(faces.filter(~C("header").contains(":")), members, ["scope_id"]), "ARCH011", C("name")))
+    out.append(hit(faces.filter(~C("header").contains(":") & ~C("filled")), "ARCH011", C("name")))
 
     imports = stmts.filter(_is(r"^using\s+(?:static\s+)?[\w.]+$")).select(
         "file_id", "line_no", F.regexp_extract("text", r"([\w.]+)$", 1).alias("imported"))

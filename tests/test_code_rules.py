@@ -1,7 +1,11 @@
 """Rules over small source texts: how many findings of which rules, in which lines."""
 
+from collections import Counter
+from dataclasses import replace
+
 import pytest
 
+from gatewright.catalogue.templates import ROWS
 from gatewright.plans.code_facts import code_facts
 from gatewright.plans.code_rules import code_findings, scope_findings
 from gatewright.session import stage
@@ -97,3 +101,27 @@ def test_repeated_file_keeps_all_pairs(spark):
     facts = code_facts(spark.createDataFrame(rows, "file_id bigint, path string, text string"))
     assert facts.stmts.filter("text = 'int x'").count() == 4
     assert [tuple(r) for r in facts.inside.filter("text = 'int x'").groupBy("scope_id").count().collect()] == [("1:1", 32)]
+
+
+PLAIN = "class C\n{\n" + "".join(f"    private int n{i};\n" for i in range(300)) + "    void Run()\n    {\n" + "        Step(1);\n" * 50 + "    }\n}"
+ODD = [
+    "class C\n{\n    static int total; int Rate; public int open; string line;\n    void Run(C c)\n    {\n        total ??= 1; total <<= 2; int Big_Name; string T;\n"
+    "        while (true) { if (a) { T += x; } }\n        { return; }\n        ;\n        Step();\n        Step();\n    }\n    int doIt(int x);\n}",
+    "interface IMark\n{\n}\ninterface IOpen\n{\n    ;\n}\ninterface IFull\n{\n    { }\n}\nclass D\n{\n    void Run()\n    {\n        try { } catch (E e) { ; } try { } catch { { } }\n"
+    "        for (int i = 0; i < 3; i++) { var p = new P { Name = x }; lock (a) { lock (b) { Step(); } } }\n        return; }\n    }\n    void Next() { lock (b) { lock (a) { } } }\n}",
+    "class E\n{\n    int zero = 0;\n    int Go(int t) { var Left = zero; int r = Left; switch (t) { case 1: break; } return t % r; }\n    void Empty() { }\n    enum Kind { A }\n",
+]
+
+
+def test_rules_read_the_statements_they_ask_for(spark):
+    """Plain statements are in no table that the rules read, and no rule finds more among all statements."""
+    assert code_facts(spark.createDataFrame([(1, "a.cs", PLAIN)], "file_id bigint, path string, text string")).held.count() < 10
+    texts = [r[4].replace("{id}", "7").replace("{name}", "a_b") for r in ROWS] + [t for t, _ in TEXTS.values()] + ODD + [PLAIN]
+    rows = [(i, f"Domain/{i}.cs", t) for i, t in enumerate(texts)]
+    # Copies of one number: the same text, another text, none, and texts without a number.
+    rows += [(1000 + i, f"x{c}.cs", t) for i, (a, b) in enumerate([(ODD[0], ODD[0]), (ODD[1], ODD[2]), (ODD[2], None)]) for c, t in enumerate((a, b))]
+    rows += [(None, "n.cs", ODD[0]), (None, "m.cs", ODD[1])]
+    facts = code_facts(spark.createDataFrame(rows, "file_id bigint, path string, text string"))
+    of = lambda facts: Counter((r.target, r.rule_id, r.member, r.line_no, r.actual, r.severity) for r in code_findings(facts).collect())
+    found = of(facts)
+    assert len(found) > 150 and found == of(replace(facts, asked=facts.stmts, held=facts.inside))
